@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": line_dedup.op1_line_dedup}
+    return {
+        "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op9_mix_sources": mixing.op9_mix_sources,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
