@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import fingerprints, line_dedup, mixing
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix_sources": mixing.op9_mix_sources,
     }
 
