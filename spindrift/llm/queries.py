@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, line_dedup, mixing
+from . import fingerprints, line_dedup, mixing, simhash_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_simhash_dedup": simhash_dedup.op10_simhash_dedup,
     }
 
 
