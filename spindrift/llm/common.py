@@ -66,3 +66,30 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def runs(batches, n_keys: int, limit: int | None = None):
+    """Of batches sorted by their first ``n_keys`` columns: one table a key, or of ``limit`` rows of it at most."""
+    import pyarrow as pa
+
+    held, rows, key = [], 0, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = list(zip(*(b.column(i).to_pylist() for i in range(n_keys)), strict=True))
+        start = 0
+        for i in range(b.num_rows + 1):
+            ends = i < b.num_rows and keys[i] != key
+            full = limit is not None and rows + i - start >= limit
+            if i == b.num_rows or ends or full:
+                if i > start:
+                    held.append(b.slice(start, i - start))
+                    rows += i - start
+                if (ends or full) and held:
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held, rows = [], 0
+                start = i
+                if i < b.num_rows:
+                    key = keys[i]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

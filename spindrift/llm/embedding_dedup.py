@@ -90,7 +90,7 @@ def _compare(table: int, ids: np.ndarray, weight: np.ndarray, unit: np.ndarray,
     return near @ weight, ids[reach]
 
 
-def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.99, width: float = 6.0, seed: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, recall: float = 0.999, width: float = 6.0, seed: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row a row of ``vectors``.
 
     ``n_links`` counts the other rows at a cosine of ``threshold`` or more, ``component_id`` is the smallest id that

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, langid, line_dedup, mixing, simhash_dedup
+from . import embedding_dedup, fingerprints, html_extract, langid, line_dedup, mixing, simhash_dedup
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+        "op5_html_extract": html_extract.op5_html_extract,
         "op6_language_id": langid.op6_language_id,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix_sources": mixing.op9_mix_sources,
