@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, html_extract, langid, line_dedup, mixing, simhash_dedup
+from . import embedding_dedup, fingerprints, html_extract, langid, line_dedup, mixing, pieces, simhash_dedup
 
 
 def queries() -> dict:
     return {
         "op1_line_dedup": line_dedup.op1_line_dedup,
+        "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
         "op5_html_extract": html_extract.op5_html_extract,
         "op6_language_id": langid.op6_language_id,
