@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, html_extract, langid, line_dedup, mixing, pieces, simhash_dedup
+from . import embedding_dedup, fingerprints, html_extract, langid, line_dedup, mixing, pieces, simhash_dedup, token_output
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_line_dedup": line_dedup.op1_line_dedup,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
+        "op4_token_shards": token_output.op4_token_shards,
         "op5_html_extract": html_extract.op5_html_extract,
         "op6_language_id": langid.op6_language_id,
         "op8_fingerprints": fingerprints.op8_fingerprints,
