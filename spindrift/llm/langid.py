@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: A label column with more values than this does not hold languages.
+MOST_LABELS = 10_000
 _LETTERS: np.ndarray | None = None
 
 
@@ -64,12 +66,18 @@ def learn_profiles(labelled: DataFrame, size: int = 400, sample: int = 1_000, te
     """Each language's ``size`` most frequent n-grams, most frequent first.
 
     Fitted on about ``sample`` documents a language, the bound of this classifier, picked by a hash of id and text;
-    rows whose label or text is null are left out. Only ``size`` grams a language reach the driver.
+    rows whose label or text is null are left out. Only ``size`` grams a language reach the driver; the texts not picked
+    are dropped where they are read.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rate = rows.groupBy(F.col(lang_col).alias("__lang")).agg((F.lit(float(sample)) / F.count("*")).alias("__rate"))
+    labels = rows.groupBy(lang_col).agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels are no languages")
+    if not labels:
+        return {}
+    rate = F.create_map(*[x for r in labels for x in (F.lit(r[lang_col]), F.lit(sample / r["n"]))])
     draw = F.pmod(F.xxhash64(F.lit(6), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    picked = rows.join(rate, F.col(lang_col) == F.col("__lang")).where(draw < F.col("__rate")).select(F.col("__lang").alias("lang"), F.col(text_col).alias("text"))
+    picked = rows.where(draw < F.element_at(rate, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
