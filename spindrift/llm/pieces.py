@@ -12,7 +12,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ LITERAL = "\udc81"
 NEVER = 1 << 60
 MASK = (1 << 64) - 1
 #: Segmentations kept in each worker, over all variants.
-CACHE = 400_000
+CACHE = 350_000
 
 
 class Pieces:
@@ -36,6 +36,7 @@ class Pieces:
     def __init__(self, path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2 as proto
 
+        self.path = path
         model = proto.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
@@ -58,7 +59,7 @@ class Pieces:
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("pieces must not span words or lines")
         # symbols are piece ids, or for characters without a piece their code points after all ids
-        self.symbol = np.arange(0x110000, dtype=np.int64) + self.size
+        self.symbol = np.arange(0x110000, dtype=np.int32) + self.size
         for q, i in self.ids.items():
             if len(q) == 1:
                 self.symbol[ord(q)] = i
@@ -68,9 +69,25 @@ class Pieces:
                 a, b = (self.ids.get(x, self.size + ord(x) if len(x) == 1 else None) for x in (q[:cut], q[cut:]))
                 if a is not None and b is not None:
                     joins[a << 22 | b] = q
-        self.join_key = np.array(sorted(joins), dtype=np.int64)
-        self.join_to = np.array([self.ids[joins[k]] for k in self.join_key.tolist()], dtype=np.int64)
-        self.join_rank = np.array([self.rank[joins[k]] for k in self.join_key.tolist()], dtype=np.int64)
+        # the joins in an open table: a join is at its slot or one of the next few
+        bits = max(8, (len(joins) * 4).bit_length())
+        self.shift, self.reach = np.uint64(64 - bits), 0
+        self.join_key = np.full((1 << bits) + 64, -1, dtype=np.int64)
+        self.join_to = np.zeros(len(self.join_key), dtype=np.int32)
+        self.join_rank = np.zeros(len(self.join_key), dtype=np.int32)
+        for k, slot in zip(joins, self._slot(np.array(list(joins), dtype=np.int64)).tolist(), strict=True):
+            away = next(i for i in range(64) if self.join_key[slot + i] < 0)
+            self.reach = max(self.reach, away)
+            self.join_key[slot + away], self.join_to[slot + away], self.join_rank[slot + away] = k, self.ids[joins[k]], self.rank[joins[k]]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    @cached_property
+    def library(self):
+        from sentencepiece import SentencePieceProcessor
+
+        return SentencePieceProcessor(model_file=self.path)
 
     #: No piece goes past these, so each segment can be merged by itself.
     SEGMENT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
@@ -127,7 +144,7 @@ class Pieces:
                 out[i] = array("i", self.merge(segments[i], rate, keys[i])).tobytes()
                 at += 1
                 continue
-            some = [i for i in order[at : at + 2048] if len(segments[i]) <= 64]
+            some = [i for i in order[at : at + 4096] if len(segments[i]) <= 64]
             for i, got in zip(some, self._merge_block([segments[i] for i in some], rate, [keys[i] for i in some]), strict=True):
                 out[i] = got if got is not None else array("i", self.merge(segments[i], rate, keys[i])).tobytes()
             at += len(some)
@@ -136,13 +153,21 @@ class Pieces:
     def _candidates(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, join: np.ndarray, end: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Rank (``NEVER`` if none, or skipped) and result of the merges of symbols side by side."""
         want = left << 22 | right
-        i = np.minimum(np.searchsorted(self.join_key, want), len(self.join_key) - 1)
-        ok = self.join_key[i] == want
+        i = self._slot(want)
+        got = self.join_key[i]
+        ok = got == want
+        for _ in range(self.reach):
+            on = np.nonzero(~ok & (got >= 0))[0]
+            if not len(on):
+                break
+            i[on] += 1
+            got[on] = self.join_key[i[on]]
+            ok[on] = got[on] == want[on]
         if limit:
             x = (key ^ (start << 42 | join << 21 | end).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
             ok &= (x ^ x >> np.uint64(32)) >> np.uint64(11) >= np.uint64(limit)
-        return np.where(ok, self.join_rank[i], NEVER), self.join_to[i]
+        return np.where(ok, self.join_rank[i].astype(np.int64), NEVER), self.join_to[i].astype(np.int64)
 
     def _merge_block(self, segments: list[str], rate: float, keys: list[int]) -> list[bytes | None]:
         """Segments of like length, a merge of each at a time; None for those with characters that have no piece."""
@@ -237,47 +262,75 @@ def load(path: str) -> Pieces:
 
 
 class Encoder:
-    """Encodes texts in a worker, keeping the segmentations of the segments it has met."""
+    """Encodes texts in a worker, keeping the segmentations it has met.
 
-    def __init__(self, path: str, rate: float = 0.0, seed: int = 0, variants: int = 4) -> None:
+    What is kept goes by token: a text's words between single spaces, where a line feed starts a new one. Texts with
+    runs of spaces, a space at the start or characters that tokens use as marks go by segment.
+    """
+
+    def __init__(self, path: str, rate: float = 0.0, seed: int = 0, variants: int = 2) -> None:
         self.pieces, self.rate, self.seed = load(path), rate, seed
         self.variants = variants if rate else 1
         self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
+    def tokens(self, text: str) -> list[str]:
+        if not text:
+            return []
+        if self.pieces.prefix and "  " not in text and text[0] != " " and SPACE not in text and "\0" not in text:
+            return text.replace("\n", " \n").split(" ")
+        return ["\0" + s for s in self.pieces.segments(text)]
+
+    @staticmethod
+    def _segments(token: str) -> list[str]:
+        if token[:1] == "\0":
+            return [token[1:]]
+        if token[:1] == "\n":
+            return ["\n", token[1:]] if len(token) > 1 else ["\n"]
+        return [SPACE + token]
+
     def _learn(self, missing: set[tuple[str, int]]) -> None:
-        some = list(missing)
-        keys = [xxhash.xxh64_intdigest(f"{self.seed},{v},".encode() + s.encode("utf-8", "surrogatepass")) if self.rate else 0 for s, v in some]
-        for (s, v), got in zip(some, self.pieces.merge_many([s for s, _ in some], self.rate, keys), strict=True):
-            self.cache[v][s] = got
+        if not self.rate:  # without dropout the library merges the same, and faster
+            plain = [t for t, _ in missing if t[:1] != "\0"]
+            for t, ids in zip(plain, self.pieces.library.encode(plain, num_threads=1), strict=True):
+                # after a line feed no space goes before; the library's comes out as a piece of its own
+                self.cache[0][t] = array("i", ids[1:] if t[:1] == "\n" else ids or [self.pieces.ids[SPACE]]).tobytes()
+            missing = {m for m in missing if m[0][:1] == "\0"}
+        spelt = [(t, v, s) for t, v in missing for s in self._segments(t)]
+        keys = [xxhash.xxh64_intdigest(f"{self.seed},{v},".encode() + s.encode("utf-8", "surrogatepass")) if self.rate else 0 for _, v, s in spelt]
+        got = self.pieces.merge_many([s for _, _, s in spelt], self.rate, keys)
+        for t, v in missing:
+            self.cache[v][t] = b""
+        for (t, v, _), ids in zip(spelt, got, strict=True):
+            self.cache[v][t] += ids
 
     def _variants(self, n: int, doc: int) -> list[int]:
-        """Which variant each of a document's segments takes, by a hash of its place."""
+        """Which variant each of a document's tokens takes, by a hash of its place."""
         x = (np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{self.seed},{doc}"))) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(29)
         return (((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(self.variants)).tolist()
 
     def encode_many(self, texts: list[str], docs: list[int] | None = None) -> list[np.ndarray]:
-        """The ids of each text. With dropout a segment's variant depends on ``docs`` and its place."""
+        """The ids of each text. With dropout a token's variant depends on ``docs`` and its place."""
         if sum(map(len, self.cache)) >= CACHE:
             for c in self.cache:
                 c.clear()
-        caches, rows, missing = self.cache, [], set()
+        gets, rows, missing = [c.get for c in self.cache], [], set()
         for i, text in enumerate(texts):
-            segments = self.pieces.segments(text)
+            tokens = self.tokens(text)
             if self.variants == 1:
                 which = None
-                got = list(map(caches[0].get, segments))
+                got = list(map(gets[0], tokens))
             else:
-                which = self._variants(len(segments), docs[i] if docs else 0)
-                got = [caches[v].get(s) for s, v in zip(segments, which, strict=True)]
-            gaps = [k for k, g in enumerate(got) if g is None] if None in got else []
-            missing.update((segments[k], which[k] if which else 0) for k in gaps)
-            rows.append((got, [(k, segments[k], which[k] if which else 0) for k in gaps]))
+                which = self._variants(len(tokens), docs[i] if docs else 0)
+                got = [gets[v](s) for s, v in zip(tokens, which, strict=True)]
+            gaps = [(k, tokens[k], which[k] if which else 0) for k, g in enumerate(got) if g is None] if None in got else []
+            missing.update((s, v) for _, s, v in gaps)
+            rows.append((got, gaps))
         if missing:
             self._learn(missing)
         for got, gaps in rows:
             for k, s, v in gaps:
-                got[k] = caches[v][s]
+                got[k] = self.cache[v][s]
         return [np.frombuffer(b"".join(got), dtype=np.int32) for got, _ in rows]
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
@@ -290,7 +343,7 @@ def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
     return Encoder(path, rate, seed, variants)
 
 
-def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, variants: int = 4, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, variants: int = 2, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids, n_tokens, decoded_sha256``: each whole text's piece ids, and a hash of what these decode to.
 
     ``rate`` 0 gives the model's plain segmentation. Null and empty texts: no ids. Very long texts and segments: like
