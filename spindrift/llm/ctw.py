@@ -36,8 +36,9 @@ END = b"\xff"  # no byte of UTF-8
 END_TOKEN = b"\n"
 #: Words of more than one part in this of the training tokens go to every worker; at most so many there are.
 FREQUENT = 1 << 18
-CHUNK = 4 << 20
-SLOTS = 22
+#: Bytes that are looked at side by side, and slots of the table of probabilities: they bound a worker's memory.
+CHUNK = 1 << 20
+SLOTS = 21
 
 U = np.uint64
 
@@ -104,7 +105,12 @@ def count_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        codes, ns = np.empty(0, dtype=U), np.empty(0, dtype=np.int64)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def together() -> tuple[np.ndarray, np.ndarray]:
+            if not fresh:
+                return np.empty(0, dtype=U), np.empty(0, dtype=np.int64)
+            return _totals(np.concatenate([x for x, _ in fresh]), np.concatenate([y for _, y in fresh]))
 
         def out(kind: int, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(c), 100_000):
@@ -116,21 +122,25 @@ def count_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
             seen.clear()
 
         for b in batches:
-            texts = [t or b"" for t in b.column(0).to_pylist()]
-            for t in texts:
-                for w in words_of(t):
-                    seen.update(w)
-            seen[END_TOKEN] += len(texts)
-            for some in pieces(texts):
-                g = np.sort(grams(some)[0])
-                start = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
-                codes, ns = _totals(np.concatenate([codes, g[start]]), np.concatenate([ns, np.diff(np.append(start, len(g)))]))
-                if len(codes) > 4_000_000:
-                    yield from out(0, codes, ns)
-                    codes, ns = codes[:0], ns[:0]
-            if len(seen) > 1_000_000:
-                yield from tokens()
-        yield from out(0, codes, ns)
+            for at in range(0, b.num_rows, 500):
+                texts = [t or b"" for t in b.column(0).slice(at, 500).to_pylist()]
+                for t in texts:
+                    for w in words_of(t):
+                        seen.update(w)
+                seen[END_TOKEN] += len(texts)
+                if len(seen) > 300_000:
+                    yield from tokens()
+                for some in pieces(texts):
+                    g = np.sort(grams(some)[0])
+                    start = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
+                    fresh.append((g[start], np.diff(np.append(start, len(g)))))
+                    if sum(len(x) for x, _ in fresh) > 1_000_000:
+                        codes, ns = together()
+                        fresh[:] = [(codes, ns)]
+                        if len(codes) > 700_000:
+                            yield from out(0, codes, ns)
+                            fresh.clear()
+        yield from out(0, *together())
         yield from tokens()
 
     parts = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "kind byte, code bigint, n bigint")
@@ -198,7 +208,7 @@ class Trees:
                     inner = total(np.ones(len(kid))) > 0
                     weighted = np.where(inner, np.logaddexp(own, split) - math.log(2), own)
                     stop = np.where(inner, np.exp(own - math.log(2) - weighted), 1.0)
-                parts[d, k] = ids, (ones + 0.5) / (both + 1), stop
+                parts[d, k] = ids, ((ones + 0.5) / (both + 1)).astype(np.float32), stop.astype(np.float32)
                 below = ids, both, ones, weighted
         return cls(parts)
 
@@ -215,7 +225,7 @@ class Trees:
                 want = _ids((g >> U(8 * (DEPTH + 1 - d))) << U(8) | g & U(255), k)
                 at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
                 here = ids[at] == want
-                own = np.where(one, p[at], 1 - p[at])
+                own = np.where(one, p[at], 1 - p[at]).astype(np.float64)
                 # the deepest node on the path has no say to pass on
                 mix = np.where(here, np.where(seen, stop[at] * own + (1 - stop[at]) * mix, own), mix)
                 seen |= here
@@ -285,7 +295,7 @@ class Scorer:
                         if h in self.words:
                             lc = self.known[x] = self.words[h]
                         else:
-                            if len(self.rare) > 300_000:
+                            if len(self.rare) > 100_000:
                                 self.rare.clear()
                             self.rare[x] = h
                     if lc is None:
@@ -325,15 +335,14 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
         row = TaskContext.get().partitionId() << 36
         names = ["row", "doc_id", "n", "known", "logs", "score", "n_bytes", "h"]
         for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            for at in range(0, len(texts), 1000):
-                some = texts[at : at + 1000]
+            for at in range(0, b.num_rows, 500):
+                some = [t or b"" for t in b.column(1).slice(at, 500).to_pylist()]
                 told = [lm.tokens(t) for t in some]
                 rows = np.arange(row, row + len(some))
                 ends = lm.words.get(word_hash(END_TOKEN))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(rows), b.column(0).slice(at, 1000), pa.array([x[0] + 1 for x in told]), pa.array([x[1] + (ends is not None) for x in told]),
+                        pa.array(rows), b.column(0).slice(at, 500), pa.array([x[0] + 1 for x in told]), pa.array([x[1] + (ends is not None) for x in told]),
                         pa.array([x[2] + (ends or 0.0) for x in told]), pa.array(lm.scores(some)), pa.array([len(t) + 1 for t in some]), pa.nulls(len(some), pa.int64()),
                     ],
                     names,
