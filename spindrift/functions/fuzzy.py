@@ -64,7 +64,7 @@ def token_set_ratio(a: str, b: str) -> int:
     p, q = f"{both} {only_x}".strip(), f"{both} {only_y}".strip()
     if both and (not only_x or not only_y):
         return 100
-    return max(ratio(p, q), *([ratio(both, p), ratio(both, q)] if both else []))
+    return max([ratio(p, q)] + ([ratio(both, p), ratio(both, q)] if both else []))
 
 
 def _pairwise(f):

@@ -87,5 +87,5 @@ def confidence_in_notes(c: Column, default: int = 50) -> Column:
 
 def duration(seconds: Column) -> Column:
     """Seconds, minutes or hours with one decimal and the unit's letter."""
-    show = lambda x: F.format_string("%.1f", x)
+    show = lambda x: F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))  # noqa: E731  ties go to even, as in Python
     return F.when(seconds < 60, F.concat(show(seconds), F.lit("s"))).when(seconds < 3600, F.concat(show(seconds / 60), F.lit("m"))).otherwise(F.concat(show(seconds / 3600), F.lit("h")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rules import any_match, any_within
@@ -72,29 +72,44 @@ def should_exclude(c: Column) -> Column:
     return c.isNull() | (c == "") | a | b | x | y
 
 
-def normalize_title(c: Column) -> Column:
-    """struct of the normalised title and all that was learned on the way; a null title is an excluded, empty one."""
-    t = F.coalesce(c, F.lit(""))
-    expanded, abbreviations = expand_abbreviations(t)
-    normalized, modifiers = extract_modifiers(strip_qualifiers(expanded))
-    why = exclusions(t)
-    temporary = F.exists(modifiers, lambda m: F.lower(m).isin(TEMPORARY))
-    shared = any_match(F.lower(normalized), [rf"\b{re.escape(p)}\b" for p in SHARED])
-    change = (
-        F.when(temporary, -3).otherwise(0) + F.when(F.size(abbreviations) > 0, -2).otherwise(1) + F.when(why["is_visiting"], -3).otherwise(0) + F.when(shared, 2).otherwise(0)
-    )
-    empty = t == ""
-    return F.struct(
-        c.alias("original"),
-        normalized.alias("normalized"),
-        modifiers.alias("modifiers"),
-        temporary.alias("is_temporary"),
-        *[why[k].alias(k) for k in ("is_student", "is_emeritus", "is_visiting", "is_support_staff")],
-        shared.alias("is_shared_role"),
-        (empty | why["is_student"] | why["is_emeritus"] | why["is_visiting"] | why["is_support_staff"]).alias("should_exclude"),
-        abbreviations.alias("abbreviations_expanded"),
+def with_normalized_title(df: DataFrame, title: str = "title", out: str = "normalized_title") -> DataFrame:
+    """``df`` with a struct of the normalised title and all that was learned on the way; a null title is an excluded, empty one.
+
+    Every step is a projection of its own, so that no step's expression is repeated within the next.
+    """
+    step = df.withColumn("__t", F.coalesce(F.col(title), F.lit("")))
+    step = step.withColumn("__e", F.col("__t"))
+    seen = {"__a": [], "__m": []}
+
+    def take(frame: DataFrame, name: str, patterns: list[tuple[str, str]]) -> DataFrame:
+        for i, (pattern, to) in enumerate(patterns):
+            frame = frame.withColumns({f"{name}{i}": _found(F.col("__e"), pattern), "__e": F.regexp_replace("__e", pattern, to)})
+            seen[name].append(f"{name}{i}")
+        return frame.withColumn(name, _taken([F.col(x) for x in seen[name]])).drop(*seen[name])
+
+    step = take(step, "__a", [(rf"(?i)\b{short}\.?\b", full) for short, full in ABBREVIATIONS.items()])
+    for pattern, to in ((r"\.\.+", "."), (r"\s+\.", "."), (r"\.\s+of", " of")):
+        step = step.withColumn("__e", F.regexp_replace("__e", pattern, to))
+    step = take(step.withColumn("__e", strip_qualifiers(F.col("__e"))), "__m", [(rf"(?i)\b{re.escape(w)}\b", "") for w in TEMPORARY + SENIORITY])
+    step = step.withColumn("__n", F.trim(F.regexp_replace("__e", r"\s+", " ")))
+    why = exclusions(F.col("__t"))
+    step = step.withColumns({f"__{k}": v for k, v in why.items()})
+    step = step.withColumns({"__temp": F.exists("__m", lambda m: F.lower(m).isin(TEMPORARY)), "__shared": any_match(F.lower("__n"), [rf"\b{re.escape(p)}\b" for p in SHARED])})
+    points = lambda c, n, otherwise=0: F.when(c, n).otherwise(otherwise)
+    change = points(F.col("__temp"), -3) + points(F.size("__a") > 0, -2, 1) + points(F.col("__is_visiting"), -3) + points(F.col("__shared"), 2)
+    empty = F.col("__t") == ""
+    told = F.struct(
+        F.col(title).alias("original"),
+        F.col("__n").alias("normalized"),
+        F.col("__m").alias("modifiers"),
+        F.col("__temp").alias("is_temporary"),
+        *[F.col(f"__{k}").alias(k) for k in ("is_student", "is_emeritus", "is_visiting", "is_support_staff")],
+        F.col("__shared").alias("is_shared_role"),
+        (empty | F.col("__is_student") | F.col("__is_emeritus") | F.col("__is_visiting") | F.col("__is_support_staff")).alias("should_exclude"),
+        F.col("__a").alias("abbreviations_expanded"),
         F.when(empty, 0).otherwise(change).cast("int").alias("confidence_modifier"),
     )
+    return step.withColumn(out, told).select(*[c for c in df.columns if c != out], out)
 
 
 def title_summary(n: Column) -> Column:

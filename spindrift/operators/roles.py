@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import best_ratio_col, token_set_ratio_col
 from ..functions.scoring import priority_score, priority_tier, title_points
 from ..functions.text import clean_text, confidence_in_notes, normalize_role_title
-from ..functions.titles import normalize_title, should_exclude
+from ..functions.titles import with_normalized_title
 from .common import first_per_key, with_seq
 
 # fixed values: the role catalogs and word lists
@@ -112,14 +112,14 @@ def context_penalty(title: Column, role: Column) -> Column:
 
 
 def role_scores(titles: DataFrame, roles: DataFrame) -> DataFrame:
-    """``title, law, role, role_ord, score`` of each distinct title with each role of its kind of program."""
-    norm = normalize_title(F.col("title"))
-    t = titles.select("title", "law").distinct().where(~should_exclude(F.col("title"))).withColumn("__t", F.lower(clean_text(norm["normalized"])))
+    """``title, law, modifier, role, role_ord, score`` of each distinct title, if not left out, with each role of its kind."""
+    t = with_normalized_title(titles.select("title", "law").distinct(), "title", "__n").where(~F.col("__n.should_exclude"))
+    t = t.select("title", "law", F.col("__n.confidence_modifier").alias("modifier"), F.lower(clean_text(F.col("__n.normalized"))).alias("__t"))
     pairs = t.join(F.broadcast(roles), "law").withColumn("__r", F.lower(clean_text(F.col("role"))))
     pairs = pairs.withColumn("__s", best_ratio_col(F.col("__t"), F.col("__r")))
     boosted = F.least(F.lit(100), F.col("__s") + meaningful_boost(F.col("__t"), F.col("__r")))
     less = F.greatest(F.lit(0), boosted - professor_penalty(F.col("__t"), F.col("__r")))
-    return pairs.select("title", "law", "role", "role_ord", F.greatest(F.lit(0), less - context_penalty(F.col("__t"), F.col("__r"))).cast("int").alias("score"))
+    return pairs.select("title", "law", "modifier", "role", "role_ord", F.greatest(F.lit(0), less - context_penalty(F.col("__t"), F.col("__r"))).cast("int").alias("score"))
 
 
 def match_roles(contacts: DataFrame, roles: DataFrame, threshold: int = 70) -> DataFrame:
@@ -130,11 +130,11 @@ def match_roles(contacts: DataFrame, roles: DataFrame, threshold: int = 70) -> D
     law = F.col("program_type") == "Law School"
     c = contacts.withColumn("__law", F.coalesce(law, F.lit(False)))
     good = role_scores(c.select("title", F.col("__law").alias("law")), roles).where(F.col("score") >= threshold)
-    per = good.groupBy("title", "law").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "role_ord", "role"))).alias("m"))
-    per = per.select(F.col("title").alias("__t"), F.col("law").alias("__l"), "m")
+    per = good.groupBy("title", "law").agg(F.first("modifier").alias("__mod"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "role_ord", "role"))).alias("m"))
+    per = per.select(F.col("title").alias("__t"), F.col("law").alias("__l"), "m", "__mod")
     j = c.join(per, (F.col("title") == F.col("__t")) & (F.col("__law") == F.col("__l")), "left")
     best = F.get("m", F.lit(0))
-    points = F.greatest(F.lit(0), F.least(F.lit(20), title_points(-best["s"]) + normalize_title(F.col("title"))["confidence_modifier"]))
+    points = F.greatest(F.lit(0), F.least(F.lit(20), title_points(-best["s"]) + F.col("__mod")))
     return j.select(
         *[x for x in contacts.columns if x not in ("matched_role", "title_match_score", "title_points", "all_matched_roles")],
         best["role"].alias("matched_role"),

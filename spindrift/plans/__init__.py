@@ -1,0 +1,6 @@
+"""Registered queries; importing this package registers them."""
+
+from . import relations, scalars  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
