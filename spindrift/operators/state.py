@@ -102,7 +102,8 @@ def wait_times(log: DataFrame) -> DataFrame:
     rows = folded.select("domain", F.explode(F.arrays_zip("ev", F.aggregate("ev", start, step, lambda a: a["all"]).alias("before"))).alias("x"))
     flat = rows.select("domain", F.col("x.ev.ts").alias("ts"), F.col("x.ev.event_id").alias("event_id"), F.col("x.before").alias("delay"))
     last = F.lag("ts").over(Window.partitionBy("domain").orderBy(*_order()))
-    gap = (F.unix_micros(F.col("ts")) - F.unix_micros(last)) / 1e6
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    gap = (micros(F.col("ts")) - micros(last)) / 1e6
     return flat.withColumn("wait_s", F.when(gap.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("delay") - gap)))
 
 
