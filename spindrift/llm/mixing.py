@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words
 
-ROUNDS = 32
+ROUNDS = 20
 
 
 @dataclass
@@ -34,7 +34,8 @@ def swap_or_not(x: Column, n: Column, key: Column) -> Column:
     """A pseudorandom permutation of 0..n-1, for any n >= 1: the swap-or-not shuffle, without cycle-walking."""
 
     def step(v: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(key, r), n) + n - v, n)
+        k = F.pmod(F.xxhash64(key, r), n)
+        other = F.when(k >= v, k - v).otherwise(k - v + n)
         return F.when(F.xxhash64(key, r, F.greatest(v, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(v)
 
     return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(ROUNDS).cast("bigint")), x.cast("bigint"), step)
@@ -191,8 +192,8 @@ def mixed_documents(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col:
     A document taken whole keeps its text as it is; else the words taken are joined by one space.
     """
     spans = (
-        mix.pieces.join(mix.slots.select("sidx", "block", "pass"), ["sidx", "block"])
-        .groupBy("__id", "__th", "pass")
+        mix.pieces.join(mix.slots.select("sidx", "block", F.col("pass").alias("__pass")), ["sidx", "block"])
+        .groupBy("__id", "__th", "__pass")
         .agg(F.array_sort(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("n").cast("int").alias("n")))).alias("__spans"), F.sum("n").alias("__n"))
     )
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
