@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words
@@ -30,15 +30,18 @@ class Mix:
     pieces: DataFrame  #: sidx, block, __id, __th, first (of its words), n (words)
 
 
-def swap_or_not(x: Column, n: Column, key: Column) -> Column:
-    """A pseudorandom permutation of 0..n-1, for any n >= 1: the swap-or-not shuffle, without cycle-walking."""
+def swap_or_not(df: DataFrame, x: str, n: str, key: str) -> DataFrame:
+    """``df`` with x, one of 0..n-1, moved by a pseudorandom permutation of these for any n >= 1: the swap-or-not shuffle.
 
-    def step(v: Column, r: Column) -> Column:
-        k = F.pmod(F.xxhash64(key, r), n)
-        other = F.when(k >= v, k - v).otherwise(k - v + n)
-        return F.when(F.xxhash64(key, r, F.greatest(v, other)).bitwiseAND(F.lit(1)) == 1, other).otherwise(v)
-
-    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.lit(ROUNDS).cast("bigint")), x.cast("bigint"), step)
+    A round pairs each value with another and swaps both or neither by a hash of the pair, so no walk is needed to stay
+    in range. Rounds are projections one above the other, which generated code runs at a few nanoseconds each.
+    """
+    for r in range(ROUNDS):
+        df = df.withColumn("__k", F.pmod(F.xxhash64(F.col(key), F.lit(r)), F.col(n)))
+        df = df.withColumn("__o", F.when(F.col("__k") >= F.col(x), F.col("__k") - F.col(x)).otherwise(F.col("__k") - F.col(x) + F.col(n)))
+        swap = F.xxhash64(F.col(key), F.lit(r), F.greatest(F.col(x), F.col("__o"))).bitwiseAND(F.lit(1)) == 1
+        df = df.withColumn(x, F.when(swap, F.col("__o")).otherwise(F.col(x))).drop("__k", "__o")
+    return df
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -165,7 +168,11 @@ def _draw(spark, sources: DataFrame, shard_slots: int, seed: int) -> DataFrame:
     every = ranked.where("j < quota").select("slot", "shard", "sidx", "n_blocks", "j").unionByName(settled)
     turn = F.floor(F.col("j") / F.col("n_blocks"))
     key = F.xxhash64(F.lit(seed), F.col("sidx"), turn)
-    return every.select("slot", "shard", "sidx", turn.alias("pass"), swap_or_not(F.col("j") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block"))
+    dealt = every.select("slot", "shard", "sidx", "n_blocks", turn.alias("pass"), (F.col("j") % F.col("n_blocks")).alias("block"), key.alias("__key"))
+    # written before the permutation and after it, as a plan with all its rounds above these joins is slow to optimise
+    dealt = materialize(dealt, "mix-dealt")
+    moved = swap_or_not(dealt, "block", "n_blocks", "__key").select("slot", "shard", "sidx", "pass", "block")
+    return materialize(moved, "mix-slots")
 
 
 def words_taken(mix: Mix) -> DataFrame:

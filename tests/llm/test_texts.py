@@ -261,8 +261,8 @@ def test_mix(spark):
 
 def test_swap_or_not(spark):
     for n in (1, 2, 3, 50, 257):
-        got = spark.range(n).select(mixing.swap_or_not(F.col("id"), F.lit(n).cast("bigint"), F.lit(5).cast("bigint")).alias("x")).collect()
-        assert sorted(r.x for r in got) == list(range(n))
+        df = spark.range(n).select(F.col("id").alias("x"), F.lit(n).cast("bigint").alias("n"), F.lit(5).cast("bigint").alias("key"))
+        assert sorted(r.x for r in mixing.swap_or_not(df, "x", "n", "key").collect()) == list(range(n))
 
 
 PAGE = """<html><head><title>t</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li>Home</li></ul></nav>
