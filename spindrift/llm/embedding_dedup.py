@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
-CHUNK = 1024
+CHUNK = 512
 
 
 def _same_cell(width: float) -> float:
