@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import materialize, words
 
 #: One 64-bit hash a term for each; a fingerprint has 64 bits a seed.
 SEEDS = (1, 2)
@@ -119,7 +119,7 @@ def _range_of(o: Column, lows: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = 2_000) -> DataFrame:
-    """``__id, __text, __next``: each text (null: empty) and that of the next id, ascending; after the last, the first's.
+    """``__r, __id, __text, __next``: each text (null: empty) and that of the next id, ascending; after the last, the first's.
 
     Ids are cut into ranges; each range's first row also goes to the range before it, so a window over one range sees
     the next row of all its own. The text is shuffled once. Null ids come first; rows that repeat an id: by text hash.
@@ -128,7 +128,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = 2_000) ->
     o = F.coalesce(F.col("__id").cast("bigint"), F.lit(-(2**63)))
     lows = _boundaries(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("__o")), rows)
     if not lows:
-        return d.withColumn("__next", F.lit(""))
+        return d.withColumn("__next", F.lit("")).withColumn("__r", F.lit(0))
     d = d.withColumn("__o", o).withColumn("__r", _range_of(F.col("__o"), lows)).withColumn("__h", F.xxhash64("__text"))
     first = F.get(F.lit(lows), F.col("__r")) == F.col("__o")
     before = F.pmod(F.col("__r") - 1, F.lit(len(lows)))
@@ -136,7 +136,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = 2_000) ->
     d = d.withColumn("__at", F.explode(F.when(first, F.array(own, F.struct(before.alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
     d = d.select("__id", "__text", "__o", "__h", F.col("__at.r").alias("__r"), F.col("__at.guest").alias("__guest"))
     w = Window.partitionBy("__r").orderBy("__guest", "__o", "__h")
-    return d.withColumn("__next", F.lead("__text").over(w)).where(~F.col("__guest")).select("__id", "__text", "__h", "__next")
+    return d.withColumn("__next", F.lead("__text").over(w)).where(~F.col("__guest")).select("__r", "__id", "__text", "__h", "__next")
 
 
 def document_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,13 +153,15 @@ def document_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr(F.col("__text"), F.lit(1), n - cut), F.substr(F.col("__next"), F.lit(1), cut))
     t = t.withColumn("__edited", edited).select(
+        "__r",
         "__id",
         F.xxhash64("__text").alias("__th"),
         n.cast("bigint").alias("n_chars"),
         F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
         F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("t")) for k, c in enumerate(("__text", "__edited", "__next"))])).alias("__v"),
     )
-    keys = ["__id", "__th", "n_chars", "edited_sha256"]
+    # rows lie by range of ids already; with the range among the keys, votes are summed where they are and not shuffled
+    keys = ["__r", "__id", "__th", "n_chars", "edited_sha256"]
     fps = simhash(t.select(*keys, F.col("__v.k").alias("__k"), F.col("__v.t").alias("__t")), [*keys, "__k"], "__t", shingle)
     wide = fps.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, F.col("fp"))).alias(f"__f{k}") for k in range(3)])
     f = [F.col(f"__f{k}") for k in range(3)]
@@ -168,5 +170,20 @@ def document_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_
     )
 
 
+def near_documents(fps: DataFrame, queries: DataFrame, radius: int = 3, id_col: str = "doc_id", fp_col: str = "fingerprint") -> DataFrame:
+    """``query, n_near``: how many rows of ``fps`` other than itself have a fingerprint within ``radius`` bits of a row's.
+
+    ``queries`` are rows of ``fps`` (``id_col``, ``fp_col`` in hex). Rows of one fingerprint are counted before they
+    meet anything, so copies weigh but do not multiply.
+    """
+    parts = lambda c: F.array(*[F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(len(SEEDS))])
+    counted = fps.groupBy(F.col(fp_col).alias("__hex")).agg(F.count("*").alias("__n")).withColumn("fp", parts(F.col("__hex")))
+    met = near_fingerprints(queries.select(F.col(id_col).alias("query"), parts(F.col(fp_col)).alias("fp")), counted, radius)
+    return met.join(counted.select(F.col("fp").alias("__fp"), "__n"), F.col("fp") == F.col("__fp")).groupBy("query").agg((F.sum("__n") - 1).alias("n_near"))
+
+
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return document_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """``n_near`` is told of every document whose id is divisible by 50, against all documents; null for the others."""
+    fps = materialize(document_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "fingerprints")
+    near = near_documents(fps, fps.where("doc_id % 50 = 0"))
+    return fps.join(near, F.col("doc_id") == F.col("query"), "left").drop("query")
