@@ -231,6 +231,13 @@ def directory_pages(links: DataFrame, key: str = "page_id", program: str | None
     return per.drop("__o")
 
 
+def directories_or_home(pages: DataFrame, links: DataFrame, key: str = "page_id", url_col: str = "url", program: str | None = None, most: int = 5) -> DataFrame:
+    """``key, url, score``: a page's best directory pages; its own URL, score 0, where it has none."""
+    found = directory_pages(links, key, program, most)
+    rest = pages.join(found.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left_anti")
+    return found.unionByName(rest.select(key, normalize_url(F.col(url_col)).alias("url"), F.lit(0).alias("score")))
+
+
 def profile_link_score(url: Column, text: Column, parent_class: Column, siblings: Column, prev_img: Column) -> Column:
     u, t = F.lower(url), F.lower(text)
     w = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda x: x != "")

@@ -84,3 +84,12 @@ def column_widths(df: DataFrame, most: int = 50) -> DataFrame:
 def workbook(contacts: DataFrame, stats: dict[str, DataFrame], targets: DataFrame) -> dict[str, DataFrame]:
     """All eight sheets by name."""
     return views(contacts) | {"Statistics Summary": statistics_rows(stats), "Scraping Log": scraping_log(contacts, targets)}
+
+
+def role_workbook(matched: DataFrame, law_roles: list[str]) -> dict[str, DataFrame]:
+    """The role-filter report: all, by program, the first three law roles (names cut to 25 characters), and counts."""
+    p = F.col("program_type")
+    out = {"All Matched Contacts": role_view(matched), "Law Schools": role_view(matched.where(p == "Law School")), "Paralegal Programs": role_view(matched.where(p != "Law School"))}
+    out |= {r[:25]: role_view(matched, r) for r in law_roles[:3]}
+    out["Statistics"] = matched.groupBy("Target Role", "program_type").agg(F.count("*").alias("contacts"), F.round(F.avg("Match Score"), 1).alias("avg_score")).orderBy("program_type", "Target Role")
+    return out

@@ -152,15 +152,15 @@ def target_catalog(spark: SparkSession) -> DataFrame:
 
 
 def target_scores(titles: DataFrame, targets: DataFrame) -> DataFrame:
-    """``title, law, role, role_ord, score, kind`` of the second matcher: the first strategy that fits a role decides."""
+    """``title, law, role, role_ord, score, kind, why`` of the second matcher: the first strategy that fits a role decides."""
     t = titles.select("title", "law").distinct().where("title IS NOT NULL AND title <> ''").withColumn("__t", normalize_role_title(F.col("title")))
     pairs = t.join(F.broadcast(targets), "law")
-    each = pairs.select("title", "law", "role", "__t", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("first"), F.col("primary").alias("s"))), F.transform("synonyms", lambda s: F.struct(F.lit(False).alias("first"), s.alias("s"))))).alias("x"))
+    each = pairs.select("title", "law", "role", "__t", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("first"), F.lit(0).alias("at"), F.col("primary").alias("s"))), F.transform("synonyms", lambda s, i: F.struct(F.lit(False).alias("first"), i.alias("at"), s.alias("s"))))).alias("x"))
     rated = each.withColumn("__s", token_set_ratio_col(F.col("__t"), F.col("x.s")))
-    near = rated.groupBy("title", "law", "role").agg(F.max(F.when(F.col("x.first"), F.col("__s"))).alias("near_primary"), F.max(F.when(~F.col("x.first"), F.col("__s"))).alias("near_synonym"))
-    p = pairs.join(near, ["title", "law", "role"])
-    hits = lambda c: F.size(F.filter(c, lambda w: F.contains(F.col("__t"), w)))
-    k, c = hits("keywords"), hits("context")
+    near = rated.groupBy("title", "law", "role").agg(F.max(F.when(F.col("x.first"), F.col("__s"))).alias("near_primary"), F.max(F.when(~F.col("x.first"), F.struct(F.col("__s").alias("s"), (-F.col("x.at")).alias("at"), F.col("x.s").alias("syn")))).alias("near"))
+    p = pairs.join(near, ["title", "law", "role"]).withColumn("near_synonym", F.col("near.s"))
+    inside = lambda c: F.filter(c, lambda w: F.contains(F.col("__t"), w))
+    k, c = F.size(inside("keywords")), F.size(inside("context"))
     kind = (
         F.when(F.col("__t") == F.col("primary"), "Exact")
         .when(F.array_contains("synonyms", F.col("__t")), "Exact Synonym")
@@ -176,18 +176,26 @@ def target_scores(titles: DataFrame, targets: DataFrame) -> DataFrame:
         .when(kind == "Context", F.least(F.lit(80), 65 + k * 5 + c * 3))
         .otherwise(0)
     )
-    return p.select("title", "law", "role", "role_ord", score.cast("int").alias("score"), kind.alias("kind"))
+    listed = lambda c: F.concat(F.lit("['"), F.array_join(inside(c), "', '"), F.lit("']"))
+    why = (
+        F.when(kind == "Exact", F.concat(F.lit("Exact match: '"), "role", F.lit("'")))
+        .when(kind == "Exact Synonym", F.concat(F.lit("Exact synonym: '"), "__t", F.lit("'")))
+        .when(kind == "Fuzzy Primary", F.concat(F.lit("Strong fuzzy match: "), "near_primary", F.lit("% similar to '"), "role", F.lit("'")))
+        .when(kind == "Fuzzy Synonym", F.concat(F.lit("Fuzzy synonym match: "), "near_synonym", F.lit("% similar to '"), "near.syn", F.lit("'")))
+        .when(kind == "Context", F.concat(F.lit("Context match: keywords="), listed("keywords"), F.lit(", context="), listed("context")))
+    )
+    return p.select("title", "law", "role", "role_ord", score.cast("int").alias("score"), kind.alias("kind"), why.alias("why"))
 
 
 def match_targets(contacts: DataFrame, targets: DataFrame, least: int = 65) -> DataFrame:
-    """``contacts`` with ``target_role, match_score, match_type`` of the best role, the first of equals; null under ``least``."""
+    """``contacts`` with ``target_role, match_score, match_type, match_explanation`` of the best role, the first of equals; null under ``least``."""
     law = F.coalesce(F.col("program_type") == "Law School", F.lit(False))
     c = contacts.withColumn("__law", law)
     s = target_scores(c.select("title", F.col("__law").alias("law")), targets).where(F.col("score") >= least)
     w = Window.partitionBy("title", "law").orderBy(F.desc("score"), "role_ord")
-    best = s.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(F.col("title").alias("__t"), F.col("law").alias("__l"), F.col("role").alias("target_role"), F.col("score").alias("match_score"), F.col("kind").alias("match_type"))
+    best = s.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").select(F.col("title").alias("__t"), F.col("law").alias("__l"), F.col("role").alias("target_role"), F.col("score").alias("match_score"), F.col("kind").alias("match_type"), F.col("why").alias("match_explanation"))
     j = c.join(best, (F.col("title") == F.col("__t")) & (F.col("__law") == F.col("__l")), "left")
-    return j.select(*contacts.columns, "target_role", F.coalesce("match_score", F.lit(0)).alias("match_score"), "match_type")
+    return j.select(*contacts.columns, "target_role", F.coalesce("match_score", F.lit(0)).alias("match_score"), "match_type", "match_explanation")
 
 
 def filter_by_roles(contacts: DataFrame, targets: DataFrame, least: int = 65) -> DataFrame:

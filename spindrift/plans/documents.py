@@ -74,6 +74,18 @@ def profile_links(spark, d) -> DataFrame:
     return pages.profile_links(pages.links_of(df)).select("page_id", "url", F.col("score").cast("bigint").alias("score"))
 
 
+@query("L2_directories_or_home", _table([(1, "https://law.example.edu/faculty", 100), (2, "https://law.example.edu/administration/staff", 100), (2, "https://law.example.edu/people", 50), (2, "https://law.example.edu/people#top", 50), (3, "https://law.example.edu", 0)], "page_id, url, score"))
+def directories_or_home(spark, d) -> DataFrame:
+    df = spark.createDataFrame(NAVS, "page_id bigint, url string, html string")
+    return pages.directories_or_home(df, pages.links_of(df)).select("page_id", "url", F.col("score").cast("bigint").alias("score"))
+
+
+@query("L6_link_context", "SELECT page_id, href AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS href FROM pages)")
+def link_context(spark, d) -> DataFrame:
+    """The text around each link; here each stands alone in its list item, so it is the link's own."""
+    return pages.links_of(table(spark, d, "pages")).select("page_id", F.col("context").alias("text"))
+
+
 @query("L5_dedup_links", "SELECT split_part(url, '#', 1) AS url, max(page_id % 7) AS score FROM pages GROUP BY 1")
 def dedup_links(spark, d) -> DataFrame:
     links = table(spark, d, "pages").select("url", (F.col("page_id") % 7).alias("score"), F.col("page_id").alias("ord"))
@@ -154,7 +166,7 @@ def exact_roles(spark, d) -> DataFrame:
 
 @query("F15_match_targets")
 def match_targets(spark, d) -> DataFrame:
-    return roles.match_targets(contacts(spark, d), roles.target_catalog(spark)).select("_seq", "title", "target_role", "match_score", "match_type")
+    return roles.match_targets(contacts(spark, d), roles.target_catalog(spark)).select("_seq", "title", "target_role", "match_score", "match_type", "match_explanation")
 
 
 @query("F16_exact_targets", "SELECT _seq, title AS target_role, CAST(100 AS INT) AS match_score FROM contacts WHERE (program_type = 'Law School' AND title IN (" + ", ".join(map(lit, roles.LAW_TARGETS)) + ")) OR (program_type <> 'Law School' AND title IN (" + ", ".join(map(lit, roles.PARALEGAL_TARGETS)) + "))")
@@ -178,6 +190,15 @@ def role_view(spark, d) -> DataFrame:
 # ---- sources
 
 
+@query("S5_fill_names", "SELECT _seq, CASE WHEN _seq % 2 = 0 THEN 'Ann' ELSE 'First' END AS \"First Name\", CASE WHEN _seq % 2 = 0 THEN 'Bell' ELSE 'Last' END AS \"Last Name\" FROM contacts")
+def fill_names(spark, d) -> DataFrame:
+    from ..operators.names import fill_missing_names
+
+    odd = F.col("_seq") % 2 == 1
+    c = contacts(spark, d).select("_seq", F.when(odd, "First").alias("First Name"), F.when(odd, "Last").alias("Last Name"), F.lit("Ann Bell Director of X").alias("Title / Role"))
+    return fill_missing_names(c).drop("Title / Role")
+
+
 @query("S1_csv_round_trip", "SELECT CAST(_seq AS VARCHAR) AS _seq, full_name, title, state FROM contacts")
 def csv_round_trip(spark, d) -> DataFrame:
     path = save_csv(contacts(spark, d).select("_seq", "full_name", "title", "state"), shared_path(spark, "csv"), "contacts")

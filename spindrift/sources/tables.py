@@ -166,6 +166,39 @@ def cached_table(spark: SparkSession, folder: str, name: str, now: dt.datetime,
     return df.drop("__cached_at") if made is not None and now - made <= dt.timedelta(hours=hours) else None
 
 
+def clear_cache(spark: SparkSession, folder: str, now: dt.datetime, hours: float = 0) -> list[str]:
+    """Deletes kept tables older than ``hours``; returns their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for f in fs.listStatus(path) if fs.exists(path) else []:
+        age = now.timestamp() - f.getModificationTime() / 1000
+        if f.getPath().getName().endswith(".parquet") and age > hours * 3600:
+            fs.delete(f.getPath(), True)
+            gone.append(f.getPath().getName())
+    return gone
+
+
+def read_json_cache(spark: SparkSession, path: str, now: dt.datetime, hours: float = 24) -> DataFrame | None:
+    """The programs of a JSON document {timestamp, programs, count}, unless it is older than ``hours`` or missing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = spark.read.option("multiLine", True).schema("timestamp timestamp, programs array<struct<name:string,url:string,state:string,program_type:string>>, count int").json(path)
+    except AnalysisException:
+        return None
+    made = df.agg(F.max("timestamp")).first()[0]
+    if made is None or now - made > dt.timedelta(hours=hours):
+        return None
+    return df.select(F.explode("programs").alias("p")).select("p.*")
+
+
+def write_json_cache(programs: DataFrame, path: str, now: dt.datetime) -> None:
+    """One document with the time, the programs and their number; for lists of a few thousand, as a directory gives."""
+    row = programs.agg(F.collect_list(F.struct(*programs.columns)).alias("programs"), F.count("*").alias("count"))
+    row.select(F.lit(now).alias("timestamp"), "programs", "count").coalesce(1).write.mode("overwrite").json(path)
+
+
 def append_contacts(df: DataFrame, path: str) -> None:
     """Appends rows to a table; no rows, no files."""
     if not df.isEmpty():

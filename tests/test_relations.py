@@ -171,6 +171,24 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(target).count() == 1
 
 
+def test_json_cache_and_role_workbook(spark, tmp_path):
+    from spindrift.operators import names, roles
+
+    now = dt.datetime(2024, 1, 2)
+    progs = spark.createDataFrame([("A", "u", "Ohio", "paralegal")], "name string, url string, state string, program_type string")
+    tables.write_json_cache(progs, f"{tmp_path}/j", now)
+    assert tables.read_json_cache(spark, f"{tmp_path}/j", now + dt.timedelta(hours=24)).first().name == "A"
+    assert tables.read_json_cache(spark, f"{tmp_path}/j", now + dt.timedelta(hours=25)) is None and tables.read_json_cache(spark, f"{tmp_path}/no", now) is None
+    m = spark.createDataFrame([("Law Library Director", 100, "Law School"), ("Program Chair", 90, "Paralegal Program")], "`Target Role` string, `Match Score` int, program_type string")
+    books = report.role_workbook(m, list(roles.LAW_TARGETS))
+    assert list(books) == ["All Matched Contacts", "Law Schools", "Paralegal Programs", "Law Library Director", "Associate Dean for Academi", "Legal Writing Director", "Statistics"] or max(map(len, books)) <= 25
+    assert books["Law Schools"].count() == 1 and books["Statistics"].count() == 2
+    book = spark.createDataFrame([(None, None, "Kevin Gerson, Law Library Director"), ("A", "B", "x")], "`First Name` string, `Last Name` string, `Title / Role` string")
+    tables.write_workbook({"S": book, "T": progs}, f"{tmp_path}/in.xlsx")
+    fixed = names.fix_workbook(spark, f"{tmp_path}/in.xlsx", f"{tmp_path}/out.xlsx")
+    assert [tuple(r)[:2] for r in fixed["S"].collect()] == [("Kevin", "Gerson"), ("A", "B")] and fixed["T"].count() == 1
+
+
 def test_streams_equal_their_batch_twins(spark):
     from spindrift.plans import QUERIES
 
