@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, strip_ws
+from .common import ascii_lower, materialize, strip_ws
 
 
 def line_key(line: Column) -> Column:
@@ -41,6 +41,9 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .where(F.col("__n") >= min_docs)
         .drop("__n")
     )
+    # written, so that the join below meets a table of known size: broadcast if small, else both sides are shuffled and
+    # AQE can split what a hot line sends to one partition
+    common = materialize(common, "common-lines")
     lost = (
         held.join(common, ["__h1", "__h2"])
         .where(F.col("__id") != F.col("__holder"))
