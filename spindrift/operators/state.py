@@ -1,7 +1,7 @@
 """Per-domain state over a log of requests: routes, delays, timeouts, as windows and ordered folds.
 
 A log has ``domain``, ``ts``, an order within equal times (``event_id``) and ``kind``: success, timeout or http_error.
-State is that of one key at a time; a window sorts a key's events, so a key's log should fit an executor's disk.
+The delay's fold runs by the hour, so a hot domain is many tasks; windows over a domain sort its log and can spill it.
 """
 
 from __future__ import annotations
@@ -86,25 +86,59 @@ def next_delay(delay: Column, kind: Column, code: Column) -> Column:
     return F.when(kind == "success", F.greatest(F.lit(DELAY_LEAST), delay * 0.9)).otherwise(worse)
 
 
+def _chunks(log: DataFrame) -> DataFrame:
+    """Each domain's log by the hour: what the hour does to the delay, and what it leaves behind.
+
+    Every step is x -> min(hi, max(lo, a * x)), and such steps compose to one of the same form. So an hour's events are
+    folded by themselves, whatever the delay before them, and a domain's log is never gathered in one place.
+    """
+    hours = log.groupBy("domain", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind", F.col("status_code").alias("code")))).alias("ev"))
+    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("lo"), F.lit(1e300).alias("hi"), F.lit(0).cast("bigint").alias("e"), F.lit(False).alias("ok"))
+
+    def step(s: Column, x: Column) -> Column:
+        good = x["kind"] == "success"
+        factor = F.when(good, 0.9).when(x["code"].isin(429, 503), 2.0).otherwise(1.5)
+        bound = lambda v: F.when(good, F.greatest(F.lit(DELAY_LEAST), v)).otherwise(F.least(F.lit(DELAY_MOST), v))
+        return F.struct((s["a"] * factor).alias("a"), bound(s["lo"] * factor).alias("lo"), bound(s["hi"] * factor).alias("hi"), F.when(good, F.lit(0).cast("bigint")).otherwise(s["e"] + 1).alias("e"), (s["ok"] | good).alias("ok"))
+
+    return hours.withColumn("f", F.aggregate("ev", start, step)).withColumn("last", F.element_at("ev", -1)["ts"])
+
+
+def _by_hour(log: DataFrame) -> DataFrame:
+    """``domain`` and its hours in order, each with the state before it; one small row an hour."""
+    per = _chunks(log).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("hour", "f", "last"))).alias("hs"))
+    apply = lambda d, f: F.least(f["hi"], F.greatest(f["lo"], f["a"] * d))
+    rows = "array<struct<hour:timestamp,d:double,last:timestamp>>"
+    start = F.struct(F.lit(DELAY_START).alias("d"), F.lit(0).cast("bigint").alias("e"), F.lit(None).cast("timestamp").alias("last"), F.array().cast(rows).alias("before"))
+
+    def step(s: Column, h: Column) -> Column:
+        here = F.struct(h["hour"].cast("timestamp").alias("hour"), s["d"].alias("d"), s["last"].alias("last"))
+        return F.struct(apply(s["d"], h["f"]).alias("d"), F.when(h["f"]["ok"], h["f"]["e"]).otherwise(s["e"] + h["f"]["e"]).alias("e"), h["last"].cast("timestamp").alias("last"), F.concat(s["before"], F.array(here)).alias("before"))
+
+    return per.select("domain", F.aggregate("hs", start, step).alias("s"))
+
+
 def delay_state(log: DataFrame) -> DataFrame:
-    """``domain, delay, errors``: the delay after all of a domain's requests in order, and errors since the last success."""
-    folded = log.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind", F.col("status_code").alias("code")))).alias("ev"))
-    start = F.struct(F.lit(DELAY_START).alias("d"), F.lit(0).cast("bigint").alias("e"))
-    step = lambda a, x: F.struct(next_delay(a["d"], x["kind"], x["code"]).alias("d"), F.when(x["kind"] == "success", F.lit(0).cast("bigint")).otherwise(a["e"] + 1).alias("e"))
-    return folded.withColumn("s", F.aggregate("ev", start, step)).select("domain", F.col("s.d").alias("delay"), F.col("s.e").alias("errors"))
+    """``domain, delay, errors``: the delay after all of a domain's requests in order, and errors since the last success.
+
+    Hours are folded side by side, then a domain's hours; delays are told to nine decimals.
+    """
+    return _by_hour(log).select("domain", F.round("s.d", 9).alias("delay"), F.col("s.e").alias("errors"))
 
 
 def wait_times(log: DataFrame) -> DataFrame:
     """The log with ``wait_s``: how long each request has to wait after the one before, at the delay as it then stands."""
-    folded = log.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind", F.col("status_code").alias("code")))).alias("ev"))
-    start = F.struct(F.lit(DELAY_START).alias("d"), F.array().cast("array<double>").alias("all"))
+    before = _by_hour(log).select("domain", F.explode("s.before").alias("h")).select(F.col("domain").alias("__d"), F.col("h.hour").alias("__h"), F.col("h.d").alias("start"), F.col("h.last").alias("prev"))
+    hours = _chunks(log).join(before, (F.col("domain") == F.col("__d")) & (F.col("hour").cast("timestamp") == F.col("__h")))
+    start = F.struct(F.col("start").alias("d"), F.array().cast("array<double>").alias("all"))
     step = lambda a, x: F.struct(next_delay(a["d"], x["kind"], x["code"]).alias("d"), F.concat(a["all"], F.array(a["d"])).alias("all"))
-    rows = folded.select("domain", F.explode(F.arrays_zip("ev", F.aggregate("ev", start, step, lambda a: a["all"]).alias("before"))).alias("x"))
-    flat = rows.select("domain", F.col("x.ev.ts").alias("ts"), F.col("x.ev.event_id").alias("event_id"), F.col("x.before").alias("delay"))
-    last = F.lag("ts").over(Window.partitionBy("domain").orderBy(*_order()))
+    rows = hours.select("domain", "hour", "prev", F.explode(F.arrays_zip("ev", F.aggregate("ev", start, step, lambda a: a["all"]).alias("before"))).alias("x"))
+    flat = rows.select("domain", "hour", "prev", F.col("x.ev.ts").alias("ts"), F.col("x.ev.event_id").alias("event_id"), F.col("x.before").alias("delay"))
+    last = F.coalesce(F.lag("ts").over(Window.partitionBy("domain", "hour").orderBy(*_order())).cast("timestamp"), F.col("prev"))
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     gap = (micros(F.col("ts")) - micros(last)) / 1e6
-    return flat.withColumn("wait_s", F.when(gap.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("delay") - gap)))
+    wait = F.when(gap.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("delay") - gap))
+    return flat.select("domain", "ts", "event_id", F.round("delay", 9).alias("delay"), F.round(wait, 9).alias("wait_s"))
 
 
 def limiter_summary(log: DataFrame) -> DataFrame:

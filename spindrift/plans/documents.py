@@ -246,7 +246,7 @@ def _last(spark, updates, path: str) -> DataFrame:
 def delay_stream(spark, d) -> DataFrame:
     from ..streaming.domains import delays
 
-    return _last(spark, delays(log_stream(spark, d)), shared_path(spark, "delays"))
+    return _last(spark, delays(log_stream(spark, d)), shared_path(spark, "delays")).withColumn("delay", F.round("delay", 9))
 
 
 @query("K8_timeout_stream")

@@ -465,7 +465,7 @@ K5 = """WITH RECURSIVE e AS (SELECT domain, kind, status_code, ts, event_id, row
 s AS (SELECT domain, CAST(0 AS BIGINT) AS rn, 2.0::DOUBLE AS delay, CAST(0 AS BIGINT) AS errors FROM (SELECT DISTINCT domain FROM e) UNION ALL
  SELECT s.domain, e.rn, CASE WHEN e.kind = 'success' THEN greatest(1.0::DOUBLE, s.delay * 0.9::DOUBLE) WHEN e.status_code IN (429, 503) THEN least(10.0::DOUBLE, s.delay * 2.0::DOUBLE) ELSE least(10.0::DOUBLE, s.delay * 1.5::DOUBLE) END,
  CASE WHEN e.kind = 'success' THEN 0 ELSE s.errors + 1 END FROM s JOIN e ON e.domain = s.domain AND e.rn = s.rn + 1)
-SELECT domain, delay, errors FROM s QUALIFY row_number() OVER (PARTITION BY domain ORDER BY rn DESC) = 1"""
+SELECT domain, round(delay, 9) AS delay, errors FROM s QUALIFY row_number() OVER (PARTITION BY domain ORDER BY rn DESC) = 1"""
 
 
 def recursive(sql: str) -> str:
@@ -483,7 +483,7 @@ def delay_state(spark, d) -> DataFrame:
 K6 = """WITH RECURSIVE e AS (SELECT domain, kind, status_code, ts, event_id, row_number() OVER (PARTITION BY domain ORDER BY ts, event_id) AS rn, lag(ts) OVER (PARTITION BY domain ORDER BY ts, event_id) AS last FROM request_log),
 s AS (SELECT domain, CAST(0 AS BIGINT) AS rn, 2.0::DOUBLE AS delay FROM (SELECT DISTINCT domain FROM e) UNION ALL
  SELECT s.domain, e.rn, CASE WHEN e.kind = 'success' THEN greatest(1.0::DOUBLE, s.delay * 0.9::DOUBLE) WHEN e.status_code IN (429, 503) THEN least(10.0::DOUBLE, s.delay * 2.0::DOUBLE) ELSE least(10.0::DOUBLE, s.delay * 1.5::DOUBLE) END FROM s JOIN e ON e.domain = s.domain AND e.rn = s.rn + 1)
-SELECT e.domain, e.event_id, s.delay, CASE WHEN e.last IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, s.delay - (epoch_us(e.ts) - epoch_us(e.last)) / 1e6::DOUBLE) END AS wait_s FROM e JOIN s ON s.domain = e.domain AND s.rn = e.rn - 1"""
+SELECT e.domain, e.event_id, round(s.delay, 9) AS delay, round(CASE WHEN e.last IS NULL THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, s.delay - (epoch_us(e.ts) - epoch_us(e.last)) / 1e6::DOUBLE) END, 9) AS wait_s FROM e JOIN s ON s.domain = e.domain AND s.rn = e.rn - 1"""
 
 
 @query("K6_wait_times", recursive(K6))
