@@ -13,6 +13,7 @@ contexts a depth at most, whatever the corpus; what shorter-lived contexts have
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -232,9 +233,54 @@ class Trees:
             out += np.log10(mix)
         return out
 
-    def save(self, f, frequent: tuple[np.ndarray, np.ndarray]) -> None:
-        flat = {f"{d}.{k}.{i}": x for (d, k), t in self.parts.items() for i, x in enumerate(t)}
-        np.savez(f, words=frequent[0], counts=frequent[1], **flat)
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {f"{d}.{k}.{i}": x for (d, k), t in self.parts.items() for i, x in enumerate(t)}
+
+
+def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
+    """The length of a table of contents, the table, and the arrays from offsets of eight bytes on."""
+    toc, at = {}, 0
+    for name, x in arrays.items():
+        toc[name] = (x.dtype.str, at, len(x))
+        at += -(-x.nbytes // 8) * 8
+    head = json.dumps(toc).encode()
+    head += b" " * (-len(head) % 8)
+    return b"".join([len(head).to_bytes(8, "little"), head, *(x.tobytes() + b"\0" * (-x.nbytes % 8) for x in arrays.values())])
+
+
+def unpack_arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
+    n = int.from_bytes(raw[:8].tobytes(), "little")
+    toc = json.loads(raw[8 : 8 + n].tobytes())
+    return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, at, size) in toc.items()}
+
+
+def share(spark, raw: bytes, name: str):
+    """Puts bytes of bounded size where workers find them: a file in the shared folder, or a broadcast, if Arrow has no
+    file system for that folder."""
+    from pyarrow import fs
+
+    uri = scratch_path(spark, name)
+    try:
+        store, where = fs.FileSystem.from_uri(uri)
+        store.create_dir(where.rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(where) as f:
+            f.write(raw)
+    except (OSError, pa.ArrowException, NotImplementedError):
+        return spark.sparkContext.broadcast(raw)
+    return uri
+
+
+def shared(source) -> np.ndarray:
+    """What ``share`` put: mapped, not read, where the file can be, so that workers of a machine share its pages."""
+    from pyarrow import fs
+
+    if not isinstance(source, str):
+        return np.frombuffer(source.value, dtype=np.uint8)
+    store, where = fs.FileSystem.from_uri(source)
+    if isinstance(store, fs.LocalFileSystem):
+        return np.memmap(where, dtype=np.uint8, mode="r")
+    with store.open_input_file(where) as f:
+        return np.frombuffer(f.read(), dtype=np.uint8)
 
 
 def _ids(code: np.ndarray, k: int) -> np.ndarray:
@@ -245,14 +291,10 @@ def _ids(code: np.ndarray, k: int) -> np.ndarray:
 class Scorer:
     """Scores texts in a worker; the probabilities of grams it has met wait in a table of fixed size."""
 
-    def __init__(self, path: str) -> None:
-        from pyarrow import fs
-
-        store, where = fs.FileSystem.from_uri(path)
-        with store.open_input_file(where) as f:
-            got = np.load(pa.PythonFile(f, mode="r"), allow_pickle=False)
-            self.words = dict(zip(got["words"].tolist(), np.log10(got["counts"] + 1.0).tolist(), strict=True))
-            self.trees = Trees({(d, k): tuple(got[f"{d}.{k}.{i}"] for i in range(3)) for d in range(DEPTH + 1) for k in range(8)})
+    def __init__(self, raw: np.ndarray) -> None:
+        got = unpack_arrays(raw)
+        self.words, self.counts = got["words"], got["counts"]
+        self.trees = Trees({(d, k): tuple(got[f"{d}.{k}.{i}"] for i in range(3)) for d in range(DEPTH + 1) for k in range(8)})
         self.keys = np.full(1 << SLOTS, U((1 << 64) - 1))
         self.values = np.zeros(1 << SLOTS)
         self.known: dict[bytes, float] = {}
@@ -279,6 +321,11 @@ class Scorer:
             np.add.at(out, [row for row, _, _ in some], sums)
         return out
 
+    def frequent(self, h: int) -> float | None:
+        """log10(count + 1) of a word that is frequent, by its hash."""
+        at = int(np.searchsorted(self.words, h))
+        return math.log10(self.counts[at] + 1.0) if at < len(self.words) and self.words[at] == h else None
+
     def tokens(self, text: bytes) -> tuple[int, int, float, list[tuple[int, int]]]:
         """How many words, how many of them frequent, the sum of log10(count + 1) of these, and the others' hashes."""
         n = known = 0
@@ -292,8 +339,11 @@ class Scorer:
                     h = self.rare.get(x)
                     if h is None:
                         h = word_hash(x)
-                        if h in self.words:
-                            lc = self.known[x] = self.words[h]
+                        lc = self.frequent(h)
+                        if lc is not None:
+                            if len(self.known) > 150_000:
+                                self.known.clear()
+                            self.known[x] = lc
                         else:
                             if len(self.rare) > 100_000:
                                 self.rare.clear()
@@ -307,8 +357,8 @@ class Scorer:
 
 
 @lru_cache(maxsize=1)
-def scorer(path: str) -> Scorer:
-    return Scorer(path)
+def scorer(source) -> Scorer:
+    return Scorer(shared(source))
 
 
 def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,12 +376,13 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     often = words.where(F.col("c") > n_train / FREQUENT).toArrow()
     model = nodes_of(counts.where("kind = 0")).toArrow()
     trees = Trees.build(*(model.column(c).combine_chunks().to_numpy() for c in ("depth", "code", "n")))
-    path = scratch_path(spark, "lm-model") + ".npz"
-    _write(path, lambda f: trees.save(f, (often.column("h").combine_chunks().to_numpy(), often.column("c").combine_chunks().to_numpy())))
+    words_often, counts_often = (often.column(c).combine_chunks().to_numpy() for c in ("h", "c"))
+    order = np.argsort(words_often)
+    source = share(spark, pack_arrays(trees.arrays() | {"words": words_often[order], "counts": counts_often[order]}), "lm-model")
     del trees, model, often
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = scorer(path)
+        lm = scorer(source)
         row = TaskContext.get().partitionId() << 36
         names = ["row", "doc_id", "n", "known", "logs", "score", "n_bytes", "h"]
         for b in batches:
@@ -339,7 +390,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
                 some = [t or b"" for t in b.column(1).slice(at, 500).to_pylist()]
                 told = [lm.tokens(t) for t in some]
                 rows = np.arange(row, row + len(some))
-                ends = lm.words.get(word_hash(END_TOKEN))
+                ends = lm.frequent(word_hash(END_TOKEN))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(rows), b.column(0).slice(at, 500), pa.array([x[0] + 1 for x in told]), pa.array([x[1] + (ends is not None) for x in told]),
@@ -370,19 +421,6 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     )
 
 
-def _write(uri: str, save) -> None:
-    import io
-
-    from pyarrow import fs
-
-    store, where = fs.FileSystem.from_uri(uri)
-    store.create_dir(where.rsplit("/", 1)[0], recursive=True)
-    held = io.BytesIO()
-    save(held)
-    with store.open_output_stream(where) as f:
-        f.write(held.getbuffer())
-
-
 def op7_lm_scores(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = lm_scores(docs, docs.where(~held_out(of=7)))

@@ -205,6 +205,16 @@ def test_probabilities_sum_to_one(spark):
         assert (10 ** trees.log10(every)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_shared_arrays(spark, monkeypatch):
+    arrays = {"a": np.arange(5, dtype=np.uint64), "b": np.array([], dtype=np.float32), "c": np.array([1.5, 2], dtype=np.float32)}
+    raw = ctw.pack_arrays(arrays)
+    for source in (ctw.share(spark, raw, "x"), spark.sparkContext.broadcast(raw)):
+        got = ctw.unpack_arrays(ctw.shared(source))
+        assert all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in arrays.items())
+    monkeypatch.setattr(ctw, "scratch_path", lambda *_: "nowhere://x/y")
+    assert not isinstance(ctw.share(spark, raw, "x"), str)
+
+
 def test_long_texts_in_pieces():
     text = bytes(random.Random(5).choices(b"abc d", k=3 * ctw.CHUNK + 17))
     whole = [(0, ctw.END * ctw.DEPTH, text + ctw.END)]
