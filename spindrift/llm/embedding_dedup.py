@@ -32,10 +32,10 @@ def _same_cell(width: float) -> float:
 
 
 def plan_tables(n: int, threshold: float, recall: float, width: float) -> tuple[int, int]:
-    """``k`` and the number of tables for n vectors: unrelated ones, at right angles, meet about once a table at most."""
+    """``k`` and the number of tables for n vectors: one meets an unrelated one, at right angles, once in 32 tables."""
     near = math.sqrt(2 - 2 * threshold)
     p1, p2 = _same_cell(width), _same_cell(width * near / math.sqrt(2))
-    k = max(4, math.ceil(math.log(max(n, 2)) / -math.log(p2)))
+    k = max(4, math.ceil(math.log(32 * max(n, 2)) / -math.log(p2)))
     return k, math.ceil(math.log(1 - recall) / math.log(1 - p1**k))
 
 
