@@ -68,6 +68,20 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: Arrow's pool and the C library keep it otherwise, and
+    workers of several tasks share a machine. Called after a batch of some megabytes."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def runs(batches, n_keys: int, limit: int | None = None):
     """Of batches sorted by their first ``n_keys`` columns: one table a key, or of ``limit`` rows of it at most."""
     import pyarrow as pa

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import connected_components
 
 RADIUS = 3
@@ -56,8 +56,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t or b"", shingle) for t in b.column(1).to_pylist()), dtype=np.uint64, count=b.num_rows)
+            texts = (t for at in range(0, b.num_rows, 500) for t in b.column(1).slice(at, 500).to_pylist())
+            fps = np.fromiter((fingerprint(t or b"", shingle) for t in texts), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            release()
 
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary"))
     return cols.mapInArrow(run, "doc_id bigint, fp bigint")
@@ -159,6 +161,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [c[cut:] for c in new]
     if len(held[0]):
         yield from emit(held)
+    release()
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -181,6 +184,8 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
     lowest = joined.groupBy("component").agg(F.min("__least").alias("__lowest"))
     merged = joined.join(lowest, "component").select(F.col("fp").alias("__fp"), "__lowest")
     every = least.join(merged, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__fp"), F.coalesce("__lowest", "__least").alias("component_id"))
+    # written, so that both sides of the last join are shuffled as they are and AQE can split a hot fingerprint's rows
+    every = materialize(every, "simhash-groups")
     return own.join(every, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
