@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_path
+from .common import materialize, release, scratch_path
 from .langid import held_out
 
 DEPTH = 5
@@ -141,6 +141,7 @@ def count_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
                         if len(codes) > 700_000:
                             yield from out(0, codes, ns)
                             fresh.clear()
+            release()
         yield from out(0, *together())
         yield from tokens()
 
@@ -403,6 +404,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
                 none = pa.nulls(len(rest), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(which), none, pa.array([y[1] for y in rest], pa.int64()), none, pa.nulls(len(rest), pa.float64()), pa.nulls(len(rest), pa.float64()), none, pa.array([y[0] for y in rest], pa.int64())], names)
                 row += len(some)
+            release()
 
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary"))
     schema = "row bigint, doc_id bigint, n bigint, known bigint, logs double, score double, n_bytes bigint, h bigint"

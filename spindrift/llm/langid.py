@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import release
+
 UNKNOWN = "und"
 #: A label column with more values than this does not hold languages.
 MOST_LABELS = 10_000
@@ -87,6 +89,7 @@ def learn_profiles(labelled: DataFrame, size: int = 400, sample: int = 1_000, te
                 g, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
                 n = np.bincount(at, weights=np.concatenate([f[1] for f in found]), minlength=len(g)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], ["lang", "gram", "n"])
+            release()
 
     counts = picked.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
@@ -132,6 +135,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = 400,
     def predict(texts):
         import pandas as pd
 
+        release()  # what the batch before has left
         return pd.DataFrame([side.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     told = docs.withColumn("__told", predict(F.col(text_col)))

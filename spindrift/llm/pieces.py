@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for a literal U+2581 of the text, which must not turn into a space; no valid text holds it.
@@ -27,7 +29,7 @@ LITERAL = "\udc81"
 NEVER = 1 << 60
 MASK = (1 << 64) - 1
 #: Segmentations kept in each worker, over all variants.
-CACHE = 350_000
+CACHE = 300_000
 
 
 class Pieces:
@@ -311,6 +313,10 @@ class Encoder:
 
     def encode_many(self, texts: list[str], docs: list[int] | None = None) -> list[np.ndarray]:
         """The ids of each text. With dropout a token's variant depends on ``docs`` and its place."""
+        return [np.frombuffer(x, dtype=np.int32) for x in self.encode_bytes(texts, docs)]
+
+    def encode_bytes(self, texts: list[str], docs: list[int] | None = None) -> list[bytes]:
+        """The same, each text's ids as the bytes of int32."""
         if sum(map(len, self.cache)) >= CACHE:
             for c in self.cache:
                 c.clear()
@@ -331,7 +337,7 @@ class Encoder:
         for got, gaps in rows:
             for k, s, v in gaps:
                 got[k] = self.cache[v][s]
-        return [np.frombuffer(b"".join(got), dtype=np.int32) for got, _ in rows]
+        return [b"".join(got) for got, _ in rows]
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return self.encode_many([text], [doc])[0]
@@ -355,13 +361,14 @@ def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, variants: in
 
         enc = encoder(model, rate, seed, variants)
         for b in batches:
-            docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                some = enc.encode_many([t or "" for t in texts[at : at + 500]], [d or 0 for d in docs[at : at + 500]])
+            for at in range(0, b.num_rows, 500):
+                docs, texts = (b.column(i).slice(at, 500).to_pylist() for i in (0, 1))
+                some = enc.encode_many([t or "" for t in texts], [d or 0 for d in docs])
                 told = [hashlib.sha256(enc.pieces.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for ids in some]
                 sizes = np.array([len(x) for x in some], dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(some) if some else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), lists, pa.array(sizes), pa.array(told)], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
+            release()
 
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, decoded_sha256 string")
