@@ -28,7 +28,7 @@ SPACE = "▁"
 LITERAL = "\udc81"
 NEVER = 1 << 60
 MASK = (1 << 64) - 1
-#: Segmentations kept in each worker, over all variants.
+#: Segmentations that a worker keeps, over all variants; twice as many without dropout.
 CACHE = 300_000
 
 
@@ -293,9 +293,10 @@ class Encoder:
     def _learn(self, missing: set[tuple[str, int]]) -> None:
         if not self.rate:  # without dropout the library merges the same, and faster
             plain = [t for t, _ in missing if t[:1] != "\0"]
+            space, kept = [self.pieces.ids[SPACE]], self.cache[0]
             for t, ids in zip(plain, self.pieces.library.encode(plain, num_threads=1), strict=True):
                 # after a line feed no space goes before; the library's comes out as a piece of its own
-                self.cache[0][t] = array("i", ids[1:] if t[:1] == "\n" else ids or [self.pieces.ids[SPACE]]).tobytes()
+                kept[t] = array("i", ids[1:] if t[:1] == "\n" else ids or space).tobytes()
             missing = {m for m in missing if m[0][:1] == "\0"}
         spelt = [(t, v, s) for t, v in missing for s in self._segments(t)]
         keys = [xxhash.xxh64_intdigest(f"{self.seed},{v},".encode() + s.encode("utf-8", "surrogatepass")) if self.rate else 0 for _, v, s in spelt]
@@ -317,7 +318,7 @@ class Encoder:
 
     def encode_bytes(self, texts: list[str], docs: list[int] | None = None) -> list[bytes]:
         """The same, each text's ids as the bytes of int32."""
-        if sum(map(len, self.cache)) >= CACHE:
+        if sum(map(len, self.cache)) >= (CACHE if self.rate else 2 * CACHE):
             for c in self.cache:
                 c.clear()
         gets, rows, missing = [c.get for c in self.cache], [], set()

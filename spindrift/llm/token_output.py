@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, runs
+from .common import materialize, release, runs
 from .pieces import MODEL, encoder
 
 END, PAD = 2, 0
@@ -61,37 +61,36 @@ def token_sequences(docs: DataFrame, length: int = 1024, model: str = MODEL, id_
         enc = encoder(model, 0.0, 0, 1)
         if enc.pieces.size > 1 << 16:
             raise ValueError("ids of 16 bits are too short for this model")
-        part, place = TaskContext.get().partitionId(), 0
-        rest = np.empty(0, dtype=np.uint16)
-        rest_docs = np.empty(0, dtype=np.int64)
+        part, place, end = TaskContext.get().partitionId(), 0, np.array([END], dtype=np.int32).tobytes()
+        rest, rest_doc = np.empty(0, dtype="<u2"), -1  # what the last sequence of a batch lacks, and whose it is
 
-        def out(tokens: np.ndarray, owner: np.ndarray, real: np.ndarray) -> pa.RecordBatch:
+        def out(tokens: np.ndarray, first: np.ndarray, real: np.ndarray) -> pa.RecordBatch:
             nonlocal place
             n = len(tokens) // length
-            rows = tokens.astype("<u2").reshape(n, length)
-            blobs = pa.array([r.tobytes() for r in rows], pa.binary())
-            own = pa.array(owner.reshape(n, length)[:, 0])
-            told = pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(place, place + n)), pa.array(real), own, blobs], ["part", "place", "n_tokens", "first_doc", "ids"])
+            raw = tokens.tobytes()
+            blobs = pa.array([raw[i : i + 2 * length] for i in range(0, len(raw), 2 * length)], pa.binary())
+            told = pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(place, place + n)), pa.array(real), pa.array(first), blobs], ["part", "place", "n_tokens", "first_doc", "ids"])
             place += n
             return told
 
         for b in batches:
-            ids, texts = b.column(0).fill_null(-1).to_numpy(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                some = enc.encode_many([t or "" for t in texts[at : at + 500]])
-                tokens = [rest]
-                owners = [rest_docs]
-                for d, x in zip(ids[at : at + 500], some, strict=True):
-                    tokens += [x.astype(np.uint16), np.array([END], dtype=np.uint16)]
-                    owners.append(np.full(len(x) + 1, d))
-                flat, own = np.concatenate(tokens), np.concatenate(owners)
-                cut = len(flat) // length * length
-                if cut:
-                    yield out(flat[:cut], own[:cut], np.full(cut // length, length))
-                rest, rest_docs = flat[cut:], own[cut:]
+            ids = b.column(0).fill_null(-1).to_numpy()
+            for at in range(0, b.num_rows, 500):
+                some = enc.encode_bytes([t or "" for t in b.column(1).slice(at, 500).to_pylist()])
+                sizes = np.array([len(x) // 4 + 1 for x in some])
+                flat = np.concatenate([rest, np.frombuffer(end.join(some) + end, dtype=np.int32).astype("<u2")])
+                starts = np.concatenate([[0], len(rest) + np.concatenate([[0], np.cumsum(sizes)[:-1]])])  # of the rest, then of each text
+                owners = np.concatenate([[rest_doc], ids[at : at + 500]])
+                whole = len(flat) // length
+                heads = np.arange(whole + 1) * length
+                first = owners[np.searchsorted(starts, heads, side="right") - 1]
+                if whole:
+                    yield out(flat[: whole * length], first[:whole], np.full(whole, length))
+                rest, rest_doc = flat[whole * length :].copy(), int(first[whole])
+            release()
         if len(rest):
             fill = length - len(rest)
-            yield out(np.concatenate([rest, np.full(fill, PAD, dtype=np.uint16)]), np.concatenate([rest_docs, np.full(fill, rest_docs[-1])]), np.array([len(rest)]))
+            yield out(np.concatenate([rest, np.full(fill, PAD, dtype="<u2")]), np.array([rest_doc]), np.array([len(rest)]))
 
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return cols.mapInArrow(run, "part bigint, place bigint, n_tokens bigint, first_doc bigint, ids binary")
