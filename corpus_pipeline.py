@@ -5,7 +5,7 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import materialize
@@ -48,8 +48,9 @@ def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, with merge-dropout."""
-    return piece_encode(docs)
+    """Piece ids of each text, with merge-dropout that is drawn anew in each of a document's passes."""
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
+    return piece_encode(docs.withColumn("__pass", F.row_number().over(same)), pass_col="__pass")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", drop_shared_lines), ("simhash_dedup", drop_near_copies), ("mix_sources", mix), ("sentencepiece", encode)]

@@ -1,16 +1,20 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 The model file gives pieces and scores; merging is done here, as an agenda of candidate merges, the best score first
-and the leftmost of equals. With dropout a candidate that comes up is skipped if a keyed hash of where it starts, joins
-and ends is under the rate; a skipped candidate stays skipped. Whatever is skipped, the pieces spell the same text, so
-every segmentation decodes to it: white space and all, and characters without a piece as bytes.
+and the leftmost of equals. With dropout each candidate that comes up is skipped with the given rate; a skipped one stays
+skipped. Every occurrence of a word draws for itself, from a hash of document, pass and place: the gaps between skipped
+candidates, counted as they come up, are geometric. So a segmentation follows from the word and the set of skips, and is
+kept by these. Whatever is skipped, the pieces spell the same text, so every segmentation decodes to it: white space and
+all, and characters without a piece as bytes.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
@@ -28,8 +32,67 @@ SPACE = "▁"
 LITERAL = "\udc81"
 NEVER = 1 << 60
 MASK = (1 << 64) - 1
-#: Segmentations that a worker keeps, over all variants; twice as many without dropout.
+GOLDEN = 0x9E3779B97F4A7C15
+#: Segmentations that a worker keeps, over all sets of skips; twice as many without dropout.
 CACHE = 300_000
+#: Segmentations of more candidates than this are made anew each time they have skips.
+KEPT = 63
+#: Stands for a token that is not kept.
+MISS = (NEVER, b"")
+
+
+def _mix(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+@lru_cache(maxsize=8)
+def _chances(limit: int) -> tuple[list[int], np.ndarray]:
+    """2^53 times the chance that the next j candidates are kept, for j from 1 on, in ascending order."""
+    keep, table = 1 - limit / 2**53, []
+    p = keep * 2**53
+    while p >= 1 and len(table) < 1 << 16:
+        table.append(int(p))
+        p *= keep
+    return table[::-1], np.array(table[::-1], dtype=np.uint64)
+
+
+def _gap(key: int, limit: int) -> int:
+    """How many candidates are kept before the next that is skipped."""
+    table = _chances(limit)[0]
+    return len(table) - bisect_right(table, key >> 11)
+
+
+def _gaps(key: np.ndarray, limit: int) -> np.ndarray:
+    table = _chances(limit)[1]
+    return len(table) - np.searchsorted(table, key >> np.uint64(11), side="right")
+
+
+class Draw:
+    """The skips of one segment: from ``key`` on, or only that at ``first`` with ``once``. Counts candidates, notes skips."""
+
+    def __init__(self, key: int, limit: int, first: int | None = None, once: bool = False) -> None:
+        self.key, self.limit, self.once = key, limit, once
+        self.n, self.mask = 0, 0
+        self.next = first if first is not None else _gap(key, limit) if limit else NEVER
+
+    def skips(self) -> bool:
+        """Whether the candidate that has come up is skipped."""
+        n = self.n
+        self.n += 1
+        if n != self.next:
+            return False
+        self.mask |= 1 << n
+        self.key = _mix(self.key + GOLDEN & MASK)
+        self.next = NEVER if self.once else n + 1 + _gap(self.key, self.limit)
+        return True
 
 
 class Pieces:
@@ -102,30 +165,30 @@ class Pieces:
         return self.SEGMENT.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))
 
     def merge(self, segment: str, rate: float = 0.0, key: int = 0) -> list[int]:
-        """The ids of one segment. ``rate``: the share of candidate merges that the hash with ``key`` skips."""
-        limit = int(rate * 2**53)
+        """The ids of one segment. ``rate``: the share of candidate merges that the draws from ``key`` skip."""
+        return self._merge(segment, Draw(key, int(rate * 2**53)))
+
+    def _merge(self, segment: str, draw: Draw) -> list[int]:
         parts = list(segment)
         if len(parts) > 200:
-            parts = self._merge_long(parts, limit, key)
+            parts = self._merge_heap(parts, draw)
         elif len(parts) > 1:
             rank = self.rank
-            at = list(range(len(parts) + 1))  # where each part starts
             cand = [rank.get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
-            if limit:
-                cand = [c if c == NEVER or not _skip(key, i, i + 1, i + 2, limit) else NEVER for i, c in enumerate(cand)]
             while cand:
                 c = min(cand)
                 if c == NEVER:
                     break
                 i = cand.index(c)
+                if draw.skips():
+                    cand[i] = NEVER
+                    continue
                 parts[i] += parts.pop(i + 1)
-                del at[i + 1], cand[i]
+                del cand[i]
                 if i:
-                    c = rank.get(parts[i - 1] + parts[i], NEVER)
-                    cand[i - 1] = NEVER if limit and c != NEVER and _skip(key, at[i - 1], at[i], at[i + 1], limit) else c
+                    cand[i - 1] = rank.get(parts[i - 1] + parts[i], NEVER)
                 if i < len(cand):
-                    c = rank.get(parts[i] + parts[i + 1], NEVER)
-                    cand[i] = NEVER if limit and c != NEVER and _skip(key, at[i], at[i + 1], at[i + 2], limit) else c
+                    cand[i] = rank.get(parts[i] + parts[i + 1], NEVER)
         out: list[int] = []
         for p in parts:
             got = self.ids.get(p)
@@ -137,23 +200,32 @@ class Pieces:
 
     def merge_many(self, segments: list[str], rate: float, keys: list[int]) -> list[bytes]:
         """What ``merge`` gives for each segment and its key, as bytes of int32: short segments are merged side by side."""
-        out: list[bytes] = [b""] * len(segments)
+        limit = int(rate * 2**53)
+        return [x for _, _, x in self.merge_drawn(segments, [Draw(k, limit) for k in keys])]
+
+    def merge_drawn(self, segments: list[str], draws: list[Draw]) -> list[tuple[int, int, bytes]]:
+        """For each segment how many candidates came up, the set of those skipped as bits, and the ids."""
+        out: list[tuple[int, int, bytes]] = [(0, 0, b"")] * len(segments)
         order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
         at = 0
+
+        def alone(i: int) -> tuple[int, int, bytes]:
+            ids = array("i", self._merge(segments[i], draws[i])).tobytes()
+            return draws[i].n, draws[i].mask, ids
+
         while at < len(order):
-            if len(segments[order[at]]) > 64:
-                i = order[at]
-                out[i] = array("i", self.merge(segments[i], rate, keys[i])).tobytes()
+            if len(segments[order[at]]) > KEPT + 1:
+                out[order[at]] = alone(order[at])
                 at += 1
                 continue
-            some = [i for i in order[at : at + 4096] if len(segments[i]) <= 64]
-            for i, got in zip(some, self._merge_block([segments[i] for i in some], rate, [keys[i] for i in some]), strict=True):
-                out[i] = got if got is not None else array("i", self.merge(segments[i], rate, keys[i])).tobytes()
+            some = [i for i in order[at : at + 4096] if len(segments[i]) <= KEPT + 1]
+            for i, got in zip(some, self._merge_block([segments[i] for i in some], [draws[i] for i in some]), strict=True):
+                out[i] = got if got is not None else alone(i)
             at += len(some)
         return out
 
-    def _candidates(self, left: np.ndarray, right: np.ndarray, start: np.ndarray, join: np.ndarray, end: np.ndarray, key: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (``NEVER`` if none, or skipped) and result of the merges of symbols side by side."""
+    def _candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank (``NEVER`` if none) and result of the merges of symbols side by side."""
         want = left << 22 | right
         i = self._slot(want)
         got = self.join_key[i]
@@ -165,34 +237,45 @@ class Pieces:
             i[on] += 1
             got[on] = self.join_key[i[on]]
             ok[on] = got[on] == want[on]
-        if limit:
-            x = (key ^ (start << 42 | join << 21 | end).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-            ok &= (x ^ x >> np.uint64(32)) >> np.uint64(11) >= np.uint64(limit)
         return np.where(ok, self.join_rank[i].astype(np.int64), NEVER), self.join_to[i].astype(np.int64)
 
-    def _merge_block(self, segments: list[str], rate: float, keys: list[int]) -> list[bytes | None]:
-        """Segments of like length, a merge of each at a time; None for those with characters that have no piece."""
-        limit = int(rate * 2**53)
+    def _merge_block(self, segments: list[str], draws: list[Draw]) -> list[tuple[int, int, bytes] | None]:
+        """Segments of like length, a candidate of each at a time; None for those with characters that have no piece, or
+        more candidates than there are bits."""
         sizes = np.array([len(x) for x in segments])
         n, width = len(segments), int(sizes.max())
         flat = self.symbol[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         inside = np.arange(width)[None, :] < sizes[:, None]
         sym = np.full((n, width + 1), -1, dtype=np.int64)
         sym[:, :width][inside] = flat
-        key = np.array(keys, dtype=np.uint64)
+        limit = max(d.limit for d in draws)
+        key = np.array([d.key for d in draws], dtype=np.uint64)
+        skip = np.array([d.next for d in draws], dtype=np.int64)
+        once = np.array([d.once for d in draws])
+        up = np.zeros(n, dtype=np.int64)
+        mask = np.zeros(n, dtype=np.uint64)
         after = np.minimum(np.arange(1, width + 2)[None, :], sizes[:, None])  # the next symbol's place; the size: none
         before = np.tile(np.arange(-1, width), (n, 1))
         rank = np.full((n, width + 1), NEVER, dtype=np.int64)
         to = np.zeros((n, width + 1), dtype=np.int64)
         alive = np.concatenate([inside, np.zeros((n, 1), dtype=bool)], axis=1)
         r, c = np.nonzero(np.arange(1, width)[None, :] < sizes[:, None])
-        rank[r, c], to[r, c] = self._candidates(sym[r, c], sym[r, c + 1], c, c + 1, c + 2, key[r], limit)
-        rows = np.arange(n)
-        while len(rows):
-            i = rank[rows].argmin(axis=1)
-            going = rank[rows, i] < NEVER
-            rows, i = rows[going], i[going]
+        rank[r, c], to[r, c] = self._candidates(sym[r, c], sym[r, c + 1])
+        going = np.arange(n)
+        while len(going):
+            i = rank[going].argmin(axis=1)
+            on = rank[going, i] < NEVER
+            rows = going = going[on]
+            i = i[on]
+            skipped = up[rows] == skip[rows]
+            up[rows] += 1
+            rank[rows, i] = NEVER
+            if skipped.any():
+                s = rows[skipped]
+                mask[s] |= np.uint64(1) << np.minimum(up[s] - 1, KEPT).astype(np.uint64)
+                key[s] = _mixed(key[s] + np.uint64(GOLDEN))
+                skip[s] = np.where(once[s], NEVER, up[s] + _gaps(key[s], limit))
+                rows, i = rows[~skipped], i[~skipped]
             j = after[rows, i]
             end = after[rows, j]
             sym[rows, i] = to[rows, i]
@@ -200,22 +283,24 @@ class Pieces:
             rank[rows, j] = NEVER
             after[rows, i] = end
             before[rows, end] = i
-            rank[rows, i] = NEVER
             m = end < sizes[rows]
             a, x, y = rows[m], i[m], end[m]
-            rank[a, x], to[a, x] = self._candidates(sym[a, x], sym[a, y], x, y, after[a, y], key[a], limit)
+            rank[a, x], to[a, x] = self._candidates(sym[a, x], sym[a, y])
             m = i > 0
             a, x = rows[m], i[m]
             p = before[a, x]
-            rank[a, p], to[a, p] = self._candidates(sym[a, p], sym[a, x], p, x, after[a, x], key[a], limit)
+            rank[a, p], to[a, p] = self._candidates(sym[a, p], sym[a, x])
         ids = sym[alive]
-        odd = np.zeros(n, dtype=bool)
+        odd = up > KEPT
         odd[np.nonzero(alive)[0][ids >= self.size]] = True
         raw = ids.astype(np.int32).tobytes()
         ends = np.cumsum(alive.sum(axis=1)) * 4
-        return [None if o else raw[s:e] for o, s, e in zip(odd.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        return [None if o else (u, k, raw[s:e]) for o, u, k, s, e in zip(odd.tolist(), up.tolist(), mask.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _merge_long(self, parts: list[str], limit: int, key: int) -> list[str]:
+        return self._merge_heap(parts, Draw(key, limit))
+
+    def _merge_heap(self, parts: list[str], draw: Draw) -> list[str]:
         """The same by a heap and links, for segments without a space in sight."""
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -226,7 +311,7 @@ class Pieces:
             j = after[i] if i >= 0 else n
             if j < n:
                 c = self.rank.get(parts[i] + parts[j], NEVER)
-                if c != NEVER and not (limit and _skip(key, i, j, after[j], limit)):
+                if c != NEVER:
                     heapq.heappush(agenda, (c, i, j, after[j]))
 
         for i in range(n - 1):
@@ -235,6 +320,8 @@ class Pieces:
             _, i, j, end = heapq.heappop(agenda)
             if not alive[i] or after[i] != j or j >= n or after[j] != end:
                 continue
+            if draw.skips():
+                continue
             parts[i] += parts[j]
             alive[j] = False
             after[i] = end
@@ -252,12 +339,6 @@ class Pieces:
         return (out[1:] if self.prefix else out).decode("utf-8", "surrogatepass")
 
 
-def _skip(key: int, start: int, join: int, end: int, limit: int) -> bool:
-    x = (key ^ (start << 42 | join << 21 | end)) * 0x9E3779B97F4A7C15 & MASK
-    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
-    return (x ^ x >> 32) >> 11 < limit
-
-
 @lru_cache(maxsize=4)
 def load(path: str) -> Pieces:
     return Pieces(path)
@@ -270,10 +351,13 @@ class Encoder:
     runs of spaces, a space at the start or characters that tokens use as marks go by segment.
     """
 
-    def __init__(self, path: str, rate: float = 0.0, seed: int = 0, variants: int = 2) -> None:
-        self.pieces, self.rate, self.seed = load(path), rate, seed
-        self.variants = variants if rate else 1
-        self.cache: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    def __init__(self, path: str, rate: float = 0.0, seed: int = 0) -> None:
+        self.pieces, self.seed, self.limit = load(path), seed, int(rate * 2**53)
+        #: Each token's ids without skips, how many candidates come up before them; those with one skip, by its number; with more.
+        self.plain: dict[str, tuple[int, bytes]] = {}
+        self.one: list[dict[str, tuple[int, bytes]]] = [{} for _ in range(KEPT)]
+        self.more: dict[tuple[str, int], tuple[int, bytes]] = {}
+        self.bytes_only: dict[str, bytes] = {}
 
     def tokens(self, text: str) -> list[str]:
         if not text:
@@ -290,88 +374,145 @@ class Encoder:
             return ["\n", token[1:]] if len(token) > 1 else ["\n"]
         return [SPACE + token]
 
-    def _learn(self, missing: set[tuple[str, int]]) -> None:
-        if not self.rate:  # without dropout the library merges the same, and faster
-            plain = [t for t, _ in missing if t[:1] != "\0"]
-            space, kept = [self.pieces.ids[SPACE]], self.cache[0]
-            for t, ids in zip(plain, self.pieces.library.encode(plain, num_threads=1), strict=True):
-                # after a line feed no space goes before; the library's comes out as a piece of its own
-                kept[t] = array("i", ids[1:] if t[:1] == "\n" else ids or space).tobytes()
-            missing = {m for m in missing if m[0][:1] == "\0"}
-        spelt = [(t, v, s) for t, v in missing for s in self._segments(t)]
-        keys = [xxhash.xxh64_intdigest(f"{self.seed},{v},".encode() + s.encode("utf-8", "surrogatepass")) if self.rate else 0 for _, v, s in spelt]
-        got = self.pieces.merge_many([s for _, _, s in spelt], self.rate, keys)
-        for t, v in missing:
-            self.cache[v][t] = b""
-        for (t, v, _), ids in zip(spelt, got, strict=True):
-            self.cache[v][t] += ids
-
-    def _variants(self, n: int, doc: int) -> list[int]:
-        """Which variant each of a document's tokens takes, by a hash of its place."""
-        x = (np.arange(n, dtype=np.uint64) + np.uint64(xxhash.xxh64_intdigest(f"{self.seed},{doc}"))) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        return (((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-
-    def encode_many(self, texts: list[str], docs: list[int] | None = None) -> list[np.ndarray]:
-        """The ids of each text. With dropout a token's variant depends on ``docs`` and its place."""
-        return [np.frombuffer(x, dtype=np.int32) for x in self.encode_bytes(texts, docs)]
-
-    def encode_bytes(self, texts: list[str], docs: list[int] | None = None) -> list[bytes]:
+    def _learn(self, missing: set[str]) -> dict[str, tuple[int, bytes]]:
+        """Candidates and ids of tokens without skips. The library merges the same, and faster."""
+        out, p = {}, self.pieces
+        some = [t for t in missing if t[:1] != "\0"]
+        space, byte_ids = [p.ids[SPACE]], frozenset(p.byte_id.values())
+        for t, ids in zip(some, p.library.encode(some, num_threads=1), strict=True):
+            # after a line feed no space goes before; the library's comes out as a piece of its own
+            line = t[:1] == "\n"
+            ids = ids[1:] if line else ids or space
+            if not self.limit:
+                out[t] = 0, array("i", ids).tobytes()
+                continue
+            parts = len(ids)
+            if not byte_ids.isdisjoint(ids):  # a character without a piece is one part
+                parts -= sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in t if c not in p.ids)
+            out[t] = len(t) + (not line) - parts, array("i", ids).tobytes()
+        rest = [t for t in missing if t[:1] == "\0"]
+        for t, (n, _, ids) in zip(rest, p.merge_drawn([t[1:] for t in rest], [Draw(0, 0) for _ in rest]), strict=True):
+            out[t] = n, ids
+        return out
+
+    def _drawn(self, tokens: list[str], draws: list[Draw]) -> list[tuple[int, int, bytes]]:
+        """``merge_drawn`` of tokens; a line feed at the start has no candidates."""
+        got = self.pieces.merge_drawn([self._segments(t)[-1] for t in tokens], draws)
+        line = array("i", self.pieces.merge("\n")).tobytes()
+        return [(n, m, line + ids) if t[:1] == "\n" and len(t) > 1 else (n, m, ids) for t, (n, m, ids) in zip(tokens, got, strict=True)]
+
+    def encode_many(self, texts: list[str], docs: list[int] | None = None, passes: list[int] | None = None) -> list[np.ndarray]:
+        """The ids of each text. With dropout each token's skips depend on its text's ``docs`` and ``passes``, and its place."""
+        return [np.frombuffer(x, dtype=np.int32) for x in self.encode_bytes(texts, docs, passes)]
+
+    def encode_bytes(self, texts: list[str], docs: list[int] | None = None, passes: list[int] | None = None) -> list[bytes]:
         """The same, each text's ids as the bytes of int32."""
-        if sum(map(len, self.cache)) >= (CACHE if self.rate else 2 * CACHE):
-            for c in self.cache:
+        if self.limit:
+            # what is kept and what is open has no cycles, and is much to walk over
+            gc.disable()
+            try:
+                return self._encode_dropped(texts, docs or [0] * len(texts), passes or [0] * len(texts))
+            finally:
+                gc.enable()
+        kept = self.bytes_only
+        if len(kept) >= 2 * CACHE:
+            kept.clear()
+        rows = []
+        for text in texts:
+            tokens = self.tokens(text)
+            rows.append((tokens, list(map(kept.get, tokens))))
+        if missing := {t for tokens, got in rows if None in got for t, g in zip(tokens, got, strict=True) if g is None}:
+            kept.update((t, ids) for t, (_, ids) in self._learn(missing).items())
+        return [b"".join(map(kept.__getitem__, tokens) if None in got else got) for tokens, got in rows]
+
+    def _encode_dropped(self, texts: list[str], docs: list[int], passes: list[int]) -> list[bytes]:
+        plain, one, more, limit = self.plain, self.one, self.more, self.limit
+        if len(plain) + sum(map(len, one)) + len(more) >= CACHE:
+            for c in (plain, *one, more):
                 c.clear()
-        gets, rows, missing = [c.get for c in self.cache], [], set()
-        for i, text in enumerate(texts):
+        get, rows, open_ = plain.get, [], []
+        for text, doc, turn in zip(texts, docs, passes, strict=True):
             tokens = self.tokens(text)
-            if self.variants == 1:
-                which = None
-                got = list(map(gets[0], tokens))
-            else:
-                which = self._variants(len(tokens), docs[i] if docs else 0)
-                got = [gets[v](s) for s, v in zip(tokens, which, strict=True)]
-            gaps = [(k, tokens[k], which[k] if which else 0) for k, g in enumerate(got) if g is None] if None in got else []
-            missing.update((s, v) for _, s, v in gaps)
-            rows.append((got, gaps))
-        if missing:
-            self._learn(missing)
-        for got, gaps in rows:
-            for k, s, v in gaps:
-                got[k] = self.cache[v][s]
-        return [b"".join(got) for got, _ in rows]
+            start = xxhash.xxh64_intdigest(f"{self.seed},{doc},{turn}")
+            keys = _mixed(np.uint64(start) + np.arange(1, len(tokens) + 1, dtype=np.uint64) * np.uint64(GOLDEN))
+            first = _gaps(keys, limit)
+            got = [p[1] if (p := get(t, MISS))[0] <= f else None for t, f in zip(tokens, first.tolist(), strict=True)]
+            rows.append(got)
+            if None not in got:
+                continue
+            at = [k for k, x in enumerate(got) if x is None]
+            x, f = keys[at], first[at]
+            after = _mixed(x + np.uint64(GOLDEN))
+            second = f + 1 + _gaps(after, limit)
+            for k, x, y, f, s in zip(at, x.tolist(), after.tolist(), f.tolist(), second.tolist(), strict=True):
+                t = tokens[k]
+                p = one[f].get(t) if f < KEPT else None
+                if p is not None and p[0] <= s:
+                    got[k] = p[1]
+                else:
+                    open_.append((got, k, t, x, y, f, s))
+        if missing := {t for _, _, t, *_ in open_ if t not in plain}:
+            plain.update(self._learn(missing))
+        wanted = {}
+        for _, _, t, _, _, f, _ in open_:
+            if f < min(plain[t][0], KEPT) and t not in one[f]:
+                wanted[t, f] = None
+        for (t, f), (n, _, ids) in zip(wanted, self._drawn([t for t, _ in wanted], [Draw(0, limit, f, True) for _, f in wanted]), strict=True):
+            one[f][t] = n, ids
+        last = []
+        for got, k, t, x, y, f, s in open_:
+            n, ids = plain[t]
+            if n > f:
+                n, ids = one[f][t] if f < KEPT else MISS
+                mask, at = 1 << f, s
+                while n > at:  # skips after the first
+                    mask |= 1 << at
+                    n, ids = more.get((t, mask), MISS)
+                    if n == NEVER:
+                        last.append((got, k, t, x, f))
+                        break
+                    y = _mix(y + GOLDEN & MASK)
+                    at += 1 + _gap(y, limit)
+            got[k] = ids
+        for (got, k, t, _, _), (n, mask, ids) in zip(last, self._drawn([t for _, _, t, _, _ in last], [Draw(x, limit, f) for _, _, _, x, f in last]), strict=True):
+            got[k] = ids
+            if n <= KEPT:
+                more[t, mask] = n, ids
+        return [b"".join(got) for got in rows]
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return self.encode_many([text], [doc])[0]
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, rate: float, seed: int, variants: int) -> Encoder:
+def encoder(path: str, rate: float, seed: int) -> Encoder:
     """One for each setting in a worker, so that what it has met serves all its tasks."""
-    return Encoder(path, rate, seed, variants)
+    return Encoder(path, rate, seed)
 
 
-def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, variants: int = 2, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", pass_col: str | None = None) -> DataFrame:
     """``doc_id, ids, n_tokens, decoded_sha256``: each whole text's piece ids, and a hash of what these decode to.
 
-    ``rate`` 0 gives the model's plain segmentation. Null and empty texts: no ids. Very long texts and segments: like
-    others. Null ids: encoded as id 0 would. Rows that repeat: each its own row, with equal ids. Empty table: no rows.
+    ``rate`` 0 gives the model's plain segmentation; else each word of a document is drawn for by its place, and by the
+    number in ``pass_col``, for documents that occur in several passes. Null and empty texts: no ids. Very long texts and segments: like
+    others. Null ids: encoded as id 0 would. Rows that repeat: each its own row, with equal ids unless their passes differ. Empty table: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        enc = encoder(model, rate, seed, variants)
+        enc = encoder(model, rate, seed)
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                docs, texts = (b.column(i).slice(at, 500).to_pylist() for i in (0, 1))
-                some = enc.encode_many([t or "" for t in texts], [d or 0 for d in docs])
+                docs, texts, passes = (b.column(i).slice(at, 500).to_pylist() for i in (0, 1, 2))
+                some = enc.encode_many([t or "" for t in texts], [d or 0 for d in docs], [n or 0 for n in passes])
                 told = [hashlib.sha256(enc.pieces.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for ids in some]
                 sizes = np.array([len(x) for x in some], dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(some) if some else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), lists, pa.array(sizes), pa.array(told)], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
             release()
 
-    cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(pass_col).cast("bigint").alias("pass") if pass_col else F.lit(0).cast("bigint").alias("pass"))
     return cols.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, decoded_sha256 string")
 
 

@@ -58,7 +58,7 @@ def token_sequences(docs: DataFrame, length: int = 1024, model: str = MODEL, id_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model, 0.0, 0, 1)
+        enc = encoder(model, 0.0, 0)
         if enc.pieces.size > 1 << 16:
             raise ValueError("ids of 16 bits are too short for this model")
         part, place, end = TaskContext.get().partitionId(), 0, np.array([END], dtype=np.int32).tobytes()
