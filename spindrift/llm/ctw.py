@@ -7,8 +7,8 @@ product of its children's, for every depth up to ``DEPTH``; so the weight of sto
 and a bit's probability mixes the estimates along the context's path, the deepest first. Training gathers the counts of
 all (DEPTH + 1)-grams of all training texts; the trees are then fixed, so each text is scored by itself.
 
-A context of two bytes or more is a node if it holds one part in ``SHARE`` of the training bytes, so there are ``SHARE``
-contexts a depth at most, whatever the corpus; what shorter-lived contexts have seen still counts in those above them.
+A context of two bytes or more is a node if it has been seen ``LEAST`` times, however large the corpus, so the model grows
+with its input; what rarer contexts have seen still counts in those above them. The trees are built on the driver.
 """
 
 from __future__ import annotations
@@ -31,7 +31,10 @@ from .common import materialize, release, scratch_path
 from .langid import held_out
 
 DEPTH = 5
-SHARE = 1 << 20
+#: How often a context of two bytes or more must have been seen.
+LEAST = 2
+#: A context need hold no share of the training bytes.
+SHARE = math.inf
 END = b"\xff"  # no byte of UTF-8
 #: The end of a text as a token: no word holds white space.
 END_TOKEN = b"\n"
@@ -151,11 +154,9 @@ def count_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def nodes_of(counts: DataFrame) -> DataFrame:
     """``depth, code, n``: for each context kept, the nearest byte first, and each byte seen after it, how often."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
     every = counts.select("n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("code", 8 * (DEPTH + 1 - d)).alias("c")) for d in range(DEPTH + 1)])).alias("x"), F.col("code").bitwiseAND(F.lit(255)).alias("s"))
     every = every.groupBy(F.col("x.d").alias("depth"), F.shiftleft("x.c", 8).bitwiseOR(F.col("s")).alias("code")).agg(F.sum("n").alias("n"))
-    least = max(2, math.ceil(total / SHARE))
-    held = every.groupBy("depth", F.shiftright("code", 8).alias("ctx")).agg(F.sum("n").alias("held")).where((F.col("depth") < 2) | (F.col("held") >= least)).drop("held")
+    held = every.groupBy("depth", F.shiftright("code", 8).alias("ctx")).agg(F.sum("n").alias("held")).where((F.col("depth") < 2) | (F.col("held") >= LEAST)).drop("held")
     return every.withColumn("ctx", F.shiftright("code", 8)).join(held, ["depth", "ctx"]).select("depth", "code", "n")
 
 

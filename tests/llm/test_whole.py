@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from spindrift.llm import pieces
+from spindrift.llm import ctw, pieces
 
 
 def test_each_occurrence_draws_its_own_dropout(spark):
@@ -24,3 +24,10 @@ def test_each_occurrence_draws_its_own_dropout(spark):
     twice = spark.createDataFrame([(1, text, "en", "s", len(text))] * 2, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     got = corpus_pipeline.encode(spark, twice, "").collect()
     assert got[0].ids != got[1].ids and got[0].decoded_sha256 == got[1].decoded_sha256
+
+
+def test_contexts_are_kept_however_large_the_corpus(spark):
+    rare, common = (int.from_bytes(x, "big") for x in (b"abcdef", b"uvwxyz"))
+    counts = spark.createDataFrame([(rare, 2), (common, 1 << 24), (int.from_bytes(b"ghijkl", "big"), 1)], "code bigint, n bigint")
+    kept = {(r.depth, r.code) for r in ctw.nodes_of(counts).collect()}
+    assert (5, rare) in kept and (5, common) in kept and len([c for d, c in kept if d == 5]) == 2
