@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from spindrift.llm import ctw, pieces
+from spindrift.llm import ctw, html_extract, pieces
 
 
 def test_each_occurrence_draws_its_own_dropout(spark):
@@ -31,3 +31,9 @@ def test_contexts_are_kept_however_large_the_corpus(spark):
     counts = spark.createDataFrame([(rare, 2), (common, 1 << 24), (int.from_bytes(b"ghijkl", "big"), 1)], "code bigint, n bigint")
     kept = {(r.depth, r.code) for r in ctw.nodes_of(counts).collect()}
     assert (5, rare) in kept and (5, common) in kept and len([c for d, c in kept if d == 5]) == 2
+
+
+def test_title_and_lead_stay_beside_a_long_body():
+    long = lambda i: " ".join(f"word{i}x{k}" for k in range(300))
+    pages = [f"<body><p>Site wide line</p><div><div class='top'><h1>Title {i}</h1><p>Lead {i}</p></div><div class='body'><p>{long(i)}</p></div></div></body>" for i in range(8)]
+    assert html_extract.extract_group(pages) == [f"Title {i}\nLead {i}\n{long(i)}" for i in range(8)]
