@@ -37,3 +37,10 @@ def test_title_and_lead_stay_beside_a_long_body():
     long = lambda i: " ".join(f"word{i}x{k}" for k in range(300))
     pages = [f"<body><p>Site wide line</p><div><div class='top'><h1>Title {i}</h1><p>Lead {i}</p></div><div class='body'><p>{long(i)}</p></div></div></body>" for i in range(8)]
     assert html_extract.extract_group(pages) == [f"Title {i}\nLead {i}\n{long(i)}" for i in range(8)]
+
+
+def test_no_page_of_a_host_is_left_alone(spark):
+    n = html_extract.GROUP + 1
+    rows = [(i, f"https://one.org/{i}", f"<body><p>Welcome to our site</p><div><p>Story {i} of {'abc ' * (i % 5 + 1)}</p></div><p>Call us today</p></body>") for i in range(n)]
+    got = html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == n and not [r.page_id for r in got if "Welcome" in r.text or "Call" in r.text]
