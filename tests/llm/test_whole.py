@@ -44,3 +44,8 @@ def test_no_page_of_a_host_is_left_alone(spark):
     rows = [(i, f"https://one.org/{i}", f"<body><p>Welcome to our site</p><div><p>Story {i} of {'abc ' * (i % 5 + 1)}</p></div><p>Call us today</p></body>") for i in range(n)]
     got = html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
     assert len(got) == n and not [r.page_id for r in got if "Welcome" in r.text or "Call" in r.text]
+
+
+def test_slugs_inside_an_article_are_no_boilerplate():
+    page = "<body><article class='post ad-free'><h2 id='social'>Social</h2><h2 id='social-history'>History</h2><section id='related-work'><p>Work</p></section><div class='ads'>Buy</div><p>End</p></article></body>"
+    assert html_extract.extract_group([page]) == ["Social\nHistory\nWork\nEnd"]
