@@ -10,13 +10,12 @@ all, and characters without a piece as bytes.
 
 from __future__ import annotations
 
-import gc
 import heapq
 import re
-from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +32,10 @@ LITERAL = "\udc81"
 NEVER = 1 << 60
 MASK = (1 << 64) - 1
 GOLDEN = 0x9E3779B97F4A7C15
-#: Segmentations that a worker keeps, over all sets of skips; twice as many without dropout.
-CACHE = 300_000
+#: Segmentations that a worker keeps, over all sets of skips.
+CACHE = 400_000
 #: Segmentations of more candidates than this are made anew each time they have skips.
 KEPT = 63
-#: Stands for a token that is not kept.
-MISS = (NEVER, b"")
 
 
 def _mix(x: int) -> int:
@@ -76,12 +73,11 @@ def _gaps(key: np.ndarray, limit: int) -> np.ndarray:
 
 
 class Draw:
-    """The skips of one segment: from ``key`` on, or only that at ``first`` with ``once``. Counts candidates, notes skips."""
+    """The skips that follow from a key: the candidates up to ``next`` are kept, that one is skipped, and so on."""
 
-    def __init__(self, key: int, limit: int, first: int | None = None, once: bool = False) -> None:
-        self.key, self.limit, self.once = key, limit, once
-        self.n, self.mask = 0, 0
-        self.next = first if first is not None else _gap(key, limit) if limit else NEVER
+    def __init__(self, key: int, limit: int) -> None:
+        self.key, self.limit, self.n = key, limit, 0
+        self.next = _gap(key, limit) if limit else NEVER
 
     def skips(self) -> bool:
         """Whether the candidate that has come up is skipped."""
@@ -89,12 +85,23 @@ class Draw:
         self.n += 1
         if n != self.next:
             return False
-        self.mask |= 1 << n
         self.key = _mix(self.key + GOLDEN & MASK)
-        self.next = NEVER if self.once else n + 1 + _gap(self.key, self.limit)
+        self.next = n + 1 + _gap(self.key, self.limit)
         return True
 
 
+class Given:
+    """The skips that the bits of a number name, the first candidate the lowest."""
+
+    def __init__(self, mask: int) -> None:
+        self.mask, self.n = mask, 0
+
+    def skips(self) -> bool:
+        n = self.n
+        self.n += 1
+        return bool(self.mask >> n & 1)
+
+
 class Pieces:
     """A merge-type model with byte fallback, as its file tells it."""
 
@@ -121,6 +128,8 @@ class Pieces:
                 self.bytes[i] = bytes([int(p.piece[3:5], 16)])
             elif p.type == 1:
                 self.bytes[i] = p.piece.replace(SPACE, " ").encode()
+        self.is_byte = np.zeros(self.size, dtype=bool)
+        self.is_byte[list(self.byte_id.values())] = True
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids):
             raise ValueError("pieces must not span words or lines")
         # symbols are piece ids, or for characters without a piece their code points after all ids
@@ -168,7 +177,7 @@ class Pieces:
         """The ids of one segment. ``rate``: the share of candidate merges that the draws from ``key`` skip."""
         return self._merge(segment, Draw(key, int(rate * 2**53)))
 
-    def _merge(self, segment: str, draw: Draw) -> list[int]:
+    def _merge(self, segment: str, draw: Draw | Given) -> list[int]:
         parts = list(segment)
         if len(parts) > 200:
             parts = self._merge_heap(parts, draw)
@@ -198,20 +207,19 @@ class Pieces:
                 out += [self.byte_id[b] for b in (SPACE if p == LITERAL else p).encode("utf-8", "surrogatepass")]
         return out
 
-    def merge_many(self, segments: list[str], rate: float, keys: list[int]) -> list[bytes]:
-        """What ``merge`` gives for each segment and its key, as bytes of int32: short segments are merged side by side."""
-        limit = int(rate * 2**53)
-        return [x for _, _, x in self.merge_drawn(segments, [Draw(k, limit) for k in keys])]
+    def merge_masked(self, segments: list[str], masks: list[int]) -> list[tuple[int, np.ndarray]]:
+        """For each segment, merged with the candidates skipped that its mask names: how many came up, and the ids.
 
-    def merge_drawn(self, segments: list[str], draws: list[Draw]) -> list[tuple[int, int, bytes]]:
-        """For each segment how many candidates came up, the set of those skipped as bits, and the ids."""
-        out: list[tuple[int, int, bytes]] = [(0, 0, b"")] * len(segments)
+        Segments of up to ``KEPT`` + 1 characters are merged side by side.
+        """
+        out: list[tuple[int, np.ndarray]] = [(0, np.empty(0, np.int32))] * len(segments)
         order = sorted(range(len(segments)), key=lambda i: len(segments[i]))
         at = 0
 
-        def alone(i: int) -> tuple[int, int, bytes]:
-            ids = array("i", self._merge(segments[i], draws[i])).tobytes()
-            return draws[i].n, draws[i].mask, ids
+        def alone(i: int) -> tuple[int, np.ndarray]:
+            given = Given(masks[i])
+            ids = self._merge(segments[i], given)
+            return given.n, np.array(ids, dtype=np.int32)
 
         while at < len(order):
             if len(segments[order[at]]) > KEPT + 1:
@@ -219,7 +227,7 @@ class Pieces:
                 at += 1
                 continue
             some = [i for i in order[at : at + 4096] if len(segments[i]) <= KEPT + 1]
-            for i, got in zip(some, self._merge_block([segments[i] for i in some], [draws[i] for i in some]), strict=True):
+            for i, got in zip(some, self._merge_block([segments[i] for i in some], [masks[i] for i in some]), strict=True):
                 out[i] = got if got is not None else alone(i)
             at += len(some)
         return out
@@ -239,7 +247,7 @@ class Pieces:
             ok[on] = got[on] == want[on]
         return np.where(ok, self.join_rank[i].astype(np.int64), NEVER), self.join_to[i].astype(np.int64)
 
-    def _merge_block(self, segments: list[str], draws: list[Draw]) -> list[tuple[int, int, bytes] | None]:
+    def _merge_block(self, segments: list[str], masks: list[int]) -> list[tuple[int, np.ndarray] | None]:
         """Segments of like length, a candidate of each at a time; None for those with characters that have no piece, or
         more candidates than there are bits."""
         sizes = np.array([len(x) for x in segments])
@@ -248,12 +256,8 @@ class Pieces:
         inside = np.arange(width)[None, :] < sizes[:, None]
         sym = np.full((n, width + 1), -1, dtype=np.int64)
         sym[:, :width][inside] = flat
-        limit = max(d.limit for d in draws)
-        key = np.array([d.key for d in draws], dtype=np.uint64)
-        skip = np.array([d.next for d in draws], dtype=np.int64)
-        once = np.array([d.once for d in draws])
+        skips = np.array(masks, dtype=np.uint64)
         up = np.zeros(n, dtype=np.int64)
-        mask = np.zeros(n, dtype=np.uint64)
         after = np.minimum(np.arange(1, width + 2)[None, :], sizes[:, None])  # the next symbol's place; the size: none
         before = np.tile(np.arange(-1, width), (n, 1))
         rank = np.full((n, width + 1), NEVER, dtype=np.int64)
@@ -267,14 +271,11 @@ class Pieces:
             on = rank[going, i] < NEVER
             rows = going = going[on]
             i = i[on]
-            skipped = up[rows] == skip[rows]
+            skipped = skips[rows] & np.uint64(1) == 1
+            skips[rows] >>= np.uint64(1)
             up[rows] += 1
             rank[rows, i] = NEVER
             if skipped.any():
-                s = rows[skipped]
-                mask[s] |= np.uint64(1) << np.minimum(up[s] - 1, KEPT).astype(np.uint64)
-                key[s] = _mixed(key[s] + np.uint64(GOLDEN))
-                skip[s] = np.where(once[s], NEVER, up[s] + _gaps(key[s], limit))
                 rows, i = rows[~skipped], i[~skipped]
             j = after[rows, i]
             end = after[rows, j]
@@ -293,14 +294,14 @@ class Pieces:
         ids = sym[alive]
         odd = up > KEPT
         odd[np.nonzero(alive)[0][ids >= self.size]] = True
-        raw = ids.astype(np.int32).tobytes()
-        ends = np.cumsum(alive.sum(axis=1)) * 4
-        return [None if o else (u, k, raw[s:e]) for o, u, k, s, e in zip(odd.tolist(), up.tolist(), mask.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        ids = ids.astype(np.int32)
+        ends = np.cumsum(alive.sum(axis=1))
+        return [None if o else (u, ids[s:e]) for o, u, s, e in zip(odd.tolist(), up.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _merge_long(self, parts: list[str], limit: int, key: int) -> list[str]:
         return self._merge_heap(parts, Draw(key, limit))
 
-    def _merge_heap(self, parts: list[str], draw: Draw) -> list[str]:
+    def _merge_heap(self, parts: list[str], draw: Draw | Given) -> list[str]:
         """The same by a heap and links, for segments without a space in sight."""
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -332,6 +333,20 @@ class Pieces:
             propose(i)
         return [p for p, a in zip(parts, alive, strict=True) if a]
 
+    @cached_property
+    def _spelt(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all pieces in a row; where each piece's begin, and how many it has."""
+        size = np.array([len(x) for x in self.bytes])
+        return np.frombuffer(b"".join(self.bytes), dtype=np.uint8), np.cumsum(size) - size, size
+
+    def decode_bytes(self, ids: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+        """The UTF-8 of the texts that runs of ids spell; a run ends where the next begins."""
+        raw, start, size = self._spelt
+        n = size[ids]
+        out = raw[_runs(start[ids], n)].data
+        stops = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])].tolist()
+        return [out[s + 1 if self.prefix and e > s else s : e] for s, e in zip(stops, stops[1:], strict=False)]
+
     def decode(self, ids) -> str:
         """The text that ids spell."""
         table = self.bytes
@@ -344,20 +359,33 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one run after the other."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Encoder:
     """Encodes texts in a worker, keeping the segmentations it has met.
 
     What is kept goes by token: a text's words between single spaces, where a line feed starts a new one. Texts with
-    runs of spaces, a space at the start or characters that tokens use as marks go by segment.
+    runs of spaces, a space at the start or characters that tokens use as marks go by segment. A segmentation is a
+    number: of a token without skips, or of another segmentation with one more candidate skipped after its last.
     """
 
     def __init__(self, path: str, rate: float = 0.0, seed: int = 0) -> None:
         self.pieces, self.seed, self.limit = load(path), seed, int(rate * 2**53)
-        #: Each token's ids without skips, how many candidates come up before them; those with one skip, by its number; with more.
-        self.plain: dict[str, tuple[int, bytes]] = {}
-        self.one: list[dict[str, tuple[int, bytes]]] = [{} for _ in range(KEPT)]
-        self.more: dict[tuple[str, int], tuple[int, bytes]] = {}
-        self.bytes_only: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.root: dict[str, int] = {}  # a token's segmentation without skips
+        self.child: dict[int, int] = {}  # by segmentation and the candidate skipped next
+        self.token: list[str] = []  # of each segmentation the token, the set of skips as bits,
+        self.mask: list[int] = []
+        self.n = np.empty(0, dtype=np.int32)  # how many candidates come up, and where its ids are
+        self.start = np.empty(0, dtype=np.int64)
+        self.size = np.empty(0, dtype=np.int32)
+        self.ids = np.empty(0, dtype=np.int32)
+        self.used = 0  # of ids
 
     def tokens(self, text: str) -> list[str]:
         if not text:
@@ -374,111 +402,109 @@ class Encoder:
             return ["\n", token[1:]] if len(token) > 1 else ["\n"]
         return [SPACE + token]
 
-    def _learn(self, missing: set[str]) -> dict[str, tuple[int, bytes]]:
-        """Candidates and ids of tokens without skips. The library merges the same, and faster."""
-        out, p = {}, self.pieces
+    def _keep(self, tokens: list[str], masks: list[int], n: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Adds segmentations; their numbers."""
+        at, more = len(self.token), len(tokens)
+        self.token += tokens
+        self.mask += masks
+        if at + more > len(self.n):
+            room = max(4096, at + 2 * more)
+            self.n, self.start, self.size = (np.concatenate([x, np.zeros(room, dtype=x.dtype)]) for x in (self.n, self.start, self.size))
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(1 << 16, self.used // 2 + 2 * len(flat)), dtype=np.int32)])
+        self.n[at : at + more], self.size[at : at + more] = n, sizes
+        self.start[at : at + more] = self.used + np.cumsum(sizes) - sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return np.arange(at, at + more)
+
+    def _learn(self, missing: list[str]) -> None:
+        """Segmentations of tokens without skips. The library merges the same, and faster."""
+        p = self.pieces
         some = [t for t in missing if t[:1] != "\0"]
-        space, byte_ids = [p.ids[SPACE]], frozenset(p.byte_id.values())
-        for t, ids in zip(some, p.library.encode(some, num_threads=1), strict=True):
-            # after a line feed no space goes before; the library's comes out as a piece of its own
-            line = t[:1] == "\n"
-            ids = ids[1:] if line else ids or space
-            if not self.limit:
-                out[t] = 0, array("i", ids).tobytes()
-                continue
-            parts = len(ids)
-            if not byte_ids.isdisjoint(ids):  # a character without a piece is one part
-                parts -= sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in t if c not in p.ids)
-            out[t] = len(t) + (not line) - parts, array("i", ids).tobytes()
+        if some:
+            told = p.library.encode(some, num_threads=1)
+            sizes = np.fromiter(map(len, told), dtype=np.int64, count=len(told))
+            flat = np.fromiter(chain.from_iterable(told), dtype=np.int32, count=int(sizes.sum()))
+            line = np.fromiter((t[:1] == "\n" for t in some), dtype=bool, count=len(some))
+            if line.any():  # after a line feed no space goes before; the library's comes out as a piece of its own
+                flat = np.delete(flat, (np.cumsum(sizes) - sizes)[line])
+                sizes -= line
+            if "" in missing:  # the space alone
+                at = some.index("")
+                flat = np.insert(flat, int(sizes[:at].sum()), p.ids[SPACE])
+                sizes[at] += 1
+            parts = sizes.copy()
+            odd = np.unique(np.repeat(np.arange(len(some)), sizes)[p.is_byte[flat]])
+            for i in odd.tolist():  # a character without a piece is one part
+                parts[i] -= sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in some[i] if c not in p.ids)
+            n = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + ~line - parts
+            self.root.update(zip(some, self._keep(some, [0] * len(some), n, sizes, flat).tolist(), strict=True))
         rest = [t for t in missing if t[:1] == "\0"]
-        for t, (n, _, ids) in zip(rest, p.merge_drawn([t[1:] for t in rest], [Draw(0, 0) for _ in rest]), strict=True):
-            out[t] = n, ids
-        return out
-
-    def _drawn(self, tokens: list[str], draws: list[Draw]) -> list[tuple[int, int, bytes]]:
-        """``merge_drawn`` of tokens; a line feed at the start has no candidates."""
-        got = self.pieces.merge_drawn([self._segments(t)[-1] for t in tokens], draws)
-        line = array("i", self.pieces.merge("\n")).tobytes()
-        return [(n, m, line + ids) if t[:1] == "\n" and len(t) > 1 else (n, m, ids) for t, (n, m, ids) in zip(tokens, got, strict=True)]
+        if rest:
+            self.root.update(zip(rest, self._merged(rest, [0] * len(rest)).tolist(), strict=True))
+
+    def _merged(self, tokens: list[str], masks: list[int]) -> np.ndarray:
+        """Numbers of new segmentations; a line feed at the start has no candidates."""
+        got = self.pieces.merge_masked([self._segments(t)[-1] for t in tokens], masks)
+        line = np.array(self.pieces.merge("\n"), dtype=np.int32)
+        ids = [np.concatenate([line, x]) if t[:1] == "\n" and len(t) > 1 else x for t, (_, x) in zip(tokens, got, strict=True)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return self._keep(tokens, masks, np.array([n for n, _ in got]), sizes, np.concatenate(ids))
+
+    def encode_flat(self, texts: list[str], docs: list[int] | None = None, passes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's end. With dropout each token's skips depend on its text's
+        ``docs`` and ``passes``, and its place."""
+        if len(self.token) >= CACHE:
+            self._forget()
+        split = [self.tokens(t) for t in texts]
+        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
+        every = list(chain.from_iterable(split))
+        got = list(map(self.root.get, every))
+        if None in got:
+            self._learn(list(dict.fromkeys(t for t, g in zip(every, got, strict=True) if g is None)))
+            got = map(self.root.__getitem__, every)
+        found = np.fromiter(got, dtype=np.int64, count=len(every))
+        if self.limit:
+            starts = [xxhash.xxh64_intdigest(f"{self.seed},{d},{k}") for d, k in zip(docs or [0] * len(texts), passes or [0] * len(texts), strict=True)]
+            place = _runs(np.ones(len(counts), dtype=np.int64), counts).astype(np.uint64)
+            self._drop(every, found, _mixed(np.repeat(np.array(starts, dtype=np.uint64), counts) + place * np.uint64(GOLDEN)))
+        sizes = self.size[found].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        return self.ids[_runs(self.start[found], sizes)], ends
+
+    def _drop(self, tokens: list[str], found: np.ndarray, keys: np.ndarray) -> None:
+        """Turns each token's segmentation without skips into that with the skips of its key, a skip of all at a time."""
+        skip = _gaps(keys, self.limit)
+        on = np.nonzero(skip < self.n[found])[0]
+        key, skip = keys[on], skip[on]
+        alone: list[int] = []
+        while len(on):
+            wild = skip >= KEPT
+            if wild.any():
+                alone += on[wild].tolist()
+                on, key, skip = on[~wild], key[~wild], skip[~wild]
+            want, inverse = np.unique(found[on] << 6 | skip, return_inverse=True)
+            got = list(map(self.child.get, want.tolist()))
+            if None in got:
+                new = [w for w, g in zip(want.tolist(), got, strict=True) if g is None]
+                made = self._merged([self.token[w >> 6] for w in new], [self.mask[w >> 6] | 1 << (w & 63) for w in new])
+                self.child.update(zip(new, made.tolist(), strict=True))
+                got = map(self.child.__getitem__, want.tolist())
+            found[on] = np.fromiter(got, dtype=np.int64, count=len(want))[inverse]
+            key = _mixed(key + np.uint64(GOLDEN))
+            skip = skip + 1 + _gaps(key, self.limit)
+            still = skip < self.n[found[on]]
+            on, key, skip = on[still], key[still], skip[still]
+        for i in alone:  # skips beyond the bits of a mask
+            parts = self._segments(tokens[i])
+            ids = [x for s in parts[:-1] for x in self.pieces.merge(s)] + self.pieces._merge(parts[-1], Draw(int(keys[i]), self.limit))
+            found[i] = self._keep([tokens[i]], [0], np.zeros(1), np.array([len(ids)]), np.array(ids, dtype=np.int32))[0]
 
     def encode_many(self, texts: list[str], docs: list[int] | None = None, passes: list[int] | None = None) -> list[np.ndarray]:
-        """The ids of each text. With dropout each token's skips depend on its text's ``docs`` and ``passes``, and its place."""
-        return [np.frombuffer(x, dtype=np.int32) for x in self.encode_bytes(texts, docs, passes)]
-
-    def encode_bytes(self, texts: list[str], docs: list[int] | None = None, passes: list[int] | None = None) -> list[bytes]:
-        """The same, each text's ids as the bytes of int32."""
-        if self.limit:
-            # what is kept and what is open has no cycles, and is much to walk over
-            gc.disable()
-            try:
-                return self._encode_dropped(texts, docs or [0] * len(texts), passes or [0] * len(texts))
-            finally:
-                gc.enable()
-        kept = self.bytes_only
-        if len(kept) >= 2 * CACHE:
-            kept.clear()
-        rows = []
-        for text in texts:
-            tokens = self.tokens(text)
-            rows.append((tokens, list(map(kept.get, tokens))))
-        if missing := {t for tokens, got in rows if None in got for t, g in zip(tokens, got, strict=True) if g is None}:
-            kept.update((t, ids) for t, (_, ids) in self._learn(missing).items())
-        return [b"".join(map(kept.__getitem__, tokens) if None in got else got) for tokens, got in rows]
-
-    def _encode_dropped(self, texts: list[str], docs: list[int], passes: list[int]) -> list[bytes]:
-        plain, one, more, limit = self.plain, self.one, self.more, self.limit
-        if len(plain) + sum(map(len, one)) + len(more) >= CACHE:
-            for c in (plain, *one, more):
-                c.clear()
-        get, rows, open_ = plain.get, [], []
-        for text, doc, turn in zip(texts, docs, passes, strict=True):
-            tokens = self.tokens(text)
-            start = xxhash.xxh64_intdigest(f"{self.seed},{doc},{turn}")
-            keys = _mixed(np.uint64(start) + np.arange(1, len(tokens) + 1, dtype=np.uint64) * np.uint64(GOLDEN))
-            first = _gaps(keys, limit)
-            got = [p[1] if (p := get(t, MISS))[0] <= f else None for t, f in zip(tokens, first.tolist(), strict=True)]
-            rows.append(got)
-            if None not in got:
-                continue
-            at = [k for k, x in enumerate(got) if x is None]
-            x, f = keys[at], first[at]
-            after = _mixed(x + np.uint64(GOLDEN))
-            second = f + 1 + _gaps(after, limit)
-            for k, x, y, f, s in zip(at, x.tolist(), after.tolist(), f.tolist(), second.tolist(), strict=True):
-                t = tokens[k]
-                p = one[f].get(t) if f < KEPT else None
-                if p is not None and p[0] <= s:
-                    got[k] = p[1]
-                else:
-                    open_.append((got, k, t, x, y, f, s))
-        if missing := {t for _, _, t, *_ in open_ if t not in plain}:
-            plain.update(self._learn(missing))
-        wanted = {}
-        for _, _, t, _, _, f, _ in open_:
-            if f < min(plain[t][0], KEPT) and t not in one[f]:
-                wanted[t, f] = None
-        for (t, f), (n, _, ids) in zip(wanted, self._drawn([t for t, _ in wanted], [Draw(0, limit, f, True) for _, f in wanted]), strict=True):
-            one[f][t] = n, ids
-        last = []
-        for got, k, t, x, y, f, s in open_:
-            n, ids = plain[t]
-            if n > f:
-                n, ids = one[f][t] if f < KEPT else MISS
-                mask, at = 1 << f, s
-                while n > at:  # skips after the first
-                    mask |= 1 << at
-                    n, ids = more.get((t, mask), MISS)
-                    if n == NEVER:
-                        last.append((got, k, t, x, f))
-                        break
-                    y = _mix(y + GOLDEN & MASK)
-                    at += 1 + _gap(y, limit)
-            got[k] = ids
-        for (got, k, t, _, _), (n, mask, ids) in zip(last, self._drawn([t for _, _, t, _, _ in last], [Draw(x, limit, f) for _, _, _, x, f in last]), strict=True):
-            got[k] = ids
-            if n <= KEPT:
-                more[t, mask] = n, ids
-        return [b"".join(got) for got in rows]
+        """The ids of each text."""
+        flat, ends = self.encode_flat(texts, docs, passes)
+        return np.split(flat, ends[:-1]) if len(texts) else []
 
     def encode(self, text: str, doc: int = 0) -> np.ndarray:
         return self.encode_many([text], [doc])[0]
@@ -505,11 +531,11 @@ def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, model: str =
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 docs, texts, passes = (b.column(i).slice(at, 500).to_pylist() for i in (0, 1, 2))
-                some = enc.encode_many([t or "" for t in texts], [d or 0 for d in docs], [n or 0 for n in passes])
-                told = [hashlib.sha256(enc.pieces.decode(ids.tolist()).encode("utf-8", "surrogatepass")).hexdigest() for ids in some]
-                sizes = np.array([len(x) for x in some], dtype=np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(some) if some else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), lists, pa.array(sizes), pa.array(told)], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
+                flat, ends = enc.encode_flat([t or "" for t in texts], [d or 0 for d in docs], [n or 0 for n in passes])
+                told = [hashlib.sha256(x).hexdigest() for x in enc.pieces.decode_bytes(flat, ends)]
+                ends = np.concatenate([[0], ends])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), lists, pa.array(np.diff(ends)), pa.array(told)], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
             release()
 
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(pass_col).cast("bigint").alias("pass") if pass_col else F.lit(0).cast("bigint").alias("pass"))
