@@ -3,6 +3,9 @@
 Texts become piece ids, packed into sequences of a fixed length; a keyed Feistel permutation with cycle-walking gives
 every sequence its slot among all; ranges of slots become shards of a fixed stride. Slot s is in shard s // per_shard at
 byte s % per_shard * stride, so any run of the training order is one read, and a reader resumes from a slot's number.
+
+Which texts share a sequence follows from the rows alone: documents are dealt to buckets by a hash of id and text, and
+packed bucket by bucket in the order of that hash, however files and tasks cut the table.
 """
 
 from __future__ import annotations
@@ -22,6 +25,16 @@ from .pieces import MODEL, encoder
 
 END, PAD = 2, 0
 ROUNDS = 8
+#: Documents a bucket, on average, and buckets at most. Each bucket's last sequence is filled up.
+BUCKET, BUCKETS = 8_192, 65_536
+
+
+def _zip(raw: bytes) -> bytes:
+    return pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unzip(blob: bytes, size: int) -> bytes:
+    return pa.decompress(blob, size, "zstd", asbytes=True)
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -51,69 +64,94 @@ def feistel(index: np.ndarray, n: int, seed: int) -> np.ndarray:
 
 
 def token_sequences(docs: DataFrame, length: int = 1024, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``part, place, n_tokens, first_doc, ids``: each task's texts, an end mark after each, cut into sequences.
+    """``bucket, place, n_tokens, first_doc, ids``: the texts of each bucket, an end mark after each, cut into sequences.
 
-    ``ids`` holds ``length`` unsigned 16-bit numbers, little-endian; a task's last sequence is filled up with ``PAD``.
-    Null and empty texts are an end mark. ``first_doc`` is the id of the document that the sequence starts in.
+    ``ids`` holds ``length`` unsigned 16-bit numbers, little-endian, as zstd; a bucket's last sequence is filled up with
+    ``PAD``. Null and empty texts are an end mark. Null ids are ids like any other. ``first_doc`` is the id of the
+    document that the sequence starts in.
     """
+    buckets = max(1, min(BUCKETS, math.ceil(docs.count() / BUCKET)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model, 0.0, 0)
         if enc.pieces.size > 1 << 16:
             raise ValueError("ids of 16 bits are too short for this model")
-        part, place, end = TaskContext.get().partitionId(), 0, np.array([END], dtype=np.int32).tobytes()
-        rest, rest_doc = np.empty(0, dtype="<u2"), -1  # what the last sequence of a batch lacks, and whose it is
-
-        def out(tokens: np.ndarray, first: np.ndarray, real: np.ndarray) -> pa.RecordBatch:
-            nonlocal place
-            n = len(tokens) // length
-            raw = tokens.tobytes()
-            blobs = pa.array([raw[i : i + 2 * length] for i in range(0, len(raw), 2 * length)], pa.binary())
-            told = pa.RecordBatch.from_arrays([pa.array(np.full(n, part)), pa.array(np.arange(place, place + n)), pa.array(real), pa.array(first), blobs], ["part", "place", "n_tokens", "first_doc", "ids"])
-            place += n
-            return told
-
         for b in batches:
-            ids = b.column(0).fill_null(-1).to_numpy()
             for at in range(0, b.num_rows, 500):
-                some = enc.encode_bytes([t or "" for t in b.column(1).slice(at, 500).to_pylist()])
-                sizes = np.array([len(x) // 4 + 1 for x in some])
-                flat = np.concatenate([rest, np.frombuffer(end.join(some) + end, dtype=np.int32).astype("<u2")])
-                starts = np.concatenate([[0], len(rest) + np.concatenate([[0], np.cumsum(sizes)[:-1]])])  # of the rest, then of each text
-                owners = np.concatenate([[rest_doc], ids[at : at + 500]])
-                whole = len(flat) // length
-                heads = np.arange(whole + 1) * length
-                first = owners[np.searchsorted(starts, heads, side="right") - 1]
-                if whole:
-                    yield out(flat[: whole * length], first[:whole], np.full(whole, length))
-                rest, rest_doc = flat[whole * length :].copy(), int(first[whole])
+                some = b.slice(at, 500)
+                flat, ends = enc.encode_flat([t or "" for t in some.column(3).to_pylist()])
+                raw = np.insert(flat, ends, END).astype("<u2").tobytes()
+                ends = 2 * (ends + np.arange(1, len(ends) + 1))
+                blobs = [_zip(raw[s:e]) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(np.diff(ends, prepend=0) // 2), pa.array(blobs, pa.binary())], ["bucket", "o", "doc_id", "n", "ids"])
+            release()
+
+    order = F.xxhash64(F.col(id_col), F.col(text_col))
+    cols = docs.select(F.pmod(order, F.lit(buckets)).cast("int").alias("bucket"), order.alias("o"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    made = cols.mapInArrow(encoded, "bucket int, o bigint, doc_id bigint, n bigint, ids binary")
+    dealt = made.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "o", "doc_id", "ids")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []  # of the current bucket: texts not yet cut, and whose they are
+        starts: list[int] = []
+        owners: list[int | None] = []
+        size, place, bucket = 0, 0, None
+
+        def cut(last: bool) -> pa.RecordBatch | None:
+            nonlocal held, starts, owners, size, place
+            raw = b"".join(held)
+            whole = -(-size // length) if last else size // length
+            real = np.full(whole, length)
+            if whole * length > size:
+                raw += np.full(whole * length - size, PAD, dtype="<u2").tobytes()
+                real[-1] = size - (whole - 1) * length
+            heads = np.arange(whole + 1) * length
+            first = [owners[i] for i in (np.searchsorted(starts, heads, side="right") - 1).tolist()]
+            blobs = [_zip(raw[2 * i : 2 * (i + length)]) for i in heads[:-1].tolist()]
+            out = pa.RecordBatch.from_arrays([pa.array([bucket] * whole, pa.int32()), pa.array(np.arange(place, place + whole)), pa.array(real), pa.array(first[:-1], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "place", "n_tokens", "first_doc", "ids"])
+            place += whole
+            held, size = [raw[2 * whole * length :]], max(0, size - whole * length)
+            starts, owners = [0], [first[-1]]
+            return out
+
+        for b in batches:
+            for k, doc, n, blob in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                if k != bucket:
+                    if size:
+                        yield cut(True)
+                    held, starts, owners, size, place, bucket = [], [], [], 0, 0, k
+                held.append(_unzip(blob, 2 * n))
+                starts.append(size)
+                owners.append(doc)
+                size += n
+                if size > 1 << 21:
+                    yield cut(False)
             release()
-        if len(rest):
-            fill = length - len(rest)
-            yield out(np.concatenate([rest, np.full(fill, PAD, dtype="<u2")]), np.array([rest_doc]), np.array([len(rest)]))
+        if size:
+            yield cut(True)
 
-    cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return cols.mapInArrow(run, "part bigint, place bigint, n_tokens bigint, first_doc bigint, ids binary")
+    return dealt.mapInArrow(packed, "bucket int, place bigint, n_tokens bigint, first_doc bigint, ids binary")
 
 
 def training_shards(docs: DataFrame, length: int = 1024, per_shard: int = 2048, seed: int = 4, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``shard, first_slot, n_sequences, stride, n_tokens, sha256, payload``: all sequences in training order.
 
-    A payload is ``n_sequences`` runs of ``stride`` bytes; all shards but the last hold ``per_shard``. The sequences go
-    to the shared folder first, so their number is known and no text is encoded twice; each then moves once, to the
-    range of slots it belongs to. Rows that repeat are encoded each. Empty table: no shards.
+    A payload is ``n_sequences`` runs of ``stride`` bytes; all shards but the last hold ``per_shard``. Ids move once to
+    their bucket and, as sequences, once to the range of slots they belong to; in between they are in the shared folder,
+    so that their number is known and no text is encoded twice. Equal rows give equal shards, however the table is cut.
+    Rows that repeat are encoded each. Empty table: no shards.
     """
     spark = docs.sparkSession
     made = materialize(token_sequences(docs, length, model, id_col, text_col), "sequences")
-    sizes = made.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()  # a row a task
+    sizes = made.groupBy("bucket").agg(F.count("*").alias("n")).orderBy("bucket").collect()  # ``BUCKETS`` rows at most
     total = sum(r["n"] for r in sizes)
     starts, at = {}, 0
     for r in sizes:
-        starts[r["part"]] = at
+        starts[r["bucket"]] = at
         at += r["n"]
     shards = max(1, math.ceil(total / per_shard))
     parts = min(shards, 8192)
-    offsets = spark.createDataFrame(list(starts.items()) or [(0, 0)], "part bigint, start bigint")
+    offsets = spark.createDataFrame(list(starts.items()) or [(0, 0)], "bucket int, start bigint")
 
     @F.pandas_udf("bigint")
     def slot_of(index):
@@ -121,13 +159,13 @@ def training_shards(docs: DataFrame, length: int = 1024, per_shard: int = 2048,
 
         return pd.Series(feistel(index.to_numpy(), total, seed))
 
-    placed = made.join(F.broadcast(offsets), "part").withColumn("slot", slot_of(F.col("start") + F.col("place")))
+    placed = made.join(F.broadcast(offsets), "bucket").withColumn("slot", slot_of(F.col("start") + F.col("place")))
     placed = placed.select(F.floor(F.col("slot") / per_shard).alias("shard"), "slot", "n_tokens", "ids")
     ranged = placed.repartitionById(parts, F.floor(F.col("shard") * parts / shards).cast("int")).sortWithinPartitions("shard", "slot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, 1):
-            payload = b"".join(t.column("ids").to_pylist())
+            payload = b"".join(_unzip(x, 2 * length) for x in t.column("ids").to_pylist())
             row = [t.column("shard")[0].as_py(), t.column("slot")[0].as_py(), t.num_rows, 2 * length, sum(t.column("n_tokens").to_pylist()), hashlib.sha256(payload).hexdigest(), payload]
             yield pa.RecordBatch.from_pylist([dict(zip(("shard", "first_slot", "n_sequences", "stride", "n_tokens", "sha256", "payload"), row, strict=True))])
 
