@@ -7,8 +7,13 @@ product of its children's, for every depth up to ``DEPTH``; so the weight of sto
 and a bit's probability mixes the estimates along the context's path, the deepest first. Training gathers the counts of
 all (DEPTH + 1)-grams of all training texts; the trees are then fixed, so each text is scored by itself.
 
-A context of two bytes or more is a node if it has been seen ``LEAST`` times, however large the corpus, so the model grows
-with its input; what rarer contexts have seen still counts in those above them. The trees are built on the driver.
+A context of two bytes or more is a node if it has been seen ``least`` times, however large the corpus, so the model grows
+with its input; what rarer contexts have seen is one more child of those above them, with an estimate of its own. With
+``least`` 1 every context seen is a node.
+
+Trees are built in tasks: what follows two nearest bytes is one subtree, ranges of such pairs are tasks, and each writes
+its nodes as a file of sorted arrays. The driver gets the nodes of depth two, 65,536 contexts at most, for the two levels
+above. Workers map the files.
 """
 
 from __future__ import annotations
@@ -16,9 +21,9 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +38,12 @@ from .langid import held_out
 DEPTH = 5
 #: How often a context of two bytes or more must have been seen.
 LEAST = 2
-#: A context need hold no share of the training bytes.
-SHARE = math.inf
+#: Contexts of so many bytes and their nodes are built by themselves; those above on the driver.
+SPLIT = 2
+#: Distinct grams a task that builds trees, on average, and such tasks at most.
+TASK_GRAMS, TASKS = 1_000_000, 4_096
+#: Where workers can't open the shared folder, a model up to this size is broadcast.
+BROADCAST_BYTES = 256 << 20
 END = b"\xff"  # no byte of UTF-8
 #: The end of a text as a token: no word holds white space.
 END_TOKEN = b"\n"
@@ -152,14 +161,6 @@ def count_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return parts.groupBy("kind", "code").agg(F.sum("n").alias("n"))
 
 
-def nodes_of(counts: DataFrame) -> DataFrame:
-    """``depth, code, n``: for each context kept, the nearest byte first, and each byte seen after it, how often."""
-    every = counts.select("n", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.shiftright("code", 8 * (DEPTH + 1 - d)).alias("c")) for d in range(DEPTH + 1)])).alias("x"), F.col("code").bitwiseAND(F.lit(255)).alias("s"))
-    every = every.groupBy(F.col("x.d").alias("depth"), F.shiftleft("x.c", 8).bitwiseOR(F.col("s")).alias("code")).agg(F.sum("n").alias("n"))
-    held = every.groupBy("depth", F.shiftright("code", 8).alias("ctx")).agg(F.sum("n").alias("held")).where((F.col("depth") < 2) | (F.col("held") >= LEAST)).drop("held")
-    return every.withColumn("ctx", F.shiftright("code", 8)).join(held, ["depth", "ctx"]).select("depth", "code", "n")
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x >= 1/2, by Stirling's series six further on."""
     shift = sum(np.log(x + i) for i in range(6))
@@ -172,71 +173,133 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
+def _ids(code: np.ndarray, k: int) -> np.ndarray:
+    """Node ids of grams (context, byte) before bit k: the context, a one, and the byte's first k bits."""
+    return (code >> U(8)) << U(8) | (code & U(255)) >> U(8 - k) | U(1 << k)
+
+
+def _depths(code: np.ndarray, n: np.ndarray, top: int, low: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By depth from ``low`` up to ``top``: the (context, byte) seen, sorted, and how often, from those of depth ``low``."""
+    out = {low: _totals(code, n)}
+    for d in range(low - 1, top - 1, -1):
+        code, n = out[d + 1]
+        out[d] = _totals((code >> U(16)) << U(8) | code & U(255), n)
+    return out
+
+
+def _held(code: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted (context, byte) those of contexts seen ``least`` times."""
+    if not len(code):
+        return code, n
+    start = np.nonzero(np.concatenate([[True], code[1:] >> U(8) != code[:-1] >> U(8)]))[0]
+    keep = np.repeat(np.add.reduceat(n, start) >= least, np.diff(np.append(start, len(code))))
+    return code[keep], n[keep]
+
+
+#: Of the nodes of one depth and bit: ids, how often they are met, with a one, and their log weighted probabilities.
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Parts = dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def weigh(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], below: dict[int, Level] | None = None) -> tuple[Parts, dict[int, Level]]:
+    """The nodes by depth and bit: ids, the estimate of a one, the weight of stopping, and the estimate of what contexts
+    that are no nodes have seen; and by bit the least deep ones. ``below``: the nodes under the deepest."""
+    parts: Parts = {}
+    tops: dict[int, Level] = {}
+    for k in range(8):
+        kids = below[k] if below else None
+        for d in sorted(by_depth, reverse=True):
+            code, n = by_depth[d]
+            if not len(code):
+                none = np.empty(0)
+                parts[d, k] = (np.empty(0, dtype=U), *[none.astype(np.float32)] * 3)
+                kids = np.empty(0, dtype=U), none, none, none
+                continue
+            n = n.astype(np.float64)
+            ids = _ids(code, k)
+            start = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
+            ids = ids[start]
+            both = np.add.reduceat(n, start)
+            ones = np.add.reduceat(n * ((code >> U(7 - k)) & U(1)), start)
+            own = _kt(both - ones, ones)
+            weighted, stop, other = own, np.ones(len(ids)), np.full(len(ids), 0.5)
+            if kids is not None:
+                kid, kid_both, kid_ones, kid_weighted = kids
+                at = np.searchsorted(ids, (kid >> U(16)) << U(8) | kid & U(255))
+                total = lambda v: np.bincount(at, weights=v, minlength=len(ids))  # noqa: E731, B023
+                rest, rest_ones = np.maximum(both - total(kid_both), 0), np.maximum(ones - total(kid_ones), 0)
+                split = total(kid_weighted) + _kt(np.maximum(rest - rest_ones, 0), rest_ones)
+                inner = total(np.ones(len(kid))) > 0
+                weighted = np.where(inner, np.logaddexp(own, split) - math.log(2), own)
+                stop = np.where(inner, np.exp(own - math.log(2) - weighted), 1.0)
+                other = (rest_ones + 0.5) / (rest + 1)
+            parts[d, k] = ids, *(x.astype(np.float32) for x in ((ones + 0.5) / (both + 1), stop, other))
+            kids = ids, both, ones, weighted
+        tops[k] = kids
+    return parts, tops
+
+
+def subtrees(code: np.ndarray, n: np.ndarray, least: int) -> tuple[Parts, dict[str, np.ndarray]]:
+    """The nodes of depth ``SPLIT`` and more of whole subtrees, from their grams; and what the levels above need."""
+    seen = _depths(code, n, SPLIT, DEPTH)
+    parts, tops = weigh({d: _held(*x, least) for d, x in seen.items()})
+    return parts, {"code": seen[SPLIT][0], "n": seen[SPLIT][1]} | {f"{k}.{i}": x for k, t in tops.items() for i, x in enumerate(t)}
+
+
+def crown(told: list[dict[str, np.ndarray]]) -> Parts:
+    """The nodes above ``SPLIT``, from what ``subtrees`` has told of all subtrees, in order of their contexts."""
+    if not told:
+        return weigh({d: (np.empty(0, dtype=U), np.empty(0)) for d in range(SPLIT)})[0]
+    every = {name: np.concatenate([t[name] for t in told]) for name in told[0]}
+    seen = _depths(every["code"], every["n"], 0, SPLIT)
+    return weigh({d: seen[d] for d in range(SPLIT)}, {k: tuple(every[f"{k}.{i}"] for i in range(4)) for k in range(8)})[0]
+
+
 class Trees:
-    """The trees, by depth and bit: for each node its id (context, a one, the bits so far), the estimate of a one, and the
-    weight of stopping there."""
-
-    def __init__(self, parts: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.parts = parts
-
-    @classmethod
-    def build(cls, depth: np.ndarray, code: np.ndarray, n: np.ndarray) -> Trees:
-        parts = {}
-        by_depth = []
-        for d in range(DEPTH + 1):
-            c, m = code[depth == d].astype(U), n[depth == d].astype(np.float64)
-            order = np.argsort(c)
-            by_depth.append((c[order], m[order]))
-        for k in range(8):
-            below = None
-            for d in range(DEPTH, -1, -1):
-                c, m = by_depth[d]
-                if not len(c):
-                    parts[d, k] = np.empty(0, dtype=U), np.empty(0), np.empty(0)
-                    continue
-                ids = _ids(c, k)
-                start = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
-                ids = ids[start]
-                both = np.add.reduceat(m, start)
-                ones = np.add.reduceat(m * ((c >> U(7 - k)) & U(1)), start)
-                own = _kt(both - ones, ones)
-                weighted, stop = own, np.ones(len(ids))
-                if below is not None:
-                    kid, kid_both, kid_ones, kid_weighted = below
-                    at = np.searchsorted(ids, (kid >> U(16)) << U(8) | kid & U(255))
-                    total = lambda v: np.bincount(at, weights=v, minlength=len(ids))  # noqa: E731, B023
-                    # what contexts that are no nodes have seen is one more child
-                    rest, rest_ones = np.maximum(both - total(kid_both), 0), np.maximum(ones - total(kid_ones), 0)
-                    split = total(kid_weighted) + _kt(np.maximum(rest - rest_ones, 0), rest_ones)
-                    inner = total(np.ones(len(kid))) > 0
-                    weighted = np.where(inner, np.logaddexp(own, split) - math.log(2), own)
-                    stop = np.where(inner, np.exp(own - math.log(2) - weighted), 1.0)
-                parts[d, k] = ids, ((ones + 0.5) / (both + 1)).astype(np.float32), stop.astype(np.float32)
-                below = ids, both, ones, weighted
-        return cls(parts)
+    """All trees: the nodes above ``SPLIT``, and those below by ranges of the ``SPLIT`` nearest bytes."""
+
+    def __init__(self, top: Parts, lows: list[int], files: list[Parts]) -> None:
+        self.top, self.lows, self.files = top, np.array(lows, dtype=U), files
 
     def log10(self, g: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's last byte after the others."""
+        """log10 of the probability of each gram's last byte after the others; ``g`` ascending."""
+        cuts = [*np.searchsorted(g >> U(8 * (DEPTH + 1 - SPLIT)), self.lows).tolist(), len(g)]
+        ranges = [(parts, slice(s, e)) for parts, s, e in zip(self.files, cuts, cuts[1:], strict=False) if e > s]
         out = np.zeros(len(g))
         for k in range(8):
             one = (g >> U(7 - k)) & U(1) == 1
             mix, seen = np.full(len(g), 0.5), np.zeros(len(g), dtype=bool)
-            for d in range(DEPTH, -1, -1):
-                ids, p, stop = self.parts[d, k]
+
+            def up(parts: Parts, some: slice, d: int) -> None:
+                ids, p, stop, other = parts[d, k]  # noqa: B023
                 if not len(ids):
-                    continue
-                want = _ids((g >> U(8 * (DEPTH + 1 - d))) << U(8) | g & U(255), k)
+                    return
+                x = g[some]
+                want = _ids((x >> U(8 * (DEPTH + 1 - d))) << U(8) | x & U(255), k)  # noqa: B023
                 at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
-                here = ids[at] == want
-                own = np.where(one, p[at], 1 - p[at]).astype(np.float64)
-                # the deepest node on the path has no say to pass on
-                mix = np.where(here, np.where(seen, stop[at] * own + (1 - stop[at]) * mix, own), mix)
-                seen |= here
+                here = np.nonzero(ids[at] == want)[0]
+                at, y = at[here], one[some][here]  # noqa: B023
+                own, rest = (np.where(y, q, 1 - q) for q in (p[at].astype(np.float64), other[at].astype(np.float64)))
+                m, s = mix[some], seen[some]  # noqa: B023
+                # of the deepest node on the path the other child is that of all contexts that are no nodes
+                m[here] = stop[at] * own + (1 - stop[at].astype(np.float64)) * np.where(s[here], m[here], rest)
+                s[here] = True
+
+            for parts, some in ranges:
+                for d in range(DEPTH, SPLIT - 1, -1):
+                    up(parts, some, d)
+            for d in range(SPLIT - 1, -1, -1):
+                up(self.top, slice(None), d)
             out += np.log10(mix)
         return out
 
-    def arrays(self) -> dict[str, np.ndarray]:
-        return {f"{d}.{k}.{i}": x for (d, k), t in self.parts.items() for i, x in enumerate(t)}
+
+def arrays_of(parts: Parts) -> dict[str, np.ndarray]:
+    return {f"{d}.{k}.{i}": x for (d, k), t in parts.items() for i, x in enumerate(t)}
+
+
+def parts_of(arrays: dict[str, np.ndarray]) -> Parts:
+    return {(d, k): tuple(arrays[f"{d}.{k}.{i}"] for i in range(4)) for d, k in {tuple(map(int, name.split(".")[:2])) for name in arrays if name.count(".") == 2}}
 
 
 def pack_arrays(arrays: dict[str, np.ndarray]) -> bytes:
@@ -256,28 +319,26 @@ def unpack_arrays(raw: np.ndarray) -> dict[str, np.ndarray]:
     return {k: raw[8 + n + at : 8 + n + at + size * np.dtype(kind).itemsize].view(kind) for k, (kind, at, size) in toc.items()}
 
 
-def share(spark, raw: bytes, name: str):
-    """Puts bytes of bounded size where workers find them: a file in the shared folder, or a broadcast, if Arrow has no
-    file system for that folder."""
+def put(raw: bytes, uri: str) -> bool:
+    """Writes a file where workers find it; False if Arrow has no file system for that folder."""
     from pyarrow import fs
 
-    uri = scratch_path(spark, name)
     try:
         store, where = fs.FileSystem.from_uri(uri)
         store.create_dir(where.rsplit("/", 1)[0], recursive=True)
         with store.open_output_stream(where) as f:
             f.write(raw)
-    except (OSError, pa.ArrowException, NotImplementedError):
-        return spark.sparkContext.broadcast(raw)
-    return uri
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, NotImplementedError):
+        return False
+    return True
 
 
-def shared(source) -> np.ndarray:
-    """What ``share`` put: mapped, not read, where the file can be, so that workers of a machine share its pages."""
+def mapped(source: str | bytes) -> np.ndarray:
+    """What ``put`` has written: mapped, not read, where the file can be, so that workers of a machine share its pages."""
     from pyarrow import fs
 
     if not isinstance(source, str):
-        return np.frombuffer(source.value, dtype=np.uint8)
+        return np.frombuffer(source, dtype=np.uint8)
     store, where = fs.FileSystem.from_uri(source)
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(where, dtype=np.uint8, mode="r")
@@ -285,18 +346,55 @@ def shared(source) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=np.uint8)
 
 
-def _ids(code: np.ndarray, k: int) -> np.ndarray:
-    """Node ids of grams (context, byte) before bit k: the context, a one, and the byte's first k bits."""
-    return (code >> U(8)) << U(8) | (code & U(255)) >> U(8 - k) | U(1 << k)
+class Model:
+    """Where the trees and the frequent words are: files, or what a broadcast holds of them."""
+
+    def __init__(self, top: str | bytes, lows: list[int], files: list[str | bytes]) -> None:
+        self.top, self.lows, self.files = top, lows, files
+
+    def trees(self) -> Trees:
+        return Trees(parts_of(unpack_arrays(mapped(self.top))), self.lows, [parts_of(unpack_arrays(mapped(f))) for f in self.files])
+
+
+def fit(counts: DataFrame, words: dict[str, np.ndarray], least: int = LEAST):
+    """The ``Model`` of what ``count_corpus`` has counted, in the shared folder; as a broadcast if workers can't open that."""
+    spark = counts.sparkSession
+    grams = counts.where("kind = 0").select("code", "n")
+    tasks = max(1, min(TASKS, math.ceil(grams.count() / TASK_GRAMS)))
+    dealt = grams.repartitionByRange(tasks, F.shiftright("code", 8 * (DEPTH + 1 - SPLIT))).sortWithinPartitions("code")
+    folder = scratch_path(spark, "lm-model")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            code, n = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in (0, 1))
+            parts, told = subtrees(code.view(U), n, least)
+            raw = pack_arrays(arrays_of(parts))
+            # an attempt's file has its own name, and only that of the attempt which Spark commits is read
+            name = f"{folder}/{TaskContext.get().partitionId()}-{TaskContext.get().taskAttemptId()}"
+            stored = put(raw, name)
+            yield pa.RecordBatch.from_pylist([{"low": int(code[0]) >> 8 * (DEPTH + 1 - SPLIT), "name": name if stored else None, "told": pack_arrays(told), "data": None if stored else raw}], pa.schema([("low", pa.int64()), ("name", pa.string()), ("told", pa.binary()), ("data", pa.binary())]))
+            release()
+
+    made = materialize(dealt.mapInArrow(build, "low bigint, name string, told binary, data binary"), "lm-trees")
+    held = made.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    if held > BROADCAST_BYTES:
+        raise ValueError(f"Arrow can't open {folder}, and a model of {held} bytes is too large for a broadcast")
+    rows = made.orderBy("low").collect()  # a row a task
+    top = pack_arrays(arrays_of(crown([unpack_arrays(np.frombuffer(r["told"], dtype=np.uint8)) for r in rows])) | words)
+    lows = [r["low"] for r in rows]
+    if not held and put(top, f"{folder}/top"):
+        return Model(f"{folder}/top", lows, [r["name"] for r in rows])
+    return spark.sparkContext.broadcast(Model(top, lows, [r["data"] if r["name"] is None else r["name"] for r in rows]))
 
 
 class Scorer:
     """Scores texts in a worker; the probabilities of grams it has met wait in a table of fixed size."""
 
-    def __init__(self, raw: np.ndarray) -> None:
-        got = unpack_arrays(raw)
+    def __init__(self, model: Model) -> None:
+        got = unpack_arrays(mapped(model.top))
         self.words, self.counts = got["words"], got["counts"]
-        self.trees = Trees({(d, k): tuple(got[f"{d}.{k}.{i}"] for i in range(3)) for d in range(DEPTH + 1) for k in range(8)})
+        self.trees = model.trees()
         self.keys = np.full(1 << SLOTS, U((1 << 64) - 1))
         self.values = np.zeros(1 << SLOTS)
         self.known: dict[bytes, float] = {}
@@ -358,12 +456,18 @@ class Scorer:
         return n, known, total, rest
 
 
-@lru_cache(maxsize=1)
-def scorer(source) -> Scorer:
-    return Scorer(shared(source))
+_SCORERS: dict[object, Scorer] = {}
+
+
+def scorer(model, key: str) -> Scorer:
+    """One in a worker, so that what it has met serves all its tasks."""
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(model if isinstance(model, Model) else model.value)
+    return _SCORERS[key]
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of each whole text of ``docs``.
 
     ``score`` is the log10 probability that the trees fitted on the texts of ``train`` give the text and its end;
@@ -376,15 +480,13 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     words = counts.where("kind = 1").select(F.col("code").alias("h"), F.col("n").alias("c"))
     n_train, vocab = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     often = words.where(F.col("c") > n_train / FREQUENT).toArrow()
-    model = nodes_of(counts.where("kind = 0")).toArrow()
-    trees = Trees.build(*(model.column(c).combine_chunks().to_numpy() for c in ("depth", "code", "n")))
     words_often, counts_often = (often.column(c).combine_chunks().to_numpy() for c in ("h", "c"))
     order = np.argsort(words_often)
-    source = share(spark, pack_arrays(trees.arrays() | {"words": words_often[order], "counts": counts_often[order]}), "lm-model")
-    del trees, model, often
+    model = fit(counts, {"words": words_often[order], "counts": counts_often[order]}, least)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm = scorer(source)
+        lm = scorer(model, key)
         row = TaskContext.get().partitionId() << 36
         names = ["row", "doc_id", "n", "known", "logs", "score", "n_bytes", "h"]
         for b in batches:
