@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from spindrift.llm import ctw, html_extract, langid, mixing, pieces, token_output
@@ -70,12 +71,64 @@ def test_dropout_is_seeded_varied_and_lossless():
 def test_merging_side_by_side_equals_one_by_one():
     p, rng = pieces.load(pieces.MODEL), random.Random(3)
     words = [pieces.SPACE + "".join(rng.choice("etaoinshrdlé日") for _ in range(rng.randint(0, 90))) for _ in range(400)]
-    keys = [rng.getrandbits(64) for _ in words]
     for rate in (0.0, 0.3):
-        one = [p.merge(w, rate, k) for w, k in zip(words, keys, strict=True)]
-        assert [np.frombuffer(x, np.int32).tolist() for x in p.merge_many(words, rate, keys)] == one
-        limit = int(rate * 2**53)
-        assert [[p.ids.get(q, -1) for q in p._merge_long(list(w), limit, k)] for w, k in zip(words[:50], keys, strict=False) if "日" not in w] == [x for w, x in zip(words[:50], one, strict=False) if "日" not in w]
+        masks = [sum(1 << i for i in range(64) if rng.random() < rate) for _ in words]
+        one = []
+        for w, m in zip(words, masks, strict=True):
+            given = pieces.Given(m)
+            one.append((p._merge(w, given), given.n))
+        assert [(ids.tolist(), n) for n, ids in p.merge_masked(words, masks)] == one
+        heap = [[p.ids.get(q, -1) for q in p._merge_heap(list(w), pieces.Given(m))] for w, m in zip(words[:50], masks, strict=False) if "日" not in w]
+        assert heap == [ids for w, (ids, _) in zip(words[:50], one, strict=False) if "日" not in w]
+
+
+def brute_agenda(p, word: str, key: int, rate: float) -> list[int]:
+    """Merges of one word by a list of candidates that is searched anew each time; skips by gaps drawn from the key."""
+    mix = lambda x: (lambda x: (lambda x: x ^ x >> 31)((x ^ x >> 27) * 0x94D049BB133111EB % 2**64))((x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64)
+
+    def gap(k):
+        u, j = (k >> 11) / 2**53, 0  # P(gap >= j) = (1 - rate)^j
+        while u <= (1 - rate) ** (j + 1) and j < 400:
+            j += 1
+        return j
+
+    parts, banned, seen, skip = list(word), set(), 0, gap(key)
+    while True:
+        found = [(p.rank[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in p.rank and (sum(map(len, parts[:i])), parts[i], parts[i + 1]) not in banned]
+        if not found:
+            break
+        _, i = min(found)
+        if seen == skip:
+            banned.add((sum(map(len, parts[:i])), parts[i], parts[i + 1]))
+            key = mix((key + 0x9E3779B97F4A7C15) % 2**64)
+            skip = seen + 1 + gap(key)
+        else:
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        seen += 1
+    return [x for q in parts for x in ([p.ids[q]] if q in p.ids else [p.byte_id[b] for b in q.encode()])]
+
+
+def test_dropout_equals_brute_force():
+    """Every word's skips follow from document, pass and place; an agenda of its own gives the same pieces."""
+    p, rng = pieces.load(pieces.MODEL), random.Random(9)
+    words = ["information", "understanding", "the", "日本", "internationalisation", "é", "a", "x" * 70]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    mix = lambda x: int(pieces._mixed(np.array([x], dtype=np.uint64))[0])
+    for rate in (0.1, 0.5):
+        got = pieces.Encoder(pieces.MODEL, rate, 5).encode_many(texts, list(range(40)), [3] * 40)
+        for doc, (text, ids) in enumerate(zip(texts, got, strict=True)):
+            start, want = xxhash.xxh64_intdigest(f"5,{doc},3"), []
+            for place, w in enumerate(text.split(" "), 1):
+                want += brute_agenda(p, pieces.SPACE + w, mix((start + place * 0x9E3779B97F4A7C15) % 2**64), rate)
+            assert ids.tolist() == want
+
+
+def test_decoding_many_equals_one():
+    p = pieces.load(pieces.MODEL)
+    texts = ["", "a b", "▁ x\n日 \0", " two  spaces ", ""]
+    flat, ends = pieces.Encoder(pieces.MODEL, 0.3, 1).encode_flat(texts, [1, 2, 3, 4, 5])
+    assert [bytes(x).decode() for x in p.decode_bytes(flat, ends)] == texts
+    assert pieces.Encoder(pieces.MODEL).encode_many([]) == []
 
 
 def test_piece_encode(spark, docs):
@@ -119,59 +172,62 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert token_output.training_shards(docs.limit(0)).count() == 0
 
 
-def brute_ctw(train: list[bytes], text: bytes) -> float:
-    """The same trees by recursion over every node, from plain counts."""
-    D, count = ctw.DEPTH, collections.Counter()
-    total = 0
+def test_shards_do_not_depend_on_files(spark, docs, monkeypatch):
+    monkeypatch.setattr(token_output, "BUCKET", 60)
+    odd = spark.createDataFrame([(None, "no id"), (None, "no id"), (7, "twice"), (7, "twice"), (8, None)], "doc_id bigint, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    told = [[tuple(r) for r in token_output.training_shards(every.repartition(n), length=64, per_shard=50).select("shard", "n_sequences", "n_tokens", "sha256").orderBy("shard").collect()] for n in (1, 8)]
+    assert told[0] == told[1] and len(told[0]) > 3
+    made = token_output.token_sequences(every, length=64)
+    assert made.where("n_tokens > 64 OR n_tokens < 1").count() == 0 and made.select("bucket").distinct().count() == 4
+
+
+def brute_ctw(train: list[bytes], text: bytes, least: int = 2) -> float:
+    """The code length of training text and bit, less that of the training text: by recursion over plain counts, no mixing.
+
+    The children of a node are the contexts one byte longer that training has seen ``least`` times and at that node's
+    bits; all others share one more child.
+    """
+    D, count, held = ctw.DEPTH, collections.Counter(), collections.Counter()
     for t in train:
         x = ctw.END * D + t + ctw.END
         for i in range(D, len(x)):
-            total += 1
             for d in range(D + 1):
+                held[x[i - d : i]] += 1
                 for k in range(8):
-                    count[d, x[i - d : i], k, x[i] >> (8 - k), x[i] >> (7 - k) & 1] += 1
-    held = collections.Counter()
-    for (d, c, k, _, _), n in count.items():
-        if k == 0:
-            held[c] += n
-    least = max(2, math.ceil(total / ctw.SHARE))
-    keep = {c for c in held if len(c) < 2 or held[c] >= least}
-    pair = lambda c, k, p: (count[len(c), c, k, p, 0], count[len(c), c, k, p, 1])
+                    count[x[i - d : i], k, x[i] >> (8 - k), x[i] >> (7 - k) & 1] += 1
+    keep = {c for c, n in held.items() if len(c) < 2 or n >= least}
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    pair = lambda c, k, p: np.array([count[c, k, p, 0], count[c, k, p, 1]])
+    kids = lambda c, k, p: [x for x in (bytes([y]) + c for y in range(256)) if len(c) < D and x in keep and sum(pair(x, k, p))]
     memo = {}
 
-    def node(c, k, p):
-        """log weighted probability, weight of stopping."""
-        if (c, k, p) not in memo:
-            a, b = pair(c, k, p)
-            kids = [x for x in (bytes([y]) + c for y in range(256)) if len(c) < D and x in keep and sum(pair(x, k, p))]
-            if not kids:
-                memo[c, k, p] = kt(a, b), 1.0
-            else:
-                ra, rb = a - sum(pair(x, k, p)[0] for x in kids), b - sum(pair(x, k, p)[1] for x in kids)
-                inner = sum(node(x, k, p)[0] for x in kids) + kt(ra, rb)
-                own = kt(a, b)
-                w = np.logaddexp(own, inner) - math.log(2)
-                memo[c, k, p] = w, math.exp(own - math.log(2) - w)
-        return memo[c, k, p]
-
-    out, x = 0.0, ctw.END * D + text + ctw.END
+    def weighted(c, k, p, path=None, bit=0):
+        """log weighted probability of a node's counts, with one more ``bit`` on the way of ``path``."""
+        if path is None and (c, k, p) in memo:
+            return memo[c, k, p]
+        more = np.eye(2, dtype=int)[bit] * (path is not None)
+        own, below = pair(c, k, p), kids(c, k, p)
+        out = kt(*(own + more))
+        if below:
+            step = path[len(path) - len(c) - 1 :] if path is not None else None
+            rest = own - sum(pair(x, k, p) for x in below) + more * (step not in below)
+            split = sum(weighted(x, k, p, path if x == step else None, bit) for x in below) + kt(*rest)
+            out = np.logaddexp(out, split) - math.log(2)
+        if path is None:
+            memo[c, k, p] = out
+        return out
+
+    total, x = 0.0, ctw.END * D + text + ctw.END
     for i in range(D, len(x)):
         for k in range(8):
-            p, bit, mix, seen = x[i] >> (8 - k), x[i] >> (7 - k) & 1, 0.5, False
-            for d in range(D, -1, -1):
-                c = x[i - d : i]
-                a, b = pair(c, k, p)
-                if c not in keep or not a + b:
-                    continue
-                own = ((a, b)[bit] + 0.5) / (a + b + 1)
-                stop = node(c, k, p)[1]
-                mix, seen = (stop * own + (1 - stop) * mix if seen else own), True
-            out += math.log10(mix)
-    return out
-
-
-def test_scores_equal_brute_force(spark):
+            p, bit = x[i] >> (8 - k), x[i] >> (7 - k) & 1
+            total += (weighted(b"", k, p, x[i - D : i], bit) - weighted(b"", k, p)) / math.log(10)
+    return total
+
+
+def test_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "TASK_GRAMS", 100)  # several files
     rng = random.Random(4)
     train = ["".join(rng.choice("abé \n") for _ in range(rng.randint(0, 60))) for _ in range(12)]
     new = [*train[:3], "abba", "", "zzz ÿ", "ab" * 40]
@@ -180,6 +236,12 @@ def test_scores_equal_brute_force(spark):
     for i, t in enumerate(new):
         assert got[i].score == pytest.approx(brute_ctw([x.encode() for x in train], t.encode()), rel=1e-5)
     assert got[len(new)].score == pytest.approx(got[4].score) and got[len(new)].n_tokens == 1
+    every = {r.doc_id: r.score for r in ctw.lm_scores(df(new), df(train), least=1).collect()}
+    for i, t in enumerate(new[:5]):
+        assert every[i] == pytest.approx(brute_ctw([x.encode() for x in train], t.encode(), 1), rel=1e-5)
+    assert [r.score for r in ctw.lm_scores(df(["ab"]), df([])).collect()] == [pytest.approx(24 * math.log10(0.5))]
+    odd = spark.createDataFrame([(None, "ab"), (None, "ab"), (3, "ab")], "doc_id bigint, text string")
+    assert len({(r.score, r.base_score) for r in ctw.lm_scores(odd, df(train)).collect()}) == 1 and ctw.lm_scores(odd.limit(0), df(train)).count() == 0
     words = collections.Counter(w for t in train for w in t.encode().lower().split())
     words[b"\n"] = len(train)
     n, v = sum(words.values()), len(words)
@@ -194,25 +256,31 @@ def test_probabilities_sum_to_one(spark):
     some = [(i, ctw.END * ctw.DEPTH, t.encode() + ctw.END) for i, t in enumerate(["abcabc", "abd", "xyz"])]
     g, _ = ctw.grams(some)
     codes, n = np.unique(g, return_counts=True)
-    depth, code, count = [], [], []
-    for d in range(ctw.DEPTH + 1):
-        c, at = np.unique((codes >> np.uint64(8 * (ctw.DEPTH + 1 - d))) << np.uint64(8) | codes & np.uint64(255), return_inverse=True)
-        depth.append(np.full(len(c), d)), code.append(c), count.append(np.bincount(at, weights=n))
-    trees = ctw.Trees.build(np.concatenate(depth), np.concatenate(code).astype(np.int64), np.concatenate(count))
+    parts, told = ctw.subtrees(codes, n, 2)
+    trees = ctw.Trees(ctw.crown([told]), [0], [parts])
     for before in (b"abcab", b"qqqqq", b"\xff\xff\xffab"):
         ctx = sum(b << (8 * (5 - i)) for i, b in enumerate(reversed(before)))
         every = np.array([ctx | b for b in range(256)], dtype=np.uint64)
         assert (10 ** trees.log10(every)).sum() == pytest.approx(1, abs=1e-5)
 
 
-def test_shared_arrays(spark, monkeypatch):
+def test_files_of_arrays(tmp_path):
     arrays = {"a": np.arange(5, dtype=np.uint64), "b": np.array([], dtype=np.float32), "c": np.array([1.5, 2], dtype=np.float32)}
     raw = ctw.pack_arrays(arrays)
-    for source in (ctw.share(spark, raw, "x"), spark.sparkContext.broadcast(raw)):
-        got = ctw.unpack_arrays(ctw.shared(source))
+    assert ctw.put(raw, f"file://{tmp_path}/x/y") and not ctw.put(raw, "nowhere://x/y")
+    for source in (f"file://{tmp_path}/x/y", raw):
+        got = ctw.unpack_arrays(ctw.mapped(source))
         assert all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in arrays.items())
+
+
+def test_a_folder_that_workers_cannot_open(spark, docs, monkeypatch):
+    some = docs.limit(20)
+    want = sorted(r.score for r in ctw.lm_scores(some, docs).collect())
     monkeypatch.setattr(ctw, "scratch_path", lambda *_: "nowhere://x/y")
-    assert not isinstance(ctw.share(spark, raw, "x"), str)
+    assert sorted(r.score for r in ctw.lm_scores(some, docs).collect()) == pytest.approx(want)
+    monkeypatch.setattr(ctw, "BROADCAST_BYTES", 10)
+    with pytest.raises(ValueError, match="too large"):
+        ctw.lm_scores(some, docs)
 
 
 def test_long_texts_in_pieces():
@@ -284,17 +352,19 @@ def test_html_extract(spark):
     body = lambda i: f"<h1>Title {i}</h1><p><b>First   &amp; {i}<br><p>Second&nbsp;line {i}<ul><li>one {i}<li>two</ul><p>Fish &lt; {i}"
     want = lambda i: f"Title {i}\nFirst & {i}\nSecond line {i}\none {i}\ntwo\nFish < {i}"
     named = [PAGE.format(i, f"<article>{body(i)}</article>") for i in range(12)]
-    assert html_extract.extract_group(named) == [want(i) for i in range(12)]
-    plain = [PAGE.format(i, f"<div class='c'>{body(i)}</div>") for i in range(12)]
-    # without a named slot a line that all pages share is template
-    assert html_extract.extract_group(plain) == [want(i).replace("\ntwo", "") for i in range(12)]
+    # a line that all pages share is template, inside an article, too
+    assert html_extract.extract_group(named) == [want(i).replace("\ntwo", "") for i in range(12)]
+    assert html_extract.extract_group(named[:3]) == [want(i) for i in range(3)]  # too few to tell
+    for other in ("<div class='c'>{}</div>", "<div><div>{}</div></div>", "{}"):  # whatever the markup calls the article
+        assert html_extract.extract_group([PAGE.format(i, other.format(body(i))) for i in range(12)]) == html_extract.extract_group(named)
     assert html_extract.extract_group([named[0]] * 5) == [want(0)] * 5 and html_extract.extract_group([None, ""]) == ["", ""]
     host = [f"<div class='top'><p>Our firm since 1901, all rights</p></div><div class='x'><p>Story {i} about {'abc ' * i}</p><p>More of {i}</p></div><div><p>Call us today, toll free</p></div>" for i in range(1, 9)]
     assert html_extract.extract_group(host) == [f"Story {i} about {'abc ' * i}".strip() + f"\nMore of {i}" for i in range(1, 9)]
     rows = [(i, f"https://h{i % 3}.org/{i}", h, "x") for i, h in enumerate(named)] + [(50, None, named[0], "x"), (51, "nohost", None, "x"), (52, "https://h0.org", "<p>" + "long " * 200_000, "x")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
     got = {r.page_id: r for r in html_extract.html_extract(df).collect()}
-    assert [got[i].text for i in range(12)] == [want(i) for i in range(12)] and got[50].text == want(0) and got[51].text == "" and got[52].n_chars == 999_999
+    # three hosts of four pages, one of which has a fifth, another layout
+    assert [got[i].text for i in range(12)] == [want(i).replace("\ntwo", "") for i in range(12)] and got[50].text == want(0) and got[51].text == "" and got[52].n_chars == 999_999
     assert html_extract.html_extract(df.limit(0)).count() == 0
 
 

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from spindrift.llm import ctw, html_extract, pieces
 
@@ -13,7 +16,7 @@ def test_each_occurrence_draws_its_own_dropout(spark):
     free = [p.merge(pieces.SPACE + "information", 0.1, rng.getrandbits(64)) == list(pieces.Encoder(pieces.MODEL).encode("information")) for _ in range(4000)]
     seen: dict[bytes, int] = {}
     for t in range(4000):  # a text a draw, by document
-        x = enc.encode_many([word.strip()], [t])[0].tobytes()
+        x = enc.encode(word.strip(), t).tobytes()
         seen[x] = seen.get(x, 0) + 1
     assert len(seen) > 10 and abs(seen[plain] - sum(free)) < 160
     a, b = (enc.encode_many([word.strip() + word * 200], [7], [k])[0].tolist() for k in (1, 2))
@@ -26,11 +29,12 @@ def test_each_occurrence_draws_its_own_dropout(spark):
     assert got[0].ids != got[1].ids and got[0].decoded_sha256 == got[1].decoded_sha256
 
 
-def test_contexts_are_kept_however_large_the_corpus(spark):
-    rare, common = (int.from_bytes(x, "big") for x in (b"abcdef", b"uvwxyz"))
-    counts = spark.createDataFrame([(rare, 2), (common, 1 << 24), (int.from_bytes(b"ghijkl", "big"), 1)], "code bigint, n bigint")
-    kept = {(r.depth, r.code) for r in ctw.nodes_of(counts).collect()}
-    assert (5, rare) in kept and (5, common) in kept and len([c for d, c in kept if d == 5]) == 2
+def test_contexts_are_kept_however_large_the_corpus():
+    rare, common, once = (int.from_bytes(x, "big") for x in (b"abcdef", b"uvwxyz", b"ghijkl"))
+    code, n = np.array([rare, once, common], dtype=np.uint64), np.array([2, 1, 1 << 40])
+    ids = ctw.subtrees(code, n, 2)[0][ctw.DEPTH, 0][0].tolist()
+    assert ids == [rare >> 8 << 8 | 1, common >> 8 << 8 | 1]
+    assert len(ctw.subtrees(code, n, 1)[0][ctw.DEPTH, 0][0]) == 3
 
 
 def test_title_and_lead_stay_beside_a_long_body():
@@ -39,11 +43,66 @@ def test_title_and_lead_stay_beside_a_long_body():
     assert html_extract.extract_group(pages) == [f"Title {i}\nLead {i}\n{long(i)}" for i in range(8)]
 
 
-def test_no_page_of_a_host_is_left_alone(spark):
-    n = html_extract.GROUP + 1
-    rows = [(i, f"https://one.org/{i}", f"<body><p>Welcome to our site</p><div><p>Story {i} of {'abc ' * (i % 5 + 1)}</p></div><p>Call us today</p></body>") for i in range(n)]
-    got = html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
-    assert len(got) == n and not [r.page_id for r in got if "Welcome" in r.text or "Call" in r.text]
+STORY = "<body><p>Welcome to our site</p><div><p>Story {0} of {1}</p><p>More on {0}</p></div><p>Call us today</p></body>"
+
+
+def test_every_page_of_a_host_meets_the_same_wrapper(spark):
+    """Of hosts of any size; also pages that the wrapper was not learned from."""
+    for n in (html_extract.SUPPORT, 33, 2 * html_extract.SAMPLE + 1):
+        rows = [(i, f"https://one.org/{i}", STORY.format(i, "abc " * (i % 5 + 1))) for i in range(n)]
+        got = html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+        assert {r.page_id: r.text for r in got} == {i: f"Story {i} of {'abc ' * (i % 5 + 1)}".strip() + f"\nMore on {i}" for i in range(n)}
+
+
+def test_a_hot_host_is_many_tasks(spark):
+    """Pages are extracted where they are read, not where their host is."""
+    rows = [(i, "https://one.org/x", STORY.format(i, "abc")) for i in range(2000)]
+    out = html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(8)).withColumn("part", F.spark_partition_id())
+    assert out.groupBy("part").count().where("count > 300").count() == 0
+
+
+def test_induction_decides_inside_an_article():
+    notice = "<p>This site is free; please support our work.</p>"
+    pages = [f"<body><article><h1>Title {i}</h1>{notice}<p>Text of {i}</p><p>{'Shared by a few' if i % 4 == 0 else f'Own {i}'}</p></article></body>" for i in range(20)]
+    want = [f"Title {i}\nText of {i}\n" + ("Shared by a few" if i % 4 == 0 else f"Own {i}") for i in range(20)]
+    assert html_extract.extract_group(pages) == want
+    alone = [html_extract.main_text(html_extract.parse(p), html_extract.Wrapper()) for p in pages]
+    assert all("please support" in t for t in alone)
+
+
+def test_layouts_of_a_host_are_told_apart():
+    story = [STORY.format(i, "abc") for i in range(12)]
+    shop = [f"<body><table><tr><td>Our shop's terms</td><td>Item {i}</td></tr><tr><td>All prices in euro</td><td>{i} pieces</td></tr></table></body>" for i in range(8)]
+    assert html_extract.extract_group(story + shop) == [f"Story {i} of abc\nMore on {i}" for i in range(12)] + [f"Item {i}\n{i} pieces" for i in range(8)]
+
+
+def test_near_copies_are_no_template():
+    """Of a host's pages a third are copies but for a word; their text is not what all pages share."""
+    same = " ".join(f"w{k}" for k in range(200))
+    pages = [f"<body><p>Site line</p><div><h1>T{i}</h1><p>{same if i % 3 == 0 else f'own {i} ' * 50}</p></div></body>" for i in range(24)]
+    got = html_extract.extract_group(pages)
+    assert all("Site line" not in t for t in got) and all(same in got[i] for i in range(0, 24, 3))
+
+
+def test_names_count_whole_and_confirmed():
+    page = "<body><article><div class='entry-header'><h1>Title {0}</h1></div><p>Lead {0}</p><div class='related-work'>Others {0}</div><p class='notice-period'>Two weeks {0}</p><div id='hidden-figures'>Figures {0}</div>{1}</article></body>"
+    want = "Title {0}\nLead {0}\nOthers {0}\nTwo weeks {0}\nFigures {0}"
+    for n in (1, 12):
+        assert html_extract.extract_group([page.format(i, "") for i in range(n)]) == [want.format(i) for i in range(n)]
+    comments = "<div class='comments'><p>Reader {0} says hi</p></div>"
+    many = [page.format(i, comments.format(i) if i % 2 else "") for i in range(12)]
+    assert html_extract.extract_group(many) == [want.format(i) for i in range(12)]
+    # one article with a section of that name, on a host where nothing else has it, is no boilerplate
+    once = [page.format(i, "<section class='social'><p>On social history</p></section>" if i == 5 else "") for i in range(12)]
+    assert html_extract.extract_group(once)[5].endswith("On social history")
+
+
+def test_wide_and_deep_pages():
+    wide = ["<body><ul>" + "".join(f"<li>{i} {k}</li>" for k in range(1500)) + "<li>End of list</li></ul></body>" for i in range(5)]
+    got = html_extract.extract_group(wide)
+    assert [t.count("\n") for t in got] == [1499] * 5
+    deep = ["<div>" * 3000 + f"text {i}" for i in range(5)]
+    assert html_extract.extract_group(deep) == [f"text {i}" for i in range(5)]
 
 
 def test_slugs_inside_an_article_are_no_boilerplate():
