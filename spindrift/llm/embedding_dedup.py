@@ -96,13 +96,14 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, recall: float =
     ``n_links`` counts the other rows at a cosine of ``threshold`` or more, ``component_id`` is the smallest id that
     links reach, ``kept`` marks it. Vectors that are null, empty, all zero or hold a null or non-finite component link
     with nothing; so do vectors of different lengths with each other. Equal vectors are one node with a weight. Rows
-    that repeat an id and vector link with each other. Null ids: component null unless a link has one. Empty: no rows.
+    that repeat an id and vector link with each other. Null ids: linked like others, their component null unless a link has
+    an id; never kept. Empty: no rows.
     """
     v = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vec_col).alias("__v"))
     sound = F.coalesce((F.size("__v") > 0) & F.forall("__v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("__v", lambda x: x != 0), F.lit(False))
     v = v.withColumn("__ok", sound).withColumn("__h1", F.when(F.col("__ok"), F.xxhash64("__v"))).withColumn("__h2", F.when(F.col("__ok"), F.xxhash64(F.lit(1), "__v")))
-    classes = v.where("__ok").groupBy("__h1", "__h2").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("w"), F.min_by("__v", "vec_id").alias("v"))
-    classes = classes.where(F.col("v").isNotNull()).withColumn("id", F.monotonically_increasing_id())
+    classes = v.where("__ok").groupBy("__h1", "__h2").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("w"), F.first("__v").alias("v"))
+    classes = classes.withColumn("id", F.monotonically_increasing_id())
     nodes = materialize(classes, "vectors")
     k, n_tables = plan_tables(nodes.count(), threshold, recall, width)
     cell = width * math.sqrt(2 - 2 * threshold)
