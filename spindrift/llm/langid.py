@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import release
 
 UNKNOWN = "und"
-#: A label column with more values than this does not hold languages.
+#: Labels that profiles are learned for: the most frequent, of equals the first by name.
 MOST_LABELS = 10_000
 _LETTERS: np.ndarray | None = None
 
@@ -64,20 +64,18 @@ def remainder(id_col: str, of: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
 
 
-def learn_profiles(labelled: DataFrame, size: int = 400, sample: int = 1_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, np.ndarray]:
+def learn_profiles(labelled: DataFrame, size: int = 400, sample: int = 1_000, labels: int = MOST_LABELS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, np.ndarray]:
     """Each language's ``size`` most frequent n-grams, most frequent first.
 
     Fitted on about ``sample`` documents a language, the bound of this classifier, picked by a hash of id and text;
-    rows whose label or text is null are left out. Only ``size`` grams a language reach the driver; the texts not picked
-    are dropped where they are read.
+    rows whose label or text is null are left out, and so are those of labels beyond the ``labels`` most frequent. Only
+    ``size`` grams a language reach the driver; the texts not picked are dropped where they are read.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    labels = rows.groupBy(lang_col).agg(F.count("*").alias("n")).limit(MOST_LABELS + 1).collect()
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels are no languages")
-    if not labels:
+    found = rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(labels).collect()
+    if not found:
         return {}
-    rate = F.create_map(*[x for r in labels for x in (F.lit(r[lang_col]), F.lit(sample / r["n"]))])
+    rate = F.create_map(*[x for r in found for x in (F.lit(r[lang_col]), F.lit(sample / r["n"]))])
     draw = F.pmod(F.xxhash64(F.lit(6), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = rows.where(draw < F.element_at(rate, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
