@@ -99,44 +99,52 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int = 3, n_b
     return met.select("query", "fp", "distance").distinct()
 
 
-def _boundaries(ids: DataFrame, rows: int) -> list[int]:
-    """The smallest id of each of some ranges of about ``rows`` ids; 65,536 ranges at most, so their list stays small."""
-    n = ids.count()
-    parts = max(1, min(65_536, math.ceil(n / rows)))
-    firsts = ids.repartitionByRange(parts, "__o").groupBy(F.spark_partition_id()).agg(F.min("__o").alias("lo")).collect()
-    return sorted(r["lo"] for r in firsts if r["lo"] is not None)
+def _boundaries(keys: DataFrame, rows: int) -> list[tuple[int, int]]:
+    """The smallest (id, text hash) of each of some ranges of about ``rows`` rows; 65,536 ranges at most."""
+    parts = max(1, min(65_536, math.ceil(keys.count() / rows)))
+    firsts = keys.repartitionByRange(parts, "__o", "__h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("__o", "__h")).alias("lo")).collect()
+    return sorted((r["lo"]["__o"], r["lo"]["__h"]) for r in firsts if r["lo"] is not None)
 
 
-def _range_of(o: Column, lows: list[int]) -> Column:
-    """The index of the last of ``lows`` that is not above o, by binary search."""
-    table = F.lit(lows)
-    steps = [1 << k for k in reversed(range(max(1, (len(lows) - 1).bit_length())))]
+def _range_of(o: Column, h: Column, los: Column, his: Column, n: int) -> Column:
+    """The index of the last of the n pairs of ``los`` and ``his`` that is not above (o, h), by binary search."""
+    steps = [1 << k for k in reversed(range(max(1, (n - 1).bit_length())))]
 
     def step(at: Column, k: Column) -> Column:
-        return F.when((at + k < len(lows)) & (F.get(table, at + k) <= o), at + k).otherwise(at)
+        x, y = F.get(los, at + k), F.get(his, at + k)
+        return F.when((at + k < n) & ((x < o) | ((x == o) & (y <= h))), at + k).otherwise(at)
 
     return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), step)
 
 
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``__id, __text`` (null: empty), and what they are sorted by: the id, null before all, then the text's hash."""
+    d = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return d.withColumn("__o", F.coalesce(F.col("__id").cast("bigint"), F.lit(-(2**63)))).withColumn("__h", F.xxhash64("__text"))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, rows: int = 2_000) -> DataFrame:
-    """``__r, __id, __text, __next``: each text (null: empty) and that of the next id, ascending; after the last, the first's.
+    """``__r, __guest, __o, __h, __id, __text, __next``: each text and that of the next id, ascending; after the last, the first's.
 
-    Ids are cut into ranges; each range's first row also goes to the range before it, so a window over one range sees
-    the next row of all its own. The text is shuffled once. Null ids come first; rows that repeat an id: by text hash.
+    Rows are cut into ranges of id and text hash, so that many rows of one id, or of none, are many ranges; each range's
+    first row also goes to the range before it, as a guest, so a window over one range sees the next row of all its own.
+    The text is shuffled once. Null ids come first; rows that repeat an id: by text hash; id and text: one row.
     """
-    d = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    o = F.coalesce(F.col("__id").cast("bigint"), F.lit(-(2**63)))
-    lows = _boundaries(docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("__o")), rows)
+    d = _keys(docs, id_col, text_col)
+    lows = _boundaries(d.select("__o", "__h"), rows)
     if not lows:
-        return d.withColumn("__next", F.lit("")).withColumn("__r", F.lit(0))
-    d = d.withColumn("__o", o).withColumn("__r", _range_of(F.col("__o"), lows)).withColumn("__h", F.xxhash64("__text"))
-    first = F.get(F.lit(lows), F.col("__r")) == F.col("__o")
-    before = F.pmod(F.col("__r") - 1, F.lit(len(lows)))
+        return d.select(F.lit(0).alias("__r"), F.lit(False).alias("__guest"), "__o", "__h", "__id", "__text", F.lit("").alias("__next"))
+    los, his = F.lit([x for x, _ in lows]), F.lit([y for _, y in lows])
+    d = d.withColumn("__r", _range_of(F.col("__o"), F.col("__h"), los, his, len(lows)))
+    first = (F.get(los, F.col("__r")) == F.col("__o")) & (F.get(his, F.col("__r")) == F.col("__h"))
     own = F.struct(F.col("__r").alias("r"), F.lit(False).alias("guest"))
-    d = d.withColumn("__at", F.explode(F.when(first, F.array(own, F.struct(before.alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(own))))
+    guest = F.struct(F.pmod(F.col("__r") - 1, F.lit(len(lows))).alias("r"), F.lit(True).alias("guest"))
+    d = d.withColumn("__at", F.explode(F.when(first, F.array(own, guest)).otherwise(F.array(own))))
     d = d.select("__id", "__text", "__o", "__h", F.col("__at.r").alias("__r"), F.col("__at.guest").alias("__guest"))
     w = Window.partitionBy("__r").orderBy("__guest", "__o", "__h")
-    return d.withColumn("__next", F.lead("__text").over(w)).where(~F.col("__guest")).select("__r", "__id", "__text", "__h", "__next")
+    again = (F.lag("__guest").over(w) == F.col("__guest")) & (F.lag("__o").over(w) == F.col("__o")) & (F.lag("__h").over(w) == F.col("__h"))
+    d = d.withColumn("__again", F.coalesce(again, F.lit(False))).where(~F.col("__again")).drop("__again")
+    return d.withColumn("__next", F.lead("__text").over(w)).select("__r", "__guest", "__o", "__h", "__id", "__text", "__next")
 
 
 def document_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,18 +160,22 @@ def document_fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_
     n = F.char_length("__text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr(F.col("__text"), F.lit(1), n - cut), F.substr(F.col("__next"), F.lit(1), cut))
+    one = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("t"))
     t = t.withColumn("__edited", edited).select(
         "__r",
+        "__guest",
+        "__o",
+        "__h",
         "__id",
-        F.xxhash64("__text").alias("__th"),
         n.cast("bigint").alias("n_chars"),
         F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"),
-        F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("t")) for k, c in enumerate(("__text", "__edited", "__next"))])).alias("__v"),
+        F.explode(F.when(F.col("__guest"), F.array(one(0, "__text"))).otherwise(F.array(one(0, "__text"), one(1, "__edited")))).alias("__v"),
     )
     # rows lie by range of ids already; with the range among the keys, votes are summed where they are and not shuffled
-    keys = ["__r", "__id", "__th", "n_chars", "edited_sha256"]
+    keys = ["__r", "__guest", "__o", "__h", "__id", "n_chars", "edited_sha256"]
     fps = simhash(t.select(*keys, F.col("__v.k").alias("__k"), F.col("__v.t").alias("__t")), [*keys, "__k"], "__t", shingle)
-    wide = fps.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, F.col("fp"))).alias(f"__f{k}") for k in range(3)])
+    wide = fps.groupBy(*keys).agg(*[F.max(F.when(F.col("__k") == k, F.col("fp"))).alias(f"__f{k}") for k in range(2)])
+    wide = wide.withColumn("__f2", F.lead("__f0").over(Window.partitionBy("__r").orderBy("__guest", "__o", "__h"))).where(~F.col("__guest"))
     f = [F.col(f"__f{k}") for k in range(3)]
     return wide.select(
         F.col("__id").alias(id_col), "n_chars", "edited_sha256", to_hex(f[0]).alias("fingerprint"), to_hex(f[1]).alias("edited_fingerprint"), likeness(f[0], f[1]).alias("near_edited"), likeness(f[0], f[2]).alias("near_next")
