@@ -52,17 +52,17 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the 64 bits as a long). Null text: as the empty one."""
+    """``doc_id, text_hash, fp`` (the 64 bits as a long). Null text: as the empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = (t for at in range(0, b.num_rows, 500) for t in b.column(1).slice(at, 500).to_pylist())
+            texts = (t for at in range(0, b.num_rows, 500) for t in b.column(2).slice(at, 500).to_pylist())
             fps = np.fromiter((fingerprint(t or b"", shingle) for t in texts), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "text_hash", "fp"])
             release()
 
-    cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary"))
-    return cols.mapInArrow(run, "doc_id bigint, fp bigint")
+    cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary"))
+    return cols.mapInArrow(run, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -171,7 +171,8 @@ def near_links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_dedup(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id that links of 3 bits or fewer reach, one row per row of ``docs``.
+    """``doc_id, fp, component_id, text_hash, group``: the smallest id that links of 3 bits or fewer reach, one row per row
+    of ``docs``; a hash of its text; and the smallest fingerprint that links reach, which tells groups apart.
 
     Documents of one fingerprint are one node, so a group of copies of any size is one min per task. Null or empty
     texts: fingerprint zero, linked like any other. Null ids: given the smallest id of their group, null if it has
@@ -182,11 +183,13 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
     node = connected_components(near_links(own))
     joined = node.join(least, node["node"] == least["fp"]).select("component", "fp", "__least")
     lowest = joined.groupBy("component").agg(F.min("__least").alias("__lowest"))
-    merged = joined.join(lowest, "component").select(F.col("fp").alias("__fp"), "__lowest")
-    every = least.join(merged, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__fp"), F.coalesce("__lowest", "__least").alias("component_id"))
+    merged = joined.join(lowest, "component").select(F.col("fp").alias("__fp"), "__lowest", "component")
+    # a group without any id has no smallest one, and is a group all the same
+    own_id = F.when(F.col("component").isNull(), F.col("__least")).otherwise(F.col("__lowest"))
+    every = least.join(merged, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__fp"), own_id.alias("component_id"), F.coalesce("component", "fp").alias("group"))
     # written, so that both sides of the last join are shuffled as they are and AQE can split a hot fingerprint's rows
     every = materialize(every, "simhash-groups")
-    return own.join(every, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
+    return own.join(every, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id", "text_hash", "group")
 
 
 def op10_simhash_dedup(spark, sf_dir: str) -> DataFrame:
