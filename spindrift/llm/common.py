@@ -31,11 +31,13 @@ def words(c: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder all machines share: ``spark.checkpoint.dir``; where it is unset in a local session, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spindrift-')}")
             jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = jdir.get()
