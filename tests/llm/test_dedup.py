@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -94,6 +95,9 @@ def test_simhash_dedup(spark):
     lab = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 3])
     assert [got[i * 3].component_id for i in range(len(rows))] == [3 * x for x in lab]
     assert sim.simhash_dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    none = [(None, "some words of one text"), (None, "some words of one text"), (None, "quite another text here"), (5, "quite another text here"), (5, "and a third, not like these")]
+    told = sim.simhash_dedup(spark.createDataFrame(none, "doc_id bigint, text string")).collect()
+    assert sorted((r.component_id or 0) for r in told) == [0, 0, 5, 5, 5] and len({r.group for r in told}) == 3
 
 
 @pytest.mark.parametrize("n", [50, 700])
@@ -137,20 +141,61 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_document_fingerprints(spark):
-    rng = random.Random(4)
-    rows = [(i * 7 % 101, " ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.randint(30, 400)))) for i in range(60)] + [(500, None), (501, ""), (502, "ab"), (503, "é" * 9)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r for r in fing.document_fingerprints(df).collect()}
-    order = sorted(rows)
+def brute_simhash(text):
+    """128 bits by plain counting: distinct terms of three words, weighted by length, vote with two hashes."""
+    words = [w for w in re.split("[ \t-\r]+", text) if w]
+
+    def term(w):
+        h = 42
+        for g in w:
+            h = xxhash.xxh64_intdigest(g.encode(), h)
+        return h & ~7 | min(7, sum(len(g.encode()) for g in w) // 4)
+
+    terms = {term(words[i : i + 3]) for i in range(max(1, len(words) - 2))} if words else set()
+    out = ""
+    for seed in (1, 2):
+        votes = [0] * 64
+        for t in terms:
+            h = xxhash.xxh64_intdigest(t.to_bytes(8, "little"), xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42))
+            for b in range(64):
+                votes[b] += (h >> b & 1) * ((t & 7) + 1)
+        out += f"{sum(1 << b for b in range(64) if 2 * votes[b] > sum((t & 7) + 1 for t in terms)):016x}"
+    return out
+
+
+def brute_documents(rows):
+    """``id: [(n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), ...]``."""
+    key = lambda r: (-(2**63) if r[0] is None else r[0], (lambda x: x - 2**64 if x >> 63 else x)(xxhash.xxh64_intdigest(r[1].encode(), 42)))
+    order, out = sorted({(i, t or "") for i, t in rows}, key=key), {}
+    like = lambda a, b: max(0.0, math.cos(bin(int(a, 16) ^ int(b, 16)).count("1") * math.pi / 128))
     for (i, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
-        t, nxt = t or "", nxt or ""
         k = len(t) // 4
         edited = t[: len(t) - k] + nxt[:k]
-        assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        if len(t.split()) > 20:
-            assert got[i].near_edited > 0.4 > got[i].near_next or got[i].near_edited > got[i].near_next
-    assert len({got[i].fingerprint for i in (500, 501)}) == 1
+        f, e, n = map(brute_simhash, (t, edited, nxt))
+        out.setdefault(i, []).append((len(t), hashlib.sha256(edited.encode()).hexdigest(), f, e, pytest.approx(like(f, e)), pytest.approx(like(f, n))))
+    return out
+
+
+def told(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.doc_id, []).append((r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next))
+    return out
+
+
+@pytest.mark.parametrize("per_range", [2_000, 7])
+def test_document_fingerprints(spark, monkeypatch, per_range):
+    monkeypatch.setattr(fing.with_next, "__defaults__", (per_range,))
+    rng = random.Random(4)
+    rows = [(i * 7 % 101, " ".join(f"w{rng.randint(0, 500)}" for _ in range(rng.randint(30, 400)))) for i in range(60)] + [(500, None), (501, ""), (502, "ab"), (503, "é" * 9), (504, "a b " * 30_000)]
+    rows += [(1, "a b c"), (1, "a b c"), (1, "another text of one id"), *((None, f"no id {k}") for k in range(20)), (None, "no id 3")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, fingerprint string")
+    got, want = told(fing.document_fingerprints(df).collect()), brute_documents(rows)
+    assert got.keys() == want.keys()
+    for i in want:
+        by = lambda x: x[:4]
+        assert sorted(got[i], key=by) == sorted(want[i], key=by)
+    assert got[500][0][2] == got[501][0][2] == "0" * 32
     one = fing.document_fingerprints(spark.createDataFrame([(1, "only one here")], "doc_id bigint, text string")).first()
     assert one.near_next == 1.0 and fing.document_fingerprints(df.limit(0)).count() == 0
 
@@ -190,6 +235,9 @@ def test_embedding_dedup(spark):
     assert [(got[i].n_links, got[i].component_id) for i in (9001, 9002, 9003, 9004, 9005, 9008)] == [(0, i) for i in (9001, 9002, 9003, 9004, 9005, 9008)]
     assert got[9007].component_id == 9006 and got[9006].n_links == 1 and got[9006].kept and not got[9007].kept
     assert emb.embedding_dedup(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).count() == 0
+    none = spark.createDataFrame([(None, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [1.0, 0.001]), (None, [0.0, 1.0]), (None, [0.0, 2.0]), (None, [-1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in emb.embedding_dedup(none).collect()), key=str)
+    assert got == sorted([(None, 2, 3, False), (None, 2, 3, False), (3, 2, 3, True), (None, 1, None, False), (None, 1, None, False), (None, 0, None, False)], key=str)
 
 
 def test_recall_at_the_threshold(spark):

@@ -68,7 +68,8 @@ def test_queries_against_sql(spark):
 
 def test_near_copy_stage_edges(spark):
     rows = [(1, "a b c d", "en", "s", 7), (1, "a b c d", "en", "s", 7), (2, "A B C D", "en", "s", 7), (None, "x y z", "en", "s", 5)]
+    rows += [(None, "x y z", "en", "s", 5), (1, "of the same id, another text", "en", "s", 28), (None, "A b c D", "en", "s", 7)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    assert sorted(map(str, [r.doc_id for r in cp.drop_near_copies(spark, df, SF).collect()])) == ["1", "None"]
+    assert sorted((str(r.doc_id), r.text) for r in cp.drop_near_copies(spark, df, SF).collect()) == [("1", "a b c d"), ("1", "of the same id, another text"), ("None", "x y z")]
     for name, stage in cp.STAGES:
         assert stage(spark, df.limit(0), SF).count() == 0, name

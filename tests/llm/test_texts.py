@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -39,6 +40,40 @@ def test_language_id_edges(spark, docs):
     assert langid.identify(df.limit(0), profiles).count() == 0
     none = spark.createDataFrame([(1, "x", None)], "doc_id bigint, text string, lang string")
     assert langid.learn_profiles(none) == {}
+    many = spark.createDataFrame([(i, f"word{i % 7} of it", f"l{i % 5}" if i < 90 else f"m{i}") for i in range(100)], "doc_id bigint, text string, lang string")
+    assert set(langid.learn_profiles(many, labels=4)) == {"l0", "l1", "l2", "l3"}
+
+
+def brute_nearness(text, profiles, size):
+    """Out-of-place distance with dicts: n-grams of a word with a space at each end, ranked, equals at their mean rank."""
+    low = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    grams = collections.Counter()
+    for w in low.split(" "):
+        if w:
+            padded = f" {w} "
+            for n in (1, 2, 3):
+                grams.update(g for g in (padded[i : i + n] for i in range(len(padded) - n + 1)) if g != " ")
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+    order = sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))[:size]
+    places = collections.defaultdict(list)
+    for i, (_, n) in enumerate(order):
+        places[n].append(i)
+    out = {}
+    for lang, known in profiles.items():
+        rank = {g: i for i, g in enumerate(known.tolist())}
+        far = sum(abs(sum(places[n]) / len(places[n]) - rank[code(g)]) if code(g) in rank else size for g, n in order)
+        out[lang] = 1 - far / (size * len(order))
+    return out
+
+
+def test_language_id_equals_brute_force(spark, docs):
+    profiles = langid.learn_profiles(docs)
+    some = [r.text for r in docs.limit(40).collect()] + ["É", "a-b c'd", "ß ﬁ x"]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string")
+    for r in langid.identify(df, profiles).collect():
+        if any(unicodedata.category(c)[0] == "L" for c in r.text):
+            want = brute_nearness(r.text, profiles, 400)
+            assert r.score == pytest.approx(max(want.values())) and want[r.lang_pred] == pytest.approx(r.score)
 
 
 def test_out_of_place_by_hand():
