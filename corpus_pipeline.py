@@ -36,19 +36,29 @@ def drop_shared_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id; documents without an id stay."""
-    found = simhash_dedup(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near copies, that of the smallest id, null last; of one id, the smallest text hash.
+
+    Null and empty texts are near copies of each other. Of rows that repeat id and text one stays.
+    """
+    by = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    kept = simhash_dedup(docs).groupBy("group").agg(F.min(by).alias("k")).select("k.__id", "k.__hash")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    return docs.join(kept, same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, a row for each pass over its source."""
+    """The words that the mix takes of each document, a row for each pass over its source.
+
+    Null sources are one source, the last; null and empty texts have no words and go; rows without an id stay rows.
+    """
     return _recounted(mixed_documents(docs, mix_sources(docs)))
 
 
 def encode(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each text, with merge-dropout that is drawn anew in each of a document's passes."""
+    """Piece ids of each text, with merge-dropout that is drawn anew in each of a document's passes.
+
+    Null texts: no ids. Rows that repeat id and text are passes like others. Null ids are told apart by their texts.
+    """
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy(F.xxhash64("text"))
     return piece_encode(docs.withColumn("__pass", F.row_number().over(same)), pass_col="__pass")
 
