@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dom import parse
-from .text import EMAIL, valid_email
+from .text import EMAIL, EMAIL_WHOLE, PLACEHOLDERS, valid_email
 
 # fixed values: how addresses are spelt out, in the order in which they are read back, and where scripts keep them
 SPELT = [
@@ -32,84 +32,78 @@ def decode_hex(c: Column) -> Column:
     return F.when(c.rlike("^([0-9A-Fa-f]{2}){2,}$"), text)
 
 
+#: A text without these has nothing spelt out.
+SIGNS = r"(?i)\[at\]|\(at\)|\sat\s"
+
+
 def spelt_out(c: Column) -> Column:
-    for pattern, to in SPELT:
-        c = F.regexp_replace(c, f"(?iU){pattern}", to)
-    return c
+    """The text with signs written as such. Unicode letters count as letters; the plain patterns do for ASCII texts."""
+
+    def written(flags: str) -> Column:
+        out = c
+        for pattern, to in SPELT:
+            # a match starts where a word does, and what is before the sign is taken as a whole: nothing to go back to
+            out = F.regexp_replace(out, f"(?{flags})" + pattern.replace(r"(\w+(?:\.\w+)*)\s", r"(?<!\w)(\w++(?:\.\w++)*+)\s", 1), to)
+        return out
+
+    return F.when(F.octet_length(c) == F.char_length(c), written("i")).otherwise(written("iU"))
 
 
 def emails_spelt(c: Column) -> Column:
     """Addresses that only show once the signs are written as such; sorted."""
-    found = F.regexp_extract_all(spelt_out(c), F.lit(EMAIL), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda e: valid_email(e) & ~F.contains(c, e))))
+    found = F.regexp_extract_all(F.when(c.rlike(SIGNS), spelt_out(c)), F.lit(EMAIL), F.lit(0))
+    only = F.array_sort(F.array_distinct(F.filter(found, lambda e: valid_email(e) & ~F.contains(c, e))))
+    return F.when(c.isNotNull(), F.coalesce(only, F.array().cast("array<string>")))
+
+
+def _valid(e: str) -> bool:
+    return len(e) >= 5 and re.match(EMAIL_WHOLE, e) is not None and e.lower() not in PLACEHOLDERS
+
+
+def _from_hex(code: str) -> str:
+    try:
+        b = bytes.fromhex(code)
+    except ValueError:
+        return ""
+    return "".join(chr(x ^ b[0]) for x in b[1:])
 
 
-def emails_plain(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(c, F.lit(EMAIL), F.lit(0)), valid_email)))
+def _from_spelling(html: str) -> set[str]:
+    text = html
+    for pattern, to in SPELT:
+        text = re.sub(pattern, to.replace("$", "\\"), text, flags=re.I)
+    return {e for e in re.findall(EMAIL, text) if e not in html}
+
+
+TECHNIQUES = ["hex", "text", "script", "noscript", "attribute"]
+
 
+def recover(html: str | None) -> dict[str, list[str]]:
+    """The valid addresses that each technique finds in a page or a part of one, and ``all`` of them; sorted.
 
-def emails_in_scripts(scripts: Column) -> Column:
-    """Addresses in string literals of scripts, whole or joined from two parts; sorted."""
-    whole = F.regexp_extract_all(scripts, F.lit(LITERAL), F.lit(1))
-    users, hosts = (F.regexp_extract_all(scripts, F.lit(f"(?i){JOINED}"), F.lit(i)) for i in (1, 2))
-    joined = F.zip_with(users, hosts, lambda u, h: F.concat(u, F.lit("@"), h))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(whole, joined), valid_email)))
+    Spelt-out addresses are looked for in the markup itself, the others in its tree.
+    """
+    root = parse(html)
+    having = lambda a: root.all(test=lambda x: bool(x.attrs.get(a)))
+    scripts = [x.text() for x in root.all("script")]
+    found = {
+        "hex": {_from_hex(x.attrs["data-cfemail"]) for x in having("data-cfemail")},
+        "text": _from_spelling(html or ""),
+        "script": {e for s in scripts for e in re.findall(LITERAL, s)} | {f"{u}@{h}" for s in scripts for u, h in re.findall(JOINED, s, re.I)},
+        "noscript": {e for x in root.all("noscript") for e in re.findall(EMAIL, x.text())},
+        "attribute": {x.attrs[a].strip() for a in ATTRIBUTES for x in having(a)},
+    }
+    good = {k: sorted(filter(_valid, v)) for k, v in found.items()}
+    return good | {"all": sorted(set().union(*good.values()))}
 
 
-def page_parts(html: Column) -> Column:
-    """struct(cf, text, scripts, noscript, attributes) of a page, parsed once, for the functions here."""
+def recover_emails(html: Column) -> Column:
+    """struct of the addresses that ``recover`` finds, a field a technique, and ``all``."""
 
-    @F.pandas_udf("cf array<string>, text string, scripts string, noscript string, attributes array<string>")
+    @F.pandas_udf(", ".join(f"`{k}` array<string>" for k in [*TECHNIQUES, "all"]))
     def run(pages):
         import pandas as pd
 
-        rows = []
-        for h in pages:
-            root = parse(h)
-            rows.append(
-                {
-                    "cf": [x.attrs["data-cfemail"] for x in root.all(test=lambda x: bool(x.attrs.get("data-cfemail")))],
-                    "text": root.text(),
-                    "scripts": "\n".join(x.text() for x in root.all("script")),
-                    "noscript": "\n".join(x.text() for x in root.all("noscript")),
-                    "attributes": [x.attrs[a].strip() for a in ATTRIBUTES for x in root.all(test=lambda x, a=a: bool(x.attrs.get(a)))],
-                }
-            )
-        return pd.DataFrame(rows, columns=["cf", "text", "scripts", "noscript", "attributes"])
+        return pd.DataFrame([recover(h) for h in pages], columns=[*TECHNIQUES, "all"])
 
     return run(html)
-
-
-def recover_emails(parts: Column) -> Column:
-    """struct of the addresses each technique finds, and ``all`` of them, from ``page_parts``."""
-    cf = F.array_sort(F.array_distinct(F.filter(F.transform(parts["cf"], decode_hex), valid_email)))
-    spelt, scripts, noscript = emails_spelt(parts["text"]), emails_in_scripts(parts["scripts"]), emails_plain(parts["noscript"])
-    attrs = F.array_sort(F.array_distinct(F.filter(parts["attributes"], valid_email)))
-    return F.struct(
-        cf.alias("hex"), spelt.alias("text"), scripts.alias("script"), noscript.alias("noscript"), attrs.alias("attribute"),
-        F.array_sort(F.array_distinct(F.concat(cf, spelt, scripts, noscript, attrs))).alias("all"),
-    )
-
-
-def deobfuscate_all(html: str | None) -> list[str]:
-    """The same for one page or section inside a Python function; sorted."""
-    from .text import EMAIL_WHOLE, PLACEHOLDERS
-
-    ok = lambda e: len(e) >= 5 and re.match(EMAIL_WHOLE, e) and e.lower() not in PLACEHOLDERS
-    root, out = parse(html), set()
-    for x in root.all(test=lambda x: bool(x.attrs.get("data-cfemail"))):
-        try:
-            b = bytes.fromhex(x.attrs["data-cfemail"])
-            out.add("".join(chr(y ^ b[0]) for y in b[1:]))
-        except (ValueError, IndexError):
-            continue
-    text = plain = root.text()
-    for pattern, to in SPELT:
-        text = re.sub(pattern, to.replace("$", "\\"), text, flags=re.I)
-    out |= {e for e in re.findall(EMAIL, text) if e not in plain}
-    for x in root.all("script"):
-        out |= set(re.findall(LITERAL, x.text())) | {f"{u}@{h}" for u, h in re.findall(JOINED, x.text(), re.I)}
-    for x in root.all("noscript"):
-        out |= set(re.findall(EMAIL, x.text()))
-    out |= {x.attrs[a].strip() for a in ATTRIBUTES for x in root.all(test=lambda x, a=a: bool(x.attrs.get(a)))}
-    return sorted(e for e in out if ok(e))

@@ -64,6 +64,7 @@ def name_from_title(c: Column) -> Column:
     names have 20 and 25 letters at most, and title words are no names (in the fourth they may be).
     """
     t = F.trim(c)
+    # fixed values: what a name looks like, and the patterns it is tried with, in order
     name, any_case = r"([A-Z][a-zA-Z\-']+)", r"([A-Za-z][a-zA-Z\-']+)"
 
     def fits(first: Column, last: Column, no_titles: bool) -> Column:

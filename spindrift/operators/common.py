@@ -37,3 +37,32 @@ def value_counts(df: DataFrame, col: str, n: int | None = None) -> DataFrame:
 def pct(part: Column, whole: Column, digits: int = 1) -> Column:
     """A percentage, 0 of nothing."""
     return F.when(whole > 0, F.round(part * 100.0 / whole, digits)).otherwise(0.0)
+
+
+def numbered(df: DataFrame, order: list[str], out: str, rows: int = 100_000) -> DataFrame:
+    """``df`` with ``out``, 1 to n in the order of columns; rows that are equal in these are numbered in any order.
+
+    The order is cut into ranges of about ``rows`` rows, 4,096 at most, by where Spark would cut it; a range is numbered
+    by itself, after all those before it. Nulls come first.
+    """
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    keys = df.select(key.alias("k"))
+    parts = max(1, min(4_096, -(-keys.count() // rows)))
+    lows = sorted_lows(keys, parts) if parts > 1 else []
+    spot = F.lit(0)
+    if lows:
+        table = F.array(*[F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(low)]) for low in lows])
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(lows).bit_length()))])
+        spot = F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(lows)) & (F.get(table, at + s - 1) <= key), at + s).otherwise(at))
+    placed = df.withColumn("__range", spot)
+    before = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = before.select(F.col("__range").alias("__r"), (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    told = placed.withColumn("__in", inside).join(F.broadcast(before), F.col("__range") == F.col("__r"))
+    return told.withColumn(out, (F.col("__before") + F.col("__in")).cast("bigint")).drop("__range", "__in", "__r", "__before")
+
+
+def sorted_lows(keys: DataFrame, parts: int) -> list[tuple]:
+    """The least key of each range but the first."""
+    firsts = keys.repartitionByRange(parts, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("low")).orderBy("low").collect()
+    return [tuple(r["low"]) for r in firsts][1:]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dom import Element, parse
-from ..functions.emails import deobfuscate_all
+from ..functions.emails import recover
 from ..functions.rules import any_match, any_within, first_match
 from ..functions.text import EMAIL, EMAIL_WHOLE, PHONE
 from ..functions.urls import domain_key, normalize_url, same_site, valid_url, without_fragment
@@ -350,7 +350,7 @@ def page_sections(html: Column) -> Column:
         for i, s in enumerate(find_sections(parse(h))):
             got = _section(s)
             if not got["email"]:
-                got["email"] = next(iter(deobfuscate_all(_outer(s))), "")
+                got["email"] = next(iter(recover(_outer(s))["all"]), "")
             if got["full_name"] or got["email"]:
                 out.append({"ord": i} | got)
         return out

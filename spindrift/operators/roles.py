@@ -177,6 +177,7 @@ def target_scores(titles: DataFrame, targets: DataFrame) -> DataFrame:
         .otherwise(0)
     )
     listed = lambda c: F.concat(F.lit("['"), F.array_join(inside(c), "', '"), F.lit("']"))
+    # fixed values: how a match is explained
     why = (
         F.when(kind == "Exact", F.concat(F.lit("Exact match: '"), "role", F.lit("'")))
         .when(kind == "Exact Synonym", F.concat(F.lit("Exact synonym: '"), "__t", F.lit("'")))

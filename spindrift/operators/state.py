@@ -1,7 +1,8 @@
 """Per-domain state over a log of requests: routes, delays, timeouts, as windows and ordered folds.
 
 A log has ``domain``, ``ts``, an order within equal times (``event_id``) and ``kind``: success, timeout or http_error.
-The delay's fold runs by the hour, so a hot domain is many tasks; windows over a domain sort its log and can spill it.
+The delay's fold runs by parts of an hour, so a hot domain is many tasks; windows over a domain sort its log and can spill
+it.
 """
 
 from __future__ import annotations
@@ -37,6 +38,17 @@ def route_counters(log: DataFrame) -> DataFrame:
     return log.groupBy("domain").agg(n(static & good).alias("static_success"), n(static).alias("static_total"), n(dynamic & good).alias("playwright_success"), n(dynamic).alias("playwright_total"), F.max_by("method", F.struct(*_order())).alias("last_method"))
 
 
+COUNTERS = ["static_success", "static_total", "playwright_success", "playwright_total"]
+
+
+def add_counters(*counters: DataFrame) -> DataFrame:
+    """The counters of several runs as one table; they add up by domain, so a run only needs its own log."""
+    out = counters[0].select("domain", *COUNTERS)
+    for c in counters[1:]:
+        out = out.unionByName(c.select("domain", *COUNTERS))
+    return out.groupBy("domain").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+
+
 def running_route_counters(log: DataFrame) -> DataFrame:
     """The log with the counters as they stood before each request."""
     w = Window.partitionBy("domain").orderBy(*_order()).rowsBetween(Window.unboundedPreceding, -1)
@@ -86,59 +98,87 @@ def next_delay(delay: Column, kind: Column, code: Column) -> Column:
     return F.when(kind == "success", F.greatest(F.lit(DELAY_LEAST), delay * 0.9)).otherwise(worse)
 
 
-def _chunks(log: DataFrame) -> DataFrame:
-    """Each domain's log by the hour: what the hour does to the delay, and what it leaves behind.
+#: Events of an hour that are folded as one array.
+CHUNK = 256
+#: The composition of steps x -> min(hi, max(lo, a * x)), with the errors since the last success, and the last time.
+STEPS = "struct<a:double,lo:double,hi:double,e:bigint,ok:boolean,last:timestamp>"
 
-    Every step is x -> min(hi, max(lo, a * x)), and such steps compose to one of the same form. So an hour's events are
-    folded by themselves, whatever the delay before them, and a domain's log is never gathered in one place.
-    """
-    hours = log.groupBy("domain", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind", F.col("status_code").alias("code")))).alias("ev"))
-    start = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("lo"), F.lit(1e300).alias("hi"), F.lit(0).cast("bigint").alias("e"), F.lit(False).alias("ok"))
 
-    def step(s: Column, x: Column) -> Column:
-        good = x["kind"] == "success"
-        factor = F.when(good, 0.9).when(x["code"].isin(429, 503), 2.0).otherwise(1.5)
-        bound = lambda v: F.when(good, F.greatest(F.lit(DELAY_LEAST), v)).otherwise(F.least(F.lit(DELAY_MOST), v))
-        return F.struct((s["a"] * factor).alias("a"), bound(s["lo"] * factor).alias("lo"), bound(s["hi"] * factor).alias("hi"), F.when(good, F.lit(0).cast("bigint")).otherwise(s["e"] + 1).alias("e"), (s["ok"] | good).alias("ok"))
+def _steps(a: Column, lo: Column, hi: Column, e: Column, ok: Column, last: Column) -> Column:
+    return F.struct(a.alias("a"), lo.alias("lo"), hi.alias("hi"), e.alias("e"), ok.alias("ok"), last.alias("last")).cast(STEPS)
+
+
+def _nothing() -> Column:
+    return _steps(F.lit(1.0), F.lit(0.0), F.lit(1e300), F.lit(0), F.lit(False), F.lit(None))
+
 
-    return hours.withColumn("f", F.aggregate("ev", start, step)).withColumn("last", F.element_at("ev", -1)["ts"])
+def _then(p: Column, q: Column) -> Column:
+    """The steps of p, then those of q: again of the form of one."""
+    bound = lambda x: F.least(q["hi"], F.greatest(q["lo"], q["a"] * x))
+    # beyond 1e100 a factor reaches every bound
+    return _steps(F.least(F.lit(1e100), p["a"] * q["a"]), bound(p["lo"]), bound(p["hi"]), F.when(q["ok"], q["e"]).otherwise(p["e"] + q["e"]), p["ok"] | q["ok"], F.coalesce(q["last"], p["last"]))
 
 
-def _by_hour(log: DataFrame) -> DataFrame:
-    """``domain`` and its hours in order, each with the state before it; one small row an hour."""
-    per = _chunks(log).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("hour", "f", "last"))).alias("hs"))
-    apply = lambda d, f: F.least(f["hi"], F.greatest(f["lo"], f["a"] * d))
-    rows = "array<struct<hour:timestamp,d:double,last:timestamp>>"
-    start = F.struct(F.lit(DELAY_START).alias("d"), F.lit(0).cast("bigint").alias("e"), F.lit(None).cast("timestamp").alias("last"), F.array().cast(rows).alias("before"))
+def _events(log: DataFrame) -> DataFrame:
+    """``domain, day, hour, chunk, ts, event_id, f``: each request's step, with the chunk of its hour that it belongs to."""
+    hour = F.date_trunc("hour", "ts").alias("hour")
+    rows = log.select("domain", F.date_trunc("day", "ts").alias("day"), hour, F.col("ts").cast("timestamp").alias("ts"), "event_id", "kind", "status_code")
+    good = F.col("kind") == "success"
+    factor = F.when(good, 0.9).when(F.col("status_code").isin(429, 503), 2.0).otherwise(1.5)
+    f = _steps(factor, F.when(good, DELAY_LEAST).otherwise(0.0), F.when(good, 1e300).otherwise(DELAY_MOST), F.when(good, 0).otherwise(1), good, F.col("ts"))
+    chunk = F.floor((F.row_number().over(Window.partitionBy("domain", "day", "hour").orderBy(*_order())) - 1) / CHUNK)
+    return rows.withColumn("chunk", chunk).select("domain", "day", "hour", "chunk", "ts", "event_id", f.alias("f"))
+
+
+def _fold(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``keys`` and ``f``, the steps of a group's rows in order, one after the other; and ``rows``, these with ``before``,
+    the steps of those before each in its group. Groups are small: what grows is their number."""
+    xs = F.array_sort(F.collect_list(F.struct(*order, "f")))
+    start = F.struct(_nothing().alias("t"), F.array().cast(f"array<{STEPS}>").alias("before"))
+    step = lambda s, x: F.struct(_then(s["t"], x["f"]).alias("t"), F.concat(s["before"], F.array(s["t"])).alias("before"))
+    s = rows.groupBy(*keys).agg(xs.alias("xs")).withColumn("s", F.aggregate("xs", start, step))
+    zipped = F.zip_with("xs", "s.before", lambda x, p: F.struct(*[x[c].alias(c) for c in order], p.alias("before")))
+    return s.select(*keys, F.col("s.t").alias("f"), zipped.alias("rows"))
+
+
+#: A domain's log is folded by chunks of an hour, these by hours, hours by days, and days by domains.
+LEVELS = [(["domain", "day", "hour", "chunk"], ["ts", "event_id"]), (["domain", "day", "hour"], ["chunk"]), (["domain", "day"], ["hour"]), (["domain"], ["day"])]
+
+
+def _folds(log: DataFrame) -> list[DataFrame]:
+    out, rows = [], _events(log)
+    for keys, order in LEVELS:
+        out.append(_fold(rows, keys, order))
+        rows = out[-1].select(*keys, "f")
+    return out
 
-    def step(s: Column, h: Column) -> Column:
-        here = F.struct(h["hour"].cast("timestamp").alias("hour"), s["d"].alias("d"), s["last"].alias("last"))
-        return F.struct(apply(s["d"], h["f"]).alias("d"), F.when(h["f"]["ok"], h["f"]["e"]).otherwise(s["e"] + h["f"]["e"]).alias("e"), h["last"].cast("timestamp").alias("last"), F.concat(s["before"], F.array(here)).alias("before"))
 
-    return per.select("domain", F.aggregate("hs", start, step).alias("s"))
+def _after(f: Column, delay: Column) -> Column:
+    return F.least(f["hi"], F.greatest(f["lo"], f["a"] * delay))
 
 
 def delay_state(log: DataFrame) -> DataFrame:
     """``domain, delay, errors``: the delay after all of a domain's requests in order, and errors since the last success.
 
-    Hours are folded side by side, then a domain's hours; delays are told to nine decimals.
+    Every step is x -> min(hi, max(lo, a * x)), and such steps compose to one of the same form. So parts of a log are
+    folded side by side, whatever the delay before them; delays are told to nine decimals.
     """
-    return _by_hour(log).select("domain", F.round("s.d", 9).alias("delay"), F.col("s.e").alias("errors"))
+    return _folds(log)[-1].select("domain", F.round(_after(F.col("f"), F.lit(DELAY_START)), 9).alias("delay"), F.col("f.e").alias("errors"))
 
 
 def wait_times(log: DataFrame) -> DataFrame:
     """The log with ``wait_s``: how long each request has to wait after the one before, at the delay as it then stands."""
-    before = _by_hour(log).select("domain", F.explode("s.before").alias("h")).select(F.col("domain").alias("__d"), F.col("h.hour").alias("__h"), F.col("h.d").alias("start"), F.col("h.last").alias("prev"))
-    hours = _chunks(log).join(before, (F.col("domain") == F.col("__d")) & (F.col("hour").cast("timestamp") == F.col("__h")))
-    start = F.struct(F.col("start").alias("d"), F.array().cast("array<double>").alias("all"))
-    step = lambda a, x: F.struct(next_delay(a["d"], x["kind"], x["code"]).alias("d"), F.concat(a["all"], F.array(a["d"])).alias("all"))
-    rows = hours.select("domain", "hour", "prev", F.explode(F.arrays_zip("ev", F.aggregate("ev", start, step, lambda a: a["all"]).alias("before"))).alias("x"))
-    flat = rows.select("domain", "hour", "prev", F.col("x.ev.ts").alias("ts"), F.col("x.ev.event_id").alias("event_id"), F.col("x.before").alias("delay"))
-    last = F.coalesce(F.lag("ts").over(Window.partitionBy("domain", "hour").orderBy(*_order())).cast("timestamp"), F.col("prev"))
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = (micros(F.col("ts")) - micros(last)) / 1e6
-    wait = F.when(gap.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("delay") - gap))
-    return flat.select("domain", "ts", "event_id", F.round("delay", 9).alias("delay"), F.round(wait, 9).alias("wait_s"))
+    levels = _folds(log)
+    before = None
+    for (keys, order), fold in list(zip(LEVELS, levels, strict=True))[::-1]:
+        rows = fold.select(*keys, F.explode("rows").alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in order], F.col("r.before").alias("f"))
+        # the steps before a row: those before its group, then those in it
+        before = rows if before is None else rows.join(before.withColumnRenamed("f", "p"), keys).withColumn("f", _then(F.col("p"), F.col("f"))).drop("p")
+    micros = lambda c: F.unix_micros(c)
+    gap = (micros(F.col("ts")) - micros(F.col("f.last"))) / 1e6
+    delay = _after(F.col("f"), F.lit(DELAY_START))
+    wait = F.when(gap.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), delay - gap))
+    return before.select("domain", "ts", "event_id", F.round(delay, 9).alias("delay"), F.round(wait, 9).alias("wait_s"))
 
 
 def limiter_summary(log: DataFrame) -> DataFrame:

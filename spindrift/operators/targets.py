@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..functions.urls import domain_key, normalize_url, valid_url
-from .common import first_per_key, with_seq
+from .common import first_per_key, numbered, with_seq
 
 # fixed values: the fifty states and their abbreviations, in order of name
 STATES = {
@@ -27,6 +27,7 @@ def parse_listed(c: Column) -> Column:
 
     'State - City' is split where the first part has two words at most; null if there is no year.
     """
+    # fixed values: the patterns of a list entry
     name = F.trim(F.regexp_extract(c, r"^(.+?)\s*\(\d{4}\)", 1))
     year = F.regexp_extract(c, r"\((\d{4})\)", 1)
     split = r"^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*-\s*(.+)"
@@ -90,24 +91,14 @@ def all_targets(master: DataFrame | None, live: list[DataFrame]) -> DataFrame:
 
 
 def build_master(parts: list[DataFrame], now: str) -> DataFrame:
-    """One table of all sources, sorted by type and name and numbered from 1.
-
-    Numbers come from ranges of names: each range's size is added to the numbers of those after it, so that no task
-    sees all rows.
-    """
+    """One table of all sources, sorted by type, name, state, city and URL and numbered from 1; ranges are numbered side by side."""
     cols = [c for c in MASTER if c not in ("institution_id", "source", "last_updated")]
     both = None
     for p in parts:
         x = align(p, cols)
         both = x if both is None else both.unionByName(x)
     both = both.withColumn("source", F.when(F.contains(F.col("type"), F.lit("Law School")), "ABA").otherwise("AAfPE")).withColumn("last_updated", F.lit(now))
-    group = F.concat_ws("/", "type", F.upper(F.substring("name", 1, 2)))
-    sizes = both.groupBy(F.col("type").alias("__t"), group.alias("__g")).agg(F.count("*").alias("__n"))
-    before = sizes.select("__g", "__t", (F.sum("__n").over(Window.orderBy("__t", "__g")) - F.col("__n")).alias("__before"))
-    inside = Window.partitionBy("type", "__group").orderBy("name", "state", "city", "url")
-    numbered = both.withColumn("__group", group).withColumn("__in", F.row_number().over(inside))
-    out = numbered.join(before, (F.col("__group") == F.col("__g")) & F.col("type").eqNullSafe(F.col("__t")))
-    return out.withColumn("institution_id", (F.col("__before") + F.col("__in")).cast("bigint")).select(*MASTER)
+    return numbered(both, ["type", "name", "state", "city", "url"], "institution_id").select(*MASTER)
 
 
 def coverage(df: DataFrame, cols: tuple[str, ...] = ("state", "city", "url")) -> DataFrame:
@@ -127,6 +118,7 @@ def by_type(df: DataFrame, part: str) -> DataFrame:
 
 def normalize_school(c: Column) -> Column:
     """Without what follows 'Law School' and the like; of 'A - B' the first part."""
+    # fixed values: the words that end a name, and the dash
     short = F.regexp_replace(c, r"(?i)\s+(Law School|School of Law|College of Law|University).*$", "")
     dash = r"^([A-Za-z\s]+)\s*-\s*(.+)$"
     return F.trim(F.when(short.rlike(dash), F.regexp_extract(short, dash, 1)).otherwise(short))

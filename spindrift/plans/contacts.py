@@ -5,21 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scoring import contact_confidence, keep_contact
 from ..functions.urls import extract_domain
-from ..operators import dedup, enrich, pages, report, roles, stats
+from ..operators import dedup, enrich, pages, records, report, roles, stats
 from ..operators.common import with_seq
 
 
-def score_contacts(contacts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Contacts with their role, title points and confidence; those of low confidence are dropped."""
-    c = roles.match_roles(contacts, catalog)
-    has = F.coalesce(F.col("email") != "", F.lit(False))
-    conf = contact_confidence(has, has, F.lit(False), F.lit(False), F.col("title_match_score"), F.coalesce(F.col("phone") != "", F.lit(False)), F.lit(False))
-    c = c.withColumn("confidence_score", conf)
-    return c.where(keep_contact(F.col("confidence_score"), F.col("email"), F.col("title_match_score")))
-
-
 def run(spark: SparkSession, page_table: DataFrame, targets: DataFrame, existing: DataFrame | None = None, validations: DataFrame | None = None, now: str = "") -> dict[str, DataFrame]:
     """The sheets of the report, and ``classes``: what is new, a duplicate or an update against ``existing``.
 
@@ -27,8 +17,8 @@ def run(spark: SparkSession, page_table: DataFrame, targets: DataFrame, existing
     """
     found = pages.follow(page_table, targets).withColumn("__d", extract_domain(F.col("url")))
     t = targets.select(extract_domain(F.col("url")).alias("__td"), F.col("name").alias("institution_name"), F.col("url").alias("institution_url"), "state", F.col("type").alias("program_type"))
-    contacts = found.join(t, F.col("__d") == F.col("__td")).drop("__d", "__td").withColumn("extracted_at", F.lit(now))
-    contacts = with_seq(score_contacts(contacts, roles.catalog(spark)))
+    contacts = found.join(t, F.col("__d") == F.col("__td")).drop("__d", "__td")
+    contacts = with_seq(records.contact_records(contacts, roles.catalog(spark), now))
     contacts = dedup.deduplicate_contacts(enrich.enrich_contacts(contacts, validations))
     out = report.views(contacts)
     out["Statistics Summary"] = report.statistics_rows(stats.contact_statistics(contacts, targets))

@@ -5,43 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import domain_key
-from ..operators import pages, report, roles, targets
-from ..operators.common import with_seq
+from ..operators import dedup, pages, records, report, roles, state, targets
+from ..operators.names import fill_missing_names
 from ..sources.scratch import shared_path
-from ..sources.tables import append_contacts, read_csv, save_csv, write_by_source
-from . import contacts as pipeline
+from ..sources.tables import append_contacts, read_csv, replace_table, save_csv, write_by_source
+from .expected import ROLE_TABLE, TARGET_TABLE
 from .registry import query
-from .relations import K5, recursive
-from .scalars import lit
-from .views import table, view
+from .relations import K1, K5, recursive
+from .scalars import N8, OF_HEX, lit, named_title, sql_named
+from .views import HOST, MAIL, PERSON, PHONE, TITLE, table, view
 
 # ---- pages
 
 A = r"""regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)"""
-TEXTS = r"""regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)"""
-PERSON = " OR ".join(f"contains(lower(x), {lit(p)})" for p in pages.PERSON_PATHS)
 
 
-@query("P5_link_features", f"SELECT page_id, CAST(len([x FOR x IN {A} IF {PERSON}]) AS INT) AS person_links, CAST(0 AS INT) AS mailto_links, CAST(0 AS INT) AS contact_blocks, CAST(0 AS INT) AS person_blocks, len({TEXTS}) > 0 AS has_links FROM pages")
+def web(spark, d) -> DataFrame:
+    return view(spark, d, "web_pages")
+
+
+def per_kind(values: list) -> str:
+    """SQL of a value by the kind of a page of ``web_pages``."""
+    return "CASE page_id % 8 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+CARDS = "(5 + page_id % 3)"  # of a team page
+
+
+@query(
+    "P5_link_features",
+    f"SELECT page_id, CAST({per_kind([2, 0, 1, 0, 0, 5, 0, 1])} AS INT) AS person_links, CAST({per_kind([1, 1, 0, 0, 0, 1, 0, 0])} AS INT) AS mailto_links, "
+    f"CAST({per_kind([0, 0, 0, 1, 0, 0, CARDS, 0])} AS INT) AS contact_blocks, CAST({per_kind([0, 0, 0, 0, 0, 1, CARDS, 0])} AS INT) AS person_blocks, page_id % 8 IN (0, 1, 2, 5, 7) AS has_links FROM web_pages",
+)
 def link_features(spark, d) -> DataFrame:
-    p = table(spark, d, "pages").withColumn("f", pages.page_features(F.col("html"))).withColumn("l", pages.page_links(F.col("html"), F.col("url")))
+    p = web(spark, d).withColumn("f", pages.page_features(F.col("html"))).withColumn("l", pages.page_links(F.col("html"), F.col("url")))
     return p.select("page_id", "f.person_links", "f.mailto_links", "f.contact_blocks", "f.person_blocks", (F.size("l") > 0).alias("has_links"))
 
 
-@query("P7_classify_pages")
+#: By the rules: points of the URL, of the page's parts and of its links, by type; the best.
+KINDS = ["directory_listing", "individual_profile", "homepage", "contact_form", "individual_profile", "portal", "directory_listing", "individual_profile"]
+P7 = f"SELECT page_id, {per_kind([lit(k) for k in KINDS])} AS page_type, CAST({per_kind([125, 130, 70, 70, 15, -100, 140, 15])} AS INT) AS confidence, page_id % 8 = 5 AS excluded, page_id % 8 IN (0, 6) AS is_directory, page_id % 8 = 1 AS is_profile FROM web_pages"
+
+
+@query("P7_classify_pages", P7)
 def classify_pages(spark, d) -> DataFrame:
-    return pages.classify(table(spark, d, "pages")).select("page_id", "page_type", "confidence", "excluded", "is_directory", "is_profile")
+    return pages.classify(web(spark, d)).select("page_id", "page_type", "confidence", "excluded", "is_directory", "is_profile")
 
 
-@query("P10_counts_by_type")
+@query("P10_counts_by_type", f"SELECT page_type, count(*) AS n FROM ({P7}) GROUP BY 1")
 def counts_by_type(spark, d) -> DataFrame:
-    return pages.classify(table(spark, d, "pages")).groupBy("page_type").agg(F.count("*").alias("n"))
+    return pages.classify(web(spark, d)).groupBy("page_type").agg(F.count("*").alias("n"))
 
 
-@query("H10_contact_content", "SELECT page_id, false AS has, true AS lacks FROM pages")
+@query("H10_contact_content", f"SELECT page_id, page_id % 8 = 6 AND {CARDS} > 5 AS has, page_id % 8 <> 6 AS lacks FROM web_pages")
 def contact_content(spark, d) -> DataFrame:
-    p = table(spark, d, "pages").withColumn("c", pages.has_contact_content(pages.page_features(F.col("html"))))
+    p = web(spark, d).withColumn("c", pages.has_contact_content(pages.page_features(F.col("html"))))
     return p.select("page_id", "c.has", "c.lacks")
 
 
@@ -50,34 +68,24 @@ def page_links(spark, d) -> DataFrame:
     return pages.links_of(table(spark, d, "pages")).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
-NAVS = [
-    (1, "https://law.example.edu", '<nav><a href="/about">About</a><a href="/faculty">Faculty Directory</a><a href="/students">Students</a></nav>'),
-    (2, "https://law.example.edu/x", '<a href="/administration/staff">Staff Directory</a><a href="/people">People</a><a href="/people#top">People</a>'),
-    (3, "https://law.example.edu", '<a href="/news">News</a><a href="/events">Events</a>'),
-]
-
+L1 = f"""SELECT page_id, concat({HOST}, '/profile/p', page_id + 1) AS url, 100 AS score FROM web_pages WHERE page_id % 8 = 0
+UNION ALL SELECT page_id, concat({HOST}, '/faculty-directory'), 100 FROM web_pages WHERE page_id % 8 = 2 UNION ALL SELECT page_id, concat({HOST}, '/administration/staff?x=', page_id), 50 FROM web_pages WHERE page_id % 8 = 2"""
 
-def _table(rows: list[tuple], cols: str) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(lit(v) if isinstance(v, str) else "NULL" if v is None else f"CAST({v} AS BIGINT)" for v in r) + ")" for r in rows) + f") v({cols})"
 
-
-@query("L1_directory_pages", _table([(1, "https://law.example.edu/faculty", 100), (2, "https://law.example.edu/administration/staff", 100), (2, "https://law.example.edu/people", 50), (2, "https://law.example.edu/people#top", 50)], "page_id, url, score"))
+@query("L1_directory_pages", L1)
 def directory_pages(spark, d) -> DataFrame:
-    df = spark.createDataFrame(NAVS, "page_id bigint, url string, html string")
-    return pages.directory_pages(pages.links_of(df), most=5).select("page_id", "url", F.col("score").cast("bigint").alias("score"))
+    return pages.directory_pages(pages.links_of(web(spark, d)), most=5).select("page_id", "url", "score")
 
 
-@query("L4_profile_links", _table([(1, "https://law.example.edu/people/law/jane-doe", 100), (1, "https://law.example.edu/profile/bob", 100)], "page_id, url, score"))
-def profile_links(spark, d) -> DataFrame:
-    html = '<div class="people"><ul><li class="card"><a href="/people/law/jane-doe">Jane Doe</a></li><li class="card"><a href="/profile/bob">View profile</a></li><li class="card"><a href="/news/x">News</a></li><li class="card"><a href="https://twitter.com/x">Jane Doe</a></li></ul></div>'
-    df = spark.createDataFrame([(1, "https://law.example.edu/people", html)], "page_id bigint, url string, html string")
-    return pages.profile_links(pages.links_of(df)).select("page_id", "url", F.col("score").cast("bigint").alias("score"))
+@query("L2_directories_or_home", f"{L1} UNION ALL SELECT page_id, url, 0 FROM web_pages WHERE page_id % 8 NOT IN (0, 2)")
+def directories_or_home(spark, d) -> DataFrame:
+    p = web(spark, d)
+    return pages.directories_or_home(p, pages.links_of(p)).select("page_id", "url", "score")
 
 
-@query("L2_directories_or_home", _table([(1, "https://law.example.edu/faculty", 100), (2, "https://law.example.edu/administration/staff", 100), (2, "https://law.example.edu/people", 50), (2, "https://law.example.edu/people#top", 50), (3, "https://law.example.edu", 0)], "page_id, url, score"))
-def directories_or_home(spark, d) -> DataFrame:
-    df = spark.createDataFrame(NAVS, "page_id bigint, url string, html string")
-    return pages.directories_or_home(df, pages.links_of(df)).select("page_id", "url", F.col("score").cast("bigint").alias("score"))
+@query("L4_profile_links", f"SELECT page_id, concat({HOST}, {per_kind([f"concat('/profile/p', page_id + 1)", "''", "'/faculty-directory'", "''", "''", "'/grades'", "''", "''"])}) AS url, CAST({per_kind([100, 0, 50, 0, 0, 40, 0, 0])} AS INT) AS score FROM web_pages WHERE page_id % 8 IN (0, 2, 5)")
+def profile_links(spark, d) -> DataFrame:
+    return pages.profile_links(pages.links_of(web(spark, d))).select("page_id", "url", "score")
 
 
 @query("L6_link_context", "SELECT page_id, href AS text FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)) AS href FROM pages)")
@@ -97,47 +105,54 @@ def link_summary(spark, d) -> DataFrame:
     return pages.link_summary(pages.links_of(table(spark, d, "pages")))
 
 
-CARDS = [
-    (1, '<div class="profile"><h3>Jane Smith</h3><p class="title">Library Director</p><a href="mailto:jane.smith@law.edu">mail</a><p>Phone: (555) 123-4567</p></div>'),
-    (2, '<div class="staff-member"><strong>Bob Johnson</strong> <span>Associate Dean for Academic Affairs</span></div>'),
-    (3, "<table><tr><td>Ann Lee</td><td>ann@law.edu</td></tr></table>"),
-    (4, '<div><span itemprop="name">Kim Park</span><span itemprop="jobTitle">Dean</span><a itemprop="email" href="mailto:kim@law.edu">x</a></div>'),
-    (5, '<li class="person"><b class="name">Max Hill</b><a data-cfemail="1a7b5a7834797577">m</a></li>'),
-    (6, "<p>nobody here</p>"),
-]
+#: A page's contacts: what each card, row or section shows. A title needs a word of a job.
+JOB = f"CASE WHEN regexp_matches(lower({TITLE}), '{'|'.join(pages.JOB_WORDS)}') THEN {TITLE} ELSE '' END"
+H7 = f"""
+SELECT page_id, 0 AS ord, {PERSON} AS full_name, {JOB} AS title, {MAIL} AS email, {PHONE} AS phone FROM web_pages WHERE page_id % 8 = 0
+UNION ALL SELECT page_id, 1, 'Second Person', 'Dean of Students', '', '' FROM web_pages WHERE page_id % 8 = 0
+UNION ALL SELECT page_id, 2, 'Third Person', '', '', '' FROM web_pages WHERE page_id % 8 = 0
+UNION ALL SELECT page_id, 0, {PERSON}, concat({TITLE}, ' | Lecturer'), {MAIL}, {PHONE} FROM web_pages WHERE page_id % 8 = 1
+UNION ALL SELECT page_id, 0, '', '', {OF_HEX}, '' FROM web_pages WHERE page_id % 8 = 3
+UNION ALL SELECT page_id, 0, {PERSON}, '', {MAIL}, '' FROM web_pages WHERE page_id % 8 IN (4, 5)
+UNION ALL SELECT page_id, unnest(range({CARDS})), {PERSON}, 'Reference Librarian', '', '' FROM web_pages WHERE page_id % 8 = 6
+"""
 
 
-@query("H7_page_contacts", _table([(1, "Library Director", "jane.smith@law.edu", "(555) 123-4567"), (3, "", "ann@law.edu", ""), (4, "Dean", "kim@law.edu", ""), (5, "", "a@b.com", "")], "page_id, title, email, phone"))
+@query("H7_page_contacts", f"SELECT page_id, CAST(ord AS INT) AS ord, full_name, title, email, phone, split_part(full_name, ' ', 1) AS first_name, split_part(full_name, ' ', 2) AS last_name FROM ({H7})")
 def page_contacts(spark, d) -> DataFrame:
-    df = spark.createDataFrame(CARDS, "page_id bigint, html string")
-    return pages.contacts_of(df, ["page_id"]).where("page_id <> 2").select("page_id", "title", "email", "phone")
+    return pages.contacts_of(web(spark, d), ["page_id"]).select("page_id", "ord", "full_name", "title", "email", "phone", "first_name", "last_name")
 
 
-@query("H1_sections_of_pages")
+@query("H1_sections_of_pages", f"SELECT page_id, count(*) AS sections FROM ({H7}) GROUP BY 1")
 def sections_of_pages(spark, d) -> DataFrame:
-    return pages.contacts_of(table(spark, d, "pages"), ["page_id"])
+    return pages.contacts_of(web(spark, d), ["page_id"]).groupBy("page_id").agg(F.count("*").alias("sections"))
 
 
-LISTS = "<h2>California</h2><ul><li><a href='//a.edu/x'>A  College</a></li><li><a href='b.edu'>B</a></li></ul><h2>Other</h2><ul><li><a href='c.edu'>C</a></li></ul>"
+@query("T8_directory_programs", f"""SELECT concat('A College ', page_id) AS name, concat('https://a', page_id, '.edu/x') AS url, 'California' AS state, 'paralegal' AS program_type FROM web_pages WHERE page_id % 8 = 7
+UNION ALL SELECT 'B', 'https://b.edu', 'California', 'paralegal' FROM web_pages WHERE page_id % 8 = 7 UNION ALL SELECT 'D', concat({HOST}, '/d'), 'Ohio', 'paralegal' FROM web_pages WHERE page_id % 8 = 7""")
+def directory_programs(spark, d) -> DataFrame:
+    return targets.directory_programs(web(spark, d))
 
 
-@query("T8_directory_programs", _table([("A College", "https://a.edu/x", "California", "paralegal"), ("B", "https://b.edu", "California", "paralegal")], "name, url, state, program_type"))
-def directory_programs(spark, d) -> DataFrame:
-    df = spark.createDataFrame([("https://dir.example.org", LISTS)], "url string, html string")
-    return targets.directory_programs(df)
+#: From a directory, a table and a portal: the portal is excluded, and the directory's profile is followed.
+H9 = f"SELECT * FROM ({H7}) WHERE page_id % 8 IN (0, 1, 4)"
+
+
+def followed(spark, d) -> DataFrame:
+    p = web(spark, d)
+    return pages.follow(p, p.where("page_id % 8 IN (0, 4, 5)").select("url"))
 
 
-@query("H9_follow_links", "SELECT page_id FROM pages WHERE false")
+@query("H9_follow_links", f"SELECT page_id, CAST(ord AS INT) AS ord, full_name, title, email, phone FROM ({H9})")
 def follow_links(spark, d) -> DataFrame:
-    """Contacts of all pages and of the profiles they link to; these pages hold none."""
-    p = table(spark, d, "pages")
-    return pages.follow(p, p.select("url")).select("page_id")
+    """Contacts of pages to start from, unless they are excluded, and of the profiles that directories among them link to."""
+    return followed(spark, d).select("page_id", "ord", "full_name", "title", "email", "phone")
 
 
-@query("L8_profile_fanout", "SELECT page_id, url FROM pages WHERE false")
+@query("L8_profile_fanout", "SELECT page_id, url FROM web_pages p WHERE page_id % 8 = 1 OR (page_id % 8 = 0 AND EXISTS (SELECT 1 FROM pages q WHERE q.page_id = p.page_id + 2))")
 def profile_fanout(spark, d) -> DataFrame:
-    """Pages reached as profiles from any page's best twenty links; no link here looks like a profile's."""
-    p = table(spark, d, "pages")
+    """Pages reached as profiles from any page's best twenty links: profiles, and the directory that home pages link to."""
+    p = web(spark, d)
     links = pages.profile_links(pages.links_of(p), least=35, most=20).select(F.col("url").alias("u")).distinct()
     return p.join(links, F.col("url") == F.col("u"), "left_semi").select("page_id", "url")
 
@@ -149,7 +164,12 @@ def contacts(spark, d) -> DataFrame:
     return view(spark, d, "contacts")
 
 
-@query("F13_match_roles")
+LAW = "(program_type = 'Law School')"
+MATCHED = f"SELECT c.*, r.role, coalesce(r.score, 0) AS score, coalesce(r.points, 0) AS points, coalesce(r.others, '') AS others FROM contacts c LEFT JOIN {ROLE_TABLE} r ON r.title = c.title AND r.law = {LAW}"
+AIMED = f"SELECT c.*, t.role, coalesce(t.score, 0) AS score, t.kind, t.why FROM contacts c LEFT JOIN {TARGET_TABLE} t ON t.title = c.title AND t.law = {LAW}"
+
+
+@query("F13_match_roles", f"SELECT _seq, title, role AS matched_role, score AS title_match_score, points AS title_points, others FROM ({MATCHED})")
 def match_roles(spark, d) -> DataFrame:
     m = roles.match_roles(contacts(spark, d), roles.catalog(spark))
     return m.select("_seq", "title", "matched_role", "title_match_score", "title_points", F.array_join("all_matched_roles", "|").alias("others"))
@@ -164,7 +184,7 @@ def exact_roles(spark, d) -> DataFrame:
     return exact.select("_seq", "title_match_score")
 
 
-@query("F15_match_targets")
+@query("F15_match_targets", f"SELECT _seq, title, role AS target_role, score AS match_score, kind AS match_type, why AS match_explanation FROM ({AIMED})")
 def match_targets(spark, d) -> DataFrame:
     return roles.match_targets(contacts(spark, d), roles.target_catalog(spark)).select("_seq", "title", "target_role", "match_score", "match_type", "match_explanation")
 
@@ -175,12 +195,17 @@ def exact_targets(spark, d) -> DataFrame:
     return m.where("match_type = 'Exact'").select("_seq", "target_role", "match_score")
 
 
-@query("W7_filter_by_roles")
+W7 = f"""SELECT * FROM (SELECT *, score * 0.5::DOUBLE + coalesce(TRY_CAST(nullif(regexp_extract(notes, 'Confidence:\\s*(\\d+)', 1), '') AS INT), 50) * 0.3::DOUBLE + CASE WHEN email IS NOT NULL THEN 100 ELSE 0 END * 0.2::DOUBLE AS p FROM ({AIMED}) WHERE role IS NOT NULL)
+QUALIFY row_number() OVER (PARTITION BY email ORDER BY p DESC, _seq) = 1"""
+TIER = "CASE WHEN p >= 90 THEN 'High' WHEN p >= 75 THEN 'Medium' ELSE 'Low' END"
+
+
+@query("W7_filter_by_roles", f"SELECT _seq, role AS target_role, score AS match_score, kind AS match_type, round(p, 1) AS priority_score, {TIER} AS priority_tier FROM ({W7})")
 def filter_by_roles(spark, d) -> DataFrame:
     return roles.filter_by_roles(contacts(spark, d), roles.target_catalog(spark)).select("_seq", "target_role", "match_score", "match_type", "priority_score", "priority_tier")
 
 
-@query("W5_role_view")
+@query("W5_role_view", f'SELECT title AS "Title / Role", role AS "Target Role", score AS "Match Score", {TIER} AS "Priority Tier" FROM ({W7})')
 def role_view(spark, d) -> DataFrame:
     f = roles.filter_by_roles(contacts(spark, d), roles.target_catalog(spark))
     named = f.select(F.col("target_role").alias("Target Role"), F.col("match_score").alias("Match Score"), F.col("title").alias("Title / Role"), F.col("priority_tier").alias("Priority Tier"))
@@ -190,12 +215,11 @@ def role_view(spark, d) -> DataFrame:
 # ---- sources
 
 
-@query("S5_fill_names", "SELECT _seq, CASE WHEN _seq % 2 = 0 THEN 'Ann' ELSE 'First' END AS \"First Name\", CASE WHEN _seq % 2 = 0 THEN 'Bell' ELSE 'Last' END AS \"Last Name\" FROM contacts")
+@query("S5_fill_names", f'SELECT _seq, CASE WHEN _seq % 2 = 0 AND _seq % 8 <> 7 THEN {sql_named(1)} WHEN _seq % 2 = 1 THEN first_name END AS "First Name", CASE WHEN _seq % 2 = 0 AND _seq % 8 <> 7 THEN {sql_named(2)} WHEN _seq % 2 = 1 THEN last_name END AS "Last Name" FROM contacts')
 def fill_names(spark, d) -> DataFrame:
-    from ..operators.names import fill_missing_names
-
+    """A sheet whose every second row lacks its names."""
     odd = F.col("_seq") % 2 == 1
-    c = contacts(spark, d).select("_seq", F.when(odd, "First").alias("First Name"), F.when(odd, "Last").alias("Last Name"), F.lit("Ann Bell Director of X").alias("Title / Role"))
+    c = contacts(spark, d).select("_seq", F.when(odd, F.col("first_name")).alias("First Name"), F.when(odd, F.col("last_name")).alias("Last Name"), named_title(F.col("_seq")).alias("Title / Role"))
     return fill_missing_names(c).drop("Title / Role")
 
 
@@ -213,6 +237,16 @@ def append(spark, d) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@query("K4_stored_counters", K1)
+def stored_counters(spark, d) -> DataFrame:
+    """Two runs, the second of which finds the counters that the first has left."""
+    path, log = shared_path(spark, "counters"), view(spark, d, "request_log")
+    late = F.col("method") == "playwright"
+    replace_table(state.add_counters(state.route_counters(log.where(~late))), path)
+    replace_table(state.add_counters(spark.read.parquet(path), state.route_counters(log.where(late))), path)
+    return spark.read.parquet(path)
+
+
 @query("S12_by_source", "SELECT source, count(*) AS n FROM targets GROUP BY 1")
 def by_source(spark, d) -> DataFrame:
     path = shared_path(spark, "by-source")
@@ -249,7 +283,12 @@ def delay_stream(spark, d) -> DataFrame:
     return _last(spark, delays(log_stream(spark, d)), shared_path(spark, "delays")).withColumn("delay", F.round("delay", 9))
 
 
-@query("K8_timeout_stream")
+K8 = """SELECT d.domain, CAST(least(45000, floor(coalesce(l.current, 30000) * pow(1.5::DOUBLE, least(coalesce(t.n, 0), 8)))) AS INT) AS timeout_ms, coalesce(t.n, 0) AS consecutive FROM (SELECT DISTINCT domain FROM request_log) d
+LEFT JOIN (SELECT domain, greatest(8000, least(45000, floor(avg(load_s) * 2.5::DOUBLE * 1000))) AS current FROM (SELECT * FROM request_log WHERE kind = 'success' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) <= 10) GROUP BY 1) l ON l.domain = d.domain
+LEFT JOIN (SELECT domain, count(*) FILTER (WHERE kind = 'timeout') AS n FROM (SELECT *, count(*) FILTER (WHERE kind = 'success') OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) AS later FROM request_log) WHERE later = 0 GROUP BY 1) t ON t.domain = d.domain"""
+
+
+@query("K8_timeout_stream", K8)
 def timeout_stream(spark, d) -> DataFrame:
     from ..streaming.domains import timeouts
 
@@ -268,15 +307,36 @@ def append_stream(spark, d) -> DataFrame:
 # ---- all of it
 
 
-@query("Z1_contact_run")
+SCHOOL = "concat('School ', page_id - page_id % 8)"
+HAS = "CASE WHEN {} <> '' THEN {} ELSE 0 END"
+SCORED = f"""SELECT *, CAST(least(100, {HAS.format('email', 40)} + {HAS.format('phone', 10)} + CASE WHEN score >= 90 THEN 20 WHEN score >= 70 THEN 10 ELSE 0 END) AS INT) AS confidence
+FROM (SELECT c.*, coalesce(r.role, '') AS role, coalesce(r.score, 0) AS score, replace(coalesce(r.others, ''), '|', ',') AS others FROM ({H7}) c LEFT JOIN {ROLE_TABLE} r ON r.title = c.title AND r.law = (page_id % 16 < 8))"""
+KEPT = f"SELECT * FROM ({SCORED}) WHERE NOT (confidence < 50 AND email = '' AND score < 90)"
+#: Each distinct title of a page, normalised as contacts' titles are.
+NORMALIZED = N8.replace("FROM contacts", f"FROM (SELECT DISTINCT title AS _seq, title FROM ({H7})) contacts")
+
+
+@query(
+    "H7_contact_records",
+    f"""SELECT page_id, CAST(ord AS INT) AS ord, {SCHOOL} AS institution_name, {HOST} AS institution_url, 'Ohio' AS state, CASE WHEN page_id % 16 < 8 THEN 'Law School' ELSE 'Paralegal Program' END AS program_type, split_part(full_name, ' ', 1) AS first_name, split_part(full_name, ' ', 2) AS last_name,
+  full_name, title, CASE WHEN n.should_exclude THEN title ELSE n.normalized END AS title_normalized, CASE WHEN n.should_exclude THEN '' ELSE n.modifiers END AS title_modifiers, NOT n.should_exclude AND n.is_temporary AS is_temporary, NOT n.should_exclude AND n.is_shared_role AS is_shared_role,
+  role AS matched_role, others AS all_matched_roles, email, phone, confidence AS confidence_score, score AS title_match_score, 'website_scrape' AS extraction_method, {HOST} AS source_url, '2024-01-01 00:00:00' AS extracted_at
+FROM ({KEPT}) c JOIN ({NORMALIZED}) n ON n._seq = c.title""",
+)
+def contact_records(spark, d) -> DataFrame:
+    """The full records of all pages, whose sites are law schools and paralegal programs in turn."""
+    site = F.col("page_id") - F.col("page_id") % 8
+    host = F.concat(F.lit("https://law"), site.cast("string"), F.lit(".example.edu"))
+    found = pages.contacts_of(web(spark, d), ["page_id"])
+    named = found.select("page_id", "ord", "full_name", "title", "email", "phone", F.concat(F.lit("School "), site.cast("string")).alias("institution_name"), host.alias("institution_url"), F.lit("Ohio").alias("state"), F.when(F.col("page_id") % 16 < 8, "Law School").otherwise("Paralegal Program").alias("program_type"))
+    return records.contact_records(named, roles.catalog(spark), "2024-01-01 00:00:00", keep=("page_id", "ord"))
+
+
+@query("Z1_contact_run", f"SELECT page_id, full_name, title, email, role AS matched_role, confidence AS confidence_score FROM (SELECT * FROM ({KEPT}) WHERE page_id % 8 IN (0, 1, 4)) WHERE email <> '' UNION ALL SELECT min(page_id), arg_min(full_name, page_id), arg_min(title, page_id), '', arg_min(role, page_id), CAST(arg_min(confidence, page_id) AS INT) FROM ({KEPT}) WHERE page_id % 8 IN (0, 1, 4) AND email = '' HAVING count(*) > 0")
 def contact_run(spark, d) -> DataFrame:
-    """From pages to classes against an older table, over pages whose host is a target's."""
-    cards = "".join(h for _, h in CARDS)
-    p = table(spark, d, "pages").select("page_id", "url", F.concat("html", F.lit(cards)).alias("html"))
-    hosts = with_seq(p.select(domain_key(F.col("url")).alias("h")).distinct(), "h")
-    t = hosts.select(F.concat(F.lit("https://"), F.col("h")).alias("url"), F.col("h").alias("name"), F.lit("Ohio").alias("state"), F.lit("Law School").alias("type"))
-    start = p.select(F.col("url"))
-    found = pages.follow(p, start)
-    joined = found.join(t.select(F.col("name").alias("institution_name"), "state", F.col("type").alias("program_type")), domain_key(F.col("url")) == F.col("institution_name"))
-    scored = pipeline.score_contacts(joined.withColumn("_seq", F.col("page_id") * 1000 + F.col("ord")), roles.catalog(spark))
-    return scored.select("page_id", "ord", "full_name", "title", "email", "matched_role", "confidence_score")
+    """From pages to deduplicated, scored contacts: all without an address count as one, as an empty one is an address."""
+    found = followed(spark, d)
+    law = F.when(F.col("page_id") % 16 < 8, "Law School").otherwise("Paralegal Program")
+    scored = records.score_contacts(found.withColumn("program_type", law), roles.catalog(spark)).withColumn("_seq", F.col("page_id") * 1000 + F.col("ord"))
+    kept = dedup.deduplicate_contacts(scored.withColumn("institution_name", F.lit("")))
+    return kept.select("page_id", "full_name", "title", "email", F.coalesce("matched_role", F.lit("")).alias("matched_role"), "confidence_score")

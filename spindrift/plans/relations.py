@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_email
 from ..functions.urls import domain_key
 from ..operators import common, dedup, enrich, report, state, stats, targets
-from .registry import query
+from ..operators.roles import LAW_ROLES, PARALEGAL_ROLES
+from .registry import ORACLES, query
 from .scalars import NORM_URL, lit
 from .views import table, view
 
@@ -293,10 +294,28 @@ def high_confidence(spark, d) -> DataFrame:
     return report.views(contacts(spark, d))["High Confidence"].select("_seq", "confidence_score")
 
 
-@query("W3_statistics_rows")
+def sql_rows(section: str, name: str, cols: list[str], first: bool) -> str:
+    """The rows of a statistic: its first column names them, or each column is one."""
+    text = lambda c: f"CAST({c} AS VARCHAR)"
+    if first:
+        return f"SELECT {lit(section)} AS section, {cols[0]} AS metric, concat_ws(', ', {', '.join(map(text, cols[1:]))}) AS value FROM ({ORACLES[name]})"
+    return " UNION ALL ".join(f"SELECT {lit(section)} AS section, {lit(c)} AS metric, {text(c)} AS value FROM ({ORACLES[name]})" for c in cols)
+
+
+def sql_statistics() -> str:
+    parts = [
+        ("summary", "A9_summary", ["contacts", "institutions", "per_institution"], False), ("states", "A1_state_breakdown", ["value", "n"], True), ("programs", "A2_program_breakdown", ["program_type", "n", "pct"], True),
+        ("email_quality", "A3_email_quality", ["total", "with_email", "coverage_pct", "validated", "valid", "valid_pct", "catch_all", "catch_all_pct", "invalid", "invalid_pct", "unknown", "unknown_pct"], False),
+        ("services", "A4_service_usage", ["value", "n"], True), ("sources", "A5_source_usage", ["value", "n"], True),
+    ]
+    return " UNION ALL ".join(sql_rows(*p) for p in parts)
+
+
+@query("W3_statistics_rows", sql_statistics())
 def statistics_rows(spark, d) -> DataFrame:
+    """Of all sections those that other queries state in SQL alone."""
     s = stats.contact_statistics(contacts(spark, d), view(spark, d, "targets"))
-    return report.statistics_rows({k: v for k, v in s.items() if k != "input"})
+    return report.statistics_rows({k: s[k] for k in ("summary", "states", "programs", "email_quality", "services", "sources")})
 
 
 @query(
@@ -328,9 +347,9 @@ def dedup_targets(spark, d) -> DataFrame:
     return targets.dedup_by_name(view(spark, d, "targets")).select("_seq", "name")
 
 
-@query("T5_states_or_all", "SELECT _seq, state FROM targets WHERE upper(state) IN ('FRANCE', 'CHINA') OR NOT EXISTS (SELECT 1 FROM targets WHERE upper(state) IN ('FRANCE', 'CHINA'))")
+@query("T5_states_or_all", "SELECT _seq, state FROM targets WHERE upper(state) IN ('NATION_3', 'NATION_14') OR NOT EXISTS (SELECT 1 FROM targets WHERE upper(state) IN ('NATION_3', 'NATION_14'))")
 def states_or_all(spark, d) -> DataFrame:
-    return targets.filter_states_or_all(view(spark, d, "targets"), ["France", "China"]).select("_seq", "state")
+    return targets.filter_states_or_all(view(spark, d, "targets"), ["Nation_3", "nation_14"]).select("_seq", "state")
 
 
 @query("T5_no_such_state", "SELECT _seq, state FROM targets")
@@ -359,9 +378,9 @@ def align(spark, d) -> DataFrame:
     return targets.align(view(spark, d, "targets"), ["name", "state", "city", "url", "type", "accreditation_status"], type="Paralegal Program", accreditation_status="AAfPE Member")
 
 
-@query("T11_load_master", "SELECT _seq, name FROM targets WHERE source = 'ABA' AND upper(state) IN ('CHINA', 'BRAZIL', 'JAPAN')")
+@query("T11_load_master", "SELECT _seq, name FROM targets WHERE source = 'ABA' AND upper(state) IN ('NATION_3', 'NATION_8', 'NATION_14')")
 def load_master(spark, d) -> DataFrame:
-    return targets.load_master(view(spark, d, "targets"), ["China", "brazil", "JAPAN"], "law").select("_seq", "name")
+    return targets.load_master(view(spark, d, "targets"), ["Nation_3", "nation_8", "NATION_14"], "law").select("_seq", "name")
 
 
 @query("T12_all_targets", "SELECT name, state FROM targets UNION ALL SELECT institution_name, state FROM contacts")
@@ -369,7 +388,7 @@ def all_targets(spark, d) -> DataFrame:
     return targets.all_targets(None, [view(spark, d, "targets").select("name", "state"), contacts(spark, d).select(F.col("institution_name").alias("name"), "state")])
 
 
-@query("T13_build_master", "SELECT row_number() OVER (ORDER BY type, upper(name[1:2]), name, state, city, url) AS institution_id, name, type, state, city, url, accreditation_status, CASE WHEN contains(type, 'Law School') THEN 'ABA' ELSE 'AAfPE' END AS source, '2024-01-01' AS last_updated FROM targets")
+@query("T13_build_master", "SELECT row_number() OVER (ORDER BY type, name, state, city, url) AS institution_id, name, type, state, city, url, accreditation_status, CASE WHEN contains(type, 'Law School') THEN 'ABA' ELSE 'AAfPE' END AS source, '2024-01-01' AS last_updated FROM targets")
 def build_master(spark, d) -> DataFrame:
     t = view(spark, d, "targets")
     return targets.build_master([t.where("type = 'Law School'"), t.where("type <> 'Law School'")], "2024-01-01")
@@ -380,18 +399,22 @@ def coverage(spark, d) -> DataFrame:
     return targets.coverage(view(spark, d, "existing"), ("state", "email"))
 
 
-@query("T15_lookups", "SELECT _seq, 's' AS by FROM targets WHERE lower(state) = 'china' UNION ALL SELECT _seq, 't' FROM targets WHERE contains(lower(type), 'law')")
+@query("T15_lookups", "SELECT _seq, 's' AS by FROM targets WHERE lower(state) = 'nation_8' UNION ALL SELECT _seq, 't' FROM targets WHERE contains(lower(type), 'law')")
 def lookups(spark, d) -> DataFrame:
     t = view(spark, d, "targets")
-    return targets.by_state(t, "CHINA").select("_seq", F.lit("s").alias("by")).unionByName(targets.by_type(t, "Law").select("_seq", F.lit("t").alias("by")))
+    return targets.by_state(t, "Nation_8").select("_seq", F.lit("s").alias("by")).unionByName(targets.by_type(t, "Law").select("_seq", F.lit("t").alias("by")))
 
 
-SCHOOLS = ["Albany Law School", "California - Berkeley", "Boston University School of Law", "Kent College of Law at X", "Plain"]
+PLACES = ["Albany", "Boston", "Kent", "New Haven"]
+ENDINGS = ["", " Law School", " University School of Law", " College of Law at X", " - Downtown"]
+PLACE = "[" + ", ".join(map(lit, PLACES)) + "][CAST(_seq % 4 AS INT) + 1]"
 
 
-@query("T16_normalize_school", "SELECT * FROM (VALUES ('Albany Law School', 'Albany'), ('California - Berkeley', 'California'), ('Boston University School of Law', 'Boston'), ('Kent College of Law at X', 'Kent'), ('Plain', 'Plain')) v(name, short)")
+@query("T16_normalize_school", f"SELECT _seq, {PLACE} AS short FROM targets")
 def normalize_school(spark, d) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SCHOOLS], "name string").select("name", targets.normalize_school(F.col("name")).alias("short"))
+    """Places of targets with one of five endings, all of which go."""
+    one = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("_seq") % len(values)).cast("int"))
+    return view(spark, d, "targets").select("_seq", targets.normalize_school(F.concat(one(PLACES), one(ENDINGS))).alias("short"))
 
 
 LOOKUP = [("Institution 7", "AA"), ("Institution 12", "BB"), ("Institution", "ZZ")]
@@ -409,11 +432,28 @@ def enrich_states(spark, d) -> DataFrame:
     return targets.enrich_states(t, spark.createDataFrame(LOOKUP, "key string, state string"), []).select("_seq", "state", "outcome")
 
 
-@query("T20_role_variants", "SELECT CAST(213 AS BIGINT) AS law, CAST(131 AS BIGINT) AS paralegal")
-def role_variants(spark, d) -> DataFrame:
-    from ..operators.roles import LAW_ROLES, PARALEGAL_ROLES
+def sql_variants(names: list[str]) -> str:
+    r = f"(SELECT unnest([{', '.join(map(lit, names))}]) AS r)"
+    swapped = [("Director", "Director"), ("Director", "Chair"), ("Director", "Coordinator")]
+    parts = [f"SELECT r FROM {r}", f"SELECT 'Interim ' || r FROM {r}", f"SELECT 'Acting ' || r FROM {r}"]
+    parts += [f"SELECT replace(r, 'Director', 'Co-{x}') FROM {r} WHERE contains(r, 'Director')" for _, x in swapped]
+    parts += [f"SELECT replace(r, 'Chair', 'Co-Chair') FROM {r} WHERE contains(r, 'Chair') AND NOT contains(r, 'Director')"]
+    parts += [f"SELECT replace(r, 'Coordinator', 'Co-Coordinator') FROM {r} WHERE contains(r, 'Coordinator') AND NOT contains(r, 'Director') AND NOT contains(r, 'Chair')"]
+    return " UNION ".join(parts)
+
 
-    return spark.createDataFrame([(len(targets.role_variants(LAW_ROLES)), len(targets.role_variants(PARALEGAL_ROLES)))], "law bigint, paralegal bigint")
+PREFIX = "CASE _seq % 4 WHEN 0 THEN 'Interim ' WHEN 1 THEN 'Acting ' ELSE '' END"
+VARIED = f"{PREFIX} || CASE WHEN _seq % 7 = 0 THEN replace(title, 'Director', 'Co-Director') ELSE title END"
+
+
+@query("T20_role_variants", f"SELECT _seq, v AS title FROM (SELECT _seq, program_type, {VARIED} AS v FROM contacts) WHERE (program_type = 'Law School' AND v IN ({sql_variants(LAW_ROLES)})) OR (program_type <> 'Law School' AND v IN ({sql_variants(PARALEGAL_ROLES)}))")
+def role_variants(spark, d) -> DataFrame:
+    """Contacts whose title, with a prefix or a shared office, is a form of one of their program's roles."""
+    n = F.col("_seq")
+    shared = F.when(n % 7 == 0, F.replace("title", F.lit("Director"), F.lit("Co-Director"))).otherwise(F.col("title"))
+    c = contacts(spark, d).select("_seq", "program_type", F.concat(F.when(n % 4 == 0, "Interim ").when(n % 4 == 1, "Acting ").otherwise(""), shared).alias("title"))
+    law = F.col("program_type") == "Law School"
+    return c.where((law & F.col("title").isin(targets.role_variants(LAW_ROLES))) | (~law & F.col("title").isin(targets.role_variants(PARALEGAL_ROLES)))).select("_seq", "title")
 
 
 # ---- state
@@ -436,10 +476,24 @@ def running_counters(spark, d) -> DataFrame:
     return state.running_route_counters(request_log(spark, d)).select("event_id", "static_success", "static_total")
 
 
-@query("K2_route")
+#: Hosts with a history: their counters as they are, or with static or dynamic successes only.
+HISTORY = f"SELECT 'host' || domain AS domain, CASE WHEN domain % 3 = 0 THEN static_total WHEN domain % 3 = 1 THEN 0 ELSE static_success END AS static_success, static_total, CASE WHEN domain % 3 = 1 THEN playwright_total ELSE playwright_success END AS playwright_success, playwright_total FROM ({K1})"
+ROUTE_URL = "concat('https://host', CAST(page_id % 60 AS VARCHAR(10)), CASE page_id % 7 WHEN 0 THEN '/directory?x=1' WHEN 1 THEN '/about/staff' WHEN 2 THEN '/faculty' ELSE '/x' END)"
+
+
+@query(
+    "K2_route",
+    f"""SELECT page_id, url, starts_with(reason, 'pattern_match:') OR reason = 'directory_keyword_suggests_playwright' OR starts_with(reason, 'domain_history:playwright') AS dynamic, reason
+FROM (SELECT page_id, url, CASE {" ".join(f"WHEN regexp_matches(url, {lit(p)}) THEN {lit('pattern_match:' + p)}" for p in state.DYNAMIC)}
+  WHEN domain IS NOT NULL AND rs > 0.7 AND static_total >= 3 THEN 'domain_history:static_rate=' || printf('%.1f%%', rs * 100) WHEN domain IS NOT NULL AND rs < 0.3 AND rp > 0.7 AND playwright_total >= 2 THEN 'domain_history:playwright_rate=' || printf('%.1f%%', rp * 100)
+  WHEN {" OR ".join(f"regexp_matches(url, {lit(p)})" for p in state.STATIC)} THEN 'static_pattern_match' WHEN {" OR ".join(f"contains(url, {lit(w)})" for w in state.DIRECTORY_WORDS)} THEN 'directory_keyword_suggests_playwright' ELSE 'default_static_first' END AS reason
+  FROM (SELECT page_id, {ROUTE_URL} AS url, page_id % 60 AS k FROM pages) p LEFT JOIN (SELECT *, static_success / nullif(static_total, 0) AS rs, playwright_success / nullif(playwright_total, 0) AS rp FROM ({HISTORY})) h ON h.domain = 'host' || k)""",
+)
 def route(spark, d) -> DataFrame:
-    counters = state.route_counters(request_log(spark, d)).withColumn("domain", F.concat(F.lit("host"), F.col("domain").cast("string")))
-    return state.route(table(spark, d, "pages").select("page_id", "url"), counters)
+    n, c = F.col("domain") % 3, state.route_counters(request_log(spark, d)).drop("last_method")
+    c = c.withColumn("static_success", F.when(n == 0, F.col("static_total")).when(n == 1, 0).otherwise(F.col("static_success"))).withColumn("playwright_success", F.when(n == 1, F.col("playwright_total")).otherwise(F.col("playwright_success")))
+    urls = spark.sql(f"SELECT page_id, {ROUTE_URL} AS url FROM {{p}}", p=table(spark, d, "pages"))
+    return state.route(urls, c.withColumn("domain", F.concat(F.lit("host"), F.col("domain").cast("string"))))
 
 
 @query(
@@ -491,7 +545,7 @@ def wait_times(spark, d) -> DataFrame:
     return state.wait_times(request_log(spark, d)).select("domain", "event_id", "delay", "wait_s")
 
 
-@query("K7_limiter_summary")
+@query("K7_limiter_summary", f"SELECT *, round(total_delays / greatest(1, total_requests), 2) AS avg_delay_per_request FROM (SELECT count(*) AS total_requests, round(sum(wait_s), 1) AS total_delays, count(DISTINCT domain) AS domains_accessed FROM ({recursive(K6)})), (SELECT count(*) FILTER (WHERE errors > 0) AS domains_with_errors FROM ({recursive(K5)}))")
 def limiter_summary(spark, d) -> DataFrame:
     return state.limiter_summary(request_log(spark, d))
 
@@ -516,9 +570,9 @@ def domain_timeouts(spark, d) -> DataFrame:
     return state.domain_timeouts(request_log(spark, d))
 
 
-@query("K12_remaining", "SELECT _seq, name FROM targets WHERE name NOT IN (SELECT institution_name FROM contacts)")
+@query("K12_remaining", "SELECT _seq, name FROM targets WHERE name NOT IN (SELECT institution_name FROM contacts WHERE program_type = 'Law School')")
 def remaining(spark, d) -> DataFrame:
-    done = contacts(spark, d).select(F.col("institution_name").alias("name"))
+    done = contacts(spark, d).where("program_type = 'Law School'").select(F.col("institution_name").alias("name"))
     return state.remaining(view(spark, d, "targets"), done).select("_seq", "name")
 
 

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import emails, scoring, text, titles, urls
 from ..functions.rules import first_match
 from ..operators import pages, roles, state
+from .expected import RATIO_TABLE
 from .registry import query
-from .views import TITLES, table, view
+from .views import HEX_ADDRESSES, table, view
 
 ASCII = r"regexp_replace({}, '[^\x00-\x7F]', ' ', 'g')"
 
@@ -84,22 +85,34 @@ def role_title(spark, d) -> DataFrame:
     return view(spark, d, "contacts").select("_seq", text.normalize_role_title(F.col("title")).alias("role_title"))
 
 
-NAMED = [("'Smith, Jane Director'", "Jane", "Smith"), ("'Kevin Brown, Law Library Director'", "Kevin", "Brown"), ("'Ashley Green Associate Director of X'", "Ashley", "Green"), ("'Mary Major director@x'", "Mary", "Major"), ("'Anna Bell anna@x.edu'", "Anna", "Bell"), ("'Tom Hill'", "Tom", "Hill"), ("'Law Library Director'", "Law", "Library"), ("'director of law'", None, None)]
+#: Titles that hold a name, by ``_seq % 8``; and the names.
+NAMED = [("Smith, Jane Director", "Jane", "Smith"), ("Kevin Brown, Law Library Director", "Kevin", "Brown"), ("Ashley Green Associate Director of X", "Ashley", "Green"), ("Mary Major director@x", "Mary", "Major"), ("Anna Bell anna@x.edu", "Anna", "Bell"), ("Tom Hill", "Tom", "Hill"), ("Law Library Director", "Law", "Library"), ("director of law", None, None)]
 
 
-@query("X10_name_from_title", "SELECT * FROM (VALUES " + ", ".join(f"({t}, {lit(a) if a else 'NULL'}, {lit(b) if b else 'NULL'})" for t, a, b in NAMED) + ") v(title, first_name, last_name)")
+def named_title(c):
+    return F.get(F.array(*[F.lit(t) for t, _, _ in NAMED]), (c % 8).cast("int"))
+
+
+def sql_named(i: int) -> str:
+    return "CASE _seq % 8 " + " ".join(f"WHEN {k} THEN {lit(x[i])}" for k, x in enumerate(NAMED) if x[i]) + " END"
+
+
+@query("X10_name_from_title", f"SELECT _seq, {sql_named(1)} AS first_name, {sql_named(2)} AS last_name FROM contacts")
 def name_from_title(spark, d) -> DataFrame:
-    df = spark.createDataFrame([(t[1:-1],) for t, _, _ in NAMED], "title string")
-    n = text.name_from_title(F.col("title"))
-    return df.select("title", n["first"].alias("first_name"), n["last"].alias("last_name"))
+    n = text.name_from_title(named_title(F.col("_seq")))
+    return view(spark, d, "contacts").select("_seq", n["first"].alias("first_name"), n["last"].alias("last_name"))
 
 
-@query("X11_fill_names", "SELECT _seq, coalesce(first_name, '') AS first_name FROM contacts")
+LACKS = "(_seq % 3 = 0 OR _seq % 5 = 0)"
+
+
+@query("X11_fill_names", f"SELECT _seq, CASE WHEN {LACKS} AND _seq % 8 <> 7 THEN {sql_named(1)} WHEN _seq % 3 = 0 THEN NULL ELSE first_name END AS first_name, CASE WHEN {LACKS} AND _seq % 8 <> 7 THEN {sql_named(2)} WHEN _seq % 5 = 0 THEN NULL ELSE last_name END AS last_name FROM contacts")
 def fill_names(spark, d) -> DataFrame:
-    """Only rows that lack either name take what the title gives; here none does, so all keep theirs."""
-    n = text.name_from_title(F.col("title"))
-    due = F.col("first_name").isNull() | F.col("last_name").isNull()
-    return view(spark, d, "contacts").select("_seq", F.coalesce(F.when(due & n["first"].isNotNull(), n["first"]).otherwise(F.col("first_name")), F.lit("")).alias("first_name"))
+    """Rows that lack either name take both from the title, if it gives both."""
+    from ..operators.names import fill_missing_names
+
+    c = view(spark, d, "contacts").select("_seq", F.when(F.col("_seq") % 3 != 0, F.col("first_name")).alias("first_name"), F.when(F.col("_seq") % 5 != 0, F.col("last_name")).alias("last_name"), named_title(F.col("_seq")).alias("title"))
+    return fill_missing_names(c, "first_name", "last_name", "title").drop("title")
 
 
 @query("X12_notes_confidence", r"SELECT _seq, coalesce(TRY_CAST(nullif(regexp_extract(notes, 'Confidence:\s*(\d+)', 1), '') AS INT), 50) AS confidence FROM contacts")
@@ -237,7 +250,16 @@ def normalize_title(spark, d) -> DataFrame:
     return rows.select("_seq", "n.normalized", F.array_join("n.modifiers", ",").alias("modifiers"), "n.is_temporary", "n.is_shared_role", "n.should_exclude", "n.confidence_modifier")
 
 
-@query("N10_title_summary")
+FLAGS = "concat_ws(', ', " + ", ".join(f"CASE WHEN {c} THEN {lit(v)} END" for c, v in (("n.is_temporary", "Temporary"), ("t.is_student", "Student"), ("t.is_emeritus", "Emeritus"), ("t.is_visiting", "Visiting"), ("n.is_shared_role", "Shared Role"))) + ")"
+
+
+@query(
+    "N10_title_summary",
+    f"""SELECT n._seq, concat_ws(' | ', 'Original: ' || t.title, 'Normalized: ' || n.normalized, CASE WHEN n.modifiers <> '' THEN 'Modifiers: ' || replace(n.modifiers, ',', ', ') END,
+  CASE WHEN len(t.ab) > 0 THEN 'Abbreviations: ' || array_to_string(t.ab, ', ') END, CASE WHEN {FLAGS} <> '' THEN 'Flags: ' || {FLAGS} END,
+  'Confidence Modifier: ' || printf('%+d', n.confidence_modifier), 'Should Exclude: ' || CASE WHEN n.should_exclude THEN 'True' ELSE 'False' END) AS summary
+FROM ({N8}) n JOIN (SELECT _seq, title, {T['abbreviations']} AS ab, {X['is_student']} AS is_student, {X['is_emeritus']} AS is_emeritus, {X['is_visiting']} AS is_visiting FROM contacts) t ON t._seq = n._seq""",
+)
 def title_summary(spark, d) -> DataFrame:
     return titles.with_normalized_title(view(spark, d, "contacts"), "title", "n").select("_seq", titles.title_summary(F.col("n")).alias("summary"))
 
@@ -354,13 +376,13 @@ def host_rules(spark, d) -> DataFrame:
 
 # ---- e-mails
 
-SPELT = ["write to jane [at] law [dot] edu now", "joe(at)host(dot)com", "ANN at SITE dot org", "plain x@y.com here", "nothing", "a.b [at] c.d [dot] edu and z (at) w (dot) net"]
+OF_HEX = "CASE page_id % 5 " + " ".join(f"WHEN {i} THEN {lit(a)}" for i, a in enumerate(HEX_ADDRESSES)) + " END"
 
 
-@query("E1_decode_hex", "SELECT * FROM (VALUES ('1a7b5a7834797577', 'a@b.com'), ('zz', NULL), ('00', NULL), ('426a2d2702', 'hoe@')) v(code, email) WHERE code <> '426a2d2702'")
+@query("E1_decode_hex", f"SELECT page_id, CASE WHEN page_id % 8 = 3 THEN {OF_HEX} END AS email FROM web_pages")
 def decode_hex(spark, d) -> DataFrame:
-    df = spark.createDataFrame([("1a7b5a7834797577",), ("zz",), ("00",)], "code string")
-    return df.select("code", emails.decode_hex(F.col("code")).alias("email"))
+    """Of every page the first hidden code; pages without one give null."""
+    return view(spark, d, "web_pages").select("page_id", emails.decode_hex(F.regexp_extract("html", 'data-cfemail="([^"]*)"', 1)).alias("email"))
 
 
 def sql_spelt(c: str) -> str:
@@ -369,10 +391,9 @@ def sql_spelt(c: str) -> str:
     return c
 
 
-@query("E2_emails_spelt", f"SELECT t AS source, array_to_string(list_sort(list_distinct([e FOR e IN regexp_extract_all({sql_spelt('t')}, {lit(text.EMAIL)}) IF NOT contains(t, e)])), ',') AS emails FROM (VALUES {', '.join(f'({lit(s)})' for s in SPELT)}) v(t)")
+@query("E2_emails_spelt", f"SELECT page_id, array_to_string(list_sort(list_distinct([e FOR e IN regexp_extract_all({sql_spelt('html')}, {lit(text.EMAIL)}) IF NOT contains(html, e)])), ',') AS emails FROM web_pages")
 def emails_spelt(spark, d) -> DataFrame:
-    df = spark.createDataFrame([(s,) for s in SPELT], "source string")
-    return df.select("source", F.array_join(emails.emails_spelt(F.col("source")), ",").alias("emails"))
+    return view(spark, d, "web_pages").select("page_id", F.array_join(emails.emails_spelt(F.col("html")), ",").alias("emails"))
 
 
 @query("E7_decode_documents", f"SELECT doc_id, array_to_string(list_sort(list_distinct([e FOR e IN regexp_extract_all({sql_spelt('t')}, {lit(text.EMAIL)}) IF NOT contains(t, e) AND lower(e) NOT IN ({', '.join(map(lit, text.PLACEHOLDERS))})])), ',') AS emails FROM (SELECT doc_id, {ASCII.format('text')} AS t FROM documents)")
@@ -380,46 +401,48 @@ def decode_documents(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(emails.emails_spelt(ascii_text(F.col("text"))), ",").alias("emails"))
 
 
-HIDDEN = [
-    (1, '<p><a data-cfemail="1a7b5a7834797577">x</a></p>', "a@b.com"),
-    (2, "<script>var e = \"sue@site.org\"; var f = 'tom' + '@' + 'host.net';</script>", "sue@site.org,tom@host.net"),
-    (3, "<noscript>mail bob@law.edu</noscript>", "bob@law.edu"),
-    (4, '<div data-email="kim@x.org">Kim[at]y[dot]org</div>', "Kim@y.org,kim@x.org"),
-    (5, "<p>plain@seen.com</p>", ""),
-]
+RECOVERED = f"list_sort([{OF_HEX}, " + ", ".join(f"concat('{k}', page_id, '@law.edu')" for k in ("desk", "script", "joined", "plain", "attr")) + "])"
 
 
-@query("E6_recover_emails", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {lit(e)})" for i, _, e in HIDDEN) + ") v(id, emails)")
+@query("E6_recover_emails", f"SELECT page_id, CASE WHEN page_id % 8 = 3 THEN array_to_string({RECOVERED}, ',') ELSE '' END AS emails FROM web_pages")
 def recover_emails(spark, d) -> DataFrame:
-    df = spark.createDataFrame([(i, h) for i, h, _ in HIDDEN], "id bigint, html string").withColumn("p", emails.page_parts(F.col("html")))
-    return df.select("id", F.array_join(emails.recover_emails(F.col("p"))["all"], ",").alias("emails"))
+    return view(spark, d, "web_pages").select("page_id", F.array_join(emails.recover_emails(F.col("html"))["all"], ",").alias("emails"))
 
 
-@query("E8_recovery_counts")
+@query("E8_recovery_counts", "SELECT n AS hex, n AS text, 2 * n AS script, n AS noscript, n AS attribute FROM (SELECT count(*) AS n FROM web_pages WHERE page_id % 8 = 3)")
 def recovery_counts(spark, d) -> DataFrame:
     """How many addresses each technique recovers from all pages."""
-    p = table(spark, d, "pages").withColumn("p", emails.page_parts(F.col("html"))).withColumn("r", emails.recover_emails(F.col("p")))
-    return p.agg(*[F.sum(F.size(f"r.{k}")).alias(k) for k in ("hex", "text", "script", "noscript", "attribute")])
+    p = view(spark, d, "web_pages").withColumn("r", emails.recover_emails(F.col("html")))
+    return p.agg(*[F.sum(F.size(f"r.{k}")).alias(k) for k in emails.TECHNIQUES])
 
 
 # ---- fuzzy
 
-PAIRS = [("law library director", "library director", 89, 100, 89, 100), ("dean", "dean", 100, 100, 100, 100), ("abc", "xyz", 0, 0, 0, 0), ("director of law", "law director", 59, 67, 89, 100), ("kitten", "sitting", 62, 67, 62, 62)]
-
-
-@query("F1_ratios")
+@query("F1_ratios", f"SELECT t.title, b, ratio, partial_ratio, token_sort, token_set FROM (SELECT DISTINCT title FROM contacts) t JOIN {RATIO_TABLE} r ON t.title = r.title")
 def ratios(spark, d) -> DataFrame:
+    """Every distinct title with two roles."""
     from ..functions import fuzzy
 
-    df = spark.createDataFrame([p[:2] for p in PAIRS], "a string, b string")
+    roles_ = F.explode(F.array(F.lit("law library director"), F.lit("program coordinator"))).alias("b")
+    df = view(spark, d, "contacts").select("title").distinct().select("title", F.lower("title").alias("a"), roles_)
     a, b = F.col("a"), F.col("b")
-    return df.select("a", "b", fuzzy.ratio_col(a, b).alias("ratio"), fuzzy.partial_ratio_col(a, b).alias("partial_ratio"), fuzzy.token_sort_ratio_col(a, b).alias("token_sort"), fuzzy.token_set_ratio_col(a, b).alias("token_set"))
+    return df.select("title", "b", fuzzy.ratio_col(a, b).alias("ratio"), fuzzy.partial_ratio_col(a, b).alias("partial_ratio"), fuzzy.token_sort_ratio_col(a, b).alias("token_sort"), fuzzy.token_set_ratio_col(a, b).alias("token_set"))
 
 
-@query("F6_role_adjustments")
+def _sql_context(t: str, r: str) -> str:
+    return " OR ".join(f"(contains({r}, {lit(k)}) AND NOT (" + " OR ".join(f"contains({t}, {lit(n)})" for n in need) + "))" for k, need in roles.SPECIFIC.items())
+
+
+@query(
+    "F6_role_adjustments",
+    f"""SELECT title, role, CAST(least(10, 5 * len([w FOR w IN list_distinct(string_split(title, ' ')) IF list_contains(string_split(role, ' '), w) AND w NOT IN ({', '.join(map(lit, roles.GENERIC))})])) AS INT) AS boost,
+  CAST(CASE WHEN list_contains(string_split(title, ' '), 'professor') AND NOT list_contains(string_split(role, ' '), 'professor') AND NOT (contains(role, 'faculty') OR contains(role, 'academic') OR contains(role, 'dean')) THEN 20 ELSE 0 END AS INT) AS professor,
+  CAST(CASE WHEN {_sql_context('title', 'role')} THEN 25 ELSE 0 END AS INT) AS context
+FROM (SELECT DISTINCT lower(title) AS title FROM contacts), (SELECT lower(unnest([{', '.join(map(lit, roles.LAW_ROLES + roles.PARALEGAL_ROLES))}])) AS role)""",
+)
 def role_adjustments(spark, d) -> DataFrame:
     """Boost and penalties of every distinct title with every role."""
-    t = spark.createDataFrame([(x,) for x in TITLES], "title string").select(F.lower("title").alias("title"))
+    t = view(spark, d, "contacts").select(F.lower("title").alias("title")).distinct()
     r = roles.catalog(spark).select(F.lower("role").alias("role"))
     a, b = F.col("title"), F.col("role")
     return t.join(F.broadcast(r)).select("title", "role", roles.meaningful_boost(a, b).alias("boost"), roles.professor_penalty(a, b).alias("professor"), roles.context_penalty(a, b).alias("context"))

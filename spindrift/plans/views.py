@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Made-up titles that use every rule of the title operators.
@@ -66,7 +68,57 @@ SELECT email, min(_seq) AS _seq, CASE WHEN min(_seq) % 3 = 0 THEN 'valid' WHEN m
 FROM ({CONTACTS}) c WHERE email IS NOT NULL AND email <> '' AND _seq % 5 <> 0 GROUP BY email
 """
 
-VIEWS = {"contacts": CONTACTS, "existing": EXISTING, "targets": TARGETS, "request_log": LOG, "validations": VALIDATIONS}
+
+def _hidden(address: str, key: int) -> str:
+    return bytes([key, *(b ^ key for b in address.encode())]).hex()
+
+
+#: Addresses that pages hide in hex, by ``page_id % 5``.
+HEX_ADDRESSES = ["ann.bell@law.edu", "cy.dunn@law.edu", "eve.fox@law.edu", "gus.hill@law.edu", "ida.judd@law.edu"]
+
+_ID = "CAST(page_id AS VARCHAR(20))"
+HOST = "concat('https://law', CAST(page_id - page_id % 8 AS VARCHAR(20)), '.example.edu')"
+PERSON = "concat('First', CAST(page_id % 53 AS VARCHAR(10)), ' Last', CAST(page_id % 211 AS VARCHAR(10)))"
+MAIL = f"concat('p', {_ID}, '@law.example.edu')"
+PHONE = "concat('(555) ', CAST(100 + page_id % 900 AS VARCHAR(10)), '-', CAST(1000 + page_id % 9000 AS VARCHAR(10)))"
+TITLE = _pick("page_id % 30", TITLES)
+PATHS = ["/faculty-directory", "", "", "/contact", "/about/records", "/portal", "/team", "/programs"]
+PATH = f"CASE page_id % 8 WHEN 1 THEN concat('/profile/p', {_ID}) " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PATHS) if i != 1) + " END"
+
+#: Sites of eight pages each: a directory, a profile it links to, a home page, one that hides addresses, a table, a
+#: portal, a team without mail links, and lists of programs by state.
+WEB_PAGES = f"""
+SELECT page_id, concat({HOST}, {PATH}) AS url, concat('<html><body>', CASE page_id % 8
+  WHEN 0 THEN concat('<h1>Faculty Directory</h1><div class="people"><ul><li class="profile-card"><h3>', {PERSON}, '</h3>
+<p>', {TITLE}, '</p>
+<a href="mailto:', {MAIL}, '">E-mail</a>
+<p>Phone: ', {PHONE}, '</p>
+<a href="/profile/p', CAST(page_id + 1 AS VARCHAR(20)), '">View profile</a></li>',
+    '<li class="profile-card"><strong class="name">Second Person', '</strong>
+<span class="position">Dean of Students</span>
+<a href="https://twitter.com/x">Second Person</a></li>', '<li class="profile-card"><h4>Third Person</h4>
+<a href="/news/p">News</a></li></ul></div>')
+  WHEN 1 THEN concat('<div class="bio-content"><h1 itemprop="name">', {PERSON}, '</h1>
+<span itemprop="jobTitle">', {TITLE}, '</span>
+<span itemprop="jobTitle">Lecturer</span>
+<a itemprop="email" href="mailto:', {MAIL}, '">mail</a>
+<a href="tel:', {PHONE}, '">call</a></div>')
+  WHEN 2 THEN concat('<nav><a href="/about">About</a><a href="/faculty-directory">Faculty Directory</a><a href="/students">Students</a><a href="/administration/staff?x=', {_ID}, '">Staff</a><a href="/news">News</a></nav><p>Welcome to school ', {_ID}, '</p>')
+  WHEN 3 THEN concat('<div class="contact-info"><p>Office of records</p>
+<a data-cfemail="', {_pick("page_id % 5", [_hidden(a, 0x1A + 16 * i) for i, a in enumerate(HEX_ADDRESSES)])}, '">protected</a></div><p>Write to office', {_ID}, ' [at] law [dot] edu or desk', {_ID}, '(at)law(dot)edu</p><script>var a = "script', {_ID}, '@law.edu"; var b = "joined', {_ID}, '" + "@" + "law.edu";</script><noscript>plain', {_ID}, '@law.edu</noscript><span data-email="attr', {_ID}, '@law.edu">x</span>')
+  WHEN 4 THEN concat('<table><tr><td>', {PERSON}, '</td>
+<td>', {MAIL}, '</td></tr><tr><td>no one</td></tr></table>')
+  WHEN 5 THEN concat('<div class="member-card"><h3>', {PERSON}, '</h3>
+<a href="mailto:', {MAIL}, '">E-mail</a></div>', repeat('<a href="/grades">Your Grades</a>', 5))
+  WHEN 6 THEN concat('<h1>Our Team</h1>', repeat(concat('<div class="staff-card team-member"><b>', {PERSON}, '</b>
+<p>Reference Librarian</p>
+<p>Answers questions at the desk and on the telephone on most days of the week.</p></div>'), CAST(5 + page_id % 3 AS INT)))
+  ELSE concat('<h2>California</h2><ul><li><a href="//a', {_ID}, '.edu/x">A  College ', {_ID}, '</a></li><li><a href="b.edu">B</a></li></ul><h2>Other</h2><ul><li><a href="c.edu">C</a></li></ul><h2>Ohio</h2><p>None yet</p><ul><li><a href="/d">D</a></li><li><a href="/e"> </a></li></ul>') END,
+  '</body></html>') AS html
+FROM pages
+"""
+
+VIEWS = {"contacts": CONTACTS, "existing": EXISTING, "targets": TARGETS, "request_log": LOG, "validations": VALIDATIONS, "web_pages": WEB_PAGES}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +128,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table over the files of ``sf_dir``, without registering any view."""
     sql, frames = VIEWS[name], {}
-    for t in ("customer", "nation", "supplier", "events"):
+    for t in ("customer", "nation", "supplier", "events", "pages"):
         if t in sql:
             frames[f"t_{t}"] = table(spark, sf_dir, t)
             sql = sql.replace(f"FROM {t} ", f"FROM {{t_{t}}} ").replace(f"FROM {t}\n", f"FROM {{t_{t}}}\n").replace(f"JOIN {t} ", f"JOIN {{t_{t}}} ")
@@ -85,5 +137,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(sql: str) -> str:
     """``sql`` with the derived tables that it names as common table expressions."""
-    used = [n for n in VIEWS if n in sql]
+    used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in used) + " " + sql if used else sql

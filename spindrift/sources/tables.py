@@ -221,3 +221,13 @@ def replace_with_backup(df: DataFrame, path: str, now: dt.datetime) -> str | Non
         fs.rename(p(path), p(backup))
     fs.rename(p(f"{path}.new"), p(path))
     return backup
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes a new version beside a table, then puts it in its place; ``df`` may read the old one."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(conf)
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(p(path), True)
+    fs.rename(p(f"{path}.new"), p(path))

@@ -1,4 +1,8 @@
-"""The per-domain operators over streams: state of a key is a few numbers, kept by the engine and its checkpoint."""
+"""The per-domain operators over streams: state of a key is a few numbers, kept by the engine and its checkpoint.
+
+A batch's events of one domain are sorted in one place, four or five numbers an event; a stream's trigger options bound
+how many files, and so events, a batch has.
+"""
 
 from __future__ import annotations
 

@@ -197,3 +197,75 @@ def test_streams_equal_their_batch_twins(spark):
     assert {r.domain: (round(r.delay, 9), r.errors) for r in QUERIES["K5_delay_stream"](spark, sf).collect()} == a
     b = {r.domain: r.consecutive_timeouts for r in QUERIES["K11_domain_timeouts"](spark, sf).collect()}
     assert {r.domain: r.consecutive for r in QUERIES["K8_timeout_stream"](spark, sf).collect()} == b
+
+
+def test_surrogate_keys_by_ranges(spark, monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    names = ["In", "Institution", "", None, "Ünï", "a", "b'c"]
+    rows = [(rng.choice(names), rng.choice([1, 2, None]), i % 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "name string, n int, other int").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1] is not None, r[1] or 0, r[2]))
+    for size in (1_000, 60, 7):
+        got = common.numbered(df, ["name", "n", "other"], "id", size).orderBy("id").collect()
+        assert [r.id for r in got] == list(range(1, 501)) and [(r.name, r.n, r.other) for r in got] == want
+    assert common.numbered(df.limit(0), ["name"], "id").count() == 0
+
+
+def test_delay_folds_equal_a_loop(spark, monkeypatch):
+    """Over days, hours and chunks of an hour; long runs of errors, and of successes."""
+    import random
+
+    monkeypatch.setattr(state, "CHUNK", 5)
+    rng, t, rows = random.Random(2), dt.datetime(2024, 1, 1, 23, 50), []
+    for i in range(400):
+        t += dt.timedelta(seconds=rng.choice([0, 1, 30, 4000]))
+        kind = "success" if (i // 60) % 2 else rng.choice(["success", "http_error", "timeout"])
+        rows.append((i, i % 2, t, kind, rng.choice([429, 503, 404]) if kind == "http_error" else None, 1.0))
+    df = spark.createDataFrame(rows, "event_id bigint, domain bigint, ts timestamp, kind string, status_code int, load_s double").repartition(3)
+    wait, delay, errors, last = {}, {0: 2.0, 1: 2.0}, {0: 0, 1: 0}, {}
+    for i, d, at, kind, code, _ in rows:
+        gap = (at - last[d]).total_seconds() if d in last else None
+        wait[i] = (delay[d], 0.0 if gap is None else max(0.0, delay[d] - gap))
+        last[d] = at
+        if kind == "success":
+            delay[d], errors[d] = max(1.0, delay[d] * 0.9), 0
+        else:
+            delay[d], errors[d] = min(10.0, delay[d] * (2.0 if code in (429, 503) else 1.5)), errors[d] + 1
+    got = {r.event_id: (r.delay, r.wait_s) for r in state.wait_times(df).collect()}
+    assert got.keys() == wait.keys() and all(got[i] == (pytest.approx(a, abs=1e-8), pytest.approx(b, abs=1e-8)) for i, (a, b) in wait.items())
+    assert {r.domain: (r.delay, r.errors) for r in state.delay_state(df).collect()} == {d: (pytest.approx(delay[d], abs=1e-8), errors[d]) for d in (0, 1)}
+    many = spark.createDataFrame([(i, 1, dt.datetime(2024, 1, 1), "http_error", 500, 1.0) for i in range(3000)], df.schema)
+    assert state.delay_state(many).first()["delay"] == 10.0
+
+
+def test_contact_records(spark):
+    from spindrift.operators import records, roles
+
+    rows = [("Ann Bell", "Interim Law Library Director", "a@b.edu", "", "I", "u", "CA", "Law School"), ("No Role", "Student Worker", "s@b.edu", "5", "I", "u", "CA", "Law School"), ("Low", "Gardener", "", "5", "I", "u", "CA", "Law School"), ("", "", "x@b.edu", None, "I", "u", None, "Paralegal Program")]
+    df = spark.createDataFrame(rows, "full_name string, title string, email string, phone string, institution_name string, institution_url string, state string, program_type string")
+    got = {r.email: r for r in records.contact_records(df, roles.catalog(spark), "now").collect()}
+    assert set(got) == {"a@b.edu", "s@b.edu", "x@b.edu"} and list(got["a@b.edu"].asDict()) == records.RECORD
+    a, s, x = got["a@b.edu"], got["s@b.edu"], got["x@b.edu"]
+    assert (a.title_normalized, a.title_modifiers, a.is_temporary, a.first_name, a.confidence_score, a.source_url) == ("Law Library Director", "Interim", True, "Ann", 60, "u")
+    assert (s.title_normalized, s.title_modifiers, s.matched_role, s.confidence_score) == ("Student Worker", "", "", 50)
+    assert (x.title, x.title_normalized, x.state, x.phone, x.first_name) == ("", "", "", "", "")
+
+
+def test_expected_values_equal_brute_force():
+    import brute_roles as brute
+    import duckdb
+
+    from spindrift.plans import expected, scalars
+
+    titles = sorted({t for t, *_ in expected.ROLES})
+    made = ", ".join(f"({i}, {scalars.lit(t)})" for i, t in enumerate(titles))
+    sql = scalars.N8.replace("FROM contacts", f"FROM (SELECT * FROM (VALUES {made}) v(_seq, title)) c")
+    norm = {titles[i]: r for i, *r in duckdb.sql(f"SELECT _seq, normalized, should_exclude, confidence_modifier FROM ({sql})").fetchall()}
+    for title, law, *want in expected.ROLES:
+        assert list(brute.match_role(*norm[title], law)) == want, title
+    for title, law, *want in expected.TARGETS:
+        assert list(brute.match_target(title, law)) == want, title
+    for title, role, *want in expected.RATIOS:
+        assert [f(title.lower(), role) for f in (brute.ratio, brute.partial, brute.token_sort, brute.token_set)] == want, title

@@ -170,3 +170,19 @@ def test_page_classes(spark):
     # few links always speak for a profile, and a type of -100 wins only alone
     assert got[3].page_type == "individual_profile" and got[4].page_type == "individual_profile" and got[5].page_type == "homepage"
     assert pages.classify(spark.createDataFrame([], "page_id int, url string, html string")).count() == 0
+
+
+def test_recovered_addresses(spark):
+    pages = {
+        '<p><a data-cfemail="1a7b5a7834797577">x</a></p>': {"hex": ["a@b.com"]},
+        "<script>var e = \"sue@site.org\"; var f = 'tom' + '@' + 'host.net';</script>": {"script": ["sue@site.org", "tom@host.net"]},
+        "<noscript>mail bob@law.edu</noscript>": {"noscript": ["bob@law.edu"]},
+        '<div data-email=" kim@x.org">Kim[at]y[dot]org</div>': {"attribute": ["kim@x.org"], "text": ["Kim@y.org"]},
+        "<p>plain@seen.com, user at example dot com, test(at)test.com</p>": {},
+        '<p>a<b>nn</b>[at]x.org</p><a data-cfemail="zz">y</a>': {},
+        None: {},
+    }
+    df = spark.createDataFrame([(h,) for h in pages], "h string").select("h", emails.recover_emails(F.col("h")).alias("e"))
+    for r in df.collect():
+        want = {k: pages[r.h].get(k, []) for k in emails.TECHNIQUES}
+        assert r.e.asDict() == want | {"all": sorted({x for v in want.values() for x in v})}, r.h
