@@ -364,6 +364,72 @@ def _runs(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+#: Words of up to so many bytes are looked up by array.
+SHORT = 32
+LANES = SHORT // 8
+#: What is left of eight bytes of which the first few belong to a word.
+PART = np.array([(1 << 8 * k) - 1 for k in range(8)] + [MASK], dtype=np.uint64)
+
+
+class Words:
+    """Numbers of short words in an open table. A word is known by two hashes of 64 bits of its bytes."""
+
+    def __init__(self, room: int) -> None:
+        self.used = 0
+        self._empty((2 * room).bit_length())
+        rng = np.random.default_rng(7)
+        self.weights = rng.integers(1, 1 << 63, (2, LANES + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def _empty(self, bits: int) -> None:
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.one, self.two = (np.zeros(1 << bits, dtype=np.uint64) for _ in range(2))
+        self.number = np.full(1 << bits, -1, dtype=np.int32)
+
+    def hashes(self, raw: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words of up to ``SHORT`` bytes that start in ``raw``, which goes on for as many bytes after the last."""
+        eight = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw, strides=(1,))
+        one, two = (size.astype(np.uint64) * w[LANES] for w in self.weights)
+        for k in range(LANES):
+            on = slice(None) if not k else np.nonzero(size > 8 * k)[0]
+            lane = eight[start[on] + 8 * k] & PART[np.minimum(size[on] - 8 * k, 8)]
+            one[on] += lane * self.weights[0, k]
+            two[on] += lane * self.weights[1, k]
+        return _mixed(one), two
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for one that is not there."""
+        out = np.full(len(one), -1, dtype=np.int64)
+        slot, todo = (one >> self.shift).astype(np.int64), np.arange(len(one))
+        while len(todo):
+            got = self.number[slot]
+            hit = (got >= 0) & (self.one[slot] == one[todo]) & (self.two[slot] == two[todo])
+            out[todo[hit]] = got[hit]
+            on = ~hit & (got >= 0)
+            todo, slot = todo[on], slot[on] + 1 & self.last
+        return out
+
+    def add(self, one: np.ndarray, two: np.ndarray, numbers: np.ndarray) -> None:
+        """New words, each once; the table grows so that half of it at least is free."""
+        self.used += len(one)
+        if 2 * self.used > self.last:
+            held = np.nonzero(self.number >= 0)[0]
+            old = self.one[held], self.two[held], self.number[held]
+            self._empty((2 * self.used).bit_length() + 1)
+            self._put(*old)
+        self._put(one, two, numbers)
+
+    def _put(self, one: np.ndarray, two: np.ndarray, numbers: np.ndarray) -> None:
+        slot, todo = (one >> self.shift).astype(np.int64), np.arange(len(one))
+        while len(todo):
+            free = np.nonzero(self.number[slot] < 0)[0]
+            at, first = np.unique(slot[free], return_index=True)
+            first = free[first]
+            self.one[at], self.two[at], self.number[at] = one[todo[first]], two[todo[first]], numbers[todo[first]]
+            on = np.ones(len(todo), dtype=bool)
+            on[first] = False  # the others' slots are taken
+            todo, slot = todo[on], slot[on] + 1 & self.last
+
+
 class Encoder:
     """Encodes texts in a worker, keeping the segmentations it has met.
 
@@ -374,23 +440,30 @@ class Encoder:
 
     def __init__(self, path: str, rate: float = 0.0, seed: int = 0) -> None:
         self.pieces, self.seed, self.limit = load(path), seed, int(rate * 2**53)
+        self.room = CACHE if self.limit else 2 * CACHE  # words are kept without their letters where none is skipped
         self._forget()
 
     def _forget(self) -> None:
-        self.root: dict[str, int] = {}  # a token's segmentation without skips
+        self.words = Words(self.room)  # a token's segmentation without skips: short tokens
+        self.root: dict[str, int] = {}  # and others
         self.child: dict[int, int] = {}  # by segmentation and the candidate skipped next
-        self.token: list[str] = []  # of each segmentation the token, the set of skips as bits,
+        self.token: list[str] = []  # of each segmentation the token, the set of skips as bits; with dropout
         self.mask: list[int] = []
+        self.count = 0
         self.n = np.empty(0, dtype=np.int32)  # how many candidates come up, and where its ids are
         self.start = np.empty(0, dtype=np.int64)
         self.size = np.empty(0, dtype=np.int32)
         self.ids = np.empty(0, dtype=np.int32)
         self.used = 0  # of ids
 
+    def plain(self, text: str) -> bool:
+        """Whether a text's tokens are its words."""
+        return self.pieces.prefix and "  " not in text and text[:1] != " " and SPACE not in text and "\0" not in text
+
     def tokens(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.pieces.prefix and "  " not in text and text[0] != " " and SPACE not in text and "\0" not in text:
+        if self.plain(text):
             return text.replace("\n", " \n").split(" ")
         return ["\0" + s for s in self.pieces.segments(text)]
 
@@ -402,78 +475,125 @@ class Encoder:
             return ["\n", token[1:]] if len(token) > 1 else ["\n"]
         return [SPACE + token]
 
-    def _keep(self, tokens: list[str], masks: list[int], n: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
-        """Adds segmentations; their numbers."""
-        at, more = len(self.token), len(tokens)
-        self.token += tokens
-        self.mask += masks
-        if at + more > len(self.n):
-            room = max(4096, at + 2 * more)
-            self.n, self.start, self.size = (np.concatenate([x, np.zeros(room, dtype=x.dtype)]) for x in (self.n, self.start, self.size))
+    def _number(self, tokens: list[str], masks: list[int]) -> np.ndarray:
+        """New numbers in order."""
+        at, self.count = self.count, self.count + len(tokens)
+        if self.limit:
+            self.token += tokens
+            self.mask += masks
+        if self.count > len(self.n):
+            self.n, self.start, self.size = (np.concatenate([x, np.zeros(max(4096, self.count), dtype=x.dtype)]) for x in (self.n, self.start, self.size))
+        return np.arange(at, self.count)
+
+    def _keep(self, numbers: np.ndarray, n: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """What numbers stand for."""
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(1 << 16, self.used // 2 + 2 * len(flat)), dtype=np.int32)])
-        self.n[at : at + more], self.size[at : at + more] = n, sizes
-        self.start[at : at + more] = self.used + np.cumsum(sizes) - sizes
+        self.n[numbers], self.size[numbers] = n, sizes
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        return np.arange(at, at + more)
-
-    def _learn(self, missing: list[str]) -> None:
-        """Segmentations of tokens without skips. The library merges the same, and faster."""
-        p = self.pieces
-        some = [t for t in missing if t[:1] != "\0"]
-        if some:
-            told = p.library.encode(some, num_threads=1)
-            sizes = np.fromiter(map(len, told), dtype=np.int64, count=len(told))
-            flat = np.fromiter(chain.from_iterable(told), dtype=np.int32, count=int(sizes.sum()))
-            line = np.fromiter((t[:1] == "\n" for t in some), dtype=bool, count=len(some))
-            if line.any():  # after a line feed no space goes before; the library's comes out as a piece of its own
-                flat = np.delete(flat, (np.cumsum(sizes) - sizes)[line])
-                sizes -= line
-            if "" in missing:  # the space alone
-                at = some.index("")
-                flat = np.insert(flat, int(sizes[:at].sum()), p.ids[SPACE])
-                sizes[at] += 1
+        return numbers
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Numbers of new tokens' segmentations without skips. The library merges the same, and faster."""
+        numbers, p = self._number(new, [0] * len(new)), self.pieces
+        odd = [i for i, t in enumerate(new) if t[:1] == "\0"]
+        some, mine = new, numbers
+        if odd:
+            some, mine = [t for t in new if t[:1] != "\0"], np.delete(numbers, odd)
+            self._merged(numbers[odd], [new[i] for i in odd], [0] * len(odd))
+        if not some:
+            return numbers
+        told = p.library.encode(some, num_threads=1)
+        sizes = np.fromiter(map(len, told), dtype=np.int64, count=len(told))
+        flat = np.fromiter(chain.from_iterable(told), dtype=np.int32, count=int(sizes.sum()))
+        line = np.fromiter((t[:1] == "\n" for t in some), dtype=bool, count=len(some))
+        if line.any():  # after a line feed no space goes before; the library's comes out as a piece of its own
+            flat = np.delete(flat, (np.cumsum(sizes) - sizes)[line])
+            sizes -= line
+        if "" in some:  # the space alone
+            at = some.index("")
+            flat = np.insert(flat, int(sizes[:at].sum()), p.ids[SPACE])
+            sizes[at] += 1
+        parts = sizes
+        if self.limit:
             parts = sizes.copy()
-            odd = np.unique(np.repeat(np.arange(len(some)), sizes)[p.is_byte[flat]])
-            for i in odd.tolist():  # a character without a piece is one part
+            for i in np.unique(np.repeat(np.arange(len(some)), sizes)[p.is_byte[flat]]).tolist():  # a character without a piece is one part
                 parts[i] -= sum(len(c.encode("utf-8", "surrogatepass")) - 1 for c in some[i] if c not in p.ids)
-            n = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + ~line - parts
-            self.root.update(zip(some, self._keep(some, [0] * len(some), n, sizes, flat).tolist(), strict=True))
-        rest = [t for t in missing if t[:1] == "\0"]
-        if rest:
-            self.root.update(zip(rest, self._merged(rest, [0] * len(rest)).tolist(), strict=True))
-
-    def _merged(self, tokens: list[str], masks: list[int]) -> np.ndarray:
-        """Numbers of new segmentations; a line feed at the start has no candidates."""
+        n = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + ~line - parts
+        self._keep(mine, n, sizes, flat)
+        return numbers
+
+    def _merged(self, numbers: np.ndarray, tokens: list[str], masks: list[int]) -> None:
+        """Merges tokens with skips; a line feed at the start has no candidates."""
         got = self.pieces.merge_masked([self._segments(t)[-1] for t in tokens], masks)
         line = np.array(self.pieces.merge("\n"), dtype=np.int32)
         ids = [np.concatenate([line, x]) if t[:1] == "\n" and len(t) > 1 else x for t, (_, x) in zip(tokens, got, strict=True)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        return self._keep(tokens, masks, np.array([n for n, _ in got]), sizes, np.concatenate(ids))
+        self._keep(numbers, np.array([n for n, _ in got]), sizes, np.concatenate(ids))
+
+    def _by_word(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts whose tokens are their words: the number of each token, and how many each text has."""
+        parts = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b"".join([b" ", b" ".join(parts), b" " * SHORT])  # a space goes before each text, and ends the last
+        a = np.frombuffer(raw, dtype=np.uint8)[: len(raw) - SHORT + 1]
+        marks = np.nonzero((a == 32) | (a == 10))[0]  # before each token: a space, or its own line feed
+        start = marks[:-1] + (a[marks[:-1]] == 32)
+        size = marks[1:] - start
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)])
+        counts = np.diff(np.searchsorted(marks, first))
+        found = np.full(len(start), -1, dtype=np.int64)
+        short = np.nonzero(size <= SHORT)[0]
+        one, two = self.words.hashes(raw, start[short], size[short])
+        found[short] = self.words.find(one, two)
+        word = lambda i: raw[start[i] : start[i] + size[i]].decode("utf-8", "surrogatepass")
+        if len(miss := np.nonzero(found[short] < 0)[0]):
+            _, at, inverse = np.unique(one[miss], return_index=True, return_inverse=True)
+            new = miss[at]
+            s, e = start[short[new]].tolist(), (start + size)[short[new]].tolist()
+            numbers = self._learn([raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip(s, e, strict=True)])
+            self.words.add(one[new], two[new], numbers)
+            found[short[miss]] = numbers[inverse]
+        if len(long := np.nonzero(size > SHORT)[0]):
+            found[long] = self._by_token([word(i) for i in long.tolist()])
+        return found, counts
+
+    def _by_token(self, tokens: list[str]) -> np.ndarray:
+        new = list(dict.fromkeys(t for t in tokens if t not in self.root))
+        if new:
+            self.root.update(zip(new, self._learn(new).tolist(), strict=True))
+        return np.fromiter(map(self.root.__getitem__, tokens), dtype=np.int64, count=len(tokens))
 
     def encode_flat(self, texts: list[str], docs: list[int] | None = None, passes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's end. With dropout each token's skips depend on its text's
         ``docs`` and ``passes``, and its place."""
-        if len(self.token) >= CACHE:
+        if self.count >= self.room:
             self._forget()
-        split = [self.tokens(t) for t in texts]
-        counts = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        every = list(chain.from_iterable(split))
-        got = list(map(self.root.get, every))
-        if None in got:
-            self._learn(list(dict.fromkeys(t for t, g in zip(every, got, strict=True) if g is None)))
-            got = map(self.root.__getitem__, every)
-        found = np.fromiter(got, dtype=np.int64, count=len(every))
+        counts, words, others = np.zeros(len(texts), dtype=np.int64), [], []
+        for i, t in enumerate(texts):
+            if t:
+                (words if self.plain(t) else others).append(i)
+        parts = []
+        if words:
+            found, counts[words] = self._by_word([texts[i] for i in words])
+            parts.append((words, found))
+        if others:
+            split = [self.tokens(texts[i]) for i in others]
+            counts[others] = list(map(len, split))
+            parts.append((others, self._by_token(list(chain.from_iterable(split)))))
+        found, at = np.zeros(int(counts.sum()), dtype=np.int64), np.cumsum(counts) - counts
+        for rows, some in parts:
+            found[_runs(at[rows], counts[rows])] = some
         if self.limit:
             starts = [xxhash.xxh64_intdigest(f"{self.seed},{d},{k}") for d, k in zip(docs or [0] * len(texts), passes or [0] * len(texts), strict=True)]
             place = _runs(np.ones(len(counts), dtype=np.int64), counts).astype(np.uint64)
-            self._drop(every, found, _mixed(np.repeat(np.array(starts, dtype=np.uint64), counts) + place * np.uint64(GOLDEN)))
+            self._drop(found, _mixed(np.repeat(np.array(starts, dtype=np.uint64), counts) + place * np.uint64(GOLDEN)))
         sizes = self.size[found].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
         return self.ids[_runs(self.start[found], sizes)], ends
 
-    def _drop(self, tokens: list[str], found: np.ndarray, keys: np.ndarray) -> None:
+    def _drop(self, found: np.ndarray, keys: np.ndarray) -> None:
         """Turns each token's segmentation without skips into that with the skips of its key, a skip of all at a time."""
         skip = _gaps(keys, self.limit)
         on = np.nonzero(skip < self.n[found])[0]
@@ -488,7 +608,9 @@ class Encoder:
             got = list(map(self.child.get, want.tolist()))
             if None in got:
                 new = [w for w, g in zip(want.tolist(), got, strict=True) if g is None]
-                made = self._merged([self.token[w >> 6] for w in new], [self.mask[w >> 6] | 1 << (w & 63) for w in new])
+                words, masks = [self.token[w >> 6] for w in new], [self.mask[w >> 6] | 1 << (w & 63) for w in new]
+                made = self._number(words, masks)
+                self._merged(made, words, masks)
                 self.child.update(zip(new, made.tolist(), strict=True))
                 got = map(self.child.__getitem__, want.tolist())
             found[on] = np.fromiter(got, dtype=np.int64, count=len(want))[inverse]
@@ -497,9 +619,10 @@ class Encoder:
             still = skip < self.n[found[on]]
             on, key, skip = on[still], key[still], skip[still]
         for i in alone:  # skips beyond the bits of a mask
-            parts = self._segments(tokens[i])
+            token = self.token[found[i]]
+            parts = self._segments(token)
             ids = [x for s in parts[:-1] for x in self.pieces.merge(s)] + self.pieces._merge(parts[-1], Draw(int(keys[i]), self.limit))
-            found[i] = self._keep([tokens[i]], [0], np.zeros(1), np.array([len(ids)]), np.array(ids, dtype=np.int32))[0]
+            found[i] = self._keep(self._number([token], [0]), np.zeros(1), np.array([len(ids)]), np.array(ids, dtype=np.int32))[0]
 
     def encode_many(self, texts: list[str], docs: list[int] | None = None, passes: list[int] | None = None) -> list[np.ndarray]:
         """The ids of each text."""

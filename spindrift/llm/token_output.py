@@ -92,6 +92,8 @@ def token_sequences(docs: DataFrame, length: int = 1024, model: str = MODEL, id_
     dealt = made.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "o", "doc_id", "ids")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()  # a worker that has encoded needs its memory for other things now
+        release()
         held: list[bytes] = []  # of the current bucket: texts not yet cut, and whose they are
         starts: list[int] = []
         owners: list[int | None] = []

@@ -158,6 +158,34 @@ def test_dropout_equals_brute_force():
             assert ids.tolist() == want
 
 
+def test_words_in_a_full_table():
+    """Every word finds its number, and no other does, however crowded the table."""
+    rng = random.Random(8)
+    every = list(dict.fromkeys("".join(rng.choice("abcé") for _ in range(rng.randint(0, 15))) for _ in range(3000)))
+    raw = [w.encode() for w in every]
+    start, size = np.cumsum([0, *map(len, raw[:-1])]), np.array(list(map(len, raw)))
+    table = pieces.Words(100)  # 256 slots, to begin with
+    one, two = table.hashes(b"".join(raw) + b" " * pieces.SHORT, start, size)
+    half = len(every) // 2
+    table.add(one[:half], two[:half], np.arange(half))
+    assert table.find(one, two).tolist() == [*range(half), *[-1] * (len(every) - half)]
+    assert len(set(zip(one.tolist(), two.tolist(), strict=True))) == len(every)
+
+
+def test_what_is_kept_changes_nothing(monkeypatch):
+    """An encoder that forgets all the time gives the same."""
+    rng = random.Random(10)
+    texts = [" ".join("".join(rng.choice("abcdé\n") for _ in range(rng.randint(0, 40))) or "x" for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    for rate in (0.0, 0.3):
+        whole = pieces.Encoder(pieces.MODEL, rate, 1).encode_many(texts, list(range(60)))
+        monkeypatch.setattr(pieces, "CACHE", 50)
+        short = pieces.Encoder(pieces.MODEL, rate, 1)
+        assert [x.tolist() for i, t in enumerate(texts) for x in short.encode_many([t], [i])] == [x.tolist() for x in whole]
+        monkeypatch.undo()
+        if not rate:
+            assert [x.tolist() for x in whole] == [pieces.load(pieces.MODEL).library.encode(t) for t in texts]
+
+
 def test_decoding_many_equals_one():
     p = pieces.load(pieces.MODEL)
     texts = ["", "a b", "▁ x\n日 \0", " two  spaces ", ""]
