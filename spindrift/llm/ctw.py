@@ -22,7 +22,6 @@ import json
 import math
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release, scratch_path
 from .langid import held_out
+from .pieces import SHORT, Words
 
 DEPTH = 5
 #: How often a context of two bytes or more must have been seen.
@@ -54,6 +54,9 @@ CHUNK = 1 << 20
 SLOTS = 21
 
 U = np.uint64
+#: The white space between words.
+WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+HASHES = Words(1)
 
 
 def pieces(texts: list[bytes]) -> Iterator[list[tuple[int, bytes, bytes]]]:
@@ -86,22 +89,46 @@ def grams(some: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]
     return g[keep], n
 
 
-def words_of(data: bytes) -> Iterator[list[bytes]]:
-    """The words of a text in lower case, a few megabytes at a time."""
-    if len(data) <= CHUNK:
-        yield data.lower().split()
-        return
-    rest = b""
-    for at in range(0, len(data), CHUNK):
-        part = rest + data[at : at + CHUNK]
-        m = re.search(rb"[^ \t-\r]*\Z", part)
-        rest = part[m.start() :] if at + CHUNK < len(data) else b""
-        yield part[: len(part) - len(rest)].lower().split()
+def texts_by_word(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts' numbers and bytes, about ``CHUNK`` bytes at a time; long texts are cut between words."""
+    rows: list[int] = []
+    some: list[bytes] = []
+    size = 0
+    for row, data in enumerate(texts):
+        rest = b""
+        for at in range(0, len(data), CHUNK):
+            part = rest + data[at : at + CHUNK]
+            if at + CHUNK < len(data):
+                cut = re.search(rb"[^ \t-\r]*\Z", part).start()
+                part, rest = part[:cut], part[cut:]
+            rows.append(row)
+            some.append(part)
+            size += len(part)
+            if size >= CHUNK:
+                yield rows, some
+                rows, some, size = [], [], 0
+    if some:
+        yield rows, some
 
 
 def word_hash(w: bytes) -> int:
-    x = xxhash.xxh64_intdigest(w)
-    return x - (1 << 64) if x >> 63 else x
+    return xxhash.xxh64_intdigest(w)
+
+
+def word_hashes(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of texts, in lower case; and how many words each text has."""
+    raw = b"".join([b" ", b" ".join(some).lower(), b" " * SHORT])
+    space = WHITE[np.frombuffer(raw, dtype=np.uint8)[: len(raw) - SHORT + 1]]
+    edges = np.nonzero(space[1:] != space[:-1])[0] + 1
+    start, size = edges[0::2], edges[1::2] - edges[0::2]
+    first = np.cumsum([1, *(len(x) + 1 for x in some)])
+    counts = np.diff(np.searchsorted(start, first))
+    out = np.zeros(len(start), dtype=U)
+    short = np.nonzero(size <= SHORT)[0]
+    out[short] = HASHES.hashes(raw, start[short], size[short])[0]
+    for i in np.nonzero(size > SHORT)[0].tolist():
+        out[i] = word_hash(raw[start[i] : start[i] + size[i]])
+    return out, counts
 
 
 def _totals(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,45 +144,38 @@ def count_corpus(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``kind, code, n``: how often each (DEPTH + 1)-gram of bytes (kind 0) and each token (1, by hash) occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        fresh: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def together() -> tuple[np.ndarray, np.ndarray]:
-            if not fresh:
-                return np.empty(0, dtype=U), np.empty(0, dtype=np.int64)
-            return _totals(np.concatenate([x for x, _ in fresh]), np.concatenate([y for _, y in fresh]))
+        fresh: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]  # by kind
 
-        def out(kind: int, c: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(kind: int) -> Iterator[pa.RecordBatch]:
+            c, n = _totals(*(np.concatenate([x[i] for x in fresh[kind]]) for i in (0, 1))) if fresh[kind] else (np.empty(0, dtype=U), np.empty(0, dtype=np.int64))
+            fresh[kind] = []
             for i in range(0, len(c), 100_000):
                 x, y = c[i : i + 100_000], n[i : i + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int8)), pa.array(x.view(np.int64)), pa.array(y)], ["kind", "code", "n"])
 
-        def tokens() -> Iterator[pa.RecordBatch]:
-            yield from out(1, np.fromiter(map(word_hash, seen), dtype=np.int64, count=len(seen)), np.fromiter(seen.values(), dtype=np.int64, count=len(seen)))
-            seen.clear()
+        def add(kind: int, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Counts codes; passes counts on when many have come together."""
+            codes = np.sort(codes)
+            start = np.nonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))[0]
+            mine = fresh[kind]
+            mine.append((codes[start], np.diff(np.append(start, len(codes)))))
+            if sum(len(x) for x, _ in mine) > 1_000_000:
+                mine[:] = [_totals(*(np.concatenate([x[i] for x in mine]) for i in (0, 1)))]
+                if len(mine[0][0]) > 700_000:
+                    yield from out(kind)
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 texts = [t or b"" for t in b.column(0).slice(at, 500).to_pylist()]
-                for t in texts:
-                    for w in words_of(t):
-                        seen.update(w)
-                seen[END_TOKEN] += len(texts)
-                if len(seen) > 300_000:
-                    yield from tokens()
+                yield from add(1, np.full(len(texts), word_hash(END_TOKEN), dtype=U))
+                for _, some in texts_by_word(texts):
+                    if len(h := word_hashes(some)[0]):
+                        yield from add(1, h)
                 for some in pieces(texts):
-                    g = np.sort(grams(some)[0])
-                    start = np.nonzero(np.concatenate([[True], g[1:] != g[:-1]]))[0]
-                    fresh.append((g[start], np.diff(np.append(start, len(g)))))
-                    if sum(len(x) for x, _ in fresh) > 1_000_000:
-                        codes, ns = together()
-                        fresh[:] = [(codes, ns)]
-                        if len(codes) > 700_000:
-                            yield from out(0, codes, ns)
-                            fresh.clear()
+                    yield from add(0, grams(some)[0])
             release()
-        yield from out(0, *together())
-        yield from tokens()
+        yield from out(0)
+        yield from out(1)
 
     parts = docs.select(F.col(text_col).cast("binary")).mapInArrow(run, "kind byte, code bigint, n bigint")
     return parts.groupBy("kind", "code").agg(F.sum("n").alias("n"))
@@ -393,12 +413,12 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         got = unpack_arrays(mapped(model.top))
-        self.words, self.counts = got["words"], got["counts"]
+        words = got["words"].view(U)
+        self.words, self.logs = Words(len(words)), np.log10(got["counts"] + 1.0)
+        self.words.add(words, words, np.arange(len(words)))
         self.trees = model.trees()
         self.keys = np.full(1 << SLOTS, U((1 << 64) - 1))
         self.values = np.zeros(1 << SLOTS)
-        self.known: dict[bytes, float] = {}
-        self.rare: dict[bytes, int] = {}
 
     def log10(self, g: np.ndarray) -> np.ndarray:
         at = (g * U(0x9E3779B97F4A7C15)) >> U(64 - SLOTS)
@@ -421,39 +441,31 @@ class Scorer:
             np.add.at(out, [row for row, _, _ in some], sums)
         return out
 
-    def frequent(self, h: int) -> float | None:
-        """log10(count + 1) of a word that is frequent, by its hash."""
-        at = int(np.searchsorted(self.words, h))
-        return math.log10(self.counts[at] + 1.0) if at < len(self.words) and self.words[at] == h else None
-
-    def tokens(self, text: bytes) -> tuple[int, int, float, list[tuple[int, int]]]:
-        """How many words, how many of them frequent, the sum of log10(count + 1) of these, and the others' hashes."""
-        n = known = 0
-        total = 0.0
-        rest = []
-        for w in words_of(text):
-            n += len(w)
-            for x, times in Counter(w).items():
-                lc = self.known.get(x)
-                if lc is None:
-                    h = self.rare.get(x)
-                    if h is None:
-                        h = word_hash(x)
-                        lc = self.frequent(h)
-                        if lc is not None:
-                            if len(self.known) > 150_000:
-                                self.known.clear()
-                            self.known[x] = lc
-                        else:
-                            if len(self.rare) > 100_000:
-                                self.rare.clear()
-                            self.rare[x] = h
-                    if lc is None:
-                        rest.append((h, times))
-                        continue
-                known += times
-                total += lc * times
-        return n, known, total, rest
+    def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether words are frequent, by their hashes, and log10(count + 1) of those that are."""
+        at = self.words.find(h, h)
+        return at >= 0, np.where(at >= 0, self.logs[at] if len(self.logs) else 0.0, 0.0)
+
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text how many tokens it has, how many of them are frequent and the sum of log10(count + 1) of these;
+        and the others: the text's number, their hash, how often they occur in it."""
+        end, log = self.frequent(np.array([word_hash(END_TOKEN)], dtype=U))
+        size = len(texts)
+        n, known, logs = np.ones(size, dtype=np.int64), np.full(size, int(end[0])), np.full(size, log[0])
+        rest = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=U))]
+        for rows, some in texts_by_word(texts):
+            h, counts = word_hashes(some)
+            row = np.repeat(rows, counts)
+            often, log = self.frequent(h)
+            n += np.bincount(row, minlength=size)
+            known += np.bincount(row[often], minlength=size)
+            logs += np.bincount(row, weights=log, minlength=size)
+            rest.append((row[~often], h[~often]))
+        row, h = (np.concatenate([x[i] for x in rest]) for i in (0, 1))
+        order = np.lexsort((h, row))
+        row, h = row[order], h[order]
+        start = np.nonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))[0] if len(row) else np.empty(0, dtype=np.int64)
+        return n, known, logs, (row[start], h[start].view(np.int64), np.diff(np.append(start, len(row))))
 
 
 _SCORERS: dict[object, Scorer] = {}
@@ -492,20 +504,12 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 some = [t or b"" for t in b.column(1).slice(at, 500).to_pylist()]
-                told = [lm.tokens(t) for t in some]
                 rows = np.arange(row, row + len(some))
-                ends = lm.frequent(word_hash(END_TOKEN))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows), b.column(0).slice(at, 500), pa.array([x[0] + 1 for x in told]), pa.array([x[1] + (ends is not None) for x in told]),
-                        pa.array([x[2] + (ends or 0.0) for x in told]), pa.array(lm.scores(some)), pa.array([len(t) + 1 for t in some]), pa.nulls(len(some), pa.int64()),
-                    ],
-                    names,
-                )
-                which = np.repeat(rows, [len(x[3]) for x in told])
-                rest = [y for x in told for y in x[3]]
-                none = pa.nulls(len(rest), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(which), none, pa.array([y[1] for y in rest], pa.int64()), none, pa.nulls(len(rest), pa.float64()), pa.nulls(len(rest), pa.float64()), none, pa.array([y[0] for y in rest], pa.int64())], names)
+                n, known, logs, (of, h, times) = lm.tokens(some)
+                sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0).slice(at, 500), *map(pa.array, (n, known, logs, lm.scores(some), sizes)), pa.nulls(len(some), pa.int64())], names)
+                none, nan = pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(rows[of]), none, pa.array(times), none, nan, nan, none, pa.array(h)], names)
                 row += len(some)
             release()
 

@@ -351,7 +351,11 @@ def test_long_texts_in_pieces():
     whole = [(0, ctw.END * ctw.DEPTH, text + ctw.END)]
     cut = [x for some in ctw.pieces([text]) for x in some]
     assert len(cut) == 4 and (np.concatenate([ctw.grams([x])[0] for x in cut]) == ctw.grams(whole)[0]).all()
-    assert [w for ws in ctw.words_of(text) for w in ws] == text.split()
+    plain = [b"a b", b"", b" \t", b"\x0bUpper \xc3\x89 " + b"long" * 20, text]
+    assert [x for rows, some in ctw.texts_by_word(plain) for r, t in zip(rows, some, strict=True) for x in [r] * len(t.split())] == [r for r, t in enumerate(plain) for _ in t.split()]
+    want = {w: ctw.word_hashes([w])[0][0] for w in {w for t in plain for w in t.lower().split()}}
+    got = [h for _, some in ctw.texts_by_word(plain) for h in ctw.word_hashes(some)[0].tolist()]
+    assert got == [want[w] for t in plain for w in t.lower().split()] and len(set(got)) == len(want)
 
 
 def water(sizes, weights=(3, 1, 2)):
