@@ -11,19 +11,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lcs(a: str, b: str) -> int:
-    """The length of the longest common subsequence, a row of the table as the bits of one integer."""
-    if not a or not b:
-        return 0
+def _places(a: str) -> dict[str, int]:
+    """Where each character of a string stands, as the bits of an integer."""
     where: dict[str, int] = {}
     for i, ch in enumerate(a):
         where[ch] = where.get(ch, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return where
+
+
+def _common(where: dict[str, int], n: int, b: str) -> int:
+    """The length of the longest common subsequence, a row of the table as the bits of one integer."""
+    full = (1 << n) - 1
     row = full
     for ch in b:
         hit = row & where.get(ch, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    return _common(_places(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> int:
@@ -37,11 +44,15 @@ def partial_ratio(a: str, b: str) -> int:
     short, long = sorted((a, b), key=len)
     if not short:
         return 100 if not long else 0
-    n = len(short)
+    n, where = len(short), _places(short)
+    if not lcs(short, long):
+        return 0
     best = 0
     for at in range(1 - n, len(long)):
         part = long[max(0, at) : at + n]
-        best = max(best, ratio(short, part))
+        most = sum(ch in where for ch in part)  # no more of it can be in common
+        if round(200 * min(n, most) / (n + len(part))) > best:
+            best = max(best, round(200 * _common(where, n, part) / (n + len(part))))
         if best == 100:
             break
     return best

@@ -12,7 +12,7 @@ from ..sources.tables import append_contacts, read_csv, replace_table, save_csv,
 from .expected import ROLE_TABLE, TARGET_TABLE
 from .registry import query
 from .relations import K1, K5, recursive
-from .scalars import N8, OF_HEX, lit, named_title, sql_named
+from .scalars import N8, OF_HEX, URLS, lit, named_title, rule_case, sql_named
 from .views import HOST, MAIL, PERSON, PHONE, TITLE, table, view
 
 # ---- pages
@@ -21,7 +21,10 @@ A = r"""regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)"""
 
 
 def web(spark, d) -> DataFrame:
-    return view(spark, d, "web_pages")
+    """The derived pages as a table of their own, as pages are: many expressions read their markup."""
+    path = shared_path(spark, "web")
+    view(spark, d, "web_pages").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def per_kind(values: list) -> str:
@@ -52,6 +55,25 @@ def classify_pages(spark, d) -> DataFrame:
     return pages.classify(web(spark, d)).select("page_id", "page_type", "confidence", "excluded", "is_directory", "is_profile")
 
 
+HOME = "CASE WHEN regexp_matches(lower(u), '^[a-z][a-z0-9+.-]*://[^/?#]*(/|/index.html|/index.php)?([?#].*)?$') THEN {} END"
+WORDS = r"len([x FOR x IN regexp_split_to_array(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+') IF x <> ''])"
+OWN = f"15 + CASE WHEN {WORDS} BETWEEN 2 AND 4 THEN 15 ELSE 0 END"
+
+
+@query(
+    "P7_classify_prose",
+    f"""SELECT page_id, CASE WHEN kind IS NULL OR (kind <> 'individual_profile' AND own > score) THEN 'individual_profile' ELSE kind END AS page_type, CAST(CASE WHEN kind IS NULL THEN own WHEN kind = 'individual_profile' THEN score + own ELSE greatest(score, own) END AS INT) AS confidence
+FROM (SELECT page_id, {rule_case('lower(u)', [(p, lit(t)) for p, t, _ in pages.PAGE_RULES], HOME.format("'homepage'"))} AS kind, {rule_case('lower(u)', [(p, s) for p, _, s in pages.PAGE_RULES], HOME.format(70))} AS score, {OWN} AS own
+  FROM (SELECT p.html, x.page_id, x.u FROM ({URLS.format(pages='pages')}) x JOIN pages p ON p.page_id = x.page_id))""",
+)
+def classify_prose(spark, d) -> DataFrame:
+    """Pages of prose at addresses of all kinds: a heading of a few words and few links to persons speak for a profile."""
+    p = table(spark, d, "pages")
+    at = spark.sql(URLS.replace("{pages}", "{p}"), p=p).withColumnRenamed("page_id", "__id")
+    named = p.join(at, F.col("page_id") == F.col("__id")).select("page_id", F.col("u").alias("url"), "html")
+    return pages.classify(named).select("page_id", "page_type", "confidence")
+
+
 @query("P10_counts_by_type", f"SELECT page_type, count(*) AS n FROM ({P7}) GROUP BY 1")
 def counts_by_type(spark, d) -> DataFrame:
     return pages.classify(web(spark, d)).groupBy("page_type").agg(F.count("*").alias("n"))
@@ -284,7 +306,7 @@ def delay_stream(spark, d) -> DataFrame:
 
 
 K8 = """SELECT d.domain, CAST(least(45000, floor(coalesce(l.current, 30000) * pow(1.5::DOUBLE, least(coalesce(t.n, 0), 8)))) AS INT) AS timeout_ms, coalesce(t.n, 0) AS consecutive FROM (SELECT DISTINCT domain FROM request_log) d
-LEFT JOIN (SELECT domain, greatest(8000, least(45000, floor(avg(load_s) * 2.5::DOUBLE * 1000))) AS current FROM (SELECT * FROM request_log WHERE kind = 'success' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) <= 10) GROUP BY 1) l ON l.domain = d.domain
+LEFT JOIN (SELECT domain, greatest(8000, least(45000, floor(fsum(load_s) / count(*) * 2.5::DOUBLE * 1000))) AS current FROM (SELECT * FROM request_log WHERE kind = 'success' QUALIFY row_number() OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) <= 10) GROUP BY 1) l ON l.domain = d.domain
 LEFT JOIN (SELECT domain, count(*) FILTER (WHERE kind = 'timeout') AS n FROM (SELECT *, count(*) FILTER (WHERE kind = 'success') OVER (PARTITION BY domain ORDER BY ts DESC, event_id DESC) AS later FROM request_log) WHERE later = 0 GROUP BY 1) t ON t.domain = d.domain"""
 
 
@@ -335,7 +357,9 @@ def contact_records(spark, d) -> DataFrame:
 @query("Z1_contact_run", f"SELECT page_id, full_name, title, email, role AS matched_role, confidence AS confidence_score FROM (SELECT * FROM ({KEPT}) WHERE page_id % 8 IN (0, 1, 4)) WHERE email <> '' UNION ALL SELECT min(page_id), arg_min(full_name, page_id), arg_min(title, page_id), '', arg_min(role, page_id), CAST(arg_min(confidence, page_id) AS INT) FROM ({KEPT}) WHERE page_id % 8 IN (0, 1, 4) AND email = '' HAVING count(*) > 0")
 def contact_run(spark, d) -> DataFrame:
     """From pages to deduplicated, scored contacts: all without an address count as one, as an empty one is an address."""
-    found = followed(spark, d)
+    path = shared_path(spark, "found")
+    followed(spark, d).write.parquet(path)  # pages are parsed once, though contacts and their distinct titles are both read
+    found = spark.read.parquet(path)
     law = F.when(F.col("page_id") % 16 < 8, "Law School").otherwise("Paralegal Program")
     scored = records.score_contacts(found.withColumn("program_type", law), roles.catalog(spark)).withColumn("_seq", F.col("page_id") * 1000 + F.col("ord"))
     kept = dedup.deduplicate_contacts(scored.withColumn("institution_name", F.lit("")))
