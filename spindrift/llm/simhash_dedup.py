@@ -32,6 +32,8 @@ from .components import connected_components
 RADIUS = 3
 BLOCK = 16
 SMALL = 256
+#: Groups by fingerprint are broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
@@ -187,8 +189,10 @@ def simhash_dedup(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", tex
     # a group without any id has no smallest one, and is a group all the same
     own_id = F.when(F.col("component").isNull(), F.col("__least")).otherwise(F.col("__lowest"))
     every = least.join(merged, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__fp"), own_id.alias("component_id"), F.coalesce("component", "fp").alias("group"))
-    # written, so that both sides of the last join are shuffled as they are and AQE can split a hot fingerprint's rows
+    # written, so its size is known: it is broadcast, or else both sides are shuffled and AQE can split a hot fingerprint's rows
     every = materialize(every, "simhash-groups")
+    if every.count() * 32 <= BROADCAST_BYTES:
+        every = F.broadcast(every)
     return own.join(every, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id", "text_hash", "group")
 
 

@@ -76,7 +76,7 @@ def components(n, links):
     return [root(i) for i in range(n)]
 
 
-def test_simhash_dedup(spark):
+def test_simhash_dedup(spark, monkeypatch):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(300)]
     rows = []
@@ -89,12 +89,16 @@ def test_simhash_dedup(spark):
             rows.append(" \t".join(w).upper())
     rows += [None, "", " \n ", "one", "One", "two words", "É é É é"]
     data = [(i * 3, t, "x", "y") for i, t in enumerate(rows)] + [(0, rows[0], "x", "y")]
-    got = {(r.doc_id): r for r in sim.simhash_dedup(spark.createDataFrame(data, "doc_id bigint, text string, fp string, component_id string")).collect()}
+    got_rows = sim.simhash_dedup(spark.createDataFrame(data, "doc_id bigint, text string, fp string, component_id string")).collect()
+    got = {r.doc_id: r for r in got_rows}
     fps = [brute_fp(t) for t in rows]
     assert [got[i * 3].fp % (1 << 64) for i in range(len(rows))] == fps
     lab = components(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if bin(fps[a] ^ fps[b]).count("1") <= 3])
     assert [got[i * 3].component_id for i in range(len(rows))] == [3 * x for x in lab]
     assert sim.simhash_dedup(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    monkeypatch.setattr(sim, "BROADCAST_BYTES", 0)  # the same by a join
+    again = sim.simhash_dedup(spark.createDataFrame(data, "doc_id bigint, text string, fp string, component_id string")).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got_rows))
     none = [(None, "some words of one text"), (None, "some words of one text"), (None, "quite another text here"), (5, "quite another text here"), (5, "and a third, not like these")]
     told = sim.simhash_dedup(spark.createDataFrame(none, "doc_id bigint, text string")).collect()
     assert sorted((r.component_id or 0) for r in told) == [0, 0, 5, 5, 5] and len({r.group for r in told}) == 3
