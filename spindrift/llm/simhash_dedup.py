@@ -32,6 +32,8 @@ from .components import connected_components
 RADIUS = 3
 BLOCK = 16
 SMALL = 256
+#: Rows for each task that emits variants.
+TASK_ROWS = 20_000
 
 
 def _votes(h: np.ndarray) -> np.ndarray:
@@ -166,7 +168,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_links(fps: DataFrame) -> DataFrame:
     """``a, b``: links between the distinct values of ``fp``, enough to join all that direct links join."""
-    v = variants(fps.select("fp").distinct()).repartition("mask", "key").sortWithinPartitions("mask", "key")
+    # a few bytes a fingerprint, but 196 variants: dealt out by number, not by size
+    tasks = max(1, min(65_536, -(-fps.count() // TASK_ROWS)))
+    v = variants(fps.select("fp").distinct().repartition(tasks, "fp")).repartition("mask", "key").sortWithinPartitions("mask", "key")
     return v.mapInArrow(_meet, "a bigint, b bigint").distinct()
 
 
