@@ -1,6 +1,6 @@
 """Registered queries; importing this package registers them."""
 
-from . import documents, relations, scalars  # noqa: F401
+from . import documents, relations, scalars, verbs  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
