@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if not root:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isEmpty():
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local($|\[)", spark.sparkContext.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='spindrift-')}")
             jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
