@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``; where that is unset in a local session, under a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         root = f"file://{tempfile.gettempdir()}/spindrift-shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
