@@ -40,10 +40,12 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts are near copies of each other. Of rows that repeat id and text one stays.
     """
-    by = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    kept = simhash_dedup(docs).groupBy("group").agg(F.min(by).alias("k")).select("k.__id", "k.__hash")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    return docs.join(kept, same, "left_semi").withColumn("__hash", F.xxhash64("text")).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    key = lambda h: [F.coalesce("doc_id", F.lit(0)).alias("__i"), F.xxhash64(h, F.col("doc_id").isNull()).alias("__h")]
+    by = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    kept = simhash_dedup(docs).groupBy("group").agg(F.min_by(F.struct(*key("text_hash")), by).alias("k")).select("k.*")
+    # texts are dealt out once: the join and what it leaves of repeated rows have the same keys
+    keyed = docs.select("*", *key(F.xxhash64("text")))
+    return keyed.join(kept, ["__i", "__h"], "left_semi").dropDuplicates(["__i", "__h"]).select(*docs.columns)
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
