@@ -635,10 +635,16 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, rate: float, seed: int) -> Encoder:
-    """One for each setting in a worker, so that what it has met serves all its tasks."""
+    """One for each setting in a worker; ``let_go`` ends it."""
     return Encoder(path, rate, seed)
 
 
+def let_go() -> None:
+    """At the end of a task: a machine may have more idle workers than cores, and each would hold all it has met."""
+    encoder.cache_clear()
+    release()
+
+
 def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text", pass_col: str | None = None) -> DataFrame:
     """``doc_id, ids, n_tokens, decoded_sha256``: each whole text's piece ids, and a hash of what these decode to.
 
@@ -660,6 +666,7 @@ def piece_encode(docs: DataFrame, rate: float = 0.1, seed: int = 2, model: str =
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 500), lists, pa.array(np.diff(ends)), pa.array(told)], ["doc_id", "ids", "n_tokens", "decoded_sha256"])
             release()
+        let_go()
 
     cols = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), F.col(pass_col).cast("bigint").alias("pass") if pass_col else F.lit(0).cast("bigint").alias("pass"))
     return cols.mapInArrow(run, "doc_id bigint, ids array<int>, n_tokens bigint, decoded_sha256 string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release, runs
-from .pieces import MODEL, encoder
+from .pieces import MODEL, encoder, let_go
 
 END, PAD = 2, 0
 ROUNDS = 8
@@ -85,6 +85,7 @@ def token_sequences(docs: DataFrame, length: int = 1024, model: str = MODEL, id_
                 blobs = [_zip(raw[s:e]) for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(np.diff(ends, prepend=0) // 2), pa.array(blobs, pa.binary())], ["bucket", "o", "doc_id", "n", "ids"])
             release()
+        let_go()
 
     order = F.xxhash64(F.col(id_col), F.col(text_col))
     cols = docs.select(F.pmod(order, F.lit(buckets)).cast("int").alias("bucket"), order.alias("o"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -92,8 +93,6 @@ def token_sequences(docs: DataFrame, length: int = 1024, model: str = MODEL, id_
     dealt = made.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "o", "doc_id", "ids")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder.cache_clear()  # a worker that has encoded needs its memory for other things now
-        release()
         held: list[bytes] = []  # of the current bucket: texts not yet cut, and whose they are
         starts: list[int] = []
         owners: list[int | None] = []
