@@ -71,6 +71,16 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Sides of joins that grow with the input are broadcast up to so many rows, whatever Spark's threshold: that goes by
+#: compressed bytes, and a broadcast passes through the driver in full.
+BROADCAST_ROWS = 20_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` for a join that is merged if it has more than ``BROADCAST_ROWS`` rows (or nobody knows how many)."""
+    return df if rows is not None and rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def release() -> None:
     """Gives memory that a worker has freed back to the system: Arrow's pool and the C library keep it otherwise, and
     workers of several tasks share a machine. Called after a batch of some megabytes."""

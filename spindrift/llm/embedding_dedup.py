@@ -6,7 +6,8 @@ with the logarithm of the number of vectors, so that unrelated vectors seldom me
 chance that a pair at the threshold itself meets in one of them at ``recall``; nearer pairs meet almost surely.
 
 Only buckets of two or more fetch their vectors. A bucket over ``CHUNK`` vectors is dealt out as pairs of chunks, so a
-hot one is many small matrix products; counts and one link a vector leave a task, never pairs.
+hot one is many small matrix products; counts and one link a vector leave a task, never pairs. Nothing that grows with
+the vectors is broadcast, as that passes through the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 from .components import connected_components
 
 CHUNK = 512
@@ -105,7 +106,8 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, recall: float =
     classes = v.where("__ok").groupBy("__h1", "__h2").agg(F.min("vec_id").alias("lowest"), F.count("*").alias("w"), F.first("__v").alias("v"))
     classes = classes.withColumn("id", F.monotonically_increasing_id())
     nodes = materialize(classes, "vectors")
-    k, n_tables = plan_tables(nodes.count(), threshold, recall, width)
+    n = nodes.count()
+    k, n_tables = plan_tables(n, threshold, recall, width)
     cell = width * math.sqrt(2 - 2 * threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +121,9 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, recall: float =
 
     rows = nodes.select("id", "v").mapInArrow(hashed, "t int, cell bigint, id bigint")
     full = rows.groupBy("t", "cell").agg(F.count("*").alias("n")).where("n > 1").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    met = rows.join(full, ["t", "cell"]).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    met = rows.join(sized(full, n * n_tables), ["t", "cell"]).withColumn("c", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     met = met.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("t", "cell", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"), "c", "id").join(nodes.select("id", "w", "v"), "id")
+    met = met.select("t", "cell", F.least("c", "j").alias("lo"), F.greatest("c", "j").alias("hi"), "c", "id").join(sized(nodes.select("id", "w", "v"), n), "id")
     met = met.select("t", "cell", "lo", "hi", "id", "c", "w", "v").repartition("t", "cell", "lo", "hi").sortWithinPartitions("t", "cell", "lo", "hi", "id")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +162,11 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, recall: float =
     found = materialize(met.mapInArrow(compared, "id bigint, links bigint, reach bigint"), "vector-links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("reach").alias("b")))
-    lowest = nodes.select("id", "lowest").join(comps, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id"))
+    lowest = nodes.select("id", "lowest").join(sized(comps, n), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id"))
     least = lowest.groupBy("root").agg(F.min("lowest").alias("component_id"))
-    told = lowest.join(least, "root").join(counts, "id", "left").select("id", "component_id", "links")
-    told = nodes.select("id", F.col("__h1").alias("__k1"), F.col("__h2").alias("__k2"), "w").join(told, "id")
-    out = v.join(told, (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
+    told = lowest.join(sized(least, n), "root").join(sized(counts, n), "id", "left").select("id", "component_id", "links")
+    told = nodes.select("id", F.col("__h1").alias("__k1"), F.col("__h2").alias("__k2"), "w").join(sized(told, n), "id")
+    out = v.join(sized(told, n), (F.col("__h1") == F.col("__k1")) & (F.col("__h2") == F.col("__k2")), "left")
     component = F.when(F.col("__k1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce(F.col("w") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

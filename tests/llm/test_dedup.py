@@ -251,3 +251,30 @@ def test_recall_at_the_threshold(spark):
     e = np.concatenate([a, 0.9505 * a + math.sqrt(1 - 0.9505**2) * x])
     got = emb.embedding_dedup(spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(e)], "vec_id bigint, embedding array<double>"))
     assert got.where("n_links = 1").count() >= 0.98 * len(e)
+
+
+def _plans(spark, run) -> str:
+    """The plans, as they were carried out, of all that ``run`` executes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    last = max((store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())), default=-1)
+    run()
+    bus.waitUntilEmpty(30_000)
+    runs = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    return "\n".join(r.physicalPlanDescription() for r in runs if r.executionId() > last)
+
+
+def test_links_of_many_vectors_are_not_broadcast(spark, monkeypatch):
+    """Broadcasts pass through the driver, and what Spark allows goes by compressed bytes."""
+    from spindrift.llm import common as shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 20, raising=False)
+    rng = np.random.default_rng(5)
+    a = rng.standard_normal((60, 16))
+    e = np.concatenate([a, a + 0.01 * rng.standard_normal(a.shape)])
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(e)], "vec_id bigint, embedding array<double>")
+    got = []
+    plans = _plans(spark, lambda: got.extend(emb.embedding_dedup(df).collect()))
+    assert "SortMergeJoin" in plans and "BroadcastExchange" not in plans
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted((i, 1, i % 60) for i in range(120))
