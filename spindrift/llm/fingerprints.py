@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, sized, words
 
 #: One 64-bit hash a term for each; a fingerprint has 64 bits a seed.
 SEEDS = (1, 2)
@@ -83,6 +83,7 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int = 3, n_b
     Both take a column ``fp``; ``queries`` also ``query``. Of ``n_blocks`` blocks, ``radius`` differing bits leave
     ``n_blocks - radius`` untouched: one table for each choice of these, keyed by their bits put first. Fingerprints
     that occur often count once. With 6 blocks a key has 64 of the 128 bits, so chance meetings stay few at any size.
+    Queries grow with the table, so neither side is broadcast.
     """
     if not 0 <= radius < n_blocks:
         raise ValueError("radius must be under n_blocks")
@@ -95,7 +96,7 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int = 3, n_b
 
     q = keyed(queries.select("query", F.col("fp").alias("__q")), "__q")
     t = keyed(table.select("fp").where(F.col("fp").isNotNull()).distinct(), "fp")
-    met = q.join(t, "__key").withColumn("distance", distance(F.col("__q"), F.col("fp"))).where(F.col("distance") <= radius)
+    met = sized(q).join(sized(t), "__key").withColumn("distance", distance(F.col("__q"), F.col("fp"))).where(F.col("distance") <= radius)
     return met.select("query", "fp", "distance").distinct()
 
 
@@ -191,11 +192,11 @@ def near_documents(fps: DataFrame, queries: DataFrame, radius: int = 3, id_col:
     parts = lambda c: F.array(*[F.conv(F.substring(c, 16 * i + 1, 16), 16, -10).cast("bigint") for i in range(len(SEEDS))])
     counted = fps.groupBy(F.col(fp_col).alias("__hex")).agg(F.count("*").alias("__n")).withColumn("fp", parts(F.col("__hex")))
     met = near_fingerprints(queries.select(F.col(id_col).alias("query"), parts(F.col(fp_col)).alias("fp")), counted, radius)
-    return met.join(counted.select(F.col("fp").alias("__fp"), "__n"), F.col("fp") == F.col("__fp")).groupBy("query").agg((F.sum("__n") - 1).alias("n_near"))
+    return sized(met).join(sized(counted.select(F.col("fp").alias("__fp"), "__n")), F.col("fp") == F.col("__fp")).groupBy("query").agg((F.sum("__n") - 1).alias("n_near"))
 
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     """``n_near`` is told of every document whose id is divisible by 50, against all documents; null for the others."""
     fps = materialize(document_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "fingerprints")
     near = near_documents(fps, fps.where("doc_id % 50 = 0"))
-    return fps.join(near, F.col("doc_id") == F.col("query"), "left").drop("query")
+    return fps.join(sized(near), F.col("doc_id") == F.col("query"), "left").drop("query")

@@ -278,3 +278,12 @@ def test_links_of_many_vectors_are_not_broadcast(spark, monkeypatch):
     plans = _plans(spark, lambda: got.extend(emb.embedding_dedup(df).collect()))
     assert "SortMergeJoin" in plans and "BroadcastExchange" not in plans
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted((i, 1, i % 60) for i in range(120))
+
+
+def test_near_fingerprints_are_not_broadcast(spark, tmp_path):
+    texts = [" ".join(f"w{(i // 2) * 31 + j}" for j in range(40)) for i in range(100)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = []
+    plans = _plans(spark, lambda: got.extend(fing.op8_fingerprints(spark, str(tmp_path)).collect()))
+    assert "SortMergeJoin" in plans and "BroadcastExchange" not in plans
+    assert {r.doc_id: r.n_near for r in got if r.n_near is not None} == {0: 1, 50: 1}
