@@ -216,6 +216,15 @@ def test_stream_timeouts_to_the_last_bit(spark, tmp_path):
     assert sorted(tuple(r) for r in QUERIES["K8_timeout_stream"](spark, str(tmp_path)).collect()) == want
 
 
+def test_master_numbers_of_equal_names(spark):
+    """Rows that the order leaves equal get the same numbers however they lie."""
+    rows = [("A", "Law School", "Ohio", "", "", f"ABA Approved ({1900 + i % 100})") for i in range(300)] + [("A", "Paralegal Program", None, "", "", None)] * 2
+    cols = "name string, type string, state string, city string, url string, accreditation_status string"
+    got = [sorted(tuple(r) for r in targets.build_master([spark.createDataFrame(x, cols).repartition(n)], "2024-01-01").collect()) for x, n in ((rows, 1), (rows[::-1], 3))]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(1, 303))
+    assert [r[6] for r in got[0][:300]] == sorted(r[5] for r in rows[:300])
+
+
 def test_surrogate_keys_by_ranges(spark, monkeypatch):
     import random
 
