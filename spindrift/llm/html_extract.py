@@ -1,8 +1,8 @@
 """HTML extraction by wrapper induction: pages of a host are aligned by simple tree matching.
 
-A page becomes a tree of containers and blocks. A bounded sample of a host's pages is aligned, layout by layout: nodes
-whose text stays the same are the host's template, nodes whose text varies are slots. What is found is the host's
-wrapper, and it is applied to every page of the host, so no page depends on which others it is looked at with:
+A page becomes a tree of containers and blocks. All distinct pages of a host are aligned with the reference pages of its
+layouts: nodes whose text stays the same are the host's template, nodes whose text varies are slots. What is found is the
+host's wrapper, and it is applied to every page of the host, so no page depends on which others it is looked at with:
 
 * a block that is template goes, wherever it stands, also inside an article;
 * the page's slot is the article or main element, or where the markup names none the least container that holds most of
@@ -17,21 +17,26 @@ A host with fewer than ``SUPPORT`` distinct pages has no wrapper; there the mark
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
+from itertools import count
+from math import ceil, floor, isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, runs
+from .common import BROADCAST_ROWS, materialize, release, sized
 
-#: Distinct pages of a host that its wrapper is learned from, at most; those with the smallest hashes.
+#: Reference pages that one round of learning picks on a host, at most; rounds go on until no layout is left.
+SEEDS = 32
+#: Distinct pages of a host that wrappers were learned from before all pages were; only a test still goes by it.
 SAMPLE = 48
-#: Pages longer than this are not learned from; they are extracted like others.
-LEARN_BYTES = 1 << 20
+#: Cells of a table of children that are kept at once; a larger one is filled twice, some rows at a time.
+CELLS = 1 << 24
 #: A template block is the same on so many distinct pages at least, and on that share of those where it aligns.
 SUPPORT, SHARE = 4, 0.6
 #: An element whose name speaks of boilerplate is confirmed by so many pages.
@@ -202,43 +207,114 @@ def match(a: Node, b: Node, known: dict | None = None) -> int:
     weight = 1
     if a.text is not None or b.text is not None:
         weight += a.text == b.text
-    elif len(a.kids) * len(b.kids) <= 64:
-        got, kids = _match_few(a.kids, b.kids, known)
+    elif a.kids and b.kids:
+        got, kids = (_match_few if len(a.kids) * len(b.kids) <= 64 else _match_many)(a.kids, b.kids, known)
         weight += got
-    else:
-        n, m = len(a.kids), len(b.kids)
-        numbers: dict = {}
-        la, lb = (np.array([numbers.setdefault(k.label, len(numbers)) for k in x.kids]) for x in (a, b))
-        ta, tb = (np.array([numbers.setdefault((k.label, k.text), len(numbers)) if k.text is not None else -i - 1 for i, k in enumerate(x.kids)]) for x in (a, b))
-        inner = [j for j, k in enumerate(b.kids) if k.kids]
-        left = np.zeros((n, m + 1), dtype=bool)  # and whether it is that to its left
-        last = np.zeros(m + 1, dtype=np.int64)
-        above = np.empty((n, m + 1), dtype=bool)  # whether a cell's value is that above it
-        for i, k in enumerate(a.kids):
-            w = (la[i] == lb).astype(np.int64)
-            if k.text is not None:
-                w += ta[i] == tb
-            elif k.kids:
-                for j in inner:
-                    if w[j]:
-                        w[j] = match(k, b.kids[j], known)
-            row = np.zeros(m + 1, dtype=np.int64)
-            row[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + w))
-            above[i] = row == last
-            left[i, 1:] = row[1:] == row[:-1]
+    known[id(a), id(b)] = weight, kids
+    return weight
+
+
+def _match_many(xs: list[Node], ys: list[Node], known: dict) -> tuple[int, list[tuple[Node, Node]]]:
+    """The same for many children, a row at a time, in bounded memory: of a large table only some rows are kept, and the
+    rows between two of them are filled again on the way back."""
+    n, m = len(xs), len(ys)
+    weigh = _weights(xs, ys, known)
+
+    def below(last: np.ndarray, i: int) -> np.ndarray:
+        row = np.zeros(m + 1, dtype=np.int32)
+        row[1:] = np.maximum.accumulate(np.maximum(last[1:], last[:-1] + weigh(i)))
+        return row
+
+    step, last = n if n * m <= CELLS else isqrt(n) + 1, np.zeros(m + 1, dtype=np.int32)
+    starts = [last]
+    for i in range((n - 1) // step * step):
+        last = below(last, i)
+        if (i + 1) % step == 0:
+            starts.append(last)
+    total, kids, i, j = None, [], n, m
+    while i and j:
+        first = (i - 1) // step * step
+        last = starts[first // step]
+        above = np.empty((i - first, m + 1), dtype=bool)  # whether a cell's value is that above it
+        left = np.zeros((i - first, m + 1), dtype=bool)  # and whether it is that to its left
+        for r in range(first, i):
+            row = below(last, r)
+            above[r - first], left[r - first, 1:] = row == last, row[1:] == row[:-1]
             last = row
-        weight += int(last[m])
-        i, j = n, m
-        while i and j:
-            if above[i - 1, j]:
+        total = int(last[m]) if total is None else total
+        while i > first and j:
+            if above[i - 1 - first, j]:
                 i -= 1
-            elif left[i - 1, j]:
+            elif left[i - 1 - first, j]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                kids.append((a.kids[i], b.kids[j]))
-    known[id(a), id(b)] = weight, kids
-    return weight
+                kids.append((xs[i], ys[j]))
+    return total or 0, kids
+
+
+def _weights(xs: list[Node], ys: list[Node], known: dict) -> Callable[[int], np.ndarray]:
+    """The weights of one of ``xs`` with all ``ys``. Containers that share no text weigh what their shapes do, so each two
+    shapes are compared once; those that share some are compared once for each two contents, as far as both sides have it."""
+    numbers: dict = {}
+    la, lb = (np.array([numbers.setdefault(k.label, len(numbers)) for k in x]) for x in (xs, ys))
+    ta, tb = (np.array([numbers.setdefault((k.label, k.text), len(numbers)) if k.text is not None else -i - 1 for i, k in enumerate(x)]) for x in (xs, ys))
+    both = set().union(*map(_texts, xs)) & set().union(*map(_texts, ys))
+    alike, places = [_forms(x, both) for x in xs], [_forms(y, both) for y in ys]
+    shapes: dict[int, list[int]] = {}
+    contents: dict[int, list[int]] = {}
+    holds: dict = {}
+    for j, y in enumerate(ys):
+        if y.kids:
+            shapes.setdefault(places[j][0], []).append(j)
+            contents.setdefault(places[j][1], []).append(j)
+            for t in _texts(y) & both:
+                holds.setdefault(t, set()).add(places[j][1])
+    at = {form: np.array(js) for forms in (shapes, contents) for form, js in forms.items()}
+
+    def weight(i: int, j: int, kind: int) -> int:
+        pair = (kind, alike[i][kind], places[j][kind])
+        if pair not in known:
+            known[pair] = match(xs[i], ys[j]) if kind else match(_bare(xs[i]), _bare(ys[j]))
+        return known[pair]
+
+    def weigh(i: int) -> np.ndarray:
+        x, w = xs[i], (la[i] == lb).astype(np.int32)
+        if x.text is not None:
+            w += ta[i] == tb
+        elif x.kids:
+            for form, js in shapes.items():
+                if ys[js[0]].label == x.label:
+                    w[at[form]] = weight(i, js[0], 0)
+            for form in {form for t in _texts(x) & both for form in holds.get(t, ())}:
+                if ys[contents[form][0]].label == x.label:
+                    w[at[form]] = weight(i, contents[form][0], 1)
+        return w
+
+    return weigh
+
+
+def _forms(x: Node, both: set) -> tuple[int, int]:
+    """Hashes of a tree's labels, and of its labels and those texts."""
+    shape: dict[int, int] = {}
+    content: dict[int, int] = {}
+    for y in reversed(list(_walk(x))):
+        shape[id(y)] = hash((0, y.label, y.text is None, *(shape[id(k)] for k in y.kids)))
+        content[id(y)] = hash((1, y.label, y.text if (y.label, y.text) in both else y.text is None, *(content[id(k)] for k in y.kids)))
+    return shape[id(x)], content[id(x)]
+
+
+def _texts(x: Node) -> set:
+    return {(y.label, y.text) for y in _walk(x) if y.text is not None}
+
+
+def _bare(x: Node) -> Node:
+    """A copy with texts that no other block has."""
+    copies = {id(y): Node("") for y in _walk(x)}
+    for y in _walk(x):
+        c = copies[id(y)]
+        c.label, c.text, c.kids = y.label, None if y.text is None else object(), [copies[id(k)] for k in y.kids]
+    return copies[id(x)]
 
 
 def _match_few(xs: list[Node], ys: list[Node], known: dict) -> tuple[int, list[tuple[Node, Node]]]:
@@ -271,7 +347,8 @@ def aligned(a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
     while todo:
         x, y = todo.pop()
         yield x, y
-        if (id(x), id(y)) in known:
+        if x.kids and y.kids:
+            match(x, y, known)
             todo.extend(known[id(x), id(y)][1])
 
 
@@ -376,39 +453,79 @@ def _depth(root: Node) -> int:
     return deep
 
 
-def induce(trees: list[Node]) -> Wrapper:
-    """The wrapper of pages of one host.
+class Reference:
+    """A page that others of its host are matched with; its blocks that no markup drops are numbered."""
+
+    def __init__(self, root: Node) -> None:
+        self.root, self.nodes = root, sum(1 for _ in _walk(root))
+        self.live = list(_live(root).values())
+        self.places = {id(x): i for i, x in enumerate(self.live)}
+        self.frames = 3 * _depth(root) + 1_000  # matching goes down the tree by recursion
+
+    def meet(self, t: Node) -> list[int] | None:
+        """Twice the number of each block that aligns with one of the page, and one if their texts are equal; None if the
+        two share under half of the nodes of either: the page has another layout."""
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), self.frames))
+        pairs = list(aligned(self.root, t))
+        if 2 * len(pairs) < min(self.nodes, sum(1 for _ in _walk(t))):
+            return None
+        return [2 * self.places[id(x)] + (x.text == y.text) for x, y in pairs if id(x) in self.places]
+
+
+def _shares(turn: int) -> list[float]:
+    """Where among a host's pages by size a round looks for references: at the median, then at ever more places at once,
+    those next to the median first."""
+    n = min(1 << turn, SEEDS)
+    return sorted(((2 * k + 1) / (2 * n) for k in range(n)), key=lambda p: (abs(p - 0.5), p))
+
 
-    The tree of median size is matched with all others; those that share under half of its nodes, or of their own, have
-    another layout and are looked at by themselves. A block is template if it is the same on ``SUPPORT`` pages and on the
-    ``SHARE`` of those where it aligns. Pages that agree in nine tenths of what nearly all pages do not share are copies,
-    and tell no template from content; neither do pages that agree in everything.
+def induce(trees: dict[int, Node]) -> Wrapper:
+    """The wrapper of the distinct pages of one host, by their hashes; ``learn_wrappers`` does the same for all hosts.
+
+    Of the pages left, those with a block found on ``SUPPORT`` of them can be references, so far as none has more blocks
+    that half of them share; a round takes some of these, by size. A page belongs to the first reference that shares half of its nodes, or of its own, with it; pages of no
+    reference, and those of one that belongs to another itself, are left for the next round. Rounds end when nothing is
+    found on ``SUPPORT`` of the pages left. A block is template if it is the same on ``SUPPORT`` pages and on the ``SHARE``
+    of those where it aligns. Pages that agree in nine tenths of what nearly all pages do not share are copies, and tell no
+    template from content; neither do pages that agree in everything.
     """
     if len(trees) < SUPPORT:
         return Wrapper()
     names: dict[int, int] = {}
-    for t in trees:
+    for t in trees.values():
         for k in {x.key for x in _walk(t) if x.whole}:
             names[k] = names.get(k, 0) + 1
     template: set[int] = set()
-    rest = [t for t in trees if _depth(t) <= 200]  # matching goes down the tree by recursion
-    while len(rest) >= SUPPORT:
-        rest.sort(key=lambda t: t.size)
-        seed, other = rest[len(rest) // 2], []
-        live = _live(seed)
-        nodes = sum(1 for _ in _walk(seed))
-        alike: list[list[tuple[Node, bool]]] = []
-        for t in rest:
-            if t is seed:
-                continue
-            pairs = list(aligned(seed, t))
-            if 2 * len(pairs) < min(nodes, sum(1 for _ in _walk(t))):
-                other.append(t)
-            else:
-                alike.append([(x, x.text == y.text) for x, y in pairs if id(x) in live])
-        template |= _constant(live, alike)
-        rest = other
-    return Wrapper(frozenset(template), frozenset(k for k, n in names.items() if n >= CONFIRM))
+    rest = dict(trees)
+    for turn in count():
+        n: dict[int, int] = {}
+        held = {h: {x.key for x in _live(t).values()} for h, t in rest.items()}
+        for k in (k for keys in held.values() for k in keys):
+            n[k] = n.get(k, 0) + 1
+        wide = {h: sum(2 * n[k] >= len(rest) for k in keys if n[k] >= SUPPORT) for h, keys in held.items() if any(n[k] >= SUPPORT for k in keys)}
+        if not wide:
+            break
+        most = max(wide.values())
+        candidates = sorted((rest[h].size, h) for h, c in wide.items() if c == most)
+        seeds: dict[int, Reference] = {}
+        for share in _shares(turn):
+            place = (len(candidates) - 1) * share
+            (low, _), (high, _) = candidates[floor(place)], candidates[ceil(place)]
+            q = low if low == high else (ceil(place) - place) * low + (place - floor(place)) * high
+            h = min((abs(size - q), h) for size, h in candidates)[1]
+            seeds.setdefault(h, Reference(rest[h]))
+        first: dict[int, tuple[int, list[int]]] = {}
+        for h, t in rest.items():
+            met = next(((s, at) for s, r in seeds.items() if (at := r.meet(t)) is not None), None)
+            if met:
+                first[h] = met
+        first = {h: (s, at) for h, (s, at) in first.items() if first[s][0] == s}
+        for s, r in seeds.items():
+            if s in first:
+                alike = [[(r.live[x >> 1], bool(x & 1)) for x in at] for h, (to, at) in first.items() if to == s and h != s]
+                template |= _constant({id(x): x for x in r.live}, alike)
+        rest = {h: t for h, t in rest.items() if h not in first}
+    return Wrapper(frozenset(template), frozenset(k for k, c in names.items() if c >= CONFIRM))
 
 
 def _constant(live: dict[int, Node], alike: list[list[tuple[Node, bool]]]) -> set[int]:
@@ -424,8 +541,8 @@ def _constant(live: dict[int, Node], alike: list[list[tuple[Node, bool]]]) -> se
         return {i for i, (all_, equal) in n.items() if equal >= SUPPORT and equal >= share * all_}
 
     common = same(alike, 0.9)
-    own = sum(len(x.text) for i, x in live.items() if i not in common)
-    apart = [pairs for pairs in alike if 10 * sum(len(x.text) for x, equal in pairs if equal and id(x) not in common) <= 9 * own]
+    own = sum(x.size for i, x in live.items() if i not in common)
+    apart = [pairs for pairs in alike if 10 * sum(x.size for x, equal in pairs if equal and id(x) not in common) <= 9 * own]
     found = same(apart, SHARE)
     return {live[i].key for i in found} if len(found) < len(live) else set()
 
@@ -433,8 +550,7 @@ def _constant(live: dict[int, Node], alike: list[list[tuple[Node, bool]]]) -> se
 def extract_group(pages: list[str | None]) -> list[str]:
     """The main texts of pages of one host, by the wrapper that they give."""
     trees = [parse(h or "") for h in pages]
-    distinct = {h: t for h, t in zip(pages, trees, strict=True) if h}
-    w = induce(list(distinct.values()))
+    w = induce({_sign(xxhash.xxh64_intdigest(h, 42)): t for h, t in zip(pages, trees, strict=True) if h})
     return [main_text(t, w) for t in trees]
 
 
@@ -442,42 +558,181 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def _signed(keys: frozenset[int]) -> list[int]:
-    return sorted(k - (1 << 64) if k >> 63 else k for k in keys)
+def _sign(k: int) -> int:
+    return k - (1 << 64) if k >> 63 else k
 
 
-def learn_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, template, confirmed``: the wrapper of each host with at least ``SUPPORT`` distinct pages.
+def _signed(keys: Iterable[int]) -> list[int]:
+    return sorted(map(_sign, keys))
 
-    It is learned from a bounded sample: the ``SAMPLE`` distinct pages of a host with the smallest hashes, of
-    ``LEARN_BYTES`` at most. Hashes are ranked in 32 parts of a host first, so a host of any size is many tasks.
-    """
-    p = pages.where(F.octet_length(html_col) <= LEARN_BYTES).select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
-    own = p.select("host", "h").distinct().withColumn("part", F.pmod("h", F.lit(32)))
-    for keys in (["host", "part"], ["host"]):
-        own = own.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("n") <= SAMPLE)
-    picked = materialize(own.select(F.col("host").alias("__host"), F.col("h").alias("__h")), "page-sample")
-    if picked.count() <= BROADCAST_BYTES // 64:
-        picked = F.broadcast(picked)
-    sample = p.join(picked, (F.col("host") == F.col("__host")) & (F.col("h") == F.col("__h")), "left_semi")
-    sample = sample.groupBy("host", "h").agg(F.first("html").alias("html")).repartition("host").sortWithinPartitions("host", "h")
+
+_FIELDS = (("deep", "<u4"), ("label", "<u8"), ("text", "<u8"), ("size", "<u4"), ("flags", "u1"))
+
+
+def _pack(root: Node) -> bytes:
+    """A tree without its words: of each node, in page order, depth, hashes of labels and text, size, and what counts."""
+    rows, todo = [], [(root, 0, 0)]
+    while todo:
+        x, deep, above = todo.pop()
+        label = x.key if x.text is None else xxhash.xxh64_intdigest("\0".join(x.label), above)
+        rows.append((deep, label, x.key, min(x.size, (1 << 32) - 1), 4 * (x.text is not None) + 2 * x.whole + x.skip))
+        todo.extend((k, deep + 1, x.key) for k in reversed(x.kids))
+    return b"".join(np.array(c, dtype=kind).tobytes() for c, (_, kind) in zip(zip(*rows, strict=True), _FIELDS, strict=True))
+
+
+def _unpack(data: bytes) -> Node:
+    n, at, columns = len(data) // 25, 0, []
+    for _, kind in _FIELDS:
+        columns.append(np.frombuffer(data, kind, n, at).tolist())
+        at += n * np.dtype(kind).itemsize
+    way: list[Node] = []
+    for deep, label, key, size, flags in zip(*columns, strict=True):
+        x = Node("", skip=bool(flags & 1))
+        x.label, x.key, x.size, x.whole = label, key, size, bool(flags & 2)
+        if flags & 4:
+            x.text = key
+        del way[deep:]
+        if way:
+            way[-1].kids.append(x)
+        way.append(x)
+    return way[0]
+
+
+def _trees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """``host, h, size, keys, names, tree``: each distinct page that is not empty, its tree packed, with the keys of its
+    blocks that no markup drops and of its elements whose names speak of boilerplate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, 1):
-            w = induce([parse(h) for h in t.column("html").to_pylist()])
-            if w.template or w.confirmed is not None:
-                rows = [[t.column("host")[0].as_py()], [_signed(w.template)], [_signed(w.confirmed or frozenset())]]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), *(pa.array(x, pa.list_(pa.int64())) for x in rows[1:])], ["host", "template", "confirmed"])
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                some = b.slice(at, 500)
+                rows: list[tuple] = []
+                for html in some.column(2).to_pylist():
+                    t = parse(html)
+                    rows.append((t.size, _signed({x.key for x in _live(t).values()}), _signed({x.key for x in _walk(t) if x.whole}), _pack(t)))
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], ["host", "h", "size", "keys", "names", "tree"])
+            release()
+
+    p = pages.where(F.octet_length(html_col) > 0).select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
+    return p.mapInArrow(run, "host string, h bigint, size bigint, keys array<bigint>, names array<bigint>, tree binary").dropDuplicates(["host", "h"])
+
+
+def _seeds(rest: DataFrame, turn: int, hosts: int) -> DataFrame:
+    """``host, h, rank``: the references of a round, of so many hosts at most. See ``induce``."""
+    by_host = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")  # noqa: E731  else pages would go to their hosts
+    held = rest.select("host", "h", "size", F.explode("keys").alias("key"))
+    often = held.groupBy("host", "key").count().where(F.col("count") >= SUPPORT).join(by_host(rest.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), hosts), "host")
+    often = materialize(often.select("host", "key", (2 * F.col("count") >= F.col("n")).cast("int").alias("wide")), "often")
+    own = materialize(held.join(sized(often, often.count()), ["host", "key"]).groupBy("host", "h", "size").agg(F.sum("wide").alias("wide")), "candidates")
+    own = own.join(by_host(own.groupBy("host").agg(F.max("wide").alias("wide")), hosts), ["host", "wide"], "left_semi")
+    shares = F.array(*(F.lit(p) for p in _shares(turn)))
+    wanted = own.groupBy("host").agg(F.percentile("size", shares).alias("q")).select("host", F.posexplode("q").alias("rank", "q"))
+    near = own.join(by_host(wanted, hosts * len(_shares(turn))), "host").groupBy("host", "rank").agg(F.min(F.struct(F.abs(F.col("size") - F.col("q")), "h"))["h"].alias("h"))
+    return materialize(near.groupBy("host", "h").agg(F.min("rank").alias("rank")), "seeds")
+
+
+def _light(df: DataFrame, cost: Column) -> DataFrame:
+    """``df`` for a join with pages: broadcast up to ``BROADCAST_BYTES``, beyond that merged, which AQE can split."""
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(cost + 128), F.lit(0))).first()[0] <= BROADCAST_BYTES else df.hint("merge")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches pages with a reference of their host. The reference's own row tells of its blocks."""
+    known: dict[tuple[str, int], Reference] = {}
+    nodes = 0
+    for b in batches:
+        for start in range(0, b.num_rows, 500):
+            some = b.slice(start, 500)
+            at, sizes, keys = [], [], []
+            for i, (host, h, rank, seed) in enumerate(zip(*(some.column(c).to_pylist() for c in range(4)), strict=True)):
+                r = known.get((host, rank))
+                if r is None:
+                    if nodes > 500_000:
+                        known.clear()
+                        nodes = 0
+                    r = known[host, rank] = Reference(_unpack(some.column(5)[i].as_py()))
+                    nodes += r.nodes
+                at.append(r.meet(_unpack(some.column(4)[i].as_py())))
+                sizes.append([x.size for x in r.live] if h == seed else None)
+                keys.append([_sign(x.key) for x in r.live] if h == seed else None)
+            made = [pa.array(at, pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.int64())) for x in (sizes, keys))]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in range(4)), *made], ["host", "h", "rank", "seed", "at", "sizes", "keys"])
+        release()
+
+
+def _counts(alike: DataFrame, share: float) -> DataFrame:
+    """``host, rank, i``: the blocks of references that are the same on ``SUPPORT`` pages, the reference among them, and on
+    that share of those where they align."""
+    n = alike.select("host", "rank", F.explode("at").alias("x")).groupBy("host", "rank", F.shiftright("x", 1).alias("i"))
+    n = n.agg((F.count("*") + 1).alias("all_"), (F.sum(F.col("x").bitwiseAND(1)) + 1).alias("equal"))
+    return n.where((F.col("equal") >= SUPPORT) & (F.col("equal") >= F.lit(share) * F.col("all_"))).select("host", "rank", "i")
+
+
+def _template(met: DataFrame) -> DataFrame:
+    """``host, key``: the template blocks of a round's references. See ``_constant``."""
+    alike = met.where("h <> seed").select("host", "rank", "at")
+    blocks = met.where("h = seed").select("host", "rank", F.posexplode(F.arrays_zip("sizes", "keys")).alias("i", "of")).select("host", "rank", "i", "of.sizes", "of.keys")
+    blocks = materialize(blocks, "blocks")
+    own = blocks.join(_counts(alike, 0.9).withColumn("common", F.lit(True)), ["host", "rank", "i"], "left")
+    own = own.select("host", "rank", F.struct("i", F.when(F.col("common"), 0).otherwise(F.col("sizes")).alias("n")).alias("x")).groupBy("host", "rank").agg(F.sort_array(F.collect_list("x"))["n"].alias("own"))
+    own = materialize(own, "own")
+    pages = alike.join(_light(own, F.size("own") * 8), ["host", "rank"])
+    total = lambda c, n: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + n(x))
+    agreed = total(F.filter("at", lambda x: x.bitwiseAND(1) == 1), lambda x: F.col("own")[F.shiftright(x, 1)])
+    apart = pages.where(10 * agreed <= 9 * total(F.col("own"), lambda x: x))
+    found = blocks.join(_counts(apart, SHARE).withColumn("found", F.lit(True)), ["host", "rank", "i"], "left")
+    found = found.groupBy("host", "rank").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("found"), F.col("keys"))).alias("keys"))
+    return found.where(F.size("keys") < F.col("n")).select("host", F.explode("keys").alias("key"))
+
 
-    return sample.mapInArrow(run, "host string, template array<bigint>, confirmed array<bigint>")
+def learn_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host, template, confirmed``: the wrapper of each host with at least ``SUPPORT`` distinct pages, as ``induce`` gives.
+
+    It is learned from all of them, whatever their size. Pages are parsed, and matched with the references of their host,
+    where they are read; what they agree in is counted by host, reference and block before it is shuffled, so a host of any
+    size is many tasks. A round of references is a few jobs; hosts of few layouts need one or two.
+    """
+    trees = materialize(_trees(pages, url_col, html_col), "page-trees")
+    hosts = trees.groupBy("host").count().where(F.col("count") >= SUPPORT).select("host")
+    n_hosts = hosts.count()
+    named = trees.select("host", F.explode("names").alias("key")).groupBy("host", "key").count().where(F.col("count") >= CONFIRM)
+    keys = [named.select("host", F.lit(None).cast("bigint").alias("t"), F.col("key").alias("c"))]
+    rest = trees.select("host", "h", "size", "keys", "tree")
+    for turn in count():
+        seeds = _seeds(rest, turn, n_hosts)
+        n = seeds.count()
+        if not n:
+            break
+        refs = rest.join(sized(seeds, n), ["host", "h"]).select("host", "rank", F.col("h").alias("seed"), F.col("tree").alias("ref"))
+        refs = materialize(refs, "references")
+        pairs = rest.select("host", "h", "tree").join(_light(refs, F.octet_length("ref")), "host").select("host", "h", "rank", "seed", "tree", "ref")
+        met = materialize(pairs.mapInArrow(_meet, "host string, h bigint, rank int, seed bigint, at array<int>, sizes array<bigint>, keys array<bigint>"), "met")
+        first = met
+        if turn:  # a page belongs to the first reference like it, if that one belongs to no other
+            own = F.struct("rank", "seed", "at", "sizes", "keys")
+            first = met.groupBy("host", "h").agg(F.min(F.when(F.col("at").isNotNull(), own)).alias("own")).select("host", "h", "own.*")
+            good = first.where("h = seed").select("host", "rank", F.lit(True).alias("good"))
+            first = first.join(sized(good, n), ["host", "rank"], "left")
+            first = materialize(first.withColumn("at", F.when(F.col("good"), F.col("at"))).drop("good"), "first")
+        keys.append(materialize(_template(first.where(F.col("at").isNotNull())), "template").select("host", F.col("key").alias("t"), F.lit(None).cast("bigint").alias("c")))
+        left = materialize(first.where(F.col("at").isNull()).select("host", "h"), "left")
+        rest = materialize(rest.join(sized(left, left.count()), ["host", "h"], "left_semi"), "rest")
+    found = keys[0]
+    for k in keys[1:]:
+        found = found.unionByName(k)
+    found = found.groupBy("host").agg(F.collect_set("t").alias("template"), F.collect_set("c").alias("confirmed"))
+    none = F.array().cast("array<bigint>")
+    return hosts.join(found, "host", "left").select("host", F.coalesce("template", none).alias("template"), F.coalesce("confirmed", none).alias("confirmed"))
 
 
 def html_extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars``: the main text of each page, its blocks joined by one line feed.
 
     Null or empty html: empty text. Null urls and urls without a host: one host. Repeated rows: each its own text.
-    Null ids: kept as they are. Empty table: no rows. Only the sample moves to its hosts; the wrappers, a few keys a
-    host, meet the pages where these are read, by a broadcast if their size allows, else by a join that AQE can split.
+    Null ids: kept as they are. Empty table: no rows. No page moves to its host; the wrappers, a few keys a host, meet
+    the pages where these are read, by a broadcast if their size allows, else by a join that AQE can split.
     """
     wrappers = materialize(learn_wrappers(pages, url_col, html_col), "wrappers").withColumnRenamed("host", "__host")
     n, keys = wrappers.agg(F.count("*"), F.coalesce(F.sum(F.size("template") + F.size("confirmed")), F.lit(0))).first()

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -108,3 +109,75 @@ def test_wide_and_deep_pages():
 def test_slugs_inside_an_article_are_no_boilerplate():
     page = "<body><article class='post ad-free'><h2 id='social'>Social</h2><h2 id='social-history'>History</h2><section id='related-work'><p>Work</p></section><div class='ads'>Buy</div><p>End</p></article></body>"
     assert html_extract.extract_group([page]) == ["Social\nHistory\nWork\nEnd"]
+
+
+def test_a_wrapper_counts_all_pages_of_its_host(spark):
+    """Also those of a layout that few pages have, and those over 1 MiB."""
+    shop = "<body><table><tr><td>Our shop's terms</td><td>Item {0}</td></tr><tr><td>All prices in euro</td><td>{0} pieces</td></tr></table></body>"
+    rows = [(i, "https://one.org/x", STORY.format(i, "abc")) for i in range(1500)] + [(2000 + i, "https://one.org/x", shop.format(i)) for i in range(5)]
+    long = [" ".join(f"w{i}x{k}" for k in range(150_000)) for i in range(4)]
+    rows += [(3000 + i, "https://two.org/x", f"<body><p>Site wide line</p><div><h1>T{i}</h1><p>{x}</p></div></body>") for i, x in enumerate(long)]
+    assert all(len(x) > 1 << 20 for x in long)
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows + rows[:1] * 3, "page_id bigint, url string, html string")).collect()}
+    want = {i: f"Story {i} of abc\nMore on {i}" for i in range(1500)} | {2000 + i: f"Item {i}\n{i} pieces" for i in range(5)}
+    assert got == want | {3000 + i: f"T{i}\n{x}" for i, x in enumerate(long)}
+
+
+def test_shares_are_of_all_pages(spark):
+    """A line that 13 in 20 pages share goes, one that 11 in 20 share stays, whichever pages have small hashes."""
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>{'Often' if i % 20 < 13 else f'a {i}'}</p><p>{'Less' if i % 20 >= 9 else f'b {i}'}</p><p>End {i}</p></article></body>"
+    rows = [(i, f"https://h{h}.org/x", page(h * 10_000 + i)) for h in range(12) for i in range(400)]
+    got = html_extract.html_extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert not any("Often" in r.text for r in got) and sum("Less" in r.text for r in got) == 12 * 220
+
+
+def test_wrappers_of_a_table_are_those_of_its_hosts(spark):
+    rng = random.Random(3)
+    layouts = [[rng.choice(["div", "section", "ul", "table"]) + str(k) for k in range(rng.randint(2, 9))] for _ in range(7)]
+
+    def page() -> str:
+        parts = []
+        for k, name in enumerate(rng.choice(layouts)):
+            tag = name.rstrip("0123456789")
+            words = rng.choice([f"Fixed {name} line", f"Own {rng.random()}", f"Often {name}" if rng.random() < 0.8 else f"Rare {rng.random()}"])
+            parts.append(f"<{tag} class='{name} {'social' if k == 3 and rng.random() < 0.2 else ''}'><p>{words}</p><p>{rng.random()}</p></{tag}>")
+        return f"<body><main>{''.join(parts)}</main></body>"
+
+    hosts = {f"h{n}.org": [page() for _ in range(n)] for n in (1, 3, 4, 17, 60, 150)}
+    hosts["copies.org"] = [f"<body><p>Site</p><div><p>{'same ' * 50 if i % 3 else f'own {i} ' * 50}</p><p>{i}</p></div></body>" for i in range(30)]
+    rows = [(i, f"https://{h}/x", x) for h, xs in hosts.items() for i, x in enumerate(xs + xs[:2])]
+    got = {r.host: (r.template, r.confirmed) for r in html_extract.learn_wrappers(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    want = {}
+    for h, xs in hosts.items():
+        w = html_extract.induce({html_extract._sign(xxhash.xxh64_intdigest(x, 42)): html_extract.parse(x) for x in xs})
+        if w.confirmed is not None:
+            want[h] = (html_extract._signed(w.template), html_extract._signed(w.confirmed))
+    assert {h: (sorted(t), sorted(c)) for h, (t, c) in got.items()} == want
+    assert sum(bool(t) for t, _ in want.values()) >= 3 and any(c for _, c in want.values())
+
+
+def plain_match(a, b) -> int:
+    """Simple tree matching by its definition."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.kids) + 1) for _ in range(len(a.kids) + 1)]
+    for i, x in enumerate(a.kids):
+        for j, y in enumerate(b.kids):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + plain_match(x, y))
+    return 1 + (a.text is not None and a.text == b.text) + best[-1][-1]
+
+
+def test_long_lists_match_by_the_definition(monkeypatch):
+    rng = random.Random(5)
+    row = lambda: f"<tr>{''.join(f'<td>{rng.choice('abcdefgh')}</td>' for _ in range(rng.randint(1, 3)))}</tr>" if rng.random() < 0.8 else f"<tr><td><ul>{'<li>x</li>' * rng.randint(0, 3)}</ul></td></tr>"
+    for cells in (html_extract.CELLS, 50):
+        monkeypatch.setattr(html_extract, "CELLS", cells)
+        for _ in range(8):
+            a, b = (html_extract._unpack(html_extract._pack(html_extract.parse(f"<body>{'<p>x</p>' * rng.randint(0, 12)}<table>{''.join(row() for _ in range(rng.randint(9, 20)))}</table></body>"))) for _ in range(2))
+            pairs = list(html_extract.aligned(a, b))
+            assert html_extract.match(a, b) == plain_match(a, b) == len(pairs) + sum(x.text is not None and x.text == y.text for x, y in pairs)
+
+
+def test_deep_pages_are_learned_from():
+    pages = ["<div>" * 300 + f"<p>Site wide line</p><p>text {i}</p>" for i in range(5)]
+    assert html_extract.extract_group(pages) == [f"text {i}" for i in range(5)]
