@@ -18,15 +18,16 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from html import unescape
 from itertools import count
-from math import ceil, floor, isqrt
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, materialize, release, sized
@@ -37,7 +38,7 @@ SEEDS = 32
 SAMPLE = 48
 #: Cells of a table of children that are kept at once; a larger one is filled twice, some rows at a time.
 CELLS = 1 << 24
-#: A template block is the same on so many distinct pages at least, and on that share of those where it aligns.
+#: A template block is the same on so many distinct pages at least, and on that share of its layout's pages.
 SUPPORT, SHARE = 4, 0.6
 #: An element whose name speaks of boilerplate is confirmed by so many pages.
 CONFIRM = 2
@@ -460,34 +461,56 @@ class Reference:
         self.root, self.nodes = root, sum(1 for _ in _walk(root))
         self.live = list(_live(root).values())
         self.places = {id(x): i for i, x in enumerate(self.live)}
+        self.labels = Counter(x.label for x in self.live)
         self.frames = 3 * _depth(root) + 1_000  # matching goes down the tree by recursion
 
     def meet(self, t: Node) -> list[int] | None:
-        """Twice the number of each block that aligns with one of the page, and one if their texts are equal; None if the
-        two share under half of the nodes of either: the page has another layout."""
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), self.frames))
-        pairs = list(aligned(self.root, t))
-        if 2 * len(pairs) < min(self.nodes, sum(1 for _ in _walk(t))):
+        """Twice the number of each block that aligns with one of the page, and one if their texts are equal; None if
+        under half of the blocks of either do: the page has another layout. What markup drops has no say in that."""
+        least = min(len(self.live), len(_live(t)))
+        labels = Counter(y.label for y in _walk(t) if y.text is not None)
+        if 2 * sum(min(n, labels[k]) for k, n in self.labels.items()) < least:  # only blocks of the same label align
             return None
-        return [2 * self.places[id(x)] + (x.text == y.text) for x, y in pairs if id(x) in self.places]
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), self.frames))
+        at = [2 * self.places[id(x)] + (x.text == y.text) for x, y in aligned(self.root, t) if id(x) in self.places]
+        return at if 2 * len(at) >= least else None
 
 
-def _shares(turn: int) -> list[float]:
-    """Where among a host's pages by size a round looks for references: at the median, then at ever more places at once,
-    those next to the median first."""
-    n = min(1 << turn, SEEDS)
-    return sorted(((2 * k + 1) / (2 * n) for k in range(n)), key=lambda p: (abs(p - 0.5), p))
+def _blocks(root: Node) -> tuple[dict[int, int], int]:
+    """Of the blocks that no markup drops: their keys, with those of their labels, and the label that most text has."""
+    keys, sizes = {}, {0: 0}
+    for label, x in _labelled(root):
+        keys[x.key] = label
+        sizes[label] = sizes.get(label, 0) + x.size
+    return keys, max(sizes, key=lambda k: (sizes[k], k))
+
+
+def _labelled(root: Node) -> Iterator[tuple[int, Node]]:
+    """The blocks that no markup drops, with hashes of their labels from the root on."""
+    todo = [(root, 0)]
+    while todo:
+        x, above = todo.pop()
+        if x.text is not None:
+            yield _label_key(x, above), x
+        todo.extend((k, x.key) for k in x.kids if not k.skip)
+
+
+def _label_key(x: Node, above: int) -> int:
+    return x.key if x.text is None else xxhash.xxh64_intdigest("\0".join(x.label), above)
 
 
 def induce(trees: dict[int, Node]) -> Wrapper:
     """The wrapper of the distinct pages of one host, by their hashes; ``learn_wrappers`` does the same for all hosts.
 
-    Of the pages left, those with a block found on ``SUPPORT`` of them can be references, so far as none has more blocks
-    that half of them share; a round takes some of these, by size. A page belongs to the first reference that shares half of its nodes, or of its own, with it; pages of no
-    reference, and those of one that belongs to another itself, are left for the next round. Rounds end when nothing is
-    found on ``SUPPORT`` of the pages left. A block is template if it is the same on ``SUPPORT`` pages and on the ``SHARE``
-    of those where it aligns. Pages that agree in nine tenths of what nearly all pages do not share are copies, and tell no
-    template from content; neither do pages that agree in everything.
+    A round takes references for the labels under which most of the pages left have most of their text: one in the first,
+    then ever more at once. Of such pages, if they hold a block found on ``SUPPORT`` of those left, it is one that has most
+    blocks which half of the pages with their label share, and of these that of median size. A page belongs to the first
+    reference that shares half of its blocks, or of its own, with it; pages of no reference, and those of one that belongs
+    to another itself, are left for the next round. Rounds end when nothing is found on ``SUPPORT`` of the pages left.
+
+    A block is template if it is the same on ``SUPPORT`` pages and on the ``SHARE`` of its layout's. Pages that agree in nine
+    tenths of what nearly all pages do not share are copies, and tell no template from content; neither do pages that agree
+    in everything.
     """
     if len(trees) < SUPPORT:
         return Wrapper()
@@ -498,22 +521,23 @@ def induce(trees: dict[int, Node]) -> Wrapper:
     template: set[int] = set()
     rest = dict(trees)
     for turn in count():
-        n: dict[int, int] = {}
-        held = {h: {x.key for x in _live(t).values()} for h, t in rest.items()}
-        for k in (k for keys in held.values() for k in keys):
-            n[k] = n.get(k, 0) + 1
-        wide = {h: sum(2 * n[k] >= len(rest) for k in keys if n[k] >= SUPPORT) for h, keys in held.items() if any(n[k] >= SUPPORT for k in keys)}
-        if not wide:
+        held = {h: _blocks(t) for h, t in rest.items()}
+        n = Counter(k for keys, _ in held.values() for k in keys)
+        labels = Counter(k for keys, _ in held.values() for k in set(keys.values()))
+        classes: dict[int, list[tuple[int, int, int]]] = {}
+        for h, (keys, main) in held.items():
+            often = [2 * n[k] >= labels[label] for k, label in keys.items() if n[k] >= SUPPORT]
+            if often:
+                classes.setdefault(_sign(main), []).append((sum(often), rest[h].size, h))
+        if not classes:
             break
-        most = max(wide.values())
-        candidates = sorted((rest[h].size, h) for h, c in wide.items() if c == most)
         seeds: dict[int, Reference] = {}
-        for share in _shares(turn):
-            place = (len(candidates) - 1) * share
-            (low, _), (high, _) = candidates[floor(place)], candidates[ceil(place)]
-            q = low if low == high else (ceil(place) - place) * low + (place - floor(place)) * high
-            h = min((abs(size - q), h) for size, h in candidates)[1]
-            seeds.setdefault(h, Reference(rest[h]))
+        for main in sorted(classes, key=lambda k: (-len(classes[k]), k))[: min(1 << turn, SEEDS)]:
+            most = max(classes[main])[0]
+            sizes = sorted(size for c, size, _ in classes[main] if c == most)
+            low, high = sizes[(len(sizes) - 1) // 2], sizes[len(sizes) // 2]
+            h = min((abs(size - (low + high) / 2), h) for c, size, h in classes[main] if c == most)[1]
+            seeds[h] = Reference(rest[h])
         first: dict[int, tuple[int, list[int]]] = {}
         for h, t in rest.items():
             met = next(((s, at) for s, r in seeds.items() if (at := r.meet(t)) is not None), None)
@@ -532,13 +556,11 @@ def _constant(live: dict[int, Node], alike: list[list[tuple[Node, bool]]]) -> se
     """The keys of the seed's blocks that stay the same on the pages aligned with it."""
 
     def same(pages: list[list[tuple[Node, bool]]], share: float) -> set[int]:
-        n: dict[int, list[int]] = {}
+        n: dict[int, int] = {}
         for pairs in pages:
             for x, equal in pairs:
-                c = n.setdefault(id(x), [1, 1])  # the seed's own
-                c[0] += 1
-                c[1] += equal
-        return {i for i, (all_, equal) in n.items() if equal >= SUPPORT and equal >= share * all_}
+                n[id(x)] = n.get(id(x), 1) + equal  # the seed's own
+        return {i for i, equal in n.items() if equal >= SUPPORT and equal >= share * (len(pages) + 1)}
 
     common = same(alike, 0.9)
     own = sum(x.size for i, x in live.items() if i not in common)
@@ -574,8 +596,7 @@ def _pack(root: Node) -> bytes:
     rows, todo = [], [(root, 0, 0)]
     while todo:
         x, deep, above = todo.pop()
-        label = x.key if x.text is None else xxhash.xxh64_intdigest("\0".join(x.label), above)
-        rows.append((deep, label, x.key, min(x.size, (1 << 32) - 1), 4 * (x.text is not None) + 2 * x.whole + x.skip))
+        rows.append((deep, _label_key(x, above), x.key, min(x.size, (1 << 32) - 1), 4 * (x.text is not None) + 2 * x.whole + x.skip))
         todo.extend((k, deep + 1, x.key) for k in reversed(x.kids))
     return b"".join(np.array(c, dtype=kind).tobytes() for c, (_, kind) in zip(zip(*rows, strict=True), _FIELDS, strict=True))
 
@@ -599,8 +620,8 @@ def _unpack(data: bytes) -> Node:
 
 
 def _trees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """``host, h, size, keys, names, tree``: each distinct page that is not empty, its tree packed, with the keys of its
-    blocks that no markup drops and of its elements whose names speak of boilerplate."""
+    """``host, h, size, main, keys, labels, names, tree``: each distinct page that is not empty, its tree packed, with what
+    ``_blocks`` gives and the keys of its elements whose names speak of boilerplate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -609,28 +630,33 @@ def _trees(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 rows: list[tuple] = []
                 for html in some.column(2).to_pylist():
                     t = parse(html)
-                    rows.append((t.size, _signed({x.key for x in _live(t).values()}), _signed({x.key for x in _walk(t) if x.whole}), _pack(t)))
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                    keys, main = _blocks(t)
+                    rows.append((t.size, _sign(main), [*map(_sign, keys)], [*map(_sign, keys.values())], _signed({x.key for x in _walk(t) if x.whole}), _pack(t)))
+                kinds = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary())
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], ["host", "h", "size", "keys", "names", "tree"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *made], ["host", "h", "size", "main", "keys", "labels", "names", "tree"])
             release()
 
     p = pages.where(F.octet_length(html_col) > 0).select(host_of(F.col(url_col)).alias("host"), F.xxhash64(html_col).alias("h"), F.col(html_col).alias("html"))
-    return p.mapInArrow(run, "host string, h bigint, size bigint, keys array<bigint>, names array<bigint>, tree binary").dropDuplicates(["host", "h"])
+    return p.mapInArrow(run, "host string, h bigint, size bigint, main bigint, keys array<bigint>, labels array<bigint>, names array<bigint>, tree binary").dropDuplicates(["host", "h"])
 
 
 def _seeds(rest: DataFrame, turn: int, hosts: int) -> DataFrame:
     """``host, h, rank``: the references of a round, of so many hosts at most. See ``induce``."""
     by_host = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")  # noqa: E731  else pages would go to their hosts
-    held = rest.select("host", "h", "size", F.explode("keys").alias("key"))
-    often = held.groupBy("host", "key").count().where(F.col("count") >= SUPPORT).join(by_host(rest.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT), hosts), "host")
-    often = materialize(often.select("host", "key", (2 * F.col("count") >= F.col("n")).cast("int").alias("wide")), "often")
-    own = materialize(held.join(sized(often, often.count()), ["host", "key"]).groupBy("host", "h", "size").agg(F.sum("wide").alias("wide")), "candidates")
-    own = own.join(by_host(own.groupBy("host").agg(F.max("wide").alias("wide")), hosts), ["host", "wide"], "left_semi")
-    shares = F.array(*(F.lit(p) for p in _shares(turn)))
-    wanted = own.groupBy("host").agg(F.percentile("size", shares).alias("q")).select("host", F.posexplode("q").alias("rank", "q"))
-    near = own.join(by_host(wanted, hosts * len(_shares(turn))), "host").groupBy("host", "rank").agg(F.min(F.struct(F.abs(F.col("size") - F.col("q")), "h"))["h"].alias("h"))
-    return materialize(near.groupBy("host", "h").agg(F.min("rank").alias("rank")), "seeds")
+    labels = rest.select("host", F.explode(F.array_distinct("labels")).alias("label")).groupBy("host", "label").agg(F.count("*").alias("n"))
+    held = rest.select("host", "h", "size", "main", F.explode(F.arrays_zip("keys", "labels")).alias("x")).select("host", "h", "size", "main", "x.keys", "x.labels")
+    often = held.groupBy("host", F.col("keys").alias("key")).agg(F.count("*").alias("c"), F.first("labels").alias("label")).where(F.col("c") >= SUPPORT)
+    often = materialize(often.join(labels, ["host", "label"]).select("host", "key", (2 * F.col("c") >= F.col("n")).cast("int").alias("wide")), "often")
+    own = held.withColumnRenamed("keys", "key").join(sized(often, often.count()), ["host", "key"]).groupBy("host", "main", "h", "size").agg(F.sum("wide").alias("wide"))
+    own = materialize(own, "candidates")
+    n = min(1 << turn, SEEDS)
+    best = own.groupBy("host", "main").agg(F.count("*").alias("n"), F.max("wide").alias("wide"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "main")) - 1).where(F.col("rank") < n).drop("n")
+    best = materialize(best, "classes")
+    own = own.join(by_host(best, hosts * n), ["host", "main", "wide"])
+    near = own.join(by_host(own.groupBy("host", "rank").agg(F.percentile("size", 0.5).alias("q")), hosts * n), ["host", "rank"])
+    return materialize(near.groupBy("host", "rank").agg(F.min(F.struct(F.abs(F.col("size") - F.col("q")), "h"))["h"].alias("h")), "seeds")
 
 
 def _light(df: DataFrame, cost: Column) -> DataFrame:
@@ -664,10 +690,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counts(alike: DataFrame, share: float) -> DataFrame:
     """``host, rank, i``: the blocks of references that are the same on ``SUPPORT`` pages, the reference among them, and on
-    that share of those where they align."""
+    that share of all pages of the layout."""
+    pages = alike.groupBy("host", "rank").agg((F.count("*") + 1).alias("pages"))
     n = alike.select("host", "rank", F.explode("at").alias("x")).groupBy("host", "rank", F.shiftright("x", 1).alias("i"))
-    n = n.agg((F.count("*") + 1).alias("all_"), (F.sum(F.col("x").bitwiseAND(1)) + 1).alias("equal"))
-    return n.where((F.col("equal") >= SUPPORT) & (F.col("equal") >= F.lit(share) * F.col("all_"))).select("host", "rank", "i")
+    n = n.agg((F.sum(F.col("x").bitwiseAND(1)) + 1).alias("equal")).where(F.col("equal") >= SUPPORT).join(pages, ["host", "rank"])
+    return n.where(F.col("equal") >= F.lit(share) * F.col("pages")).select("host", "rank", "i")
 
 
 def _template(met: DataFrame) -> DataFrame:
@@ -699,7 +726,7 @@ def learn_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     n_hosts = hosts.count()
     named = trees.select("host", F.explode("names").alias("key")).groupBy("host", "key").count().where(F.col("count") >= CONFIRM)
     keys = [named.select("host", F.lit(None).cast("bigint").alias("t"), F.col("key").alias("c"))]
-    rest = trees.select("host", "h", "size", "keys", "tree")
+    rest = trees.drop("names")
     for turn in count():
         seeds = _seeds(rest, turn, n_hosts)
         n = seeds.count()

@@ -181,3 +181,26 @@ def test_long_lists_match_by_the_definition(monkeypatch):
 def test_deep_pages_are_learned_from():
     pages = ["<div>" * 300 + f"<p>Site wide line</p><p>text {i}</p>" for i in range(5)]
     assert html_extract.extract_group(pages) == [f"text {i}" for i in range(5)]
+
+
+def test_what_markup_drops_makes_no_layout():
+    """Two layouts under the same long menu: each has lines of its own."""
+    menu = f"<nav><ul>{''.join(f'<li>Go {k}</li>' for k in range(30))}</ul></nav>"
+    one = [f"<body>{menu}<article><p>Line of one</p><p>Story {i}</p></article></body>" for i in range(12)]
+    two = [f"<body>{menu}<main><article><p>Line of two</p><p>Item {i}</p></article></main></body>" for i in range(9)]
+    assert html_extract.extract_group(one + two) == [f"Story {i}" for i in range(12)] + [f"Item {i}" for i in range(9)]
+
+
+def test_lines_of_every_layout_are_found():
+    """A line on two thirds of a layout's pages goes, though it is on few of the host's pages and not on all sizes."""
+    page = "<body><{0}><article><h1>Title {1}</h1>{2}<p>{3}</p><p>Part {4}</p></article></{0}></body>"
+    tags = ("main", "div", "section", "center", "table")
+    pages = [page.format(t, f"{t} {i}", f"<p>Line of {t}</p>" if i % 3 else "", f"text {i} " * (2, 60, 4)[i % 3 - 1], i % 5) for t in tags for i in range(60)]
+    got = html_extract.extract_group(pages)
+    assert not any("Line of" in x for x in got) and all("Part " in x for x in got)
+
+
+def test_a_line_of_few_pages_is_no_template():
+    """Pages without it have fewer blocks, so that it aligns with its like only."""
+    pages = [f"<body><article><h1>Title {i}</h1><p>Text of {i}</p>{'<p>Said by some</p>' if i % 5 == 0 else ''}</article></body>" for i in range(70)]
+    assert sum("Said by some" in x for x in html_extract.extract_group(pages)) == 14
