@@ -11,6 +11,11 @@ A context of two bytes or more is a node if it has been seen ``least`` times, ho
 with its input; what rarer contexts have seen is one more child of those above them, with an estimate of its own. With
 ``least`` 1 every context seen is a node.
 
+A text that repeats itself (its lines, its names, its made-up words) tells more about what follows than the training texts
+do. With ``repeats`` the trees' probability of a word is the prior of two Dirichlet estimates over the text's own words so
+far, of all words and on that of words after the one before. How much such a prior weighs against what has been counted is
+not known beforehand: a text's probability is the mean over all weights of ``PAIRS``, infinity (the trees alone) among them.
+
 Trees are built in tasks: what follows two nearest bytes is one subtree, ranges of such pairs are tasks, and each writes
 its nodes as a file of sorted arrays. The driver gets the nodes of depth two, 65,536 contexts at most, for the two levels
 above. Workers map the files.
@@ -49,6 +54,8 @@ END = b"\xff"  # no byte of UTF-8
 END_TOKEN = b"\n"
 #: Words of more than one part in this of the training tokens go to every worker; at most so many there are.
 FREQUENT = 1 << 18
+#: Words that the prior counts as, for words and for words after another; infinity: nothing is learned from the text.
+PAIRS = [(a, b) for a in (math.inf, 4096.0, 512.0, 64.0) for b in (math.inf, 64.0, 8.0, 1.0)]
 #: Bytes that are looked at side by side, and slots of the table of probabilities: they bound a worker's memory.
 CHUNK = 1 << 20
 SLOTS = 21
@@ -115,6 +122,16 @@ def word_hash(w: bytes) -> int:
     return xxhash.xxh64_intdigest(w)
 
 
+def slice_hashes(raw: bytes, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each slice."""
+    out = np.zeros(len(start), dtype=U)
+    short = np.nonzero(size <= SHORT)[0]
+    out[short] = HASHES.hashes(raw + b" " * SHORT, start[short], size[short])[0]
+    for i in np.nonzero(size > SHORT)[0].tolist():
+        out[i] = word_hash(raw[start[i] : start[i] + size[i]])
+    return out
+
+
 def word_hashes(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word of texts, in lower case; and how many words each text has."""
     raw = b"".join([b" ", b" ".join(some).lower(), b" " * SHORT])
@@ -123,12 +140,7 @@ def word_hashes(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start, size = edges[0::2], edges[1::2] - edges[0::2]
     first = np.cumsum([1, *(len(x) + 1 for x in some)])
     counts = np.diff(np.searchsorted(start, first))
-    out = np.zeros(len(start), dtype=U)
-    short = np.nonzero(size <= SHORT)[0]
-    out[short] = HASHES.hashes(raw, start[short], size[short])[0]
-    for i in np.nonzero(size > SHORT)[0].tolist():
-        out[i] = word_hash(raw[start[i] : start[i] + size[i]])
-    return out, counts
+    return slice_hashes(raw, start, size), counts
 
 
 def _totals(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +205,18 @@ def _kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - math.log(math.pi)
 
 
+def _sharp(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Probabilities p = 1 - q: p, or -q if that is less, as near one a number of 32 bits would be one."""
+    return np.where(p <= q, p, -q).astype(np.float32)
+
+
+def _both(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_sharp`` has packed: p and q."""
+    v = v.astype(np.float64)
+    minus = np.signbit(v)  # also of -0.0
+    return np.where(minus, 1 + v, v), np.where(minus, -v, 1 - v)
+
+
 def _ids(code: np.ndarray, k: int) -> np.ndarray:
     """Node ids of grams (context, byte) before bit k: the context, a one, and the byte's first k bits."""
     return (code >> U(8)) << U(8) | (code & U(255)) >> U(8 - k) | U(1 << k)
@@ -223,7 +247,8 @@ Parts = dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def weigh(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], below: dict[int, Level] | None = None) -> tuple[Parts, dict[int, Level]]:
     """The nodes by depth and bit: ids, the estimate of a one, the weight of stopping, and the estimate of what contexts
-    that are no nodes have seen; and by bit the least deep ones. ``below``: the nodes under the deepest."""
+    that are no nodes have seen, as ``_sharp`` packs them; and by bit the least deep ones. ``below``: the nodes under the
+    deepest."""
     parts: Parts = {}
     tops: dict[int, Level] = {}
     for k in range(8):
@@ -242,7 +267,7 @@ def weigh(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], below: dict[int, L
             both = np.add.reduceat(n, start)
             ones = np.add.reduceat(n * ((code >> U(7 - k)) & U(1)), start)
             own = _kt(both - ones, ones)
-            weighted, stop, other = own, np.ones(len(ids)), np.full(len(ids), 0.5)
+            weighted, stop, other = own, _sharp(np.ones(len(ids)), np.zeros(len(ids))), np.full(len(ids), 0.5, dtype=np.float32)
             if kids is not None:
                 kid, kid_both, kid_ones, kid_weighted = kids
                 at = np.searchsorted(ids, (kid >> U(16)) << U(8) | kid & U(255))
@@ -251,9 +276,9 @@ def weigh(by_depth: dict[int, tuple[np.ndarray, np.ndarray]], below: dict[int, L
                 split = total(kid_weighted) + _kt(np.maximum(rest - rest_ones, 0), rest_ones)
                 inner = total(np.ones(len(kid))) > 0
                 weighted = np.where(inner, np.logaddexp(own, split) - math.log(2), own)
-                stop = np.where(inner, np.exp(own - math.log(2) - weighted), 1.0)
-                other = (rest_ones + 0.5) / (rest + 1)
-            parts[d, k] = ids, *(x.astype(np.float32) for x in ((ones + 0.5) / (both + 1), stop, other))
+                stop = _sharp(*(np.where(inner, np.exp(x - math.log(2) - weighted), y) for x, y in ((own, 1.0), (split, 0.0))))
+                other = _sharp((rest_ones + 0.5) / (rest + 1), (np.maximum(rest - rest_ones, 0) + 0.5) / (rest + 1))
+            parts[d, k] = ids, _sharp((ones + 0.5) / (both + 1), (both - ones + 0.5) / (both + 1)), stop, other
             kids = ids, both, ones, weighted
         tops[k] = kids
     return parts, tops
@@ -299,10 +324,11 @@ class Trees:
                 at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
                 here = np.nonzero(ids[at] == want)[0]
                 at, y = at[here], one[some][here]  # noqa: B023
-                own, rest = (np.where(y, q, 1 - q) for q in (p[at].astype(np.float64), other[at].astype(np.float64)))
+                own, rest = (np.where(y, *_both(x[at])) for x in (p, other))
+                ends, goes = _both(stop[at])
                 m, s = mix[some], seen[some]  # noqa: B023
                 # of the deepest node on the path the other child is that of all contexts that are no nodes
-                m[here] = stop[at] * own + (1 - stop[at].astype(np.float64)) * np.where(s[here], m[here], rest)
+                m[here] = ends * own + goes * np.where(s[here], m[here], rest)
                 s[here] = True
 
             for parts, some in ranges:
@@ -408,6 +434,68 @@ def fit(counts: DataFrame, words: dict[str, np.ndarray], least: int = LEAST):
     return spark.sparkContext.broadcast(Model(top, lows, [r["data"] if r["name"] is None else r["name"] for r in rows]))
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(32))
+
+
+def _earlier(keys: np.ndarray) -> np.ndarray:
+    """How often each key stands before."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    start = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), np.arange(len(k)), 0))
+    out = np.empty(len(k), dtype=np.int64)
+    out[order] = np.arange(len(k)) - start
+    return out
+
+
+class Repeats:
+    """The texts' probabilities where their own words are learned from; texts come in order, long ones in pieces."""
+
+    def __init__(self, size: int) -> None:
+        self.sums = np.zeros((len(PAIRS), size))
+        self._start(-1)
+
+    def _start(self, row: int) -> None:
+        self.row, self.n, self.last = row, 0, U(0)
+        self.seen = [(np.empty(0, dtype=U), np.empty(0, dtype=np.int64))] * 3
+
+    def add(self, row: np.ndarray, h: np.ndarray, logs: np.ndarray) -> None:
+        """Words by their text's number, ascending, their hash and what log10 the trees give them."""
+        new = np.concatenate([[True], row[1:] != row[:-1]])
+        start, at = np.nonzero(new)[0], np.arange(len(row))
+        more = int(np.searchsorted(row, self.row, "right")) if row[0] == self.row else 0  # of the last text of the call before
+        before = at - np.maximum.accumulate(np.where(new, at, 0))
+        before[:more] += self.n
+        prev = np.where(new, U(0), np.concatenate([h[:1], h[:-1]]))
+        if more:
+            prev[0] = self.last
+        text = _spread(row.astype(U) + U(1))
+        after = _spread(text + prev * U(3))
+        keys = _spread(text ^ h), after, _spread(after ^ h * U(0x9E3779B97F4A7C15))
+        counts = [_earlier(k) for k in keys]
+        for (known, n), k, c in zip(self.seen, keys, counts, strict=True):
+            if more and len(known):
+                i = np.minimum(np.searchsorted(known, k[:more]), len(known) - 1)
+                c[:more] += np.where(known[i] == k[:more], n[i], 0)
+        word, others, pair = counts
+        low = np.minimum(logs + 290, 0)  # what a number can't hold is added to the logarithm, but where counts outweigh it
+        p = 10 ** (logs - low)
+        for i, (a, b) in enumerate(PAIRS):
+            q = p if a == math.inf else (word + a * p) / (before + a)
+            x = np.log10(q if b == math.inf else (pair + b * q) / (others + b)) + np.where((pair if a == math.inf else word) == 0, low, 0)
+            self.sums[i, row[start]] += np.add.reduceat(logs if a == b == math.inf else x, start)
+        if row[-1] != self.row:
+            self._start(int(row[-1]))
+        tail = int(start[-1])
+        self.n, self.last = self.n + len(row) - tail, h[-1]
+        self.seen = [_totals(np.concatenate([known, k[tail:]]), np.concatenate([n, np.ones(len(k) - tail, dtype=np.int64)])) for (known, n), k in zip(self.seen, keys, strict=True)]
+
+    def log10(self) -> np.ndarray:
+        most = self.sums.max(axis=0)
+        return most + np.log10((10 ** (self.sums - most)).mean(axis=0))
+
+
 class Scorer:
     """Scores texts in a worker; the probabilities of grams it has met wait in a table of fixed size."""
 
@@ -433,13 +521,22 @@ class Scorer:
             # of two grams for one slot the last one written stays, key and value alike
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
+    def scores(self, texts: list[bytes], repeats: bool = False) -> np.ndarray:
+        out, own = np.zeros(len(texts)), Repeats(len(texts))
         for some in pieces(texts):
             g, n = grams(some)
-            sums = np.add.reduceat(self.log10(g), np.concatenate([[0], np.cumsum(n)[:-1]]))
-            np.add.at(out, [row for row, _, _ in some], sums)
-        return out
+            logs, rows = self.log10(g), np.array([row for row, _, _ in some])
+            if repeats:  # a word and the white space or end after it; the last byte of a piece ends one too
+                raw = (g & U(255)).astype(np.uint8)
+                ends = (WHITE | (np.arange(256) == END[0]))[raw]
+                ends[np.cumsum(n) - 1] = True
+                stop = np.nonzero(ends)[0] + 1
+                start = np.concatenate([[0], stop[:-1]])
+                h = slice_hashes(raw.tobytes(), start, stop - start)
+                own.add(rows[np.searchsorted(np.cumsum(n), start, "right")], h, np.add.reduceat(logs, start))
+            else:
+                np.add.at(out, rows, np.add.reduceat(logs, np.concatenate([[0], np.cumsum(n)[:-1]])))
+        return own.log10() if repeats else out
 
     def frequent(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether words are frequent, by their hashes, and log10(count + 1) of those that are."""
@@ -479,10 +576,11 @@ def scorer(model, key: str) -> Scorer:
     return _SCORERS[key]
 
 
-def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, repeats: bool = False) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` of each whole text of ``docs``.
 
-    ``score`` is the log10 probability that the trees fitted on the texts of ``train`` give the text and its end;
+    ``score`` is the log10 probability that the trees fitted on the texts of ``train`` give the text and its end, with
+    ``repeats`` one that learns from the text's own words as well (texts over ``CHUNK`` bytes: a word may be cut there);
     ``base_score`` that of a unigram model of its words in lower case and one end, add-one smoothed over the V words of
     ``train`` and one more. Null texts: as empty ones, an end alone. Null ids stay null. Rows that repeat: each scored.
     No training text: every bit is even, every word new. Empty table: no rows. Words are known by 64-bit hashes.
@@ -507,7 +605,7 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
                 rows = np.arange(row, row + len(some))
                 n, known, logs, (of, h, times) = lm.tokens(some)
                 sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some)) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0).slice(at, 500), *map(pa.array, (n, known, logs, lm.scores(some), sizes)), pa.nulls(len(some), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0).slice(at, 500), *map(pa.array, (n, known, logs, lm.scores(some, repeats), sizes)), pa.nulls(len(some), pa.int64())], names)
                 none, nan = pa.nulls(len(of), pa.int64()), pa.nulls(len(of), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(rows[of]), none, pa.array(times), none, nan, nan, none, pa.array(h)], names)
                 row += len(some)
@@ -532,5 +630,5 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
 
 def op7_lm_scores(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = lm_scores(docs, docs.where(~held_out(of=7)))
+    out = lm_scores(docs, docs.where(~held_out(of=7)), repeats=True)
     return out.select("doc_id", held_out(of=7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import unicodedata
 import zlib
 
@@ -314,6 +315,64 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(w in words for w in tokens), n)
 
 
+def brute_repeats(logs: list[float], words: list[bytes]) -> float:
+    """log10 of the mean over weights, word by word, of what the trees give the words."""
+    means = []
+    more = lambda n, log: np.logaddexp(math.log(n) if n else -math.inf, log * math.log(10)) / math.log(10)
+    for a, b in ctw.PAIRS:
+        total, seen, pairs, prev = 0.0, collections.Counter(), collections.defaultdict(collections.Counter), b""
+        for i, (w, log) in enumerate(zip(words, logs, strict=True)):
+            q = log if a == math.inf else more(seen[w], math.log10(a) + log) - math.log10(i + a)
+            total += q if b == math.inf else more(pairs[prev][w], math.log10(b) + q) - math.log10(pairs[prev].total() + b)
+            seen[w] += 1
+            pairs[prev][w] += 1
+            prev = w
+        means.append(total)
+    return max(means) + math.log10(sum(10 ** (x - max(means)) for x in means) / len(means))
+
+
+def test_scores_learn_from_repeats(spark, monkeypatch):
+    rng = random.Random(6)
+    train = [" ".join("".join(rng.choices("abcdef", k=rng.randint(1, 4))) for _ in range(30)) for _ in range(20)]
+    new = [train[0], "", "xyz uvw " * 60, "zzz\tABC abc ab \n" * 5, "é" * 20, "x" * 500, "abcd " * 4, "one two " * 30 + "y" * 500 + " one two"]
+    df = lambda ts: spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "doc_id bigint, text string")
+    plain, got = ({r.doc_id: r for r in ctw.lm_scores(df(new), df(train), repeats=x).collect()} for x in (False, True))
+    assert got[2].score > got[2].base_score > plain[2].score  # new words, sixty times
+    g, n = ctw.grams([x for some in ctw.pieces([t.encode() for t in train]) for x in some])
+    codes, counts = np.unique(g, return_counts=True)
+    parts, told = ctw.subtrees(codes, counts, ctw.LEAST)
+    trees = ctw.Trees(ctw.crown([told]), [0], [parts])
+    for i, t in enumerate(new):
+        g, _ = ctw.grams([x for some in ctw.pieces([t.encode()]) for x in some])
+        order = np.argsort(g)
+        logs = np.empty(len(g))
+        logs[order] = trees.log10(g[order])
+        words = re.findall(rb"[^ \t-\r\xff]*[ \t-\r\xff]", t.encode() + ctw.END)
+        ends = np.cumsum([len(w) for w in words])
+        sums = [logs[e - len(w) : e].sum() for w, e in zip(words, ends, strict=True)]
+        assert plain[i].score == pytest.approx(sum(sums)) and got[i].score >= plain[i].score - math.log10(len(ctw.PAIRS))
+        assert got[i].score == pytest.approx(brute_repeats(sums, words))
+    many = [t.encode() for t in ["abc " * 50, "ab", "abc def " * 40, "x" * 63]]  # cut between words, pieces over several lists
+    model = ctw.Scorer.__new__(ctw.Scorer)
+    model.log10 = lambda g: -2.0 - (g & np.uint64(3)).astype(float)
+    want = model.scores(many, True)
+    for chunk in (64, 32, 4):
+        monkeypatch.setattr(ctw, "CHUNK", chunk)
+        assert model.scores(many[:3], True) == pytest.approx(want[:3])
+
+
+def test_what_was_never_seen_stays_possible():
+    """However often the contrary was: no estimate or weight is rounded to one."""
+    gram = lambda x: int.from_bytes(x, "big")
+    code = np.sort(np.array([gram(b"dcba" + bytes([x, y])) for x in b"ef" for y in (0xFF,)] + [gram(b"zzzzzz")], dtype=np.uint64))
+    parts, told = ctw.subtrees(code, np.full(len(code), 1 << 40), 2)
+    trees = ctw.Trees(ctw.crown([told]), [0], [parts])
+    every = np.array([gram(b"dcbae" + bytes([x])) for x in range(256)], dtype=np.uint64)
+    logs = trees.log10(every)
+    assert np.isfinite(logs).all() and (10**logs).sum() == pytest.approx(1)
+    assert logs[0xFE] == pytest.approx(math.log10(0.5) - 40 * math.log10(2), abs=1)
+
+
 def test_probabilities_sum_to_one(spark):
     """Over all bytes, after any context."""
     some = [(i, ctw.END * ctw.DEPTH, t.encode() + ctw.END) for i, t in enumerate(["abcabc", "abd", "xyz"])]
