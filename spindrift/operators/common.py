@@ -39,13 +39,14 @@ def pct(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole > 0, F.round(part * 100.0 / whole, digits)).otherwise(0.0)
 
 
-def numbered(df: DataFrame, order: list[str], out: str, rows: int = 100_000) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], out: str, rows: int = 100_000, nulls_last: bool = False) -> DataFrame:
     """``df`` with ``out``, 1 to n in the order of columns; rows that are equal in these are numbered in any order.
 
     The order is cut into ranges of about ``rows`` rows, 4,096 at most, by where Spark would cut it; a range is numbered
-    by itself, after all those before it. Nulls come first.
+    by itself, after all those before it. Nulls come first, or last.
     """
-    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    by = [x for c in order for x in ((F.col(c).isNull(), F.col(c)) if nulls_last else (F.col(c),))]
+    key = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(by)])
     keys = df.select(key.alias("k"))
     parts = max(1, min(4_096, -(-keys.count() // rows)))
     lows = sorted_lows(keys, parts) if parts > 1 else []
@@ -57,7 +58,7 @@ def numbered(df: DataFrame, order: list[str], out: str, rows: int = 100_000) ->
     placed = df.withColumn("__range", spot)
     before = placed.groupBy("__range").agg(F.count("*").alias("__n"))
     before = before.select(F.col("__range").alias("__r"), (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__before"))  # a row a range
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*by))
     told = placed.withColumn("__in", inside).join(F.broadcast(before), F.col("__range") == F.col("__r"))
     return told.withColumn(out, (F.col("__before") + F.col("__in")).cast("bigint")).drop("__range", "__in", "__r", "__before")
 

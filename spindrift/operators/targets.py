@@ -91,7 +91,8 @@ def all_targets(master: DataFrame | None, live: list[DataFrame]) -> DataFrame:
 
 
 def build_master(parts: list[DataFrame], now: str) -> DataFrame:
-    """One table of all sources, sorted by type, name, state, city and URL and numbered from 1; ranges are numbered side by side.
+    """One table of all sources, sorted by type, name, state, city and URL, nulls last, and numbered from 1; ranges are numbered side by
+    side.
 
     Rows that are equal in these follow by accreditation, so that a rerun gives the same numbers.
     """
@@ -101,7 +102,7 @@ def build_master(parts: list[DataFrame], now: str) -> DataFrame:
         x = align(p, cols)
         both = x if both is None else both.unionByName(x)
     both = both.withColumn("source", F.when(F.contains(F.col("type"), F.lit("Law School")), "ABA").otherwise("AAfPE")).withColumn("last_updated", F.lit(now))
-    return numbered(both, ["type", "name", "state", "city", "url", "accreditation_status"], "institution_id").select(*MASTER)
+    return numbered(both, ["type", "name", "state", "city", "url", "accreditation_status"], "institution_id", nulls_last=True).select(*MASTER)
 
 
 def coverage(df: DataFrame, cols: tuple[str, ...] = ("state", "city", "url")) -> DataFrame:

@@ -225,6 +225,32 @@ def test_master_numbers_of_equal_names(spark):
     assert [r[6] for r in got[0][:300]] == sorted(r[5] for r in rows[:300])
 
 
+def test_master_numbers_nulls_last(spark, tmp_path):
+    """As the SQL does; here a nation has no name."""
+    import duckdb
+
+    from spindrift.plans import ORACLES, QUERIES
+
+    nations = [(i, None if i == 2 else f"NATION_{i}") for i in range(4)]
+    rows = [(i, i // 120 % 4) for i in range(480)]  # each name in each state, so that nothing is equal in all columns of the order
+    for name, x, cols in (("nation", nations, "n_nationkey int, n_name string"), ("supplier", rows, "s_suppkey long, s_nationkey int")):
+        spark.createDataFrame(x, cols).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    con = duckdb.connect()
+    for name in ("nation", "supplier"):
+        con.execute(f"CREATE VIEW {name} AS FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["T13_build_master"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["T13_build_master"](spark, str(tmp_path)).collect()) == want
+
+
+def test_surrogate_keys_with_nulls_last(spark):
+    rows = [(["b", "", None, "Ünï", "a"][i % 5], [1, 2, None][i % 3], i) for i in range(200)]
+    df = spark.createDataFrame(rows, "name string, n int, other int").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is None, (r[0] or "").encode(), r[1] is None, r[1] or 0, r[2]))
+    for size in (1_000, 60, 7):
+        got = common.numbered(df, ["name", "n", "other"], "id", size, nulls_last=True).orderBy("id").collect()
+        assert [tuple(r) for r in got] == [(*r, i + 1) for i, r in enumerate(want)]
+
+
 def test_surrogate_keys_by_ranges(spark, monkeypatch):
     import random
 
