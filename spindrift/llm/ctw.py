@@ -210,11 +210,10 @@ def _sharp(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p <= q, p, -q).astype(np.float32)
 
 
-def _both(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What ``_sharp`` has packed: p and q."""
-    v = v.astype(np.float64)
-    minus = np.signbit(v)  # also of -0.0
-    return np.where(minus, 1 + v, v), np.where(minus, -v, 1 - v)
+def _one_of(v: np.ndarray, first: np.ndarray | bool) -> np.ndarray:
+    """Of what ``_sharp`` has packed p where ``first``, else q."""
+    less = np.abs(v).astype(np.float64)
+    return np.where(np.signbit(v) != first, less, 1 - less)  # -0.0 has a sign too
 
 
 def _ids(code: np.ndarray, k: int) -> np.ndarray:
@@ -324,8 +323,7 @@ class Trees:
                 at = np.minimum(np.searchsorted(ids, want), len(ids) - 1)
                 here = np.nonzero(ids[at] == want)[0]
                 at, y = at[here], one[some][here]  # noqa: B023
-                own, rest = (np.where(y, *_both(x[at])) for x in (p, other))
-                ends, goes = _both(stop[at])
+                own, rest, ends, goes = _one_of(p[at], y), _one_of(other[at], y), _one_of(stop[at], True), _one_of(stop[at], False)
                 m, s = mix[some], seen[some]  # noqa: B023
                 # of the deepest node on the path the other child is that of all contexts that are no nodes
                 m[here] = ends * own + goes * np.where(s[here], m[here], rest)
@@ -457,8 +455,8 @@ class Repeats:
         self._start(-1)
 
     def _start(self, row: int) -> None:
-        self.row, self.n, self.last = row, 0, U(0)
-        self.seen = [(np.empty(0, dtype=U), np.empty(0, dtype=np.int64))] * 3
+        self.row, self.n, self.last = row, 0, (U(0), 0)  # the last word, and how often it stood before
+        self.seen = [(np.empty(0, dtype=U), np.empty(0, dtype=np.int64))] * 2
 
     def add(self, row: np.ndarray, h: np.ndarray, logs: np.ndarray) -> None:
         """Words by their text's number, ascending, their hash and what log10 the trees give them."""
@@ -469,16 +467,18 @@ class Repeats:
         before[:more] += self.n
         prev = np.where(new, U(0), np.concatenate([h[:1], h[:-1]]))
         if more:
-            prev[0] = self.last
+            prev[0] = self.last[0]
         text = _spread(row.astype(U) + U(1))
-        after = _spread(text + prev * U(3))
-        keys = _spread(text ^ h), after, _spread(after ^ h * U(0x9E3779B97F4A7C15))
+        keys = _spread(text ^ h), _spread(_spread(text + prev * U(3)) ^ h * U(0x9E3779B97F4A7C15))
         counts = [_earlier(k) for k in keys]
         for (known, n), k, c in zip(self.seen, keys, counts, strict=True):
             if more and len(known):
                 i = np.minimum(np.searchsorted(known, k[:more]), len(known) - 1)
                 c[:more] += np.where(known[i] == k[:more], n[i], 0)
-        word, others, pair = counts
+        word, pair = counts
+        others = np.where(new, 0, np.concatenate([[0], word[:-1]]))  # how often a word stood after the word before
+        if more:
+            others[0] = self.last[1]
         low = np.minimum(logs + 290, 0)  # what a number can't hold is added to the logarithm, but where counts outweigh it
         p = 10 ** (logs - low)
         for i, (a, b) in enumerate(PAIRS):
@@ -488,7 +488,7 @@ class Repeats:
         if row[-1] != self.row:
             self._start(int(row[-1]))
         tail = int(start[-1])
-        self.n, self.last = self.n + len(row) - tail, h[-1]
+        self.n, self.last = self.n + len(row) - tail, (h[-1], int(word[-1]))
         self.seen = [_totals(np.concatenate([known, k[tail:]]), np.concatenate([n, np.ones(len(k) - tail, dtype=np.int64)])) for (known, n), k in zip(self.seen, keys, strict=True)]
 
     def log10(self) -> np.ndarray:
